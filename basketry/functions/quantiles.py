@@ -4,8 +4,10 @@ Spark's exact ``percentile`` keeps a map of every distinct value of a group in o
 buffer; for a global quantile that is the whole column in one task. Here the work is split:
 
 1. one pass builds a Greenwald-Khanna sketch per column (``percentile_approx``) and reads a bracket
-   ``[q(p - d), q(p + d)]`` around each requested probability; the sketch bounds the rank error,
-   so the bracket holds about ``2·d·n`` rows whatever the distribution;
+   ``[q(p - d), q(p + d)]`` around each requested probability, ``d = 4 / accuracy``; the sketch's
+   rank error is at most ``n / accuracy``, so the bracket spans the target ranks and holds about
+   ``8·n / accuracy`` rows whatever the distribution (columns with fewer than ``2·accuracy``
+   values are ranked whole: a constant bound);
 2. one pass counts the rows below the bracket and groups the rows inside it by value (ties
    collapse, so a value shared by a third of all rows is one row);
 3. a window partitioned by the requested quantile orders only those in-bracket distinct values,
@@ -57,8 +59,12 @@ def exact_quantiles(
     spec_rows = []
     for name, c, p in specs:
         lo_p, hi_p = max(0.0, p - margin), min(1.0, p + margin)
-        lo = F.lit(None).cast("double") if lo_p <= 0.0 else F.col("b")[probs.index(lo_p)]
-        hi = F.lit(None).cast("double") if hi_p >= 1.0 else F.col("b")[probs.index(hi_p)]
+        # Below 2·accuracy values the sketch is exact but its rank convention may sit one rank
+        # off ours, so the bracket is left open: at most 2·accuracy distinct values are ranked.
+        small = F.col("n") < 2 * accuracy
+        unbounded = F.lit(None).cast("double")
+        lo = unbounded if lo_p <= 0.0 else F.when(small, unbounded).otherwise(F.col("b")[probs.index(lo_p)])
+        hi = unbounded if hi_p >= 1.0 else F.when(small, unbounded).otherwise(F.col("b")[probs.index(hi_p)])
         spec_rows.append(
             F.struct(F.lit(name).alias("name"), F.lit(c).alias("col"), F.lit(float(p)).alias("p"),
                      lo.alias("lo"), hi.alias("hi"))

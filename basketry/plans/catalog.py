@@ -302,3 +302,209 @@ def q_date_bounds(spark, sf):
 @register("countries", S.with_sales("SELECT DISTINCT Country FROM sales WHERE Country IS NOT NULL ORDER BY Country"))
 def q_countries(spark, sf):
     return M.countries(sales(spark, sf))
+
+
+# --- 2.10 customer analytics ----------------------------------------------------------------
+
+def rfm_of(spark, sf):
+    return R.rfm(sales(spark, sf))
+
+
+def seg_of(spark, sf):
+    return R.rule_segments(rfm_of(spark, sf))
+
+
+@register("rfm", S.with_sales_rfm("SELECT CustomerID, Recency, Frequency, round(Monetary, 2) AS Monetary FROM rfm"))
+def q_rfm(spark, sf):
+    return rfm_of(spark, sf).select("CustomerID", "Recency", "Frequency", r2("Monetary"))
+
+
+@register("rfm_events", S.with_events_rfm("SELECT CustomerID, Recency, Frequency, round(Monetary, 2) AS Monetary FROM rfm"))
+def q_rfm_events(spark, sf):
+    return R.rfm(events(spark, sf)).select("CustomerID", "Recency", "Frequency", r2("Monetary"))
+
+
+@register("rule_thresholds", S.with_sales_rfm(
+    "SELECT round(quantile_cont(Monetary, 0.75), 4) AS monetary_q, round(quantile_cont(Frequency, 0.75), 4) AS frequency_q "
+    "FROM rfm"))
+def q_rule_thresholds(spark, sf):
+    # An interpolated quartile of 2-decimal values has at most 4 decimals: round there, not at a tie.
+    return R.rule_thresholds(rfm_of(spark, sf)).select(r2("monetary_q", d=4), r2("frequency_q", d=4))
+
+
+@register("rule_segments", S.with_sales_rfm("SELECT CustomerID, Segment FROM seg"))
+def q_rule_segments(spark, sf):
+    return seg_of(spark, sf).select("CustomerID", "Segment")
+
+
+@register("rule_segments_events", S.with_events_rfm("SELECT CustomerID, Segment FROM seg"))
+def q_rule_segments_events(spark, sf):
+    return R.rule_segments(R.rfm(events(spark, sf))).select("CustomerID", "Segment")
+
+
+SEGMENT_COUNTS_SQL = """SELECT Segment, count(*) AS Count, round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS Share,
+       row_number() OVER (ORDER BY count(*) ASC, Segment ASC) = 1 AS Smallest
+FROM seg GROUP BY Segment"""
+
+
+@register("segment_counts", S.with_sales_rfm(SEGMENT_COUNTS_SQL))
+def q_segment_counts(spark, sf):
+    return R.segment_counts(seg_of(spark, sf), "Segment")
+
+
+_DESCRIBE_COLS = ("CustomerID", "Recency", "Frequency", "Monetary")
+
+
+def _describe_sql() -> str:
+    def part(stat, fn):
+        d = 4 if "%" in stat else 2
+        cols = ", ".join(f"round(CAST({fn.format(c=c)} AS DOUBLE), {d}) AS {c}" for c in _DESCRIBE_COLS)
+        return f"SELECT '{stat}' AS stat, {cols} FROM rfm"
+
+    parts = [part("count", "count({c})"), part("mean", "avg({c})"), part("std", "stddev_samp({c})"),
+             part("min", "min({c})"), part("25%", "quantile_cont({c}, 0.25)"), part("50%", "quantile_cont({c}, 0.5)"),
+             part("75%", "quantile_cont({c}, 0.75)"), part("max", "max({c})")]
+    return S.with_sales_rfm(" UNION ALL ".join(parts))
+
+
+@register("describe_rfm", _describe_sql())
+def q_describe_rfm(spark, sf):
+    d = R.describe_rfm(rfm_of(spark, sf), _DESCRIBE_COLS)
+    quart = F.col("stat").endswith("%")
+    return d.select("stat", *[F.when(quart, F.round(c, 4)).otherwise(F.round(c, 2)).alias(c) for c in _DESCRIBE_COLS])
+
+
+def _profiles_sql() -> str:
+    from basketry.functions.columns import ADVICE_LOOKUP, ADVICE_LOOKUP_DEFAULT
+
+    return S.with_sales_rfm(
+        f"SELECT CustomerID, Recency, Frequency, round_even(Monetary, 2) AS Monetary, Segment, {S.HEALTH} AS HealthScore, "
+        f"{S.health_label(S.HEALTH)} AS HealthLabel, {S.advice_case('Segment', ADVICE_LOOKUP, ADVICE_LOOKUP_DEFAULT)} AS Advice "
+        f"FROM seg")
+
+
+@register("customer_profiles", _profiles_sql())
+def q_customer_profiles(spark, sf):
+    return R.customer_profiles(seg_of(spark, sf))
+
+
+@register("customer_lookup", S.with_sales_rfm(
+    "SELECT CustomerID, Recency, Frequency, round(Monetary, 2) AS Monetary, Segment FROM seg WHERE CustomerID = 7"))
+def q_customer_lookup(spark, sf):
+    return FL.customer_profile(seg_of(spark, sf), 7).select("CustomerID", "Recency", "Frequency", r2("Monetary"), "Segment")
+
+
+@register("health_scores", S.with_events_rfm(
+    f"SELECT CustomerID, {S.HEALTH} AS HealthScore, {S.health_label(S.HEALTH)} AS HealthLabel FROM rfm"))
+def q_health_scores(spark, sf):
+    from basketry.functions.columns import health_label, health_score
+
+    df = R.rfm(events(spark, sf))
+    s = health_score(F.col("Recency"), F.col("Frequency"), F.col("Monetary"))
+    return df.select("CustomerID", s.alias("HealthScore"), health_label(s).alias("HealthLabel"))
+
+
+# --- 2.3 / 2.4 filters and semi joins ----------------------------------------------------------
+
+_LINE_COLS = "InvoiceNo, Description, Quantity, InvoiceDate, CustomerID, Country, TotalPrice"
+_SOME_NATIONS = ["NATION_1", "NATION_7", "NATION_13"]
+
+
+def _lines(df):
+    return df.select(*_LINE_COLS.split(", "))
+
+
+@register("filter_country", S.with_sales(
+    f"SELECT {_LINE_COLS} FROM sales WHERE Country IN ('NATION_1', 'NATION_7', 'NATION_13')"))
+def q_filter_country(spark, sf):
+    return _lines(FL.filter_country(sales(spark, sf), _SOME_NATIONS))
+
+
+@register("filter_dates", S.with_sales(
+    f"SELECT {_LINE_COLS} FROM sales WHERE InvoiceDate >= TIMESTAMP '1996-01-01' AND InvoiceDate <= TIMESTAMP '1997-06-30'"))
+def q_filter_dates(spark, sf):
+    return _lines(FL.filter_dates(sales(spark, sf), "1996-01-01", "1997-06-30"))
+
+
+@register("filter_dates_events", S.with_events(
+    f"SELECT {_LINE_COLS} FROM sales WHERE InvoiceDate >= TIMESTAMP '2024-01-10' AND InvoiceDate <= TIMESTAMP '2024-01-20'"))
+def q_filter_dates_events(spark, sf):
+    return _lines(FL.filter_dates(events(spark, sf), "2024-01-10", "2024-01-20"))
+
+
+@register("filter_segment", S.with_sales_rfm(
+    f"SELECT {_LINE_COLS} FROM sales WHERE CustomerID IN (SELECT CustomerID FROM seg WHERE Segment = 'Loyal')"))
+def q_filter_segment(spark, sf):
+    df = sales(spark, sf)
+    return _lines(FL.filter_segment(df, R.rule_segments(R.rfm(df)), "Loyal", by="Segment"))
+
+
+@register("filter_basket_a", S.with_sales(
+    f"SELECT {_LINE_COLS} FROM sales WHERE InvoiceNo IN (SELECT InvoiceNo FROM sales GROUP BY InvoiceNo "
+    f"HAVING sum(TotalPrice) >= {LINES_EDGES[0]} AND sum(TotalPrice) <= {LINES_EDGES[1]})"))
+def q_filter_basket_a(spark, sf):
+    df = sales(spark, sf)
+    return _lines(FL.filter_basket(df, "Medium", LINES_EDGES, medium_upper_inclusive=True, totals_from=df))
+
+
+@register("filter_basket_b", S.with_events(
+    f"SELECT {_LINE_COLS} FROM sales WHERE InvoiceNo IN (SELECT InvoiceNo FROM sales GROUP BY InvoiceNo "
+    f"HAVING sum(TotalPrice) >= 200)"))
+def q_filter_basket_b(spark, sf):
+    return _lines(FL.filter_basket(events(spark, sf), "Large"))
+
+
+@register("basket_band_counts", S.with_events(
+    "SELECT CASE WHEN v < 20 THEN 'Small' WHEN v >= 20 AND v <= 100 THEN 'Medium' ELSE 'Large' END AS band, "
+    "count(*) AS orders FROM (SELECT InvoiceNo, sum(TotalPrice) AS v FROM sales GROUP BY InvoiceNo) b GROUP BY band"))
+def q_basket_band_counts(spark, sf):
+    b = M.basket_values(events(spark, sf), None)
+    return b.groupBy(FL.band_of(F.col("BasketValue"), (20.0, 100.0), True).alias("band")).agg(
+        F.count(F.lit(1)).alias("orders"))
+
+
+_SPEC = FL.FilterSpec(countries=["NATION_2", "NATION_3", "NATION_5", "NATION_8", "NATION_21"], start="1996-01-01",
+                      end="2000-12-31", segment="Low Value", segment_by="Segment", basket="Medium",
+                      basket_edges=LINES_EDGES)
+_SPEC_SQL = f"""filtered0 AS (
+  SELECT * FROM sales WHERE Country IN ('NATION_2', 'NATION_3', 'NATION_5', 'NATION_8', 'NATION_21')
+    AND InvoiceDate >= TIMESTAMP '1996-01-01' AND InvoiceDate <= TIMESTAMP '2000-12-31'
+    AND CustomerID IN (SELECT CustomerID FROM seg WHERE Segment = 'Low Value')),
+filtered AS (
+  SELECT * FROM filtered0 WHERE InvoiceNo IN (SELECT InvoiceNo FROM filtered0 GROUP BY InvoiceNo
+    HAVING sum(TotalPrice) >= {LINES_EDGES[0]} AND sum(TotalPrice) < {LINES_EDGES[1]}))"""
+
+
+def _filtered(spark, sf):
+    df = sales(spark, sf)
+    return FL.apply_filters(df, R.rule_segments(R.rfm(df)), _SPEC)
+
+
+@register("apply_filters", S.with_sales_rfm(f", {_SPEC_SQL}\nSELECT {_LINE_COLS} FROM filtered"))
+def q_apply_filters(spark, sf):
+    return _lines(_filtered(spark, sf))
+
+
+@register("dashboard_kpis", S.with_sales_rfm(
+    f", {_SPEC_SQL}\n" + KPI_SQL.replace("{src}", "filtered").replace("{cap}", str(LINES_CAP))))
+def q_dashboard_kpis(spark, sf):
+    return _kpis_rounded(_filtered(spark, sf), LINES_CAP)
+
+
+@register("dashboard_segments", S.with_sales_rfm(
+    f", {_SPEC_SQL}\nSELECT Segment, count(*) AS Count, round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS Share, "
+    "row_number() OVER (ORDER BY count(*) ASC, Segment ASC) = 1 AS Smallest "
+    "FROM seg WHERE CustomerID IN (SELECT CustomerID FROM filtered) GROUP BY Segment"))
+def q_dashboard_segments(spark, sf):
+    df = sales(spark, sf)
+    seg = R.rule_segments(R.rfm(df))
+    return R.segment_counts(FL.customers_in(seg, FL.apply_filters(df, seg, _SPEC)), "Segment")
+
+
+@register("customers_in_filter", S.with_sales_rfm(
+    "SELECT CustomerID, Recency, Frequency, round(Monetary, 2) AS Monetary FROM rfm "
+    "WHERE CustomerID IN (SELECT CustomerID FROM sales WHERE Country IN ('NATION_1', 'NATION_7', 'NATION_13'))"))
+def q_customers_in_filter(spark, sf):
+    df = sales(spark, sf)
+    return FL.customers_in(R.rfm(df), FL.filter_country(df, _SOME_NATIONS)).select(
+        "CustomerID", "Recency", "Frequency", r2("Monetary"))

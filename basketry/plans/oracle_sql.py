@@ -70,3 +70,43 @@ def with_events(body: str) -> str:
 def with_dirty(body: str) -> str:
     """``dirty_lines`` and ``sales`` = cleaned dirty_lines (TotalPrice derived)."""
     return f"WITH {SALES_LINES},\n{DIRTY_LINES},\n{cleaned('sales', 'dirty_lines', CANON, False)}\n{body}"
+
+
+RFM = """rfm AS (
+  SELECT CustomerID,
+         CAST(date_sub('day', max(InvoiceDate), (SELECT max(InvoiceDate) + INTERVAL 1 DAY FROM sales)) AS INTEGER) AS Recency,
+         count(DISTINCT InvoiceNo) AS Frequency, sum(TotalPrice) AS Monetary
+  FROM sales WHERE CustomerID IS NOT NULL GROUP BY CustomerID),
+seg AS (
+  SELECT *, CASE WHEN Recency < 30 THEN 'Recent'
+                 WHEN Frequency > (SELECT quantile_cont(Frequency, 0.75) FROM rfm) THEN 'Loyal'
+                 WHEN Monetary > (SELECT quantile_cont(Monetary, 0.75) FROM rfm) THEN 'High Value'
+                 ELSE 'Low Value' END AS Segment
+  FROM rfm)"""
+
+
+def with_sales_rfm(body: str) -> str:
+    """``sales`` (cleaned sales_lines), ``rfm`` and ``seg`` (rfm + rule Segment)."""
+    return f"WITH {SALES_LINES},\n{cleaned('sales', 'sales_lines', CANON + ', TotalPrice', True)},\n{RFM}\n{body}"
+
+
+def with_events_rfm(body: str) -> str:
+    """Same over cleaned event_sales."""
+    return f"WITH {EVENT_SALES},\n{cleaned('sales', 'event_sales', CANON + ', TotalPrice', True)},\n{RFM}\n{body}"
+
+
+HEALTH = """CAST((CASE WHEN Recency < 30 THEN 40 WHEN Recency < 90 THEN 20 ELSE 5 END)
+      + (CASE WHEN Frequency >= 10 THEN 30 WHEN Frequency >= 5 THEN 20 ELSE 5 END)
+      + (CASE WHEN Monetary >= 1000 THEN 30 WHEN Monetary >= 300 THEN 20 ELSE 5 END) AS INTEGER)"""
+
+
+def health_label(score: str) -> str:
+    return f"CASE WHEN {score} >= 70 THEN 'Healthy' WHEN {score} >= 40 THEN 'Average' ELSE 'At Risk' END"
+
+
+def advice_case(col: str, mapping: dict, default: str) -> str:
+    def q(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    whens = " ".join(f"WHEN {col} = {q(k)} THEN {q(v)}" for k, v in mapping.items())
+    return f"CASE {whens} ELSE {q(default)} END"
