@@ -508,3 +508,136 @@ def q_customers_in_filter(spark, sf):
     df = sales(spark, sf)
     return FL.customers_in(R.rfm(df), FL.filter_country(df, _SOME_NATIONS)).select(
         "CustomerID", "Recency", "Frequency", r2("Monetary"))
+
+
+# --- 2.11 clustering and evaluation -----------------------------------------------------------
+
+from basketry.operators import cluster as CL  # noqa: E402
+from basketry.operators import evaluate as EV  # noqa: E402
+
+K = 4
+N_INIT = 10
+SWEEP_N_INIT = 3
+SWEEP_MAX_ITER = 50
+_RULE_LABEL = {"Low Value": 0, "High Value": 1, "Loyal": 2, "Recent": 3}
+
+
+def z_rule(spark, sf):
+    """Standardised R/F/M with the rule segment as an integer label."""
+    seg = seg_of(spark, sf)
+    lab = F.create_map(*[F.lit(x) for kv in _RULE_LABEL.items() for x in kv])
+    return CL.standardize(seg).withColumn("label", F.element_at(lab, F.col("Segment")))
+
+
+@register("standardize", S.with_sales_rfm(f", {S.Z}\nSELECT CustomerID, round(zRecency, 6) AS zRecency, "
+                                          "round(zFrequency, 6) AS zFrequency, round(zMonetary, 6) AS zMonetary FROM z"))
+def q_standardize(spark, sf):
+    z = CL.standardize(rfm_of(spark, sf))
+    return z.select("CustomerID", *[r2(c, d=6) for c in CL.Z_COLS])
+
+
+@register("silhouette_rule", S.with_sales_rfm(S.silhouette_sql(squared=False)))
+def q_silhouette_rule(spark, sf):
+    return EV.silhouette_exact(z_rule(spark, sf), CL.Z_COLS, "label", "CustomerID").select(r2("silhouette", d=6))
+
+
+@register("silhouette_squared_rule", S.with_sales_rfm(S.silhouette_sql(squared=True)))
+def q_silhouette_squared_rule(spark, sf):
+    return EV.silhouette_linear(z_rule(spark, sf), CL.Z_COLS, "label").select(r2("silhouette", d=6))
+
+
+@register("davies_bouldin_rule", S.with_sales_rfm(S.DAVIES_BOULDIN))
+def q_davies_bouldin_rule(spark, sf):
+    return EV.davies_bouldin(z_rule(spark, sf), CL.Z_COLS, "label").select(r2("davies_bouldin", d=6))
+
+
+@register("holdout_split", S.with_sales_rfm(
+    "SELECT CustomerID, ('0x' || substr(md5(CAST(CustomerID AS VARCHAR)), 1, 8))::UBIGINT % 100 < 20 AS is_test FROM rfm"))
+def q_holdout_split(spark, sf):
+    return rfm_of(spark, sf).select("CustomerID", (CL.hash_bucket() < 20).alias("is_test"))
+
+
+def _model(spark, sf):
+    from basketry.plans.segmentation import build_segment_model
+
+    return build_segment_model(sales(spark, sf), k=K, n_init=N_INIT)
+
+
+@register("kmeans_fit")
+def q_kmeans_fit(spark, sf):
+    m = _model(spark, sf)
+    sizes = m.customers.groupBy("Cluster").agg(F.count(F.lit(1)).alias("Customers"))
+    return sizes.withColumn("k", F.lit(m.fit.k)).withColumn("cost", F.lit(m.fit.cost)).orderBy("Cluster")
+
+
+@register("cluster_means")
+def q_cluster_means(spark, sf):
+    return CL.cluster_means(_model(spark, sf).customers)
+
+
+@register("cluster_names")
+def q_cluster_names(spark, sf):
+    m = _model(spark, sf)
+    return m.customers.groupBy("Cluster", "KMSegment").agg(F.count(F.lit(1)).alias("Customers")).orderBy("Cluster")
+
+
+@register("cluster_summary")
+def q_cluster_summary(spark, sf):
+    m = _model(spark, sf)
+    return CL.cluster_summary(m.customers, m.names)
+
+
+@register("km_segment_counts")
+def q_km_segment_counts(spark, sf):
+    return R.segment_counts(_model(spark, sf).customers, "KMSegment")
+
+
+@register("filter_segment_km")
+def q_filter_segment_km(spark, sf):
+    df = sales(spark, sf)
+    m = _model(spark, sf)
+    return _lines(FL.filter_segment(df, m.customers, "VIP"))
+
+
+@register("score_customers")
+def q_score_customers(spark, sf):
+    """M4 over every customer's own R/F/M (a batch prediction)."""
+    m = _model(spark, sf)
+    return m.score(m.customers.select("CustomerID", "Recency", "Frequency", "Monetary"))
+
+
+def _sweep(spark, sf):
+    z = CL.standardize(rfm_of(spark, sf))
+    return CL.sweep(CL.with_features(z), range(2, 11), SWEEP_N_INIT, 42, SWEEP_MAX_ITER)
+
+
+@register("model_sweep")
+def q_model_sweep(spark, sf):
+    return _sweep(spark, sf)
+
+
+@register("best_k")
+def q_best_k(spark, sf):
+    return CL.best_k(_sweep(spark, sf))
+
+
+@register("k_decision")
+def q_k_decision(spark, sf):
+    return CL.k_decision(_sweep(spark, sf))
+
+
+@register("bisecting")
+def q_bisecting(spark, sf):
+    z = CL.standardize(rfm_of(spark, sf))
+    feats = CL.with_features(z, shift=10.0).cache()
+    model = CL.fit_bisecting(feats, K)
+    sizes = model.setPredictionCol("Cluster").transform(feats).groupBy("Cluster").agg(
+        F.count(F.lit(1)).alias("Customers"))
+    cost = float(model.summary.trainingCost)
+    return sizes.withColumn("cost", F.lit(cost)).orderBy("Cluster")
+
+
+@register("holdout")
+def q_holdout(spark, sf):
+    z = CL.standardize(rfm_of(spark, sf))
+    return CL.holdout(z, K, N_INIT)

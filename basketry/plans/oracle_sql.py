@@ -110,3 +110,39 @@ def advice_case(col: str, mapping: dict, default: str) -> str:
 
     whens = " ".join(f"WHEN {col} = {q(k)} THEN {q(v)}" for k, v in mapping.items())
     return f"CASE {whens} ELSE {q(default)} END"
+
+
+def _std(c: str) -> str:
+    return (f"(SELECT CASE WHEN stddev_pop({c}) IS NULL OR stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END FROM rfm)")
+
+
+Z = f"""z AS (
+  SELECT CustomerID, Segment,
+         (Recency - (SELECT avg(Recency) FROM rfm)) / {_std('Recency')} AS zRecency,
+         (Frequency - (SELECT avg(Frequency) FROM rfm)) / {_std('Frequency')} AS zFrequency,
+         (Monetary - (SELECT avg(Monetary) FROM rfm)) / {_std('Monetary')} AS zMonetary
+  FROM seg)"""
+
+_D2 = "power(a.zRecency - b.zRecency, 2) + power(a.zFrequency - b.zFrequency, 2) + power(a.zMonetary - b.zMonetary, 2)"
+
+
+def silhouette_sql(squared: bool) -> str:
+    d = _D2 if squared else f"sqrt({_D2})"
+    return f""", {Z},
+pairs AS (SELECT a.CustomerID AS id, a.Segment AS own, b.Segment AS cl, sum({d}) AS s, count(*) AS c
+          FROM z a JOIN z b ON a.CustomerID <> b.CustomerID GROUP BY a.CustomerID, a.Segment, b.Segment),
+per AS (SELECT id, max(CASE WHEN cl = own THEN s / c END) AS a, min(CASE WHEN cl <> own THEN s / c END) AS b,
+               max(CASE WHEN cl = own THEN c END) AS cown FROM pairs GROUP BY id)
+SELECT round(avg(CASE WHEN cown IS NULL THEN 0 WHEN greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6)
+       AS silhouette FROM per"""
+
+
+DAVIES_BOULDIN = f""", {Z},
+cent AS (SELECT Segment AS cl, avg(zRecency) AS c0, avg(zFrequency) AS c1, avg(zMonetary) AS c2 FROM z GROUP BY Segment),
+spread AS (SELECT z.Segment AS cl, avg(sqrt(power(zRecency - c0, 2) + power(zFrequency - c1, 2) + power(zMonetary - c2, 2))) AS s
+           FROM z JOIN cent ON z.Segment = cent.cl GROUP BY z.Segment),
+cs AS (SELECT cent.cl, c0, c1, c2, s FROM cent JOIN spread ON cent.cl = spread.cl),
+r AS (SELECT a.cl, max(CASE WHEN sqrt(power(a.c0 - b.c0, 2) + power(a.c1 - b.c1, 2) + power(a.c2 - b.c2, 2)) = 0 THEN 0
+                            ELSE (a.s + b.s) / sqrt(power(a.c0 - b.c0, 2) + power(a.c1 - b.c1, 2) + power(a.c2 - b.c2, 2)) END) AS m
+      FROM cs a JOIN cs b ON a.cl <> b.cl GROUP BY a.cl)
+SELECT round(avg(m), 6) AS davies_bouldin FROM r"""
