@@ -641,3 +641,20 @@ def q_bisecting(spark, sf):
 def q_holdout(spark, sf):
     z = CL.standardize(rfm_of(spark, sf))
     return CL.holdout(z, K, N_INIT)
+
+
+# --- C8 density clustering (rows-only here; checked against brute force in tests) -------------
+
+from basketry.operators import dbscan as DB  # noqa: E402
+
+
+@register("dbscan")
+def q_dbscan(spark, sf):
+    z = CL.standardize(rfm_of(spark, sf))
+    return DB.dbscan_summary(DB.dbscan(z, CL.Z_COLS, "CustomerID", eps=0.5, min_pts=5))
+
+
+@register("dbscan_events")
+def q_dbscan_events(spark, sf):
+    z = CL.standardize(R.rfm(events(spark, sf)))
+    return DB.dbscan_summary(DB.dbscan(z, CL.Z_COLS, "CustomerID", eps=0.5, min_pts=5))
