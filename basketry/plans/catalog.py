@@ -658,3 +658,36 @@ def q_dbscan(spark, sf):
 def q_dbscan_events(spark, sf):
     z = CL.standardize(R.rfm(events(spark, sf)))
     return DB.dbscan_summary(DB.dbscan(z, CL.Z_COLS, "CustomerID", eps=0.5, min_pts=5))
+
+
+# --- 2.12 profiling an arbitrary table ---------------------------------------------------------
+
+from basketry.operators import profile as PR  # noqa: E402
+from basketry.sources.tables import table  # noqa: E402
+
+
+@register("profile_trend", "SELECT coalesce(strftime(o_orderdate, '%Y-%m'), 'NaT') AS upload_month, "
+                           "round(coalesce(sum(o_totalprice), 0), 2) AS o_totalprice FROM orders GROUP BY 1")
+def q_profile_trend(spark, sf):
+    return PR.profile_trend(table(spark, sf, "orders")).select("upload_month", r2("o_totalprice"))
+
+
+@register("profile_geo", S.with_sales(
+    "SELECT Country, round(sum(UnitPrice), 2) AS UnitPrice FROM sales_lines WHERE Country IS NOT NULL GROUP BY Country "
+    "ORDER BY sum(UnitPrice) DESC, Country ASC LIMIT 10"))
+def q_profile_geo(spark, sf):
+    return PR.profile_geo(adapters.sales_lines(spark, sf)).select("Country", r2("UnitPrice"))
+
+
+@register("profile_summary", S.with_sales(
+    "SELECT count(*) AS \"rows\", 8 AS \"columns\", 'InvoiceDate' AS date_col, 'CustomerID' AS customer_col, "
+    "'UnitPrice' AS value_col, 'Country' AS geography_col FROM sales_lines"))
+def q_profile_summary(spark, sf):
+    return PR.profile_summary(adapters.sales_lines(spark, sf)).withColumn("columns", F.col("columns").cast("int"))
+
+
+@register("profile_summary_orders", "SELECT count(*) AS \"rows\", 6 AS \"columns\", 'o_orderdate' AS date_col, "
+                                    "CAST(NULL AS VARCHAR) AS customer_col, 'o_totalprice' AS value_col, "
+                                    "CAST(NULL AS VARCHAR) AS geography_col FROM orders")
+def q_profile_summary_orders(spark, sf):
+    return PR.profile_summary(table(spark, sf, "orders")).withColumn("columns", F.col("columns").cast("int"))
