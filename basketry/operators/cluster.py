@@ -82,22 +82,25 @@ class KMeansFit:
 
 
 def fit_kmeans(feats: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, max_iter: int = 300,
-               tol: float = 1e-4, features: str = "features") -> KMeansFit:
+               tol: float = 1e-4, features: str = "features", parallelism: int | None = None) -> KMeansFit:
     """Best of ``n_init`` seeded fits (seeds seed..seed+n_init-1) by training cost.
 
-    ``feats`` should be cached by the caller: every restart and every Lloyd iteration scans it.
+    The restarts are independent Spark jobs submitted from a small thread pool, so they share
+    the executors instead of queueing. ``feats`` should be cached by the caller: every restart
+    and every Lloyd iteration scans it. Ties in cost go to the lower seed.
     """
-    best = None
-    costs = []
-    for i in range(n_init):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(i):
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol=features,
                        initMode="k-means||").fit(feats)
-        cost = float(model.summary.trainingCost)
-        costs.append(cost)
-        if best is None or cost < best.cost:
-            best = KMeansFit(model, cost, seed + i, k)
-    best.costs = costs
-    return best
+        return i, model, float(model.summary.trainingCost)
+
+    workers = max(1, min(n_init, parallelism or 4))
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        results = sorted(pool.map(one, range(n_init)), key=lambda r: r[0])
+    i, model, cost = min(results, key=lambda r: (r[2], r[0]))
+    return KMeansFit(model, cost, seed + i, k, [r[2] for r in results])
 
 
 def fit_bisecting(feats_shifted: DataFrame, k: int = 4, seed: int = 42, features: str = "features",

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.session import materialize
+
 _TILE_SCHEMA = "id long, own int, cluster int, s double, c long"
 
 
@@ -30,15 +32,10 @@ def _tile_sums(cols: Sequence[str]):
         clusters = np.unique(lab)
         out = []
 
-        def emit(src_idx, dst_idx):
-            a, b = x[src_idx], x[dst_idx]
-            onehot = (lab[dst_idx][:, None] == clusters[None, :]).astype(np.float64)
-            counts = onehot.sum(axis=0)
-            sums = np.zeros((len(src_idx), len(clusters)))
-            step = max(1, 4_000_000 // max(1, len(dst_idx)))
-            for s in range(0, len(src_idx), step):
-                d2 = ((a[s:s + step, None, :] - b[None, :, :]) ** 2).sum(axis=2)
-                sums[s:s + step] = np.sqrt(d2) @ onehot
+        def onehot(idx):
+            return (lab[idx][:, None] == clusters[None, :]).astype(np.float64)
+
+        def emit(src_idx, sums, counts):
             keep = counts > 0
             n_src, n_cl = len(src_idx), int(keep.sum())
             out.append(pd.DataFrame({
@@ -50,14 +47,27 @@ def _tile_sums(cols: Sequence[str]):
             }))
 
         left = np.flatnonzero(blk == lo)
-        if lo == hi:
-            emit(left, left)
-        else:
-            right = np.flatnonzero(blk == hi)
-            emit(left, right)
-            emit(right, left)
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(
-            {"id": [], "own": [], "cluster": [], "s": [], "c": []})
+        right = left if lo == hi else np.flatnonzero(blk == hi)
+        oh_l, oh_r = onehot(left), onehot(right)
+        sums_l = np.zeros((len(left), len(clusters)))
+        sums_r = np.zeros((len(right), len(clusters)))
+        a, b = x[left], x[right]
+        aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        step = max(1, 4_000_000 // max(1, len(right)))
+        for s in range(0, len(left), step):
+            # |a|² + |b|² - 2·a·b (a matrix product), clipped at 0; one distance block serves
+            # both directions of the tile
+            d2 = aa[s:s + step, None] + bb[None, :] - 2.0 * (a[s:s + step] @ b.T)
+            d = np.sqrt(np.maximum(d2, 0.0))
+            if lo == hi:
+                np.fill_diagonal(d[:, s:s + step], 0.0)
+            sums_l[s:s + step] = d @ oh_r
+            if lo != hi:
+                sums_r += d.T @ oh_l[s:s + step]
+        emit(left, sums_l, oh_r.sum(axis=0))
+        if lo != hi:
+            emit(right, sums_r, oh_l.sum(axis=0))
+        return pd.concat(out, ignore_index=True)
 
     return run
 
@@ -78,6 +88,7 @@ def silhouette_exact(points: DataFrame, cols: Sequence[str], label: str, id_col:
         F.col(label).cast("int").alias("_lab"),
         *[F.col(c).cast("double").alias(c) for c in cols],
     ).where(F.col("_lab").isNotNull())
+    pts = materialize(pts)  # read three times below (count, tiles, cluster count)
     n = pts.count()
     nb = max(1, math.ceil(n / block_size))
     blk = F.pmod(F.xxhash64("_id"), F.lit(nb)).cast("int")

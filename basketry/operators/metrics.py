@@ -42,27 +42,26 @@ def cap_baskets(baskets: DataFrame, cap: float = DEFAULT_CAP) -> DataFrame:
 def kpis(df: DataFrame, cap: float | None = DEFAULT_CAP) -> DataFrame:
     """A1-A3, A5, F8: one row of headline numbers, zeros for an empty input.
 
-    Orders and customers have different keys, so they are aggregated separately and combined by
-    a UNION ALL feeding one global aggregate: no join, no count-distinct Expand.
+    The lines are aggregated once to (invoice, customer). Both second-level aggregates consume
+    that node whole — revenue and customers from the per-customer branch, orders and the capped
+    average from the per-order branch — so its exchange is reused and the input is read, joined
+    and de-duplicated once. A UNION ALL feeds one global aggregate: no join, no Expand.
     """
-    per_order = order_totals(df).select(
-        F.col("BasketValue").alias("v"),
-        F.col("InvoiceNo").isNotNull().cast("long").alias("is_order"),
-        F.lit(0).cast("long").alias("is_customer"),
-    )
-    per_customer = (
-        df.where(F.col("CustomerID").isNotNull())
-        .select("CustomerID")
-        .distinct()
-        .select(F.lit(None).cast("double").alias("v"), F.lit(0).cast("long").alias("is_order"),
-                F.lit(1).cast("long").alias("is_customer"))
-    )
-    capped = (F.col("is_order") == 1) & ((F.col("v") < cap) if cap is not None else F.lit(True))
+    pairs = df.groupBy("InvoiceNo", "CustomerID").agg(F.sum("TotalPrice").alias("v"))
+    no_double = F.lit(None).cast("double")
+    zero = F.lit(0).cast("long")
+    per_order = pairs.groupBy("InvoiceNo").agg(F.sum("v").alias("ov")).select(
+        F.col("ov"), F.col("InvoiceNo").isNotNull().cast("long").alias("is_order"),
+        no_double.alias("cv"), zero.alias("is_customer"))
+    per_customer = pairs.groupBy("CustomerID").agg(F.sum("v").alias("cv")).select(
+        no_double.alias("ov"), zero.alias("is_order"),
+        F.col("cv"), F.col("CustomerID").isNotNull().cast("long").alias("is_customer"))
+    capped = (F.col("is_order") == 1) & ((F.col("ov") < cap) if cap is not None else F.lit(True))
     return per_order.unionByName(per_customer).agg(
-        F.coalesce(F.sum("v"), F.lit(0.0)).alias("total_revenue"),
+        F.coalesce(F.sum("cv"), F.lit(0.0)).alias("total_revenue"),
         F.coalesce(F.sum("is_order"), F.lit(0)).cast("long").alias("total_orders"),
         F.coalesce(F.sum("is_customer"), F.lit(0)).cast("long").alias("customer_count"),
-        F.coalesce(F.bround(F.avg(F.when(capped, F.col("v"))), 0), F.lit(0.0)).alias("avg_order_value"),
+        F.coalesce(F.bround(F.avg(F.when(capped, F.col("ov"))), 0), F.lit(0.0)).alias("avg_order_value"),
     )
 
 

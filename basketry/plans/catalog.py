@@ -307,7 +307,10 @@ def q_countries(spark, sf):
 # --- 2.10 customer analytics ----------------------------------------------------------------
 
 def rfm_of(spark, sf):
-    return R.rfm(sales(spark, sf))
+    """Per-customer table, materialised once: quantiles, scaling and segments all reuse it."""
+    from basketry.session import materialize
+
+    return materialize(R.rfm(sales(spark, sf)))
 
 
 def seg_of(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -20,6 +20,11 @@ def get_spark(cores: int | str = "*", app: str = "basketry", shuffle_partitions:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Broadcast only on measured size: static file-size guesses are off for joined or
+        # compressed inputs, so the planner starts from sort-merge joins and AQE switches a side
+        # to broadcast once its shuffle stage reports fewer bytes than the adaptive threshold.
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "64MB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -49,3 +54,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable, eager checkpoint into ``spark.checkpoint.dir``.
+
+    For tables that many later steps reuse (the per-customer table, DBSCAN's weighted points):
+    it cuts the lineage, so a lost executor recomputes from the checkpoint, not from raw lines.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
