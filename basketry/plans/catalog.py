@@ -694,3 +694,40 @@ def q_profile_summary(spark, sf):
                                     "CAST(NULL AS VARCHAR) AS geography_col FROM orders")
 def q_profile_summary_orders(spark, sf):
     return PR.profile_summary(table(spark, sf, "orders")).withColumn("columns", F.col("columns").cast("int"))
+
+
+# --- A28 all metrics of one table --------------------------------------------------------------
+
+@register("get_metrics_summary", S.with_events(
+    """SELECT (SELECT count(*) FROM (SELECT InvoiceNo FROM sales GROUP BY InvoiceNo HAVING sum(TotalPrice) < 1000) b) AS basket_rows,
+       (SELECT count(DISTINCT CustomerID) FROM sales) AS purchase_freq_rows,
+       (SELECT count(DISTINCT Month) FROM sales) AS monthly_rows,
+       (SELECT least(10, count(DISTINCT Country)) FROM sales) AS top_country_rows,
+       (SELECT least(10, count(DISTINCT Description)) FROM sales) AS top_product_rows,
+       (SELECT least(10, count(DISTINCT CustomerID)) FROM sales) AS top_customer_rows,
+       (SELECT 7 * count(DISTINCT Hour) FROM sales) AS heatmap_rows"""))
+def q_get_metrics_summary(spark, sf):
+    """Row counts of every table of A28 over one checkpointed input, in one row."""
+    from basketry.plans.dashboard import get_metrics
+
+    m = get_metrics(events(spark, sf), 1000.0, persist=True)
+    counts = {
+        "basket_rows": m["basket_data"], "purchase_freq_rows": m["purchase_freq"], "monthly_rows": m["monthly_revenue"],
+        "top_country_rows": m["top_countries"], "top_product_rows": m["top_products"],
+        "top_customer_rows": m["top_customers"], "heatmap_rows": m["heatmap"],
+    }
+    first, *rest = [df.agg(F.count(F.lit(1)).alias(name)) for name, df in counts.items()]
+    row = first
+    for other in rest:
+        row = row.withColumn(other.columns[0], other.scalar())
+    return row
+
+
+@register("dashboard_top_products", S.with_sales_rfm(
+    f", {_SPEC_SQL}\n" + TOP_PRODUCTS_SQL.replace("FROM sales WHERE", "FROM filtered WHERE")))
+def q_dashboard_top_products(spark, sf):
+    from basketry.plans.dashboard import dashboard
+
+    df = sales(spark, sf)
+    out = dashboard(df, R.rule_segments(R.rfm(df)), _SPEC, LINES_CAP)
+    return out["top_products"].select("ProductName", r2("UnitsSold"), "Rank")

@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The analysed application is batch only — it loads one sales file, computes its tables and
+recomputes them on each filter change. It has no stream source, watermark, window or state, so
+there is nothing to re-express with Structured Streaming here (see README, "Not built").
+"""
