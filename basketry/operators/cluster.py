@@ -212,15 +212,19 @@ def name_column(names: dict[int, str], label: str = "Cluster"):
     return F.try_element_at(lit_map, F.col(label))
 
 
-def cluster_summary(labelled: DataFrame, names: dict[int, str], label: str = "Cluster") -> DataFrame:
-    """Name, size, share of customers (1 dp) and mean R/F/M (2 dp) per cluster."""
+def cluster_summary(labelled: DataFrame, names: dict[int, str] | None = None, label: str = "Cluster") -> DataFrame:
+    """Name, size, share of customers (1 dp) and mean R/F/M (2 dp) per cluster.
+
+    Without ``names`` the label itself is the name (e.g. rule segments used as clusters).
+    """
     from pyspark.sql import Window
 
     g = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("Customers"),
                                     *[F.bround(F.avg(c), 2).alias(c) for c in RFM_COLS])
     share = F.round(F.col("Customers") * 100.0 / F.sum("Customers").over(Window.partitionBy()), 1)
-    return g.select(label, F.coalesce(name_column(names, label), F.concat(F.lit("Cluster "), F.col(label))).alias("Name"),
-                    "Customers", share.alias("Share"), *RFM_COLS).orderBy(label)
+    fallback = F.concat(F.lit("Cluster "), F.col(label)) if names is not None else F.col(label).cast("string")
+    name = F.coalesce(name_column(names, label), fallback) if names else fallback
+    return g.select(label, name.alias("Name"), "Customers", share.alias("Share"), *RFM_COLS).orderBy(label)
 
 
 def score_customers(df: DataFrame, stats: DataFrame, fit: KMeansFit, names: dict[int, str]) -> DataFrame:

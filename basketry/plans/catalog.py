@@ -646,18 +646,22 @@ def q_holdout(spark, sf):
     return CL.holdout(z, K, N_INIT)
 
 
-# --- C8 density clustering (rows-only here; checked against brute force in tests) -------------
+# --- C8 density clustering (SQL brute force as the oracle; numpy brute force in tests) ----------
 
 from basketry.operators import dbscan as DB  # noqa: E402
 
 
-@register("dbscan")
+def _recursive(sql: str) -> str:
+    return "WITH RECURSIVE " + sql.removeprefix("WITH ")
+
+
+@register("dbscan", _recursive(S.with_sales_rfm(S.dbscan_summary_sql())))
 def q_dbscan(spark, sf):
     z = CL.standardize(rfm_of(spark, sf))
     return DB.dbscan_summary(DB.dbscan(z, CL.Z_COLS, "CustomerID", eps=0.5, min_pts=5))
 
 
-@register("dbscan_events")
+@register("dbscan_events", _recursive(S.with_events_rfm(S.dbscan_summary_sql())))
 def q_dbscan_events(spark, sf):
     z = CL.standardize(R.rfm(events(spark, sf)))
     return DB.dbscan_summary(DB.dbscan(z, CL.Z_COLS, "CustomerID", eps=0.5, min_pts=5))
@@ -731,3 +735,20 @@ def q_dashboard_top_products(spark, sf):
     df = sales(spark, sf)
     out = dashboard(df, R.rule_segments(R.rfm(df)), _SPEC, LINES_CAP)
     return out["top_products"].select("ProductName", r2("UnitsSold"), "Rank")
+
+
+# --- A18 / A19 on rule segments used as cluster labels (oracle-checkable) ----------------------
+
+@register("cluster_means_rule", S.with_sales_rfm(
+    "SELECT Segment, round_even(avg(Recency), 1) AS Recency, round_even(avg(Frequency), 1) AS Frequency, "
+    "round_even(avg(Monetary), 1) AS Monetary FROM seg GROUP BY Segment"))
+def q_cluster_means_rule(spark, sf):
+    return CL.cluster_means(seg_of(spark, sf), "Segment")
+
+
+@register("cluster_summary_rule", S.with_sales_rfm(
+    "SELECT Segment, Segment AS Name, count(*) AS Customers, round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS Share, "
+    "round_even(avg(Recency), 2) AS Recency, round_even(avg(Frequency), 2) AS Frequency, "
+    "round_even(avg(Monetary), 2) AS Monetary FROM seg GROUP BY Segment"))
+def q_cluster_summary_rule(spark, sf):
+    return CL.cluster_summary(seg_of(spark, sf), None, "Segment")

@@ -146,3 +146,24 @@ r AS (SELECT a.cl, max(CASE WHEN sqrt(power(a.c0 - b.c0, 2) + power(a.c1 - b.c1,
                             ELSE (a.s + b.s) / sqrt(power(a.c0 - b.c0, 2) + power(a.c1 - b.c1, 2) + power(a.c2 - b.c2, 2)) END) AS m
       FROM cs a JOIN cs b ON a.cl <> b.cl GROUP BY a.cl)
 SELECT round(avg(m), 6) AS davies_bouldin FROM r"""
+
+
+def dbscan_summary_sql(eps: float = 0.5, min_pts: int = 5) -> str:
+    """DBSCAN by brute force in SQL: all pairs, degree, core points, components by a recursive
+    CTE, border points to the lowest reachable component. For oracle use on small tables only."""
+    return f""", {Z},
+pts AS (SELECT CustomerID AS id, zRecency AS x0, zFrequency AS x1, zMonetary AS x2 FROM z),
+nb AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b
+       ON power(a.x0 - b.x0, 2) + power(a.x1 - b.x1, 2) + power(a.x2 - b.x2, 2) <= {eps * eps}),
+core AS (SELECT a AS id FROM nb GROUP BY a HAVING count(*) >= {min_pts}),
+cedge AS (SELECT nb.a, nb.b FROM nb JOIN core c1 ON nb.a = c1.id JOIN core c2 ON nb.b = c2.id),
+cc(id, lab) AS (SELECT id, id FROM core UNION SELECT e.b, cc.lab FROM cc JOIN cedge e ON cc.id = e.a),
+comp AS (SELECT id, min(lab) AS lab FROM cc GROUP BY id),
+border AS (SELECT nb.a AS id, min(comp.lab) AS lab FROM nb JOIN comp ON nb.b = comp.id
+           WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY nb.a),
+labels AS (SELECT p.id, coalesce(comp.lab, border.lab, -1) AS lab, comp.id IS NOT NULL AS is_core
+           FROM pts p LEFT JOIN comp ON p.id = comp.id LEFT JOIN border ON p.id = border.id)
+SELECT count(DISTINCT CASE WHEN lab <> -1 THEN lab END) AS clusters,
+       round(avg(CASE WHEN lab = -1 THEN 1.0 ELSE 0.0 END) * 100, 1) AS noise_pct,
+       CAST(sum(CAST(is_core AS BIGINT)) AS BIGINT) AS core_points, count(*) AS points
+FROM labels"""
