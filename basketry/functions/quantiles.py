@@ -79,12 +79,12 @@ def exact_quantiles(
     below_lo = F.col("lo").isNotNull() & (F.col("v") < F.col("lo"))
     above_hi = F.col("hi").isNotNull() & (F.col("v") > F.col("hi"))
     below = marked.where(below_lo).groupBy("name").agg(F.count(F.lit(1)).alias("below"))
-    inside = marked.where(~below_lo & ~above_hi).groupBy("name", "v").agg(F.count(F.lit(1)).alias("c"))
+    # n and p depend on the spec name only: carried as grouping keys, so the sketch runs once
+    inside = marked.where(~below_lo & ~above_hi).groupBy("name", "n", "p", "v").agg(F.count(F.lit(1)).alias("c"))
 
     w = Window.partitionBy("name").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
         inside.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
-        .join(brackets.select("name", "n", "p"), "name")
         .join(below, "name", "left")
         .withColumn("start", F.coalesce(F.col("below"), F.lit(0)) + F.col("before"))
         .withColumn("h", F.col("p") * (F.col("n") - 1))

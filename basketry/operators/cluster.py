@@ -26,6 +26,7 @@ Z_COLS = tuple(f"z{c}" for c in RFM_COLS)
 # generalisation-gap threshold of its hold-out verdict.
 NAME_VIP, NAME_LOST, NAME_LOYAL, NAME_REGULAR = "VIP", "Lost", "Loyal", "Regular"
 GAP_THRESHOLD = 0.05
+ROWS_PER_PARTITION = 50_000
 
 
 # --- C1 standardisation ------------------------------------------------------------------------
@@ -63,8 +64,12 @@ def with_features(df: DataFrame, cols: Sequence[str] = Z_COLS, out: str = "featu
     vec = VectorAssembler(inputCols=in_cols, outputCol=out).transform(src)
     if shift:
         vec = vec.drop(*in_cols)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return vec.repartition(n, id_col).sortWithinPartitions(id_col)
+    if partitions is None:
+        # ~ROWS_PER_PARTITION rows per task, never more tasks than the shuffle setting: every
+        # Lloyd iteration is one job over these partitions, so tiny tables should not be split
+        cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(1, min(cap, -(-df.count() // ROWS_PER_PARTITION)))
+    return vec.repartition(partitions, id_col).sortWithinPartitions(id_col)
 
 
 # --- C2 k-means with restarts ------------------------------------------------------------------
@@ -96,7 +101,7 @@ def fit_kmeans(feats: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, m
                        initMode="k-means||").fit(feats)
         return i, model, float(model.summary.trainingCost)
 
-    workers = max(1, min(n_init, parallelism or 4))
+    workers = max(1, min(n_init, parallelism or 16))
     with ThreadPoolExecutor(max_workers=workers) as pool:
         results = sorted(pool.map(one, range(n_init)), key=lambda r: r[0])
     i, model, cost = min(results, key=lambda r: (r[2], r[0]))

@@ -10,7 +10,8 @@ Exact, and built so that no dense region turns into all-pairs work:
    go one level down; point pairs appear only for such boundary boxes;
 4. core points of one cell are one node; cells are linked when two of their core points are
    within ``eps``; connected components come from min-label propagation on that cell graph,
-   with a reliable ``checkpoint()`` per round to cut lineage;
+   with a reliable ``checkpoint()`` per round to cut lineage (the weighted points and core flags
+   are written once as tables in the same shared folder);
 5. a border point joins the lowest-labelled cluster with a core point within ``eps`` (scikit-learn
    picks by visiting order, so only border labels can differ; cluster count and noise do not).
 
@@ -26,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.session import ensure_checkpoint_dir
+from basketry.session import ensure_checkpoint_dir, materialize
 
 _BITS = 21  # per-dimension cell coordinate bits in a packed cell id (3 × 21 = 63)
 
@@ -99,11 +100,10 @@ def dbscan(points: DataFrame, cols: Sequence[str], id_col: str, eps: float = 0.5
     raw = points.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(x) for c, x in zip(cols, X)]).na.drop(
         subset=X)
     # 1. weighted distinct points
-    pts = (
+    pts = materialize(
         raw.groupBy(*X).agg(F.min("id").alias("pid"), F.count(F.lit(1)).alias("w"))
         .select("pid", "w", *X, *[F.floor(F.col(x) / side).alias(c) for x, c in zip(X, C)],
                 *[F.floor(F.col(x) / sub).alias(q) for x, q in zip(X, Q)])
-        .checkpoint()
     )
     members = raw.join(pts.select("pid", *X), X).select("id", "pid")
 
@@ -141,10 +141,9 @@ def dbscan(points: DataFrame, cols: Sequence[str], id_col: str, eps: float = 0.5
         .unionByName(full_cells).unionByName(full_subs).unionByName(pair_w)
         .groupBy("pid").agg(F.sum("wt").alias("degree"))
     )
-    core_flag = (
+    core_flag = materialize(
         pts_c.join(deg, "pid", "left")
         .select("pid", *X, *C, *Q, ((F.col("cw") >= min_pts) | (F.coalesce("degree", F.lit(0)) >= min_pts)).alias("core"))
-        .checkpoint()
     )
     core = core_flag.where("core")
 

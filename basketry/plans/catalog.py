@@ -317,6 +317,20 @@ def seg_of(spark, sf):
     return R.rule_segments(rfm_of(spark, sf))
 
 
+def segments_from(lines):
+    """Rule segments of a (materialised) line table; the customer table is materialised too."""
+    from basketry.session import materialize
+
+    return R.rule_segments(materialize(R.rfm(lines)))
+
+
+def sales_once(spark, sf):
+    """Cleaned sales lines written once, for queries that read them for lines and customers."""
+    from basketry.session import materialize
+
+    return materialize(sales(spark, sf))
+
+
 @register("rfm", S.with_sales_rfm("SELECT CustomerID, Recency, Frequency, round(Monetary, 2) AS Monetary FROM rfm"))
 def q_rfm(spark, sf):
     return rfm_of(spark, sf).select("CustomerID", "Recency", "Frequency", r2("Monetary"))
@@ -438,8 +452,8 @@ def q_filter_dates_events(spark, sf):
 @register("filter_segment", S.with_sales_rfm(
     f"SELECT {_LINE_COLS} FROM sales WHERE CustomerID IN (SELECT CustomerID FROM seg WHERE Segment = 'Loyal')"))
 def q_filter_segment(spark, sf):
-    df = sales(spark, sf)
-    return _lines(FL.filter_segment(df, R.rule_segments(R.rfm(df)), "Loyal", by="Segment"))
+    df = sales_once(spark, sf)
+    return _lines(FL.filter_segment(df, segments_from(df), "Loyal", by="Segment"))
 
 
 @register("filter_basket_a", S.with_sales(
@@ -479,8 +493,8 @@ filtered AS (
 
 
 def _filtered(spark, sf):
-    df = sales(spark, sf)
-    return FL.apply_filters(df, R.rule_segments(R.rfm(df)), _SPEC)
+    df = sales_once(spark, sf)
+    return FL.apply_filters(df, segments_from(df), _SPEC)
 
 
 @register("apply_filters", S.with_sales_rfm(f", {_SPEC_SQL}\nSELECT {_LINE_COLS} FROM filtered"))
@@ -499,8 +513,8 @@ def q_dashboard_kpis(spark, sf):
     "row_number() OVER (ORDER BY count(*) ASC, Segment ASC) = 1 AS Smallest "
     "FROM seg WHERE CustomerID IN (SELECT CustomerID FROM filtered) GROUP BY Segment"))
 def q_dashboard_segments(spark, sf):
-    df = sales(spark, sf)
-    seg = R.rule_segments(R.rfm(df))
+    df = sales_once(spark, sf)
+    seg = segments_from(df)
     return R.segment_counts(FL.customers_in(seg, FL.apply_filters(df, seg, _SPEC)), "Segment")
 
 
@@ -508,7 +522,7 @@ def q_dashboard_segments(spark, sf):
     "SELECT CustomerID, Recency, Frequency, round(Monetary, 2) AS Monetary FROM rfm "
     "WHERE CustomerID IN (SELECT CustomerID FROM sales WHERE Country IN ('NATION_1', 'NATION_7', 'NATION_13'))"))
 def q_customers_in_filter(spark, sf):
-    df = sales(spark, sf)
+    df = sales_once(spark, sf)
     return FL.customers_in(R.rfm(df), FL.filter_country(df, _SOME_NATIONS)).select(
         "CustomerID", "Recency", "Frequency", r2("Monetary"))
 
@@ -597,8 +611,10 @@ def q_km_segment_counts(spark, sf):
 
 @register("filter_segment_km")
 def q_filter_segment_km(spark, sf):
-    df = sales(spark, sf)
-    m = _model(spark, sf)
+    from basketry.plans.segmentation import build_segment_model
+
+    df = sales_once(spark, sf)
+    m = build_segment_model(df, k=K, n_init=N_INIT)
     return _lines(FL.filter_segment(df, m.customers, "VIP"))
 
 
@@ -732,8 +748,8 @@ def q_get_metrics_summary(spark, sf):
 def q_dashboard_top_products(spark, sf):
     from basketry.plans.dashboard import dashboard
 
-    df = sales(spark, sf)
-    out = dashboard(df, R.rule_segments(R.rfm(df)), _SPEC, LINES_CAP)
+    df = sales_once(spark, sf)
+    out = dashboard(df, segments_from(df), _SPEC, LINES_CAP)
     return out["top_products"].select("ProductName", r2("UnitsSold"), "Rank")
 
 

@@ -1,8 +1,8 @@
 """Customer segmentation model: RFM → standardise → k-means → names → rule segments.
 
-The per-customer table is materialised once with ``checkpoint()`` (reliable, in the folder named
-by ``spark.checkpoint.dir``): it feeds the restarts, the naming, the summaries and every filter
-by segment, and a lost executor then recomputes from the checkpoint, not from the raw lines.
+The per-customer table is materialised once (a parquet table in the folder named by
+``spark.checkpoint.dir``): it feeds the restarts, the naming, the summaries and every filter by
+segment, and a lost executor then re-reads it instead of recomputing from the raw lines.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators import cluster as CL
 from basketry.operators import rfm as R
-from basketry.session import ensure_checkpoint_dir
+from basketry.session import ensure_checkpoint_dir, materialize
 
 
 @dataclass
@@ -33,13 +33,13 @@ def build_segment_model(sales: DataFrame, k: int = 4, n_init: int = 10, seed: in
                         max_iter: int = 300) -> SegmentModel:
     spark = sales.sparkSession
     ensure_checkpoint_dir(spark)
-    base = R.rfm(sales).checkpoint()
-    stats = CL.scaler_stats(base).checkpoint()
+    base = materialize(R.rfm(sales))
+    stats = materialize(CL.scaler_stats(base))
     z = CL.standardize(base, stats=stats)
     feats = CL.with_features(z).cache()
     try:
         fit = CL.fit_kmeans(feats, k, n_init, seed, max_iter)
-        labelled = fit.predict(feats).drop("features").checkpoint()
+        labelled = materialize(fit.predict(feats).drop("features"))
     finally:
         feats.unpersist()
     names = CL.name_clusters(labelled)

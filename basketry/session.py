@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,10 +58,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable, eager checkpoint into ``spark.checkpoint.dir``.
+    """Write ``df`` once as a parquet table under ``spark.checkpoint.dir`` and read it back.
 
-    For tables that many later steps reuse (the per-customer table, DBSCAN's weighted points):
-    it cuts the lineage, so a lost executor recomputes from the checkpoint, not from raw lines.
+    For tables that many later steps reuse (cleaned lines, the per-customer table): it cuts the
+    lineage, so a lost executor re-reads the written table instead of recomputing from raw lines,
+    and the copy is columnar, compressed, prunable and carries real size statistics for the
+    planner's broadcast decisions. Faster to write and read than a serialised RDD checkpoint.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
