@@ -121,6 +121,17 @@ def fit_bisecting(feats_shifted: DataFrame, k: int = 4, seed: int = 42, features
 
 # --- C3-C7 model selection -------------------------------------------------------------------
 
+EXACT_SILHOUETTE_MAX_POINTS = 200_000
+
+
+def silhouette_method(df: DataFrame, method: str = "auto", exact_max_points: int = EXACT_SILHOUETTE_MAX_POINTS) -> str:
+    """'euclidean' (exact, quadratic) or 'squared_euclidean' (linear). 'auto' picks the exact
+    measure up to ``exact_max_points`` rows and the linear one beyond; results name the method."""
+    if method != "auto":
+        return method
+    return "euclidean" if df.count() <= exact_max_points else "squared_euclidean"
+
+
 def evaluate_labels(labelled: DataFrame, label: str = "Cluster", cols: Sequence[str] = Z_COLS,
                     id_col: str = "CustomerID", method: str = "euclidean") -> tuple[float | None, float | None]:
     """(silhouette, Davies-Bouldin) of one labelling, as driver scalars."""
@@ -134,23 +145,31 @@ def evaluate_labels(labelled: DataFrame, label: str = "Cluster", cols: Sequence[
 
 
 def sweep(feats: DataFrame, ks: Sequence[int] = range(2, 11), n_init: int = 10, seed: int = 42,
-          max_iter: int = 300, method: str = "euclidean", id_col: str = "CustomerID") -> DataFrame:
+          max_iter: int = 300, method: str = "auto", id_col: str = "CustomerID",
+          parallelism: int = 3) -> DataFrame:
     """C3 + C4 + C5: one fit per k (not three), with inertia, silhouette and Davies-Bouldin.
 
-    Returns a DataFrame ``(k, inertia, silhouette, davies_bouldin)`` of len(ks) rows.
+    Returns ``(k, inertia, silhouette, davies_bouldin, silhouette_method)``, len(ks) rows.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     feats = feats.cache()
-    rows = []
+    method = silhouette_method(feats, method)
+
+    def one(k):
+        fit = fit_kmeans(feats, k, n_init, seed, max_iter)
+        sil, db = evaluate_labels(fit.predict(feats), "Cluster", id_col=id_col, method=method)
+        return int(k), fit.cost, sil, db, method
+
     try:
-        for k in ks:
-            fit = fit_kmeans(feats, k, n_init, seed, max_iter)
-            labelled = fit.predict(feats)
-            sil, db = evaluate_labels(labelled, "Cluster", id_col=id_col, method=method)
-            rows.append((int(k), fit.cost, sil, db))
+        # each k is independent: its fits and scores run as concurrent Spark jobs
+        with ThreadPoolExecutor(max_workers=max(1, min(len(ks), parallelism))) as pool:
+            rows = list(pool.map(one, ks))
     finally:
         feats.unpersist()
     spark = feats.sparkSession
-    return spark.createDataFrame(rows, "k int, inertia double, silhouette double, davies_bouldin double")
+    return spark.createDataFrame(
+        rows, "k int, inertia double, silhouette double, davies_bouldin double, silhouette_method string")
 
 
 def _best_aggs():
@@ -267,7 +286,7 @@ def split(df: DataFrame, test_pct: int = 20, id_col: str = "CustomerID") -> tupl
 
 
 def holdout(z: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, max_iter: int = 300,
-            test_pct: int = 20, id_col: str = "CustomerID", method: str = "euclidean") -> DataFrame:
+            test_pct: int = 20, id_col: str = "CustomerID", method: str = "auto") -> DataFrame:
     """Fit on train, predict train and test, score both, and give a verdict.
 
     ``z`` carries the standardised columns (by default scaled on all rows before the split, as
@@ -276,6 +295,7 @@ def holdout(z: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, max_iter
     train, test = split(z, test_pct, id_col)
     train_f = with_features(train, id_col=id_col).cache()
     test_f = with_features(test, id_col=id_col)
+    method = silhouette_method(train_f, method)
     try:
         fit = fit_kmeans(train_f, k, n_init, seed, max_iter)
         tr_sil, _ = evaluate_labels(fit.predict(train_f), id_col=id_col, method=method)
@@ -290,4 +310,5 @@ def holdout(z: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, max_iter
                      r3("test_davies_bouldin").alias("test_davies_bouldin"))
     gap = F.bround(F.abs(F.col("train_silhouette") - F.col("test_silhouette")), 3)
     return out.withColumn("gap", gap).withColumn(
-        "verdict", F.when(F.col("gap") < GAP_THRESHOLD, "Good").otherwise("Check"))
+        "verdict", F.when(F.col("gap") < GAP_THRESHOLD, "Good").otherwise("Check")).withColumn(
+        "silhouette_method", F.lit(method))

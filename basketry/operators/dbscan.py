@@ -83,6 +83,31 @@ def _rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(c).alias(mapping.get(c, c)) for c in df.columns])
 
 
+def connected_components(edges: DataFrame, labels: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """Smallest node id per connected component, by min-label propagation with pointer jumping.
+
+    ``edges`` (a, b) holds both directions; ``labels`` (node, label) starts with label = node.
+    Each round takes the smallest label among a node's neighbours, then jumps to the label of
+    that label (both are nodes of the same component), which shortens long chains geometrically.
+    Every round is a reliable checkpoint, so the lineage stays one round long.
+    """
+    for _ in range(max_rounds):
+        best = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("nl"))
+        step = labels.join(best.withColumnRenamed("a", "node"), "node", "left").select(
+            "node", F.col("label").alias("old"), F.least("label", F.coalesce("nl", "label")).alias("l1"))
+        hop = step.select(F.col("node").alias("l1"), F.col("l1").alias("l2"))
+        new = (
+            step.join(hop, "l1", "left")
+            .select("node", "old", F.least("l1", F.coalesce("l2", "l1")).alias("label"))
+            .checkpoint()
+        )
+        changed = new.where(F.col("label") != F.col("old")).limit(1).count()
+        labels = new.select("node", "label")
+        if not changed:
+            return labels
+    raise RuntimeError(f"labels still changing after {max_rounds} rounds")
+
+
 def dbscan(points: DataFrame, cols: Sequence[str], id_col: str, eps: float = 0.5, min_pts: int = 5,
            max_rounds: int = 10_000) -> DataFrame:
     """Per input row: ``id``, ``label`` (-1 = noise) and ``is_core``."""
@@ -185,20 +210,7 @@ def dbscan(points: DataFrame, cols: Sequence[str], id_col: str, eps: float = 0.5
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     labels = ccells.select(_pack([F.col(c) for c in C]).alias("node")).withColumn("label", F.col("node")).checkpoint()
 
-    # min-label propagation until nothing changes
-    for _ in range(max_rounds):
-        best = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("nl"))
-        new = (
-            labels.join(best.withColumnRenamed("a", "node"), "node", "left")
-            .select("node", F.least("label", F.coalesce("nl", "label")).alias("label"), F.col("label").alias("old"))
-            .checkpoint()
-        )
-        changed = new.where(F.col("label") != F.col("old")).limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"dbscan: labels still changing after {max_rounds} rounds")
+    labels = connected_components(both, labels, max_rounds)
 
     # 5. labels for core points, then border points
     core_lab = core.select("pid", _pack([F.col(c) for c in C]).alias("node")).join(labels, "node").select("pid", "label")
