@@ -125,8 +125,13 @@ def apply_filters(df: DataFrame, rfm: DataFrame | None, spec: FilterSpec) -> Dat
 
 
 def customers_in(rfm: DataFrame, lines: DataFrame) -> DataFrame:
-    """J3 + X2: customer rows for the customers that remain in ``lines`` (left semi join)."""
-    return rfm.join(lines.where(F.col("CustomerID").isNotNull()).select("CustomerID"), "CustomerID", "left_semi")
+    """J3 + X2: customer rows for the customers that remain in ``lines`` (left semi join).
+
+    The probe side is the distinct customers of ``lines`` (partially aggregated map-side), so a
+    customer owning a large share of the lines is one row on the join's buffered side.
+    """
+    remaining = lines.where(F.col("CustomerID").isNotNull()).select("CustomerID").distinct()
+    return rfm.join(remaining, "CustomerID", "left_semi")
 
 
 def customer_profile(rfm: DataFrame, customer_id) -> DataFrame:
