@@ -44,7 +44,9 @@ def _as_timestamp(df: DataFrame, col: str):
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return c.cast("timestamp_ntz")
     if isinstance(dtype, T.NumericType):
-        return F.timestamp_micros(F.floor(c.cast("double") / 1000).cast("long")).cast("timestamp_ntz")
+        # wall-clock arithmetic on timestamp_ntz: independent of the session time zone
+        micros = F.floor(c.cast("double") / 1000).cast("long")
+        return F.timestamp_add("MICROSECOND", micros, F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")))
     return F.try_to_timestamp(c.cast("string")).cast("timestamp_ntz")
 
 

@@ -66,3 +66,10 @@ def test_parse_ts_coerces(spark):
     df = spark.createDataFrame([("2024-03-01 12:00:00",), ("garbage",)], "InvoiceDate string")
     got = [r.InvoiceDate for r in C.parse_ts(df).collect()]
     assert got[0] is not None and got[1] is None
+
+
+def test_numeric_date_column_counts_nanoseconds(spark):
+    # 1.7e18 ns since the epoch = 2023-11-14 22:13:20 UTC
+    df = spark.createDataFrame([(1_700_000_000_000_000_000, 5.0)], "event_time long, amount double")
+    got = PR.profile_trend(df).collect()
+    assert [(r.upload_month, r.amount) for r in got] == [("2023-11", 5.0)]
