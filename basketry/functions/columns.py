@@ -38,6 +38,17 @@ HEALTH_LABELS = ("Healthy", "Average", "At Risk")
 # ---------------------------------------------------------------------------
 
 
+# Text timestamp layouts accepted by parse_timestamp, tried in this order after
+# Spark's ISO-8601 default (month before day, as pandas assumes without dayfirst).
+TIMESTAMP_FORMATS = ["M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy", "yyyy/M/d H:mm:ss", "yyyy/M/d"]
+
+
+def parse_timestamp(text: Column) -> Column:
+    """Coercing timestamp parse (P1, E10): ISO first, then the fixed layouts; otherwise null."""
+    tries = [F.try_to_timestamp(text)] + [F.try_to_timestamp(text, F.lit(f)) for f in TIMESTAMP_FORMATS]
+    return F.coalesce(*tries).cast("timestamp_ntz")
+
+
 def weekday_index(day_name: Column) -> Column:
     """0 = Monday .. 6 = Sunday for an English weekday name; anything else is null (P10)."""
     expr = F.when(F.lit(False), F.lit(None).cast("int"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketry.functions.columns import weekday_index
+from basketry.functions.columns import parse_timestamp, weekday_index
 
 
 def parse_ts(df: DataFrame, col: str = "InvoiceDate") -> DataFrame:
@@ -24,7 +24,7 @@ def parse_ts(df: DataFrame, col: str = "InvoiceDate") -> DataFrame:
         return df
     if isinstance(dtype, (T.TimestampType, T.DateType)):
         return df.withColumn(col, F.col(col).cast("timestamp_ntz"))
-    return df.withColumn(col, F.try_to_timestamp(F.col(col).cast("string")).cast("timestamp_ntz"))
+    return df.withColumn(col, parse_timestamp(F.col(col).cast("string")))
 
 
 def drop_missing_customer(df: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketry.functions.columns import parse_timestamp
+
 # Role keywords, matched as substrings of the lower-case column name, in this order.
 ROLE_KEYWORDS = {
     "date": ["date", "invoice", "time"],
@@ -47,7 +49,7 @@ def _as_timestamp(df: DataFrame, col: str):
         # wall-clock arithmetic on timestamp_ntz: independent of the session time zone
         micros = F.floor(c.cast("double") / 1000).cast("long")
         return F.timestamp_add("MICROSECOND", micros, F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")))
-    return F.try_to_timestamp(c.cast("string")).cast("timestamp_ntz")
+    return parse_timestamp(c.cast("string"))
 
 
 def _value(df: DataFrame, col: str):

@@ -73,3 +73,11 @@ def test_numeric_date_column_counts_nanoseconds(spark):
     df = spark.createDataFrame([(1_700_000_000_000_000_000, 5.0)], "event_time long, amount double")
     got = PR.profile_trend(df).collect()
     assert [(r.upload_month, r.amount) for r in got] == [("2023-11", 5.0)]
+
+
+def test_us_style_invoice_dates(spark):
+    df = spark.createDataFrame([("12/1/2010 8:26",), ("2010-12-01 08:26:00",), ("1/13/2011",), ("bad",)],
+                               "InvoiceDate string")
+    got = [r.InvoiceDate for r in C.parse_ts(df).collect()]
+    assert [str(g) for g in got[:3]] == ["2010-12-01 08:26:00", "2010-12-01 08:26:00", "2011-01-13 00:00:00"]
+    assert got[3] is None
