@@ -333,7 +333,8 @@ def sales_once(spark, sf):
 
 @register("rfm", S.with_sales_rfm("SELECT CustomerID, Recency, Frequency, round(Monetary, 2) AS Monetary FROM rfm"))
 def q_rfm(spark, sf):
-    return rfm_of(spark, sf).select("CustomerID", "Recency", "Frequency", r2("Monetary"))
+    # read once here, so no materialised copy
+    return R.rfm(sales(spark, sf)).select("CustomerID", "Recency", "Frequency", r2("Monetary"))
 
 
 @register("rfm_events", S.with_events_rfm("SELECT CustomerID, Recency, Frequency, round(Monetary, 2) AS Monetary FROM rfm"))
@@ -571,7 +572,7 @@ def q_davies_bouldin_rule(spark, sf):
 @register("holdout_split", S.with_sales_rfm(
     "SELECT CustomerID, ('0x' || substr(md5(CAST(CustomerID AS VARCHAR)), 1, 8))::UBIGINT % 100 < 20 AS is_test FROM rfm"))
 def q_holdout_split(spark, sf):
-    return rfm_of(spark, sf).select("CustomerID", (CL.hash_bucket() < 20).alias("is_test"))
+    return R.rfm(sales(spark, sf)).select("CustomerID", (CL.hash_bucket() < 20).alias("is_test"))
 
 
 _FITTED: dict = {}

@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+_SCHEMAS: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """``{sf_dir}/{name}.parquet`` as a DataFrame; projections and filters push into the scan."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """``{sf_dir}/{name}.parquet`` as a DataFrame; projections and filters push into the scan.
+
+    The schema is read from the footer once per path and then passed explicitly, so later reads
+    skip the footer-reading job that schema inference launches on every ``read.parquet``.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    known = _SCHEMAS.get(path)
+    if known is not None:
+        return spark.read.schema(T.StructType.fromJson(json.loads(known))).parquet(path)
+    df = spark.read.parquet(path)
+    _SCHEMAS[path] = df.schema.json()
+    return df
