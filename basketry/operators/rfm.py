@@ -34,9 +34,11 @@ def rfm(df: DataFrame) -> DataFrame:
         F.count("InvoiceNo").alias("Frequency"),
         F.coalesce(F.sum("value"), F.lit(0.0)).alias("Monetary"),
     )
-    return per_customer.select(
+    # bind the scalar subquery to one column: every reference to the Column object itself would
+    # add another copy of the subquery to the plan
+    return per_customer.withColumn("_snapshot", snapshot).select(
         F.col("CustomerID").cast("bigint").alias("CustomerID"),
-        elapsed_days(F.col("last"), snapshot).alias("Recency"),
+        elapsed_days(F.col("last"), F.col("_snapshot")).alias("Recency"),
         F.col("Frequency").cast("bigint").alias("Frequency"),
         F.col("Monetary").cast("double").alias("Monetary"),
     )
@@ -82,11 +84,13 @@ def describe_rfm(rfm_df: DataFrame, cols=("CustomerID", "Recency", "Frequency",
     stats = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
     one = moments.select(F.struct(*moments.columns).alias("m")).scalar()
     qs = quarts.select(F.struct(*[f"`{c}`" for c in quarts.columns]).alias("q")).scalar()
+    # each scalar subquery is bound to one column, then read field by field
+    base = rfm_df.sparkSession.range(1).select(one.alias("_m"), qs.alias("_q"))
     rows = []
     for s in stats:
-        src = qs if "%" in s else one
+        src = F.col("_q") if "%" in s else F.col("_m")
         rows.append(F.struct(F.lit(s).alias("stat"), *[src.getField(f"{s}__{c}").alias(c) for c in cols]))
-    return rfm_df.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    return base.select(F.inline(F.array(*rows)))
 
 
 def segment_counts(seg_df: DataFrame, by: str = "Segment") -> DataFrame:
