@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from basketry.functions.columns import advice, elapsed_days, health_label, health_score
 from basketry.functions.quantiles import exact_quantiles
 from basketry.operators.metrics import share_of_total
+from basketry.session import materialize
 
 # Rule-segment names and thresholds of the analysed application.
 SEGMENT_LOW, SEGMENT_HIGH, SEGMENT_LOYAL, SEGMENT_RECENT = "Low Value", "High Value", "Loyal", "Recent"
@@ -15,28 +16,33 @@ RULE_QUANTILE = 0.75
 RECENT_DAYS = 30
 
 
-def rfm(df: DataFrame) -> DataFrame:
+def rfm(df: DataFrame, materialized: bool = True) -> DataFrame:
     """M1: one row per customer.
 
-    Snapshot = latest order time + 1 day (a scalar subquery, no join). Recency = whole days
-    from the customer's last order to the snapshot, Frequency = distinct invoices, Monetary =
-    sum of TotalPrice. Aggregated in two levels, (customer, invoice) then customer, so neither
-    a hot customer nor a hot invoice puts its raw lines on a single task.
+    Recency = whole days from the customer's last order to the snapshot (latest order time + 1
+    day), Frequency = distinct invoices, Monetary = sum of TotalPrice. Aggregated in two levels,
+    (customer, invoice) then customer, so neither a hot customer nor a hot invoice puts its raw
+    lines on a single task.
+
+    With ``materialized`` (default) the per-customer aggregate is written once as a table in the
+    checkpoint folder: the snapshot scalar subquery then scans that small table instead of making
+    a second pass over the lines, and every later consumer (quantiles, scaling, fits) reads it.
+    The group of lines without a customer is kept until after the snapshot, so the snapshot is
+    the latest time over all lines.
     """
-    snapshot = df.agg((F.max("InvoiceDate") + F.expr("INTERVAL 1 DAY")).alias("snapshot")).scalar()
-    per_order = (
-        df.where(F.col("CustomerID").isNotNull())
-        .groupBy("CustomerID", "InvoiceNo")
-        .agg(F.max("InvoiceDate").alias("last"), F.sum("TotalPrice").alias("value"))
-    )
+    per_order = df.groupBy("CustomerID", "InvoiceNo").agg(
+        F.max("InvoiceDate").alias("last"), F.sum("TotalPrice").alias("value"))
     per_customer = per_order.groupBy("CustomerID").agg(
         F.max("last").alias("last"),
         F.count("InvoiceNo").alias("Frequency"),
         F.coalesce(F.sum("value"), F.lit(0.0)).alias("Monetary"),
     )
+    if materialized:
+        per_customer = materialize(per_customer)
+    snapshot = per_customer.agg((F.max("last") + F.expr("INTERVAL 1 DAY")).alias("snapshot")).scalar()
     # bind the scalar subquery to one column: every reference to the Column object itself would
     # add another copy of the subquery to the plan
-    return per_customer.withColumn("_snapshot", snapshot).select(
+    return per_customer.where(F.col("CustomerID").isNotNull()).withColumn("_snapshot", snapshot).select(
         F.col("CustomerID").cast("bigint").alias("CustomerID"),
         elapsed_days(F.col("last"), F.col("_snapshot")).alias("Recency"),
         F.col("Frequency").cast("bigint").alias("Frequency"),

@@ -307,10 +307,8 @@ def q_countries(spark, sf):
 # --- 2.10 customer analytics ----------------------------------------------------------------
 
 def rfm_of(spark, sf):
-    """Per-customer table, materialised once: quantiles, scaling and segments all reuse it."""
-    from basketry.session import materialize
-
-    return materialize(R.rfm(sales(spark, sf)))
+    """Per-customer table (written once inside ``rfm``): quantiles, scaling and segments reuse it."""
+    return R.rfm(sales(spark, sf))
 
 
 def seg_of(spark, sf):
@@ -318,10 +316,8 @@ def seg_of(spark, sf):
 
 
 def segments_from(lines):
-    """Rule segments of a (materialised) line table; the customer table is materialised too."""
-    from basketry.session import materialize
-
-    return R.rule_segments(materialize(R.rfm(lines)))
+    """Rule segments of a (materialised) line table; ``rfm`` writes the customer table once."""
+    return R.rule_segments(R.rfm(lines))
 
 
 def sales_once(spark, sf):
@@ -333,7 +329,6 @@ def sales_once(spark, sf):
 
 @register("rfm", S.with_sales_rfm("SELECT CustomerID, Recency, Frequency, round(Monetary, 2) AS Monetary FROM rfm"))
 def q_rfm(spark, sf):
-    # read once here, so no materialised copy
     return R.rfm(sales(spark, sf)).select("CustomerID", "Recency", "Frequency", r2("Monetary"))
 
 

@@ -33,7 +33,7 @@ def build_segment_model(sales: DataFrame, k: int = 4, n_init: int = 10, seed: in
                         max_iter: int = 300) -> SegmentModel:
     spark = sales.sparkSession
     ensure_checkpoint_dir(spark)
-    base = materialize(R.rfm(sales))
+    base = R.rfm(sales)  # written once inside rfm()
     stats = materialize(CL.scaler_stats(base))
     z = CL.standardize(base, stats=stats)
     feats = CL.with_features(z).cache()
