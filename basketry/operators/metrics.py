@@ -221,9 +221,9 @@ def histogram(df: DataFrame, col: str, nbins: int = 50) -> DataFrame:
         .withColumn("w", width)  # one subquery instance, referenced by column
         .select(F.floor(v / F.col("w")).alias("bin"), "w")
         .groupBy("bin", "w")
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(F.count(F.lit(1)).alias("Count"))
         .select((F.col("bin") * F.col("w")).alias("bin_start"), ((F.col("bin") + 1) * F.col("w")).alias("bin_end"),
-                "count")
+                "Count")
         .orderBy("bin_start")
     )
 

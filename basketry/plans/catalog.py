@@ -270,7 +270,7 @@ def q_basket_shape(spark, sf):
 
 
 def _hist_sql(values_sql: str, nbins: int = 50) -> str:
-    return f"""SELECT bin * w AS bin_start, (bin + 1) * w AS bin_end, count(*) AS "count" FROM (
+    return f"""SELECT bin * w AS bin_start, (bin + 1) * w AS bin_end, count(*) AS "Count" FROM (
   SELECT floor(x / w) AS bin, w FROM (
     SELECT x, (SELECT CASE WHEN r / power(10, floor(log10(r))) <= 1 THEN 1.0
                            WHEN r / power(10, floor(log10(r))) <= 2 THEN 2.0
