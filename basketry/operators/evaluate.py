@@ -72,23 +72,24 @@ def _tile_sums(cols: Sequence[str]):
     return run
 
 
-def silhouette_exact(points: DataFrame, cols: Sequence[str], label: str, id_col: str,
+def silhouette_exact(points: DataFrame, cols: Sequence[str], label: str, id_col: str | None = None,
                      block_size: int = 2048) -> DataFrame:
     """Exact mean silhouette with Euclidean distance; one-row DataFrame ``silhouette``.
 
-    Points are hashed into ``nb = ceil(n / block_size)`` blocks; every unordered block pair is a
-    tile processed by one ``applyInPandas`` group holding at most two blocks (ids are unique, so
-    hash blocks cannot be skewed). Each point is shipped to ``nb`` tiles and only per-cluster
+    Points get a row id and are hashed into ``nb = ceil(n / block_size)`` blocks; every unordered
+    block pair is a tile processed by one ``applyInPandas`` group holding at most two blocks (row
+    ids are unique, so hash blocks cannot be skewed; ``id_col`` is accepted but not needed). Each point is shipped to ``nb`` tiles and only per-cluster
     distance sums leave a tile — no pair is ever a row. Work is quadratic by definition of the
     measure; :func:`silhouette_linear` is the linear alternative for very large inputs.
     Singleton clusters score 0, and fewer than two clusters give null, as in scikit-learn.
     """
     pts = points.select(
-        F.col(id_col).cast("long").alias("_id"),
         F.col(label).cast("int").alias("_lab"),
         *[F.col(c).cast("double").alias(c) for c in cols],
     ).where(F.col("_lab").isNotNull())
-    pts = materialize(pts)  # read three times below (count, tiles, cluster count)
+    # a row id fixed by writing the points once (they are read three times below: count, tiles,
+    # cluster count), so duplicate or missing ids in the input cannot merge points
+    pts = materialize(pts.withColumn("_id", F.monotonically_increasing_id()))
     n = pts.count()
     nb = max(1, math.ceil(n / block_size))
     blk = F.pmod(F.xxhash64("_id"), F.lit(nb)).cast("int")

@@ -157,3 +157,10 @@ def test_dbscan_matches_brute_force(spark, eps, min_pts):
     assert len(pairs) == len(set(lab[core])) == len(set(out.label.to_numpy()[core]))
     s = DB.dbscan_summary(spark.createDataFrame(out)).first()
     assert s.clusters == k and s.points == len(x)
+
+
+def test_exact_silhouette_ignores_duplicate_ids(labelled):
+    x, lab, df = labelled
+    same_id = df.withColumn("id", F.lit(1))
+    got = EV.silhouette_exact(same_id, COLS, "label", "id", block_size=97).first()[0]
+    assert got == pytest.approx(_np_silhouette(x, lab), rel=1e-9)
