@@ -125,9 +125,12 @@ def dbscan(points: DataFrame, cols: Sequence[str], id_col: str, eps: float = 0.5
     raw = points.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(x) for c, x in zip(cols, X)]).na.drop(
         subset=X)
     # 1. weighted distinct points
+    # the point id is assigned before the single write, so it is fixed and unique even when the
+    # input ids are not
     pts = materialize(
-        raw.groupBy(*X).agg(F.min("id").alias("pid"), F.count(F.lit(1)).alias("w"))
-        .select("pid", "w", *X, *[F.floor(F.col(x) / side).alias(c) for x, c in zip(X, C)],
+        raw.groupBy(*X).agg(F.count(F.lit(1)).alias("w"))
+        .select(F.monotonically_increasing_id().alias("pid"), "w", *X,
+                *[F.floor(F.col(x) / side).alias(c) for x, c in zip(X, C)],
                 *[F.floor(F.col(x) / sub).alias(q) for x, q in zip(X, Q)])
     )
     members = raw.join(pts.select("pid", *X), X).select("id", "pid")
