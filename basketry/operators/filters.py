@@ -28,17 +28,23 @@ def _ts_literal(value):
     return F.to_timestamp_ntz(F.lit(str(value)))
 
 
-def filter_dates(df: DataFrame, start=None, end=None, ts: str = "InvoiceDate") -> DataFrame:
+def filter_dates(df: DataFrame, start=None, end=None, ts: str = "InvoiceDate", month_col: str | None = None) -> DataFrame:
     """inclusive date range, each bound optional.
 
     A bare end date means midnight, so later times on that day are excluded (as in the source).
     The bounds are literals, so the predicate reaches the parquet scan when ``ts`` is a column
-    of the table.
+    of the table. With ``month_col`` (a ``yyyy-MM`` column derived from ``ts``, as ``clean_sales``
+    derives Month) the implied month range is added too, so a table partitioned by month is
+    pruned to the folders in range; the result is unchanged.
     """
     if start:
         df = df.where(F.col(ts) >= _ts_literal(start))
+        if month_col:
+            df = df.where(F.col(month_col) >= F.date_format(_ts_literal(start), "yyyy-MM"))
     if end:
         df = df.where(F.col(ts) <= _ts_literal(end))
+        if month_col:
+            df = df.where(F.col(month_col) <= F.date_format(_ts_literal(end), "yyyy-MM"))
     return df
 
 
@@ -103,13 +109,14 @@ class FilterSpec:
     basket_edges: tuple = (50.0, 200.0)
     medium_upper_inclusive: bool = False
     basket_totals_from_unfiltered: bool = False
+    month_pruning: bool = False  # add the Month range implied by the dates (Month derived from InvoiceDate)
 
 
 def apply_filters(df: DataFrame, rfm: DataFrame | None, spec: FilterSpec) -> DataFrame:
     """country, dates, segment, basket — in that order (it matters for basket variant B)."""
     unfiltered = df
     out = filter_country(df, spec.countries)
-    out = filter_dates(out, spec.start, spec.end)
+    out = filter_dates(out, spec.start, spec.end, month_col="Month" if spec.month_pruning else None)
     if spec.segment:
         if rfm is None:
             raise ValueError("a segment filter needs the customer table")
