@@ -75,6 +75,17 @@ def kpi_text(k: DataFrame) -> DataFrame:
     )
 
 
+def overview_kpi_text(df: DataFrame) -> DataFrame:
+    """E5 + A6: the overview panel's KPI strings, whose average order is over all orders (no cap).
+
+    Revenue, orders and customers come from :func:`kpis`; the average from
+    :func:`avg_order_uncapped`, attached as a one-row scalar subquery.
+    """
+    avg = avg_order_uncapped(df).scalar()
+    return kpi_text(kpis(df, None)).withColumn("_avg", avg).withColumn(
+        "avg_text", money_units(F.col("_avg"))).drop("_avg")
+
+
 def avg_order_uncapped(df: DataFrame) -> DataFrame:
     """Mean basket value over all orders, no cap; 0 when there is no order."""
     b = order_totals(df).where(F.col("InvoiceNo").isNotNull())

@@ -146,6 +146,15 @@ def q_kpi_text(spark, sf):
     return M.kpi_text(M.kpis(events(spark, sf), 1000.0))
 
 
+@register("kpi_text_overview", S.with_sales(
+    "SELECT '£' || printf('%.1f', round_even(sum(TotalPrice) / 1000, 1)) || 'K' AS revenue_text, "
+    "printf('%,d', count(DISTINCT InvoiceNo)) AS orders_text, printf('%,d', count(DISTINCT CustomerID)) AS customers_text, "
+    "'£' || printf('%.0f', (SELECT round_even(avg(v), 0) FROM (SELECT sum(TotalPrice) AS v FROM sales "
+    "GROUP BY InvoiceNo) b)) AS avg_text FROM sales"))
+def q_kpi_text_overview(spark, sf):
+    return M.overview_kpi_text(sales(spark, sf))
+
+
 @register("kpis_empty", S.with_events(
     "SELECT '£' || printf('%.1f', coalesce(sum(TotalPrice), 0) / 1000) || 'K' AS revenue_text, "
     "printf('%,d', count(DISTINCT InvoiceNo)) AS orders_text, printf('%,d', count(DISTINCT CustomerID)) AS customers_text, "
