@@ -66,7 +66,37 @@ def materialize(df: DataFrame) -> DataFrame:
     planner's broadcast decisions. Faster to write and read than a serialised RDD checkpoint.
     """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{_tables_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)  # known schema: no footer-reading job
+
+
+def _tables_root(spark: SparkSession) -> str:
+    root = ensure_checkpoint_dir(spark)
+    return f"{root.rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
+def drop_materialized(spark: SparkSession) -> bool:
+    """Delete every table ``materialize`` wrote for this application (call when the DataFrames
+    built on them are no longer needed, e.g. at the end of a job or a dashboard session).
+    Uses the Hadoop FileSystem of the checkpoint folder, so it works on any shared store."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_tables_root(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(path, True)) if fs.exists(path) else False
+
+
+def release(df: DataFrame) -> bool:
+    """Delete the one table behind a DataFrame returned by ``materialize``."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    root = _tables_root(spark)
+    if not files:
+        return False
+    table_dir = files[0].rsplit("/", 1)[0]
+    if root.removeprefix("file:").rstrip("/") not in table_dir:
+        raise ValueError("not a table written by materialize()")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(path, True))

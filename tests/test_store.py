@@ -19,3 +19,18 @@ def test_month_partitions_prune_and_keep_results(spark, tmp_path):
     assert p and "Month" in p[0] and "2024-01" in p[0]
     spec = FL.FilterSpec(start="2024-01-10", end="2024-01-20", month_pruning=True)
     assert FL.apply_filters(stored, None, spec).count() == plain.count()
+
+
+def test_materialize_and_release(spark):
+    import os
+
+    from basketry.session import materialize, release
+
+    df = materialize(spark.range(10).withColumnRenamed("id", "x"))
+    assert df.count() == 10
+    table_dir = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    assert os.path.isdir(table_dir)
+    assert release(df)
+    assert not os.path.exists(table_dir)
+    with __import__("pytest").raises(ValueError):
+        release(spark.read.parquet("/root/testdata/sf0.001/nation.parquet"))
