@@ -7,7 +7,9 @@ Exact, and built so that no dense region turns into all-pairs work:
    ``eps``, so a cell of weight >= ``min_pts`` is all core without looking at a single pair;
 3. neighbourhoods are resolved top-down on bounding boxes — cell, then half-side sub-cell, then
    point — and only boxes that are neither wholly inside nor wholly outside ``eps`` of each other
-   go one level down; point pairs appear only for such boundary boxes;
+   go one level down; point pairs appear only for such boundary boxes. Neighbour offsets are
+   expanded per cell, never per point, so a point is replicated only to non-empty cells within
+   reach;
 4. core points of one cell are one node; cells are linked when two of their core points are
    within ``eps``; connected components come from min-label propagation on that cell graph,
    with a reliable ``checkpoint()`` per round to cut lineage (the weighted points and core flags
@@ -143,11 +145,23 @@ def dbscan(points: DataFrame, cols: Sequence[str], id_col: str, eps: float = 0.5
         return df.withColumn("_o", F.explode(_offsets(reach, d, half))).select(
             "*", *[(F.col(c) + F.col(f"_o.o{i}")).alias(f"n{i}") for i, c in enumerate(C)]).drop("_o")
 
+    def near_cells(a_cells: DataFrame, b_cells: DataFrame) -> DataFrame:
+        """(A, B) cell pairs with B non-empty and B's box within eps of A's box.
+
+        Cells, not points, are exploded over the neighbour offsets, and empty neighbours vanish
+        in the join: a point later meets only the non-empty cells that can hold a neighbour."""
+        a = _rename(a_cells.select(*C, *[f"blo{i}" for i in range(d)], *[f"bhi{i}" for i in range(d)]),
+                    {f"blo{i}": f"alo{i}" for i in range(d)} | {f"bhi{i}": f"ahi{i}" for i in range(d)})
+        b = _rename(b_cells, {c: f"n{i}" for i, c in enumerate(C)})
+        lo2, _ = _box_box(d, "a", "b")
+        return neighbour_cells(a).join(b, [f"n{i}" for i in range(d)]).where(lo2 <= eps2).drop(
+            *[f"alo{i}" for i in range(d)], *[f"ahi{i}" for i in range(d)])
+
     # 3. degree of points in sparse cells: cell boxes, then sub-cell boxes, then points
     subcells = _boxes(pts, C + Q, d, "s")
     sparse = pts_c.where(F.col("cw") < min_pts).select("pid", *X, *C, "cw")
-    near = neighbour_cells(sparse).join(_rename(cells, {c: f"n{i}" for i, c in enumerate(C)}),
-                                        [f"n{i}" for i in range(d)])
+    sparse_cells = cells.join(sparse.select(*C).distinct(), C, "left_semi")
+    near = sparse.join(near_cells(sparse_cells, cells), C)
     pmin, pmax = _point_box(d, "", "b")
     near = near.withColumn("_min", pmin).withColumn("_max", pmax).where(F.col("_min") <= eps2)
     full_cells = near.where(F.col("_max") <= eps2).groupBy("pid").agg(F.sum("bw").alias("wt"))
@@ -219,7 +233,8 @@ def dbscan(points: DataFrame, cols: Sequence[str], id_col: str, eps: float = 0.5
     core_lab = core.select("pid", _pack([F.col(c) for c in C]).alias("node")).join(labels, "node").select("pid", "label")
     border = core_flag.where(~F.col("core")).select("pid", *X, *C)
     own = border.select("pid", _pack([F.col(c) for c in C]).alias("node")).join(labels, "node").select("pid", "label")
-    bnear = neighbour_cells(border).join(_rename(ccells, {c: f"n{i}" for i, c in enumerate(C)}), keyB)
+    border_cells = cells.join(border.select(*C).distinct(), C, "left_semi")
+    bnear = border.join(near_cells(border_cells, ccells), C)
     bnear = bnear.withColumn("_min", pmin).withColumn("_max", pmax).where(F.col("_min") <= eps2)
     b_full = bnear.where(F.col("_max") <= eps2).select("pid", *keyB)
     b_sub = (
