@@ -10,7 +10,8 @@ buffer; for a global quantile that is the whole column in one task. Here the wor
    values are ranked whole: a constant bound);
 2. one pass counts the rows below the bracket and groups the rows inside it by value (ties
    collapse, so a value shared by a third of all rows is one row);
-3. a window partitioned by the requested quantile orders only those in-bracket distinct values,
+3. a window partitioned by the requested quantile orders only those in-bracket distinct values
+   (at most ``max_bracket_rows``: the sketch accuracy is chosen from the row count),
    turns counts into rank ranges and picks the values at ranks ``floor(h)`` and ``ceil(h)`` with
    ``h = p·(n - 1)`` — the same definition as pandas ``quantile``, Spark ``percentile`` and
    DuckDB ``quantile_cont``.
@@ -27,14 +28,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 10_000
+MAX_ACCURACY = 10_000_000
+
+
+def accuracy_for(n_rows: int, max_bracket_rows: int = 100_000) -> int:
+    """Sketch accuracy that keeps every bracket under ``max_bracket_rows`` values (at least the
+    default): the window that ranks a bracket then holds a constant number of rows at any size."""
+    return int(min(MAX_ACCURACY, max(DEFAULT_ACCURACY, -(-8 * n_rows // max_bracket_rows))))
 
 
 def exact_quantiles(
-    df: DataFrame, specs: Sequence[tuple[str, str, float]], accuracy: int = DEFAULT_ACCURACY
+    df: DataFrame, specs: Sequence[tuple[str, str, float]], accuracy: int | None = None,
+    max_bracket_rows: int = 100_000,
 ) -> DataFrame:
-    """One-row DataFrame with a double column per ``(name, column, p)`` spec; nulls are ignored."""
+    """One-row DataFrame with a double column per ``(name, column, p)`` spec; nulls are ignored.
+
+    ``accuracy=None`` sizes the sketch from ``df.count()`` (one cheap job on a written table) so
+    each bracket holds at most ``max_bracket_rows`` values.
+    """
     if not specs:
         raise ValueError("no quantiles requested")
+    if accuracy is None:
+        accuracy = accuracy_for(df.count(), max_bracket_rows)
     cols = sorted({c for _, c, _ in specs})
     margin = 4.0 / accuracy
 

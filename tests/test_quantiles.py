@@ -28,3 +28,11 @@ def test_several_columns_and_nulls(spark):
     got = exact_quantiles(df, [("qa", "a", 0.75), ("qb", "b", 0.25)]).first()
     assert got.qa == pytest.approx(_np_q([r[0] for r in rows], 0.75))
     assert got.qb == pytest.approx(_np_q([r[1] for r in rows if r[1] is not None], 0.25))
+
+
+def test_accuracy_grows_with_rows():
+    from basketry.functions.quantiles import DEFAULT_ACCURACY, accuracy_for
+
+    assert accuracy_for(1_000) == DEFAULT_ACCURACY
+    assert accuracy_for(10**9) == 80_000          # 8·n / 100k
+    assert 8 * 10**9 / accuracy_for(10**9) <= 100_000
