@@ -81,3 +81,16 @@ def test_us_style_invoice_dates(spark):
     got = [r.InvoiceDate for r in C.parse_ts(df).collect()]
     assert [str(g) for g in got[:3]] == ["2010-12-01 08:26:00", "2010-12-01 08:26:00", "2011-01-13 00:00:00"]
     assert got[3] is None
+
+
+def test_featured_sales_csv_keeps_supplied_columns(spark, tmp_path):
+    path = _write(tmp_path, "featured.csv",
+                  "InvoiceNo,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country,TotalPrice,Month,Hour,Day\n"
+                  "1,A,2,12/1/2010 8:26,2.5,17850.0,United Kingdom,5.0,2010-12,8,Wednesday\n"
+                  "2,B,1,2010-12-02 09:00:00,4.0,13047.0,France,4.0,2010-12,9,Thursday\n")
+    raw = read_sales_csv(spark, path)
+    assert dict(raw.dtypes)["TotalPrice"] == "double" and dict(raw.dtypes)["Hour"] == "int"
+    rows = {r.InvoiceNo: r for r in C.clean_sales(raw).collect()}
+    assert set(rows) == {"1", "2"}
+    assert rows["1"].TotalPrice == 5.0 and rows["1"].Day == "Wednesday" and rows["1"].day_idx == 2
+    assert str(rows["1"].InvoiceDate) == "2010-12-01 08:26:00" and rows["2"].CustomerID == 13047
