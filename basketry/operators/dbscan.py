@@ -171,18 +171,23 @@ def dbscan(points: DataFrame, cols: Sequence[str], id_col: str, eps: float = 0.5
     part_sub = part_sub.withColumn("_min", smin).withColumn("_max", smax).where(F.col("_min") <= eps2)
     full_subs = part_sub.where(F.col("_max") <= eps2).groupBy("pid").agg(F.sum("sw").alias("wt"))
     edge_subs = part_sub.where(F.col("_max") > eps2).select("pid", *X, *[f"n{i}" for i in range(d)], *Q)
+    coarse = (
+        sparse.select("pid", F.col("cw").alias("wt"))
+        .unionByName(full_cells).unionByName(full_subs)
+        .groupBy("pid").agg(F.sum("wt").alias("wt"))
+    )
+    # only the degree up to min_pts matters: points already at min_pts from whole boxes are core
+    # and skip point pairs (exact, and it keeps pair work to points near the threshold)
+    undecided = coarse.where(F.col("wt") < min_pts).select("pid")
     other = _rename(pts.select(*C, *Q, *X, "w"), {**{c: f"n{i}" for i, c in enumerate(C)},
                                                    **{x: f"y{i}" for i, x in enumerate(X)}})
     pair_w = (
-        edge_subs.join(other, [f"n{i}" for i in range(d)] + Q)
+        edge_subs.join(undecided, "pid", "left_semi")
+        .join(other, [f"n{i}" for i in range(d)] + Q)
         .where(_sq([F.col(f"x{i}") - F.col(f"y{i}") for i in range(d)]) <= eps2)
         .groupBy("pid").agg(F.sum("w").alias("wt"))
     )
-    deg = (
-        sparse.select("pid", F.col("cw").alias("wt"))
-        .unionByName(full_cells).unionByName(full_subs).unionByName(pair_w)
-        .groupBy("pid").agg(F.sum("wt").alias("degree"))
-    )
+    deg = coarse.unionByName(pair_w).groupBy("pid").agg(F.sum("wt").alias("degree"))
     core_flag = materialize(
         pts_c.join(deg, "pid", "left")
         .select("pid", *X, *C, *Q, ((F.col("cw") >= min_pts) | (F.coalesce("degree", F.lit(0)) >= min_pts)).alias("core"))
