@@ -2,7 +2,6 @@
 
 from datetime import datetime
 
-import pytest
 from pyspark.sql import functions as F
 
 from basketry.functions.columns import elapsed_days, money_k, money_units, thousands, weekday_index

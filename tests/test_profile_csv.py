@@ -1,7 +1,6 @@
 """CSV sources and table profiling (FIXTURES.md §6); files are written to a temporary folder."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from basketry.operators import clean as C
 from basketry.operators import profile as PR
