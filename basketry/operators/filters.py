@@ -110,13 +110,23 @@ class FilterSpec:
     medium_upper_inclusive: bool = False
     basket_totals_from_unfiltered: bool = False
     month_pruning: bool = False  # add the Month range implied by the dates (Month derived from InvoiceDate)
+    dates_need_both: bool = False  # the overview panel filters dates only when both bounds are set
+
+    @classmethod
+    def overview(cls, countries=None, start=None, end=None, segment=None, basket=None) -> "FilterSpec":
+        """The overview panel's variant: k-means segment, bands 20 / 100 (Medium inclusive) over the
+        unfiltered table's basket totals, and a date range only when both ends are given."""
+        return cls(countries=countries, start=start, end=end, segment=segment, segment_by="KMSegment",
+                   basket=basket, basket_edges=(20.0, 100.0), medium_upper_inclusive=True,
+                   basket_totals_from_unfiltered=True, dates_need_both=True)
 
 
 def apply_filters(df: DataFrame, rfm: DataFrame | None, spec: FilterSpec) -> DataFrame:
     """country, dates, segment, basket — in that order (it matters for basket variant B)."""
     unfiltered = df
     out = filter_country(df, spec.countries)
-    out = filter_dates(out, spec.start, spec.end, month_col="Month" if spec.month_pruning else None)
+    if not spec.dates_need_both or (spec.start and spec.end):
+        out = filter_dates(out, spec.start, spec.end, month_col="Month" if spec.month_pruning else None)
     if spec.segment:
         if rfm is None:
             raise ValueError("a segment filter needs the customer table")

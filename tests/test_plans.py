@@ -69,3 +69,11 @@ def test_dashboard_filters_and_pies(lines, model):
     lo, hi = datetime(2024, 1, 5), datetime(2024, 1, 25)
     bounds = filtered.agg(F.min("InvoiceDate"), F.max("InvoiceDate")).first()
     assert bounds[0] is None or (bounds[0] >= lo and bounds[1] <= hi)
+
+
+def test_overview_filter_variant(lines, model):
+    spec = FL.FilterSpec.overview(start="2024-01-10", basket="Medium")   # one date bound: no date filter
+    got = FL.apply_filters(lines, model.customers, spec)
+    totals = lines.groupBy("InvoiceNo").agg(F.sum("TotalPrice").alias("v"))
+    medium = {r.InvoiceNo for r in totals.where("v >= 20 AND v <= 100").collect()}
+    assert {r.InvoiceNo for r in got.select("InvoiceNo").distinct().collect()} == medium
