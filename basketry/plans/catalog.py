@@ -788,3 +788,15 @@ def q_cluster_means_rule(spark, sf):
     "round_even(avg(Monetary), 2) AS Monetary FROM seg GROUP BY Segment"))
 def q_cluster_summary_rule(spark, sf):
     return CL.cluster_summary(seg_of(spark, sf), None, "Segment")
+
+
+_OVERVIEW = FL.FilterSpec.overview(countries=["purchase"], start="2024-01-05", end="2024-01-25", basket="Medium")
+
+
+@register("apply_filters_overview", S.with_events(
+    f"SELECT {_LINE_COLS} FROM sales WHERE Country IN ('purchase') "
+    "AND InvoiceDate >= TIMESTAMP '2024-01-05' AND InvoiceDate <= TIMESTAMP '2024-01-25' "
+    "AND InvoiceNo IN (SELECT InvoiceNo FROM sales GROUP BY InvoiceNo HAVING sum(TotalPrice) >= 20 AND sum(TotalPrice) <= 100)"))
+def q_apply_filters_overview(spark, sf):
+    """Overview-panel variant: basket bands 20 / 100 over the unfiltered table's totals."""
+    return _lines(FL.apply_filters(events(spark, sf), None, _OVERVIEW))
