@@ -213,19 +213,25 @@ def basket_shape(df: DataFrame, cap: float | None = DEFAULT_CAP) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, nbins: int = 50) -> DataFrame:
-    """Equal-width histogram with a readable bin width.
+    """Equal-width histogram with a readable bin width and at most ``nbins`` bins.
 
     Rule: raw width = (max - min) / nbins, rounded up to 1, 2 or 5 × 10^k; bins start on
-    multiples of that width. Only the global min/max travel as a scalar subquery; the binning
-    itself is a map-side-combined ``groupBy``.
+    multiples of that width; if the aligned bins then number more than ``nbins``, the next
+    readable width is used (one step is always enough for nbins >= 4). Only the global min/max
+    travel, as one scalar subquery; the binning itself is a map-side-combined ``groupBy``.
     """
-    raw = df.agg(((F.max(col) - F.min(col)) / nbins).alias("raw")).select(
-        F.when(F.col("raw").isNull() | (F.col("raw") <= 0), F.lit(1.0)).otherwise(F.col("raw")).alias("raw")
-    )
-    mag = F.pow(F.lit(10.0), F.floor(F.log10("raw")))
-    ratio = F.col("raw") / mag
-    nice = F.when(ratio <= 1, 1.0).when(ratio <= 2, 2.0).when(ratio <= 5, 5.0).otherwise(10.0)
-    width = raw.select((nice * mag).alias("w")).scalar()
+    if nbins < 4:
+        raise ValueError("nbins must be at least 4")
+    stats = df.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
+    raw = (F.col("hi") - F.col("lo")) / nbins
+    raw = F.when(raw.isNull() | (raw <= 0), F.lit(1.0)).otherwise(raw)
+    mag = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    ratio = raw / mag
+    step = F.when(ratio <= 1, 1.0).when(ratio <= 2, 2.0).when(ratio <= 5, 5.0).otherwise(10.0)
+    bigger = F.when(step == 1.0, 2.0).when(step == 2.0, 5.0).when(step == 5.0, 10.0).otherwise(20.0)
+    w1, w2 = step * mag, bigger * mag
+    count1 = F.floor(F.col("hi") / w1) - F.floor(F.col("lo") / w1) + 1
+    width = stats.select(F.when(count1 > nbins, w2).otherwise(w1).alias("w")).scalar()
     v = F.col(col).cast("double")
     return (
         df.where(F.col(col).isNotNull())

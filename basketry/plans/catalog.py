@@ -279,26 +279,32 @@ def q_basket_shape(spark, sf):
 
 
 def _hist_sql(values_sql: str, nbins: int = 50) -> str:
-    return f"""SELECT bin * w AS bin_start, (bin + 1) * w AS bin_end, count(*) AS "Count" FROM (
-  SELECT floor(x / w) AS bin, w FROM (
-    SELECT x, (SELECT CASE WHEN r / power(10, floor(log10(r))) <= 1 THEN 1.0
-                           WHEN r / power(10, floor(log10(r))) <= 2 THEN 2.0
-                           WHEN r / power(10, floor(log10(r))) <= 5 THEN 5.0 ELSE 10.0 END * power(10, floor(log10(r)))
-               FROM (SELECT CASE WHEN (max(x) - min(x)) / {nbins} IS NULL OR (max(x) - min(x)) / {nbins} <= 0 THEN 1.0
-                                 ELSE (max(x) - min(x)) / {nbins} END AS r FROM ({values_sql}) v0) rr) AS w
-    FROM ({values_sql}) v WHERE x IS NOT NULL) y) z
+    return f"""WITH hv AS ({values_sql}),
+hs AS (SELECT min(x) AS lo, max(x) AS hi,
+              CASE WHEN (max(x) - min(x)) / {nbins} IS NULL OR (max(x) - min(x)) / {nbins} <= 0 THEN 1.0
+                   ELSE (max(x) - min(x)) / {nbins} END AS r FROM hv),
+hm AS (SELECT lo, hi, power(10, floor(log10(r))) AS mag, r / power(10, floor(log10(r))) AS ratio FROM hs),
+hn AS (SELECT lo, hi, mag, CASE WHEN ratio <= 1 THEN 1.0 WHEN ratio <= 2 THEN 2.0 WHEN ratio <= 5 THEN 5.0 ELSE 10.0 END AS st
+       FROM hm),
+hw AS (SELECT CASE WHEN floor(hi / (st * mag)) - floor(lo / (st * mag)) + 1 > {nbins}
+                   THEN (CASE WHEN st = 1.0 THEN 2.0 WHEN st = 2.0 THEN 5.0 WHEN st = 5.0 THEN 10.0 ELSE 20.0 END) * mag
+                   ELSE st * mag END AS w FROM hn)
+SELECT bin * w AS bin_start, (bin + 1) * w AS bin_end, count(*) AS "Count"
+FROM (SELECT floor(x / w) AS bin, w FROM hv, hw WHERE x IS NOT NULL) z
 GROUP BY bin, w"""
 
 
-@register("histogram_purchase_count", S.with_events(_hist_sql(
-    "SELECT CAST(count(DISTINCT InvoiceNo) AS DOUBLE) AS x FROM sales GROUP BY CustomerID")))
+@register("histogram_purchase_count", S.with_events(
+    "SELECT * FROM (" + _hist_sql("SELECT CAST(count(DISTINCT InvoiceNo) AS DOUBLE) AS x FROM sales GROUP BY CustomerID")
+    + ") h"))
 def q_histogram_purchase_count(spark, sf):
     pf = M.purchase_frequency(events(spark, sf))
     return M.histogram(pf, "PurchaseCount")
 
 
-@register("histogram_basket", S.with_events(_hist_sql(
-    "SELECT sum(TotalPrice) AS x FROM sales GROUP BY InvoiceNo HAVING sum(TotalPrice) < 1000")))
+@register("histogram_basket", S.with_events(
+    "SELECT * FROM (" + _hist_sql("SELECT sum(TotalPrice) AS x FROM sales GROUP BY InvoiceNo HAVING sum(TotalPrice) < 1000")
+    + ") h"))
 def q_histogram_basket(spark, sf):
     return M.histogram(M.basket_values(events(spark, sf), 1000.0), "BasketValue")
 

@@ -44,3 +44,11 @@ def test_share_of_total(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 5)], "Segment string, Count long")
     shares = {r.Segment: r.Share for r in M.share_of_total(df).collect()}
     assert shares == {"a": 12.5, "b": 25.0, "c": 62.5}
+
+
+def test_histogram_never_exceeds_nbins(spark):
+    # raw width 1.0 would align to 51 bins (0..50); the next readable width (2) gives 26
+    df = spark.createDataFrame([(0.5,), (50.5,), (25.0,)], "x double")
+    rows = M.histogram(df, "x", nbins=50).collect()
+    assert {r.bin_end - r.bin_start for r in rows} == {2.0}
+    assert max(r.bin_start for r in rows) / 2.0 + 1 <= 50
