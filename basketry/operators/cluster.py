@@ -312,3 +312,14 @@ def holdout(z: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, max_iter
     return out.withColumn("gap", gap).withColumn(
         "verdict", F.when(F.col("gap") < GAP_THRESHOLD, "Good").otherwise("Check")).withColumn(
         "silhouette_method", F.lit(method))
+
+
+def holdout_rfm(rfm_df: DataFrame, scale_on: str = "all", **kwargs) -> DataFrame:
+    """C11-C14 from the raw RFM table. ``scale_on="all"`` fits the scaler on every customer before
+    the split (the analysed application's order); ``"train"`` fits it on the training split only,
+    so no statistic of the test customers leaks into the model."""
+    if scale_on not in ("all", "train"):
+        raise ValueError("scale_on must be 'all' or 'train'")
+    id_col = kwargs.get("id_col", "CustomerID")
+    base = split(rfm_df, kwargs.get("test_pct", 20), id_col)[0] if scale_on == "train" else rfm_df
+    return holdout(standardize(rfm_df, stats=scaler_stats(base)), **kwargs)

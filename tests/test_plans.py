@@ -77,3 +77,12 @@ def test_overview_filter_variant(lines, model):
     totals = lines.groupBy("InvoiceNo").agg(F.sum("TotalPrice").alias("v"))
     medium = {r.InvoiceNo for r in totals.where("v >= 20 AND v <= 100").collect()}
     assert {r.InvoiceNo for r in got.select("InvoiceNo").distinct().collect()} == medium
+
+
+def test_holdout_scaler_choice(model):
+    from basketry.operators import cluster as CL
+
+    rfm = model.customers.select("CustomerID", "Recency", "Frequency", "Monetary")
+    for scale_on in ("all", "train"):
+        r = CL.holdout_rfm(rfm, scale_on=scale_on, n_init=2, max_iter=30).first()
+        assert 0 <= r.gap <= 2 and r.verdict in ("Good", "Check") and r.silhouette_method == "euclidean"
