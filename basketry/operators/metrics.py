@@ -78,12 +78,9 @@ def kpi_text(k: DataFrame) -> DataFrame:
 def overview_kpi_text(df: DataFrame) -> DataFrame:
     """E5 + A6: the overview panel's KPI strings, whose average order is over all orders (no cap).
 
-    Revenue, orders and customers come from :func:`kpis`; the average from
-    :func:`avg_order_uncapped`, attached as a one-row scalar subquery.
+    The same single-pass aggregate as :func:`kpis` with the cap switched off.
     """
-    avg = avg_order_uncapped(df).scalar()
-    return kpi_text(kpis(df, None)).withColumn("_avg", avg).withColumn(
-        "avg_text", money_units(F.col("_avg"))).drop("_avg")
+    return kpi_text(kpis(df, None))
 
 
 def avg_order_uncapped(df: DataFrame) -> DataFrame:
@@ -162,28 +159,25 @@ def top_customers(df: DataFrame, n: int = 10) -> DataFrame:
 def sales_heatmap(df: DataFrame) -> DataFrame:
     """A13 + J6: lines per weekday × hour, every weekday × every observed hour, missing = 0.
 
-    The grid is generated, not joined: each observed hour (at most 24 rows) is exploded into
-    the seven weekdays, then the ≤168 counted cells are joined onto it.
+    One pass over the lines: they are counted per (weekday, hour), the unknown weekday included,
+    so hours seen only on such lines still get a row. Per hour, the at most seven weekday counts
+    become a small map, and the seven-day grid is generated from it: no join, no second read.
     """
-    counts = (
-        df.where(F.col("day_idx").isNotNull() & F.col("Hour").isNotNull())
-        .groupBy("day_idx", "Hour")
-        .agg(F.count(F.lit(1)).alias("Orders"))
-    )
-    names = F.array(*[F.lit(d) for d in WEEKDAYS])
-    grid = (
+    cells = (
         df.where(F.col("Hour").isNotNull())
-        .select("Hour")
-        .distinct()
-        .select("Hour", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("day_idx"))
+        .groupBy("Hour", "day_idx")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    known = F.when(F.col("day_idx").isNotNull(), F.struct(F.col("day_idx"), F.col("n")))
+    per_hour = cells.groupBy("Hour").agg(F.map_from_entries(F.collect_list(known)).alias("m"))
+    names = F.array(*[F.lit(d) for d in WEEKDAYS])
     return (
-        grid.join(counts, ["day_idx", "Hour"], "left")
+        per_hour.select("Hour", "m", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("day_idx"))
         .select(
             F.element_at(names, F.col("day_idx") + 1).alias("Day"),
             "day_idx",
             "Hour",
-            F.coalesce(F.col("Orders"), F.lit(0)).cast("long").alias("Orders"),
+            F.coalesce(F.try_element_at(F.col("m"), F.col("day_idx")), F.lit(0)).cast("long").alias("Orders"),
         )
         .orderBy("day_idx", "Hour")
     )
