@@ -756,7 +756,7 @@ def q_get_metrics_summary(spark, sf):
     """Row counts of every table of A28 over one checkpointed input, in one row."""
     from basketry.plans.dashboard import get_metrics
 
-    m = get_metrics(events(spark, sf), 1000.0, persist=True)
+    m = get_metrics(events(spark, sf), 1000.0, persist="write")
     counts = {
         "basket_rows": m["basket_data"], "purchase_freq_rows": m["purchase_freq"], "monthly_rows": m["monthly_revenue"],
         "top_country_rows": m["top_countries"], "top_product_rows": m["top_products"],

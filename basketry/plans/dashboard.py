@@ -1,12 +1,20 @@
 """The dashboard as a plan: filters, then every metric table of one filtered line table.
 
-``get_metrics`` returns lazy DataFrames over one shared input. Pass ``persist=True`` when the
-caller will compute several of them (the dashboard computes all): the filtered lines are then
-checkpointed once into ``spark.checkpoint.dir`` and every table reads that copy.
+``get_metrics`` returns lazy DataFrames over one shared input. The dashboard computes all of
+them, so the filtered lines are kept for the duration of one refresh:
+
+- ``persist="cache"`` (default): ``persist(MEMORY_AND_DISK)``. The filtered lines have a short
+  lineage (a pruned scan of the written, month-partitioned store plus semi joins), so a lost
+  executor simply recomputes its partitions; nothing is copied to storage on each filter change,
+  even when no filter is set. Call ``release(view)`` when the refresh is rendered.
+- ``persist="write"``: a table written once under ``spark.checkpoint.dir`` (for inputs whose own
+  lineage is long, e.g. straight from the raw joins).
+- ``persist=None``: every table re-reads its input.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from basketry.operators import filters as FL
@@ -15,10 +23,21 @@ from basketry.operators import rfm as R
 from basketry.session import materialize
 
 
-def get_metrics(df: DataFrame, cap: float = M.DEFAULT_CAP, top_n: int = 10, persist: bool = False) -> dict:
-    """Every metric table of one line table, as a dict of lazy DataFrames."""
-    src = materialize(df) if persist else df
+def _keep(df: DataFrame, persist) -> DataFrame:
+    if persist in (True, "write"):
+        return materialize(df)
+    if persist == "cache":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if persist in (None, False):
+        return df
+    raise ValueError("persist must be 'cache', 'write' or None")
+
+
+def get_metrics(df: DataFrame, cap: float = M.DEFAULT_CAP, top_n: int = 10, persist=None) -> dict:
+    """Every metric table of one line table, as a dict of lazy DataFrames (plus ``lines``)."""
+    src = _keep(df, persist)
     return {
+        "lines": src,
         "kpis": M.kpis(src, cap),
         "kpi_text": M.kpi_text(M.kpis(src, cap)),
         "basket_data": M.basket_values(src, cap),
@@ -36,18 +55,22 @@ def get_metrics(df: DataFrame, cap: float = M.DEFAULT_CAP, top_n: int = 10, pers
 
 
 def dashboard(lines: DataFrame, customers: DataFrame, spec: FL.FilterSpec, cap: float = M.DEFAULT_CAP,
-              persist: bool = True) -> dict:
+              persist="cache") -> dict:
     """One filter change: apply the filters, recompute the metrics and the segment pies.
 
     ``customers`` is the per-customer table with Segment (and KMSegment when a k-means model was
     fitted). The pies count the customers that remain after filtering (J3 + X2).
     """
-    filtered = FL.apply_filters(lines, customers, spec)
-    if persist:
-        filtered = materialize(filtered)
-    out = get_metrics(filtered, cap)
-    remaining = FL.customers_in(customers, filtered)
+    out = get_metrics(FL.apply_filters(lines, customers, spec), cap, persist=persist)
+    remaining = FL.customers_in(customers, out["lines"])
     out["rule_segments"] = R.segment_counts(remaining, "Segment")
     if "KMSegment" in customers.columns:
         out["km_segments"] = R.segment_counts(remaining, "KMSegment")
     return out
+
+
+def release(view: dict) -> None:
+    """Drop the cached lines of a refresh (no-op for written or unpersisted inputs)."""
+    lines = view.get("lines")
+    if lines is not None and lines.storageLevel != StorageLevel.NONE:
+        lines.unpersist()

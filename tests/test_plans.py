@@ -26,7 +26,7 @@ def model(lines):
 
 
 def test_get_metrics_tables(lines):
-    m = get_metrics(lines, persist=True)
+    m = get_metrics(lines, persist="cache")
     assert {"kpis", "monthly_revenue", "top_products", "heatmap", "basket_shape"} <= set(m)
     assert m["kpis"].first().total_orders == lines.select("InvoiceNo").distinct().count()
     assert m["heatmap"].count() == 7 * 24
@@ -59,6 +59,7 @@ def test_score_customers_batch(spark, model):
 def test_dashboard_filters_and_pies(lines, model):
     spec = FL.FilterSpec(start="2024-01-05", end="2024-01-25", segment="VIP", basket="Small")
     view = dashboard(lines, model.customers, spec)
+    assert view["lines"].storageLevel.useDisk
     k = view["kpis"].first()
     vip = {r.CustomerID for r in model.customers.where("KMSegment = 'VIP'").select("CustomerID").collect()}
     filtered = FL.apply_filters(lines, model.customers, spec)
@@ -69,6 +70,10 @@ def test_dashboard_filters_and_pies(lines, model):
     lo, hi = datetime(2024, 1, 5), datetime(2024, 1, 25)
     bounds = filtered.agg(F.min("InvoiceDate"), F.max("InvoiceDate")).first()
     assert bounds[0] is None or (bounds[0] >= lo and bounds[1] <= hi)
+    from basketry.plans.dashboard import release
+
+    release(view)
+    assert not view["lines"].is_cached
 
 
 def test_overview_filter_variant(lines, model):
