@@ -245,7 +245,7 @@ def cluster_summary(labelled: DataFrame, names: dict[int, str] | None = None, la
 
     g = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("Customers"),
                                     *[F.bround(F.avg(c), 2).alias(c) for c in RFM_COLS])
-    share = F.round(F.col("Customers") * 100.0 / F.sum("Customers").over(Window.partitionBy()), 1)
+    share = F.bround(F.col("Customers") * 100.0 / F.sum("Customers").over(Window.partitionBy()), 1)
     fallback = F.concat(F.lit("Cluster "), F.col(label)) if names is not None else F.col(label).cast("string")
     name = F.coalesce(name_column(names, label), fallback) if names else fallback
     return g.select(label, name.alias("Name"), "Customers", share.alias("Share"), *RFM_COLS).orderBy(label)

@@ -250,6 +250,7 @@ def countries(df: DataFrame) -> DataFrame:
 
 
 def share_of_total(counts: DataFrame, count_col: str = "Count", decimals: int = 1) -> DataFrame:
-    """Percentage share of a few grouped rows (one window over the grouped result only)."""
+    """Percentage share of a few grouped rows (one window over the grouped result only),
+    rounded half to even like the percentage labels it replaces (1/16 = 6.25% shows 6.2)."""
     total = F.sum(count_col).over(Window.partitionBy())
-    return counts.withColumn("Share", F.round(F.col(count_col) * 100.0 / total, decimals))
+    return counts.withColumn("Share", F.bround(F.col(count_col) * 100.0 / total, decimals))

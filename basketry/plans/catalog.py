@@ -370,7 +370,7 @@ def q_rule_segments_events(spark, sf):
     return R.rule_segments(R.rfm(events(spark, sf))).select("CustomerID", "Segment")
 
 
-SEGMENT_COUNTS_SQL = """SELECT Segment, count(*) AS Count, round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS Share,
+SEGMENT_COUNTS_SQL = """SELECT Segment, count(*) AS Count, round_even(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS Share,
        row_number() OVER (ORDER BY count(*) ASC, Segment ASC) = 1 AS Smallest
 FROM seg GROUP BY Segment"""
 
@@ -520,7 +520,7 @@ def q_dashboard_kpis(spark, sf):
 
 
 @register("dashboard_segments", S.with_sales_rfm(
-    f", {_SPEC_SQL}\nSELECT Segment, count(*) AS Count, round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS Share, "
+    f", {_SPEC_SQL}\nSELECT Segment, count(*) AS Count, round_even(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS Share, "
     "row_number() OVER (ORDER BY count(*) ASC, Segment ASC) = 1 AS Smallest "
     "FROM seg WHERE CustomerID IN (SELECT CustomerID FROM filtered) GROUP BY Segment"))
 def q_dashboard_segments(spark, sf):
@@ -789,7 +789,7 @@ def q_cluster_means_rule(spark, sf):
 
 
 @register("cluster_summary_rule", S.with_sales_rfm(
-    "SELECT Segment, Segment AS Name, count(*) AS Customers, round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS Share, "
+    "SELECT Segment, Segment AS Name, count(*) AS Customers, round_even(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS Share, "
     "round_even(avg(Recency), 2) AS Recency, round_even(avg(Frequency), 2) AS Frequency, "
     "round_even(avg(Monetary), 2) AS Monetary FROM seg GROUP BY Segment"))
 def q_cluster_summary_rule(spark, sf):

@@ -52,3 +52,9 @@ def test_histogram_never_exceeds_nbins(spark):
     rows = M.histogram(df, "x", nbins=50).collect()
     assert {r.bin_end - r.bin_start for r in rows} == {2.0}
     assert max(r.bin_start for r in rows) / 2.0 + 1 <= 50
+
+
+def test_share_rounds_half_to_even(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 15)], "Segment string, Count long")
+    shares = {r.Segment: r.Share for r in M.share_of_total(df).collect()}
+    assert shares == {"a": 6.2, "b": 93.8}   # 6.25 -> 6.2, 93.75 -> 93.8
