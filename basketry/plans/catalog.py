@@ -675,11 +675,15 @@ def q_k_decision(spark, sf):
 def q_bisecting(spark, sf):
     z = CL.standardize(rfm_of(spark, sf))
     feats = CL.with_features(z, shift=10.0).cache()
-    model = CL.fit_bisecting(feats, K)
-    sizes = model.setPredictionCol("Cluster").transform(feats).groupBy("Cluster").agg(
-        F.count(F.lit(1)).alias("Customers"))
-    cost = float(model.summary.trainingCost)
-    return sizes.withColumn("cost", F.lit(cost)).orderBy("Cluster")
+    try:
+        model = CL.fit_bisecting(feats, K)
+        sizes = model.setPredictionCol("Cluster").transform(feats).groupBy("Cluster").agg(
+            F.count(F.lit(1)).alias("Customers")).collect()   # k rows
+        cost = float(model.summary.trainingCost)
+    finally:
+        feats.unpersist()
+    rows = [(int(r["Cluster"]), int(r["Customers"]), cost) for r in sizes]
+    return spark.createDataFrame(rows, "Cluster int, Customers long, cost double").orderBy("Cluster")
 
 
 @register("holdout")
