@@ -544,9 +544,9 @@ from basketry.operators import cluster as CL  # noqa: E402
 from basketry.operators import evaluate as EV  # noqa: E402
 
 K = 4
-N_INIT = 10
-SWEEP_N_INIT = 3
-SWEEP_MAX_ITER = 50
+N_INIT = 10          # restarts per fit, as in the analysed application
+SWEEP_N_INIT = 10    # the sweep uses the same restarts and iteration cap as the final fit;
+SWEEP_MAX_ITER = 300  # restarts and k values run as concurrent jobs, once per session
 _RULE_LABEL = {"Low Value": 0, "High Value": 1, "Loyal": 2, "Recent": 3}
 
 
