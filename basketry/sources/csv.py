@@ -39,18 +39,27 @@ def read_sales_csv(spark: SparkSession, path: str, schema: T.StructType | None =
     return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
 
 
-def read_user_csv(spark: SparkSession, path: str) -> dict:
+def read_user_csv(spark: SparkSession, path: str, strict: bool = False) -> dict:
     """Arbitrary header CSV with inferred types.
 
-    Returns ``{"data": DataFrame}`` or ``{"error": message}`` when the file cannot be parsed,
-    mirroring an error result instead of an exception.
+    Returns ``{"data": DataFrame}`` or ``{"error": message}`` when the file cannot be read,
+    mirroring an error result instead of an exception. By default rows with missing fields get
+    nulls and extra fields are dropped (Spark's permissive CSV mode). With ``strict=True`` a row
+    whose field count differs from the header makes the whole file an error result; the check
+    is one distributed parse of every column inside this call.
     """
     try:
-        df = spark.read.option("header", True).option("inferSchema", True).csv(path)
+        reader = spark.read.option("header", True).option("inferSchema", True)
+        if strict:
+            reader = reader.option("mode", "FAILFAST")
+        df = reader.csv(path)
         df.schema  # forces the header/inference pass so a parse failure surfaces here
+        if strict:
+            # parse every column once (a count alone may skip tokenising rows)
+            df.write.format("noop").mode("overwrite").save()
         return {"data": df}
     except Exception as exc:  # noqa: BLE001 - any reader failure becomes an error result
-        return {"error": f"Error reading file: {exc}"}
+        return {"error": f"Error reading file: {str(exc).splitlines()[0]}"}
 
 
 def shape(df: DataFrame) -> DataFrame:
