@@ -810,3 +810,21 @@ _OVERVIEW = FL.FilterSpec.overview(countries=["purchase"], start="2024-01-05", e
 def q_apply_filters_overview(spark, sf):
     """Overview-panel variant: basket bands 20 / 100 over the unfiltered table's totals."""
     return _lines(FL.apply_filters(events(spark, sf), None, _OVERVIEW))
+
+
+@register("profile_summary_events", "SELECT count(*) AS \"rows\", 6 AS \"columns\", CAST(NULL AS VARCHAR) AS date_col, "
+                                    "'user_id' AS customer_col, 'value' AS value_col, "
+                                    "CAST(NULL AS VARCHAR) AS geography_col FROM events")
+def q_profile_summary_events(spark, sf):
+    """U1 + U4 + U5 on the events table: no date or geography column is found, so the profile
+    has a summary only (its trend and geography results are absent)."""
+    p = PR.profile(table(spark, sf, "events"))
+    if set(p) != {"summary"}:
+        raise RuntimeError(f"unexpected profile results {sorted(p)}")
+    return p["summary"].withColumn("columns", F.col("columns").cast("int"))
+
+
+@register("profile_trend_lineitem", "SELECT coalesce(strftime(l_shipdate, '%Y-%m'), 'NaT') AS upload_month, "
+                                    "round(coalesce(sum(l_extendedprice), 0), 2) AS l_extendedprice FROM lineitem GROUP BY 1")
+def q_profile_trend_lineitem(spark, sf):
+    return PR.profile(table(spark, sf, "lineitem"))["trend"].select("upload_month", r2("l_extendedprice"))
