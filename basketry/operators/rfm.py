@@ -134,3 +134,20 @@ def customer_profiles(seg_df: DataFrame) -> DataFrame:
         health_label(score).alias("HealthLabel"),
         advice(F.col("Segment"), "lookup").alias("Advice"),
     )
+
+
+def customer_cards(seg_df: DataFrame) -> DataFrame:
+    """M3 display: the lookup card's text fields per customer ('12d', '£1,234', segment, advice).
+
+    Monetary is rounded to 2 dp first and then shown without decimals, both half to even, as the
+    card does; the first step also absorbs summation-order noise at a .5 tie.
+    """
+    monetary = F.concat(F.lit("£"), F.format_number(F.bround(F.bround(F.col("Monetary"), 2), 0), 0))
+    return seg_df.select(
+        F.col("CustomerID").cast("string").alias("CustomerID"),
+        F.concat(F.col("Recency").cast("string"), F.lit("d")).alias("RecencyText"),
+        F.col("Frequency").cast("string").alias("FrequencyText"),
+        monetary.alias("MonetaryText"),
+        "Segment",
+        advice(F.col("Segment"), "lookup").alias("Advice"),
+    )

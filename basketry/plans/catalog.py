@@ -416,6 +416,20 @@ def q_customer_profiles(spark, sf):
     return R.customer_profiles(seg_of(spark, sf))
 
 
+def _cards_sql() -> str:
+    from basketry.functions.columns import ADVICE_LOOKUP, ADVICE_LOOKUP_DEFAULT
+
+    return S.with_sales_rfm(
+        "SELECT CAST(CustomerID AS VARCHAR) AS CustomerID, CAST(Recency AS VARCHAR) || 'd' AS RecencyText, "
+        "CAST(Frequency AS VARCHAR) AS FrequencyText, '£' || format('{:,}', CAST(round_even(round_even(Monetary, 2), 0) AS BIGINT)) "
+        f"AS MonetaryText, Segment, {S.advice_case('Segment', ADVICE_LOOKUP, ADVICE_LOOKUP_DEFAULT)} AS Advice FROM seg")
+
+
+@register("customer_cards", _cards_sql())
+def q_customer_cards(spark, sf):
+    return R.customer_cards(seg_of(spark, sf))
+
+
 @register("customer_lookup", S.with_sales_rfm(
     "SELECT CustomerID, Recency, Frequency, round(Monetary, 2) AS Monetary, Segment FROM seg WHERE CustomerID = 7"))
 def q_customer_lookup(spark, sf):
