@@ -58,3 +58,17 @@ def test_share_rounds_half_to_even(spark):
     df = spark.createDataFrame([("a", 1), ("b", 15)], "Segment string, Count long")
     shares = {r.Segment: r.Share for r in M.share_of_total(df).collect()}
     assert shares == {"a": 6.2, "b": 93.8}   # 6.25 -> 6.2, 93.75 -> 93.8
+
+
+def test_health_score_boundaries(spark):
+    from basketry.functions.columns import advice, health_label, health_score
+
+    rows = [(29, 10, 1000.0), (30, 9, 999.99), (89, 5, 300.0), (90, 4, 299.99)]
+    df = spark.createDataFrame(rows, "r int, f long, m double")
+    s = health_score(F.col("r"), F.col("f"), F.col("m"))
+    got = [(x.s, x.l) for x in df.select(s.alias("s"), health_label(s).alias("l")).collect()]
+    # 40+30+30, 20+20+20, 20+20+20, 5+5+5
+    assert got == [(100, "Healthy"), (60, "Average"), (60, "Average"), (15, "At Risk")]
+    adv = spark.createDataFrame([("VIP",), ("Nope",), (None,)], "s string").select(
+        advice(F.col("s"), "predict").alias("a")).collect()
+    assert adv[0].a.startswith("Top customer") and adv[1].a == adv[2].a == "Analyse further for targeted marketing."
