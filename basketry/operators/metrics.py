@@ -185,7 +185,11 @@ def sales_heatmap(df: DataFrame) -> DataFrame:
 
 def sales_heatmap_wide(df: DataFrame) -> DataFrame:
     """Weekday rows Monday..Sunday × one column per observed hour (``h0`` .. ``h23``)."""
-    long = sales_heatmap(df)
+    return heatmap_wide_from_long(sales_heatmap(df))
+
+
+def heatmap_wide_from_long(long: DataFrame) -> DataFrame:
+    """A14 from an already computed long heatmap (at most 168 rows)."""
     wide = long.groupBy("day_idx", "Day").pivot("Hour").agg(F.first("Orders"))
     hours = [c for c in wide.columns if c not in ("day_idx", "Day")]
     return wide.select(
@@ -195,7 +199,12 @@ def sales_heatmap_wide(df: DataFrame) -> DataFrame:
 
 def heatmap_ceiling(df: DataFrame, factor: float = 0.85) -> DataFrame:
     """Colour ceiling = factor × largest cell."""
-    return sales_heatmap(df).agg((F.max("Orders") * factor).alias("zmax"))
+    return ceiling_from_long(sales_heatmap(df), factor)
+
+
+def ceiling_from_long(long: DataFrame, factor: float = 0.85) -> DataFrame:
+    """A15 from an already computed long heatmap."""
+    return long.agg((F.max("Orders") * factor).alias("zmax"))
 
 
 def basket_shape(df: DataFrame, cap: float | None = DEFAULT_CAP) -> DataFrame:

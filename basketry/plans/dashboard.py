@@ -36,10 +36,14 @@ def _keep(df: DataFrame, persist) -> DataFrame:
 def get_metrics(df: DataFrame, cap: float = M.DEFAULT_CAP, top_n: int = 10, persist=None) -> dict:
     """Every metric table of one line table, as a dict of lazy DataFrames (plus ``lines``)."""
     src = _keep(df, persist)
+    k = M.kpis(src, cap)
+    heat = M.sales_heatmap(src)
+    if persist == "cache":
+        heat = heat.persist(StorageLevel.MEMORY_AND_DISK)  # ≤168 rows, read by three tables
     return {
         "lines": src,
-        "kpis": M.kpis(src, cap),
-        "kpi_text": M.kpi_text(M.kpis(src, cap)),
+        "kpis": k,
+        "kpi_text": M.kpi_text(k),
         "basket_data": M.basket_values(src, cap),
         "purchase_freq": M.purchase_frequency(src),
         "monthly_revenue": M.monthly_revenue(src),
@@ -47,9 +51,9 @@ def get_metrics(df: DataFrame, cap: float = M.DEFAULT_CAP, top_n: int = 10, pers
         "top_countries": M.top_countries(src, top_n),
         "top_products": M.top_products(src, top_n),
         "top_customers": M.top_customers(src, top_n),
-        "heatmap": M.sales_heatmap(src),
-        "heatmap_wide": M.sales_heatmap_wide(src),
-        "heatmap_ceiling": M.heatmap_ceiling(src),
+        "heatmap": heat,
+        "heatmap_wide": M.heatmap_wide_from_long(heat),
+        "heatmap_ceiling": M.ceiling_from_long(heat),
         "basket_shape": M.basket_shape(src, cap),
     }
 
@@ -70,7 +74,7 @@ def dashboard(lines: DataFrame, customers: DataFrame, spec: FL.FilterSpec, cap:
 
 
 def release(view: dict) -> None:
-    """Drop the cached lines of a refresh (no-op for written or unpersisted inputs)."""
-    lines = view.get("lines")
-    if lines is not None and lines.storageLevel != StorageLevel.NONE:
-        lines.unpersist()
+    """Drop everything a refresh cached (no-op for written or unpersisted inputs)."""
+    for df in view.values():
+        if isinstance(df, DataFrame) and df.storageLevel != StorageLevel.NONE:
+            df.unpersist()

@@ -72,8 +72,9 @@ def test_dashboard_filters_and_pies(lines, model):
     assert bounds[0] is None or (bounds[0] >= lo and bounds[1] <= hi)
     from basketry.plans.dashboard import release
 
+    assert view["heatmap"].is_cached
     release(view)
-    assert not view["lines"].is_cached
+    assert not view["lines"].is_cached and not view["heatmap"].is_cached
 
 
 def test_overview_filter_variant(lines, model):
