@@ -4,6 +4,12 @@ Every callable takes ``(spark, sf_dir)``, reads the whole tables of that folder
 DataFrame. Column names match the oracle exactly. Parameters that differ from the defaults are
 data-driven: the TPC-H-like order totals all exceed 1,000, so the sales_lines queries pass
 cap 200,000 and basket edges (100,000, 250,000) — see FIXTURES.md.
+
+Adding a query: decorate a ``(spark, sf_dir) -> DataFrame`` function with ``@register(name, sql)``.
+Build the SQL from the CTE helpers in ``oracle_sql`` (``with_sales``, ``with_events``, ``with_dirty``,
+``with_sales_rfm``), alias every column identically on both sides, and round floats the same
+way. Leave ``sql`` out only when the result depends on a fitted model (rows-only check). Then run
+``python scripts/oracle_check.py /root/testdata/sf0.01 <name>``.
 """
 
 from __future__ import annotations
