@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import mixing, sharding
+from basketry.llm import decontaminate, language, licenses, mixing, sharding, token_output
 from basketry.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,12 @@ def register(name: str):
     return deco
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def levels() -> dict:
     """The mixing tree: domains of five numbered sources each, then language, then source."""
     number = F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT)")
@@ -31,11 +37,32 @@ def levels() -> dict:
 WEIGHTS = {("domain0",): 4.0, ("domain1",): 3.0, ("domain2",): 2.0, ("domain3",): 1.0, ("*", "en"): 4.0, ("*", "de"): 2.0, ("*", "fr"): 2.0, ("*", "es"): 2.0}
 
 
+@register("op1_decontaminate")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+@register("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+@register("op5_rans_tokens")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.read_blocks(*token_output.write_blocks(documents(spark, sf_dir), tokenizer_path()))
+
+
 @register("op6_mix_sources")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), levels(), WEIGHTS, share=0.5, max_epochs=4, seed=17)
 
 
+@register("op10_language_mixture")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.label(docs).select(F.col("row.doc_id").alias("doc_id"), language.held_out("row.doc_id").alias("held_out"), "lang_pred", "score", "languages")
+
+
 @register("op8_vector_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), n_shards=24)
