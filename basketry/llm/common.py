@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from basketry.session import materialize
 
@@ -82,5 +82,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
             labels.join(step, "component", "left").select("vertex", F.coalesce("__root", "component").alias("component")))
     if labels is None:
         kind = edges.schema["a"].dataType
-        return spark.createDataFrame([], "vertex long, component long").select(F.col("vertex").cast(kind).alias("vertex"), F.col("component").cast(kind).alias("component"))
+        return spark.createDataFrame([], StructType([StructField("vertex", kind), StructField("component", kind)]))
     return labels

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from basketry.session import materialize
 
-SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: Texts are cut before A-Z are put in lower case, so these are ASCII characters other than letters and digits.
+SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 # The base phrases and their labels.
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 # Key phrases of well-known licence texts, all of which a file has to hold.

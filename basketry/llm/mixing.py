@@ -63,6 +63,15 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[tuple[str
     return leaves.join(given.drop("__root"), list(levels))
 
 
+def _edge(sums: DataFrame, leaf: Sequence[str], at: str) -> DataFrame:
+    """Per leaf the first of at most 256 values of ``at`` where the running sum passes __rest, and the sum before it as __base."""
+    by = sums.groupBy(*leaf, at, "__rest", "__base").agg(F.sum("__sum").alias("__sum"))
+    up_to = Window.partitionBy(*leaf).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    by = by.withColumn("__until", F.col("__base") + F.sum("__sum").over(up_to))
+    crossed = by.where((F.col("__until") > F.col("__rest")) & (F.col("__until") - F.col("__sum") <= F.col("__rest")))
+    return crossed.select(*leaf, at, (F.col("__until") - F.col("__sum")).alias("__base"))
+
+
 def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple[str, ...], float], share: float = 0.5,
         max_epochs: int = 4, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
     """One row per selected document and epoch: id, the levels, n_tokens, epoch (from 1); with_row: and the input row as struct ``row``.
@@ -90,11 +99,11 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple[st
     place = F.xxhash64(F.lit(seed), F.col("__whole") + 1, F.col("__id"))
     part = F.shiftrightunsigned(place, 48).cast("int")
     ordered = light.join(quota, inner).where("__rest > 0").select(*inner, "__rest", "__id", "__n", place.alias("__place"), part.alias("__range"))
-    ranges = ordered.groupBy(*inner, "__range", "__rest").agg(F.sum("__n").alias("__sum"))
-    up_to = Window.partitionBy(*inner).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = ranges.withColumn("__until", F.sum("__sum").over(up_to))
-    edge = ranges.where("__until > __rest").groupBy(*inner).agg(F.min(F.struct("__range", (F.col("__until") - F.col("__sum")).alias("__base"))).alias("__e"))
-    edge = materialize(edge.select(*inner, F.col("__e.__range").alias("__range"), F.col("__e.__base").alias("__base")))
+    sums = ordered.groupBy(*inner, "__range", "__rest").agg(F.sum("__n").alias("__sum")).withColumn("__base", F.lit(0).cast("long"))
+    # first among a leaf's 256 coarse ranges, then among the 256 fine ones of the coarse range that holds the edge
+    coarse = _edge(sums.withColumn("__at", F.shiftright("__range", 8)), inner, "__at")
+    fine = sums.drop("__base").withColumn("__at", F.shiftright("__range", 8)).join(coarse, [*inner, "__at"])
+    edge = materialize(_edge(fine, inner, "__range"))
     in_edge = ordered.join(edge, [*inner, "__range"])
     # unsigned order within a range equals signed order, as its upper bits are equal
     running = Window.partitionBy(*inner).orderBy(F.struct("__place", "__id")).rangeBetween(Window.unboundedPreceding, 0)

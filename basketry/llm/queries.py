@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import decontaminate, language, licenses, mixing, sharding, token_output
+from basketry.llm import decontaminate, embedding_forest, language, licenses, mixing, ngram_join, sharding, suffix_dedup, token_output
 from basketry.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+@register("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("spans")
+
+
 @register("op5_rans_tokens")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_blocks(*token_output.write_blocks(documents(spark, sf_dir), tokenizer_path()))
@@ -57,12 +62,22 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), levels(), WEIGHTS, share=0.5, max_epochs=4, seed=17)
 
 
+@register("op9_ngram_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir), width=3, num=90, den=100).drop("__row")
+
+
 @register("op10_language_mixture")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language.label(docs).select(F.col("row.doc_id").alias("doc_id"), language.held_out("row.doc_id").alias("held_out"), "lang_pred", "score", "languages")
 
 
+@register("op7_embedding_forest")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_forest.link(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"), threshold=0.9)
+
+
 @register("op8_vector_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), n_shards=24)

@@ -12,8 +12,10 @@ checkpoint uint32 step and uint32 word offset and uint64 states, then the uint32
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,43 +30,81 @@ from basketry.session import materialize
 #: Frequencies sum to 2 ** SCALE; states stay in [2**31, 2**63).
 SCALE = 20
 LOW = np.uint64(1 << 31)
-LANES = 1024
-CHECKPOINT_STEPS = 256
+LANES = 4096
+CHECKPOINT_STEPS = 64
 #: A block is closed at the end of the document that brings it to so many ids.
 BLOCK_IDS = 1 << 20
 #: Pieces of text whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 MAGIC = b"RA64"
 
 _ODD_SPACE = re.compile(r" \s| $")
 _CUT = re.compile(r" (?=\S)")
 
 
+def _byte_characters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself where it is printable in Latin-1, else the next of U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
 class Tokenizer:
     """The library's ids, asking it only once per piece of text.
 
     A text is cut before each space that precedes another character than white space. The tokenizer's own
-    splitting never joins what such a cut separates, so the ids of a text are those of its pieces.
+    splitting never joins what such a cut separates, so the ids of a text are those of its pieces. A piece of
+    letters is one word to the tokenizer and goes to the library's model directly; stops and commas behind
+    letters are a word of their own.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer as Library
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
         self.library = Library.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
+        self.characters = str.maketrans(_byte_characters())
+        self.space = _byte_characters()[32]
         self.end_id = end_id
         self._reset()
 
     def _reset(self) -> None:
-        self.number: dict[str | None, int] = {None: 0}  # None stands for the end of a text
+        """Numbers of pieces: after a space by their text, first ones of a text by a tuple of it; None is the end of a text."""
+        self.number: dict[str | tuple[str] | None, int] = {None: 0}
+        self.tails: dict[str, list[int]] = {}
         self.ids = np.zeros(1 << 16, dtype=np.uint16)
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.ids[0], self.length[0], self.used = self.end_id, 1, 1
 
-    def _learn(self, pieces: list[str]) -> None:
-        coded = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _plain(self, word: str) -> list[int]:
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.characters)
+        return [t.id for t in self.model.tokenize(self.space + mapped)]
+
+    def _learn(self, pieces: list[str | tuple[str]]) -> None:
+        known: list[list[int] | None] = []
+        rest: list[str] = []
+        for p in pieces:
+            if isinstance(p, tuple):
+                known.append(None)
+                rest.append(p[0])
+                continue
+            stem = p.rstrip(".,")
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
+                ids = self._plain(stem)
+                if tail := p[len(stem):]:
+                    if tail not in self.tails:
+                        self.tails[tail] = self.library.encode(tail, add_special_tokens=False).ids
+                    ids = ids + self.tails[tail]
+                known.append(ids)
+            else:
+                known.append(None)
+                rest.append(" " + p)
+        others = iter([e.ids for e in self.library.encode_batch_fast(rest, add_special_tokens=False)])
+        coded = [next(others) if x is None else x for x in known]
         lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter((i for x in coded for i in x), np.uint16, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(coded), np.uint16, int(lengths.sum()))
         a, n = len(self.number), len(pieces)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -80,20 +120,20 @@ class Tokenizer:
         """All ids in one array, each text's followed by the end id, and the number of ids per text."""
         if len(self.number) > REMEMBERED:
             self._reset()
-        pieces: list[str | None] = []
+        pieces: list[str | tuple[str] | None] = []
         counts = np.empty(len(texts), np.int64)
         for k, t in enumerate(texts):
             own = t.split(" ") if _ODD_SPACE.search(t) is None else _CUT.split(t)
-            pieces.append(own[0])
-            pieces.extend([" " + w for w in own[1:]])
-            pieces.append(None)
-            counts[k] = len(own) + 1
+            own[0] = (own[0],)
+            own.append(None)
+            pieces += own
+            counts[k] = len(own)
         get = self.number.get
-        at = [get(p, -1) for p in pieces]
-        if -1 in at:
-            self._learn(list(dict.fromkeys(p for p, i in zip(pieces, at, strict=True) if i < 0)))
-            at = [get(p) for p in pieces]
-        index = np.array(at, dtype=np.int64)
+        index = np.fromiter(map(get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(index < 0).tolist()
+        if new:
+            self._learn(list(dict.fromkeys([pieces[i] for i in new])))
+            index[new] = [get(pieces[i]) for i in new]
         length = self.length[index]
         ends = np.cumsum(length)
         place = np.repeat(self.start[index] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
