@@ -29,6 +29,29 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
+def broadcast_if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table of narrow rows with the broadcast hint if it has at most ``most`` of them; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def dense_order(rows: DataFrame) -> DataFrame:
+    """(__row, ord): the rank from 0 of each row (__row, __id) by id, then row; null ids come first.
+
+    A range sort numbers the rows of each partition; the driver adds up one count per partition.
+    """
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    key = [F.col("__id").asc_nulls_first(), F.col("__row")]
+    ranked = rows.select("__row", "__id").repartitionByRange(parts, *key).sortWithinPartitions(*key)
+    ranked = materialize(ranked.select("__row", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    before, total = [], 0
+    for part, n in sorted((r[0], r[1]) for r in ranked.groupBy("part").count().collect()):
+        before.append((part, total))
+        total += n
+    start = F.broadcast(spark.createDataFrame(before, "part int, __before long"))  # one row per partition
+    return ranked.join(start, "part").select("__row", (F.col("at") + F.col("__before")).alias("ord"))
+
+
 def byte_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column in one array, and the n+1 offsets of its rows (null: empty)."""
     column = column.cast(pa.large_string()).fill_null("")

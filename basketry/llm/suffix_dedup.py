@@ -16,7 +16,7 @@ bytes are dealt out such that equal windows meet:
 4. Each document with repeated anchors removes the bytes of all windows that aren't first.
 
 Equal contexts are merged before they are dealt. An anchor with more than HOT different batches of contexts is
-not dealt to one task: its windows are compared by digest in an aggregation that Spark combines on the map side.
+not dealt to one task (so a task holds a few MB of them): its windows are compared by digest in an aggregation that Spark combines on the map side.
 """
 
 from __future__ import annotations
@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketry.llm.common import byte_buffer, map_batches, mix64
+from basketry.llm.common import byte_buffer, dense_order, map_batches, mix64
 from basketry.session import materialize
 
 LENGTH, GRAM = 100, 24
-HOT = 2000
+HOT = 20_000
 SLICE_BYTES = 2 << 20
 #: Contexts whose suffixes are sorted together, about.
 CHUNK = 8192
@@ -360,19 +360,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     bits = max(1, int(longest).bit_length())
     # the first of each group of equal texts, in the order of ids
     place = F.struct(F.col("__id").isNotNull().alias("f"), F.col("__id").alias("i"), F.col("__row").alias("r"))
-    reps = rows.where(F.col("n") >= length).groupBy("sha").agg(F.min(place).alias("p")).select(F.col("p.*"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    reps = reps.repartitionByRange(parts, "f", "i", "r").sortWithinPartitions("f", "i", "r")
-    reps = materialize(reps.select(F.col("r").alias("__row"), F.spark_partition_id().cast("long").alias("part"), F.monotonically_increasing_id().alias("at")))
-    reps = reps.withColumn("at", F.col("at") - F.shiftleft(F.col("part"), 33))
-    counts = sorted((r[0], r[1]) for r in reps.groupBy("part").count().collect())  # one row per partition
-    before, total = [], 0
-    for part, n in counts:
-        before.append((part, total))
-        total += n
-    if bits + total.bit_length() > 62:
+    reps = rows.where(F.col("n") >= length).groupBy("sha").agg(F.min(place).alias("p")).select(F.col("p.r").alias("__row"), F.col("p.i").alias("__id"))
+    reps = dense_order(reps)
+    if bits + int(reps.count()).bit_length() > 62:
         raise ValueError("ids of places need more than 62 bits")
-    reps = reps.join(F.broadcast(spark.createDataFrame(before, "part long, __before long")), "part").select("__row", (F.col("at") + F.col("__before")).alias("ord"))
     copies = materialize(rows.where(F.col("n") >= length).select("__row").join(reps, "__row", "left_anti"))
     texts = given.select("__row", "__text").where(F.octet_length("__text") >= length).join(copies, "__row", "left_anti")
 
