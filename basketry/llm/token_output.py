@@ -30,8 +30,8 @@ from basketry.session import materialize
 #: Frequencies sum to 2 ** SCALE; states stay in [2**31, 2**63).
 SCALE = 20
 LOW = np.uint64(1 << 31)
-LANES = 4096
-CHECKPOINT_STEPS = 64
+LANES = 2048
+CHECKPOINT_STEPS = 256
 #: A block is closed at the end of the document that brings it to so many ids.
 BLOCK_IDS = 1 << 20
 #: Pieces of text whose ids a worker remembers; beyond, it starts anew.
