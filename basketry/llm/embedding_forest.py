@@ -222,7 +222,7 @@ def link(vectors: DataFrame, threshold: float = 0.9, trees: int = TREES, leaf: i
     parts = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     named = reps.select("key", "id", "mult").join(counts, "key", "left").join(parts.withColumnRenamed("vertex", "key"), "key", "left")
     named = materialize(named.withColumn("component", F.coalesce("component", "key")))
-    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    least = materialize(named.groupBy("component").agg(F.min("id").alias("component_id")))  # written, so that the join can split a large component
     result = materialize(named.join(least, "component").select("key", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id"))
     out = rows.select("id", "key").join(result, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id"))
