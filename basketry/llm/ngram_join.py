@@ -5,12 +5,12 @@ Equal n-gram sets are one vertex. n-grams are ordered globally by estimated rari
 ones), then hash. Sets of similarity t share one of their first ``n - ceil(t n) + 1`` n-grams in that
 order, so documents that meet there are candidates. The hash order is cut into fragments at fixed pivots:
 the number of a set's n-grams in each of 32 fragments bounds the distance of two sets from below and prunes
-candidates exactly; the rest is decided by joining both documents' n-grams fragment by fragment,
+candidates exactly (a finer count does so again per pair); the rest is decided by joining both documents' n-grams fragment by fragment,
 counting each fragment's overlap on its own and summing per pair.
 
 Only components are wanted, so no list emits all its pairs. In a round every member of a list proposes
 its nearest ``k`` remaining partners of other components; a list with members that have more comes
-again in the next round with the components found so far and four times ``k``, until no pair of
+again in the next round with the components found so far and eight times ``k``, until no pair of
 different components is left untested. A list of more than HOT members is cut into blocks, and the pairs
 of blocks are spread over tasks.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketry.llm.common import byte_buffer, connected_components, map_batches, mix64
+from basketry.llm.common import broadcast_if_small, byte_buffer, connected_components, map_batches, mix64
 from basketry.session import materialize
 
 TABLE_BITS = 16
@@ -126,8 +126,27 @@ def _pack(h: np.ndarray) -> np.ndarray:
     return (counts[0::2] | (counts[1::2] << 4)).astype(np.uint8)
 
 
+def _fine(h: np.ndarray) -> bytes:
+    """The same with about one fragment per eight hashes (a power of two from 32 to 4096), for pairs that pass the short sketch."""
+    bits = min(12, max(5, (len(h) // 8).bit_length()))
+    counts = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 15
+    return (counts[0::2] | (counts[1::2] << 4)).astype(np.uint8).tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets from their fine sketches; the finer one is folded."""
+    a, b = (np.frombuffer(v, np.uint8) for v in (x, y))
+    a, b = (np.stack([v & 15, v >> 4], axis=1).ravel() for v in (a, b))
+    while len(a) > len(b):
+        a = (a[0::2] + a[1::2]) & 15
+    while len(b) > len(a):
+        b = (b[0::2] + b[1::2]) & 15
+    gap = (a - b) & 15
+    return int(np.minimum(gap, 16 - gap).sum(dtype=np.int64))
+
+
 def _sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(__row, __id, n, digest, sketch, prefix): the n-gram set of each row, and its rarest n-grams as keys of the global order."""
+    """(__row, __id, n, digest, sketch, fine, prefix): the n-gram set of each row, and its rarest n-grams as keys of the global order."""
     by_word, by_gram = _tables(docs, width)
     n_words, n_grams = max(1.0, by_word.sum()), max(1.0, by_gram.sum())
     log_word = np.log2(np.maximum(by_word, 1.0) / n_words)
@@ -135,7 +154,7 @@ def _sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     excess = np.log2(np.maximum(by_gram - mean - 5 * np.sqrt(mean), 1.0))
     shared = docs.sparkSession.sparkContext.broadcast((log_word, excess, np.log2(n_grams)))
     schema = T.StructType([T.StructField("__row", T.LongType()), docs.schema["__id"], T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()),
-                           T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+                           T.StructField("sketch", T.BinaryType()), T.StructField("fine", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def make():
         log_w, log_g, total = shared.value
@@ -143,7 +162,7 @@ def _sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             flat, at = byte_buffer(batch.column(2))
-            sizes, digests, sketches, prefixes = [], [], [], []
+            sizes, digests, sketches, fines, prefixes = [], [], [], [], []
             for a, b in _slices(at):
                 words, doc = word_hashes(flat[at[a]:at[b]], at[a:b + 1] - at[a])
                 h, start, offsets = shingles(words, doc, b - a, width)
@@ -159,13 +178,14 @@ def _sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     sizes.append(len(own))
                     digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                     sketches.append(_pack(own).tobytes())
+                    fines.append(_fine(own))
                     keep = len(own) - -(-num * len(own) // den) + 1 if len(own) else 0
                     own_keys = keys[offsets[k]:offsets[k + 1]][where]
                     prefixes.append(np.sort(np.partition(own_keys, keep - 1)[:keep]) if 0 < keep < len(own) else np.sort(own_keys))
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             values = np.concatenate(prefixes).view(np.int64) if prefixes else np.empty(0, np.int64)
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()),
-                                               pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=schema.names)
+                                               pa.array(fines, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=schema.names)
 
         return one
 
@@ -307,10 +327,26 @@ def _segments(docs: DataFrame, active: DataFrame, width: int) -> DataFrame:
 
         return one
 
-    rows = docs.select("__row", "__text").join(active.select("vid", "__row"), "__row")
+    rows = docs.select("__row", "__text").join(broadcast_if_small(active.select("vid", "__row")), "__row")
     return map_batches(rows.select("vid", "__text"), make, "vid long, fragment int, grams binary")
 
 
+def _prune(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose fine sketches don't rule them out."""
+    left = pairs.join(reps.select(F.col("vid").alias("a"), F.col("fine").alias("fine_a")), "a")
+    both = left.join(reps.select(F.col("vid").alias("b"), F.col("fine").alias("fine_b")), "b")
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            far = np.array([_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)])
+            return batch.select([0, 1, 2, 3]).filter(pa.array(far * (den + num) <= (na + nb) * (den - num)))
+
+        return one
+
+    return map_batches(both.select("a", "b", "na", "nb", "fine_a", "fine_b"), make, "a long, b long, na long, nb long")
+
+
 def _verify(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the threshold."""
     left = pairs.join(segments.select(F.col("vid").alias("b"), "fragment", F.col("grams").alias("of_b")), "b")
@@ -343,18 +379,18 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col:
     """
     given = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
     sets = materialize(_sets(given, width, num, den))
-    one = F.first(F.struct("__row", "n", "sketch", "prefix")).alias("x")
+    one = F.first(F.struct("__row", "n", "sketch", "fine", "prefix")).alias("x")
     reps = sets.where("n > 0").groupBy("digest").agg(F.min("__id").alias("least"), one)
     reps = materialize(reps.select(F.monotonically_increasing_id().alias("vid"), "digest", "least", "x.*"))
     posted = reps.select(F.explode("prefix").alias("h"), "vid", "n", "sketch", F.col("vid").alias("comp"), F.lit(-1).cast("long").alias("blk"))
     links = None
     segments = None
     comps = None
-    rows, k, members = posted, 1, None
+    rows, k, members = posted, 2, None
     while True:
         ordered = rows.repartition("h").sortWithinPartitions("h")
         out = materialize(ordered.mapInArrow(_lists(k, num, den, hot), _OUT))
-        pairs = out.where(f"kind = {_PAIR}").select("a", "b", "na", "nb").distinct()
+        pairs = materialize(_prune(out.where(f"kind = {_PAIR}").select("a", "b", "na", "nb").distinct(), reps, num, den))
         again = out.where(f"kind = {_MEMBER}").select("h", F.col("a").alias("vid"), F.col("na").alias("n"), "sketch", "blk")
         large = out.where(f"kind = {_LARGE}").select("h").distinct()
         if members is None:  # a large list is met in the first round only: blocks are smaller
@@ -362,7 +398,7 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col:
                 again = again.unionByName(_blocks(posted, materialize(large), hot))
             members = again = materialize(again)
             touched = pairs.select(F.col("a").alias("vid")).unionByName(pairs.select(F.col("b").alias("vid"))).unionByName(members.select("vid")).distinct()
-            segments = materialize(_segments(given, reps.select("vid", "__row").join(touched, "vid"), width))
+            segments = materialize(_segments(given, materialize(reps.select("vid", "__row").join(touched, "vid")), width))
         found = materialize(_verify(pairs, segments, num, den))
         links = found if links is None else links.unionByName(found)
         comps = connected_components(links)
@@ -370,10 +406,10 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col:
             break
         rows = again.join(comps.select(F.col("vertex").alias("vid"), F.col("component").alias("comp")), "vid", "left")
         rows = rows.select("h", "vid", "n", "sketch", F.coalesce("comp", "vid").alias("comp"), "blk")
-        k *= 4
+        k *= 8
     named = reps.select("vid", "digest", "least").join(comps.withColumnRenamed("vertex", "vid"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
     named = materialize(named)
-    label = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    label = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")))  # written, so that the join can split a large component
     label = materialize(named.join(label, "component").select("digest", "component_id"))
     out = sets.select("__row", "__id", "n", "digest").join(label, "digest", "left")
     return out.select("__row", F.col("__id").alias(id_col), F.col("n").alias("n_shingles"),
