@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import decontaminate, embedding_forest, language, licenses, mixing, ngram_join, sharding, suffix_dedup, token_output
+from basketry.llm import decontaminate, embedding_forest, language, licenses, line_dedup, mixing, ngram_join, sharding, suffix_dedup, token_output
 from basketry.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+@register("op3_line_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.find_repeats(documents(spark, sf_dir)).drop("__row")
+
+
 @register("op4_suffix_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("spans")
