@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from basketry.session import materialize
+from basketry.session import materialize, release
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,23 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
+class Tables:
+    """Written tables of one call, to be deleted once what is kept no longer reads them."""
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.held.append(materialize(df))
+        return self.held[-1]
+
+    def drop(self, *keep: DataFrame) -> None:
+        for table in self.held:
+            if not any(table is k for k in keep):
+                release(table)
+        self.held = [t for t in self.held if any(t is k for k in keep)]
+
+
 def broadcast_if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """A written table of narrow rows with the broadcast hint if it has at most ``most`` of them; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -81,28 +98,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
     per round. All tables live in the shared checkpoint folder; the driver sees only counts.
     """
     spark = edges.sparkSession
+    tables = Tables()
     pairs = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = tables.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
-    while True:
-        if not pairs.take(1):
-            break
+    while pairs.take(1):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("__m"))
-        parent = materialize(parent.select("vertex", F.least("vertex", "__m").alias("root")))
+        parent = tables.write(parent.select("vertex", F.least("vertex", "__m").alias("root")))
         while True:
             up = parent.select(F.col("vertex").alias("root"), F.col("root").alias("__up"))
-            jumped = materialize(parent.join(up, "root").select("vertex", F.col("__up").alias("root"), (F.col("__up") != F.col("root")).alias("__moved")))
+            jumped = tables.write(parent.join(up, "root").select("vertex", F.col("__up").alias("root"), (F.col("__up") != F.col("root")).alias("__moved")))
             parent = jumped.select("vertex", "root")
             if not jumped.where("__moved").take(1):
                 break
         left = parent.select(F.col("vertex").alias("a"), F.col("root").alias("__a"))
         right = parent.select(F.col("vertex").alias("b"), F.col("root").alias("__b"))
         named = pairs.join(left, "a").join(right, "b").where("__a <> __b")
-        pairs = materialize(named.select(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b")).distinct())
+        pairs = tables.write(named.select(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b")).distinct())
         step = parent.select(F.col("vertex").alias("component"), F.col("root").alias("__root"))
-        labels = parent.select("vertex", F.col("root").alias("component")) if labels is None else materialize(
-            labels.join(step, "component", "left").select("vertex", F.coalesce("__root", "component").alias("component")))
+        first = parent.select("vertex", F.col("root").alias("component"))
+        labels = tables.write(first if labels is None else labels.join(step, "component", "left").select("vertex", F.coalesce("__root", "component").alias("component")))
+        tables.drop(pairs, labels)
+    tables.drop(labels)
     if labels is None:
         kind = edges.schema["a"].dataType
         return spark.createDataFrame([], StructType([StructField("vertex", kind), StructField("component", kind)]))

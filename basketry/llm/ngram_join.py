@@ -5,8 +5,8 @@ Equal n-gram sets are one vertex. n-grams are ordered globally by estimated rari
 ones), then hash. Sets of similarity t share one of their first ``n - ceil(t n) + 1`` n-grams in that
 order, so documents that meet there are candidates. The hash order is cut into fragments at fixed pivots:
 the number of a set's n-grams in each of 32 fragments bounds the distance of two sets from below and prunes
-candidates exactly (a finer count does so again per pair); the rest is decided by joining both documents' n-grams fragment by fragment,
-counting each fragment's overlap on its own and summing per pair.
+candidates exactly; finer fragments, for sets of similar size down to two n-grams each, do so again. The rest is decided by
+joining both documents' n-grams fragment by fragment, counting each fragment's overlap on its own and summing per pair.
 
 Only components are wanted, so no list emits all its pairs. In a round every member of a list proposes
 its nearest ``k`` remaining partners of other components; a list with members that have more comes
@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketry.llm.common import broadcast_if_small, byte_buffer, connected_components, map_batches, mix64
-from basketry.session import materialize
+from basketry.llm.common import Tables, broadcast_if_small, byte_buffer, connected_components, map_batches, mix64
+from basketry.session import materialize, release
 
 TABLE_BITS = 16
 #: Fragments of the hash order whose counts a sketch holds (4 bits each), and those that overlaps are counted in.
 SKETCH, FRAGMENTS = 32, 8
-HOT = 8192
+HOT = 4096
 SLICE_BYTES = 2 << 20
 
 _rng = np.random.default_rng(20240229)
@@ -127,22 +127,26 @@ def _pack(h: np.ndarray) -> np.ndarray:
 
 
 def _fine(h: np.ndarray) -> bytes:
-    """The same with about one fragment per eight hashes (a power of two from 32 to 4096), for pairs that pass the short sketch."""
-    bits = min(12, max(5, (len(h) // 8).bit_length()))
+    """The same with one fragment for about two hashes (a power of two from 32 to 16,384)."""
+    bits = min(14, max(5, (len(h) // 2).bit_length()))
     counts = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 15
     return (counts[0::2] | (counts[1::2] << 4)).astype(np.uint8).tobytes()
 
 
-def _apart(x: bytes, y: bytes) -> int:
-    """A lower bound of the symmetric difference of two sets from their fine sketches; the finer one is folded."""
-    a, b = (np.frombuffer(v, np.uint8) for v in (x, y))
-    a, b = (np.stack([v & 15, v >> 4], axis=1).ravel() for v in (a, b))
-    while len(a) > len(b):
-        a = (a[0::2] + a[1::2]) & 15
-    while len(b) > len(a):
-        b = (b[0::2] + b[1::2]) & 15
+def _counts(sketch: bytes) -> np.ndarray:
+    packed = np.frombuffer(sketch, np.uint8)
+    return np.stack([packed & 15, packed >> 4], axis=1).ravel()
+
+
+def _folded(counts: np.ndarray, fragments: int) -> np.ndarray:
+    """Counts of coarser fragments, modulo 16."""
+    return (counts.reshape(*counts.shape[:-1], fragments, -1).sum(axis=-1) & 15).astype(np.uint8)
+
+
+def _gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A lower bound of the symmetric difference from counts modulo 16 along the last axis."""
     gap = (a - b) & 15
-    return int(np.minimum(gap, 16 - gap).sum(dtype=np.int64))
+    return np.minimum(gap, 16 - gap).sum(axis=-1, dtype=np.int64)
 
 
 def _sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -197,30 +201,50 @@ _PAIR, _MEMBER, _LARGE = 0, 1, 2
 
 
 def _propose(vid, n, sketch, comp, blk, k: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one list: the proposed pairs (indices), and the members that have more than ``k`` partners left (or none)."""
+    """Of one list: for each member its ``k`` nearest partners that may match (as pairs of indices), and how many there are."""
     m = len(vid)
-    fine = np.concatenate([sketch & 15, sketch >> 4], axis=1).astype(np.int8)
-    left, right, count = [], [], np.zeros(m, dtype=np.int64)
+    full = [_counts(x) for x in sketch]
+    sizes = np.array([len(x) for x in full])
+    coarse = np.stack([_folded(x, SKETCH) for x in full])
+    cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(fragments: int) -> tuple[np.ndarray, np.ndarray]:
+        if fragments not in cache:
+            own = np.flatnonzero(sizes >= fragments)
+            place = np.full(m, -1)
+            place[own] = np.arange(len(own))
+            cache[fragments] = np.stack([_folded(full[i], fragments) for i in own]), place
+        return cache[fragments]
+
+    left, right, count = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.zeros(m, dtype=np.int64)
     for a in range(0, m, 64):
         b = min(m, a + 64)
-        gap = (fine[a:b, None, :] - fine[None, :, :]) & 15
-        far = np.minimum(gap, 16 - gap).sum(axis=2, dtype=np.int64)
         both = n[a:b, None] + n[None, :]
         ok = (np.minimum(n[a:b, None], n[None, :]) * den >= np.maximum(n[a:b, None], n[None, :]) * num) & (comp[a:b, None] != comp[None, :])
-        ok &= far * (den + num) <= both * (den - num)  # a lower bound of the symmetric difference
         ok &= (blk[a:b, None] < 0) | (blk[a:b, None] != blk[None, :])
-        count[a:b] = ok.sum(axis=1)
-        far = np.where(ok, far, 1 << 40)
-        if k < m:
-            near = np.argpartition(far, k - 1, axis=1)[:, :k]
-            i, j = np.repeat(np.arange(a, b), near.shape[1]), near.ravel()
-            good = ok[i - a, j]
-            left.append(i[good])
-            right.append(j[good])
-        else:
-            i, j = np.nonzero(ok)
-            left.append(i + a)
-            right.append(j)
+        far = _gap(coarse[a:b, None, :], coarse[None, :, :])
+        ok &= far * (den + num) <= both * (den - num)
+        i, j = np.nonzero(ok)
+        far = far[i, j]
+        i = i + a
+        done = SKETCH
+        for fragments in (4 * SKETCH, 16 * SKETCH, 1 << 14):  # finer and finer, for the pairs that are left
+            level = np.minimum(np.minimum(sizes[i], sizes[j]), fragments)
+            for f in np.unique(level[level > done]).tolist():
+                table, place = at(f)
+                some = np.flatnonzero(level == f)
+                for c in range(0, len(some), max(1, (4 << 20) // f)):
+                    own = some[c:c + max(1, (4 << 20) // f)]
+                    far[own] = _gap(table[place[i[own]]], table[place[j[own]]])
+            done = fragments
+            good = far * (den + num) <= (n[i] + n[j]) * (den - num)
+            i, j, far = i[good], j[good], far[good]
+        count[a:b] = np.bincount(i - a, minlength=b - a)
+        order = np.lexsort((vid[j], far, i))
+        i, j = i[order], j[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        left.append(i[rank < k])
+        right.append(j[rank < k])
     return np.concatenate(left), np.concatenate(right), count
 
 
@@ -232,7 +256,7 @@ def _lists(k: int, num: int, den: int, hot: int):
         held, skipping = None, None
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5)]
-            cols.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH // 2))
+            cols.append(np.array([*batch.column(3).to_pylist(), None], dtype=object)[:-1])
             if skipping is not None:
                 rest = cols[0] != skipping
                 cols = [c[rest] for c in cols]
@@ -263,13 +287,13 @@ def _lists(k: int, num: int, den: int, hot: int):
             sizes = np.diff(np.append(starts, len(h)))
             two = starts[sizes == 2]
             i, j = two, two + 1
-            if len(two):
-                gap = (np.concatenate([sketch & 15, sketch >> 4], axis=1).astype(np.int8)[i] - np.concatenate([sketch & 15, sketch >> 4], axis=1).astype(np.int8)[j]) & 15
-                far = np.minimum(gap, 16 - gap).sum(axis=1, dtype=np.int64)
-                ok = (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num) & (comp[i] != comp[j])
-                ok &= (far * (den + num) <= (n[i] + n[j]) * (den - num)) & ((blk[i] < 0) | (blk[i] != blk[j]))
+            ok = (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num) & (comp[i] != comp[j]) & ((blk[i] < 0) | (blk[i] != blk[j]))
+            i, j = i[ok], j[ok]
+            if len(i):
+                x, y = (np.frombuffer(b"".join(_short(v) for v in sketch[p]), np.uint8).reshape(-1, SKETCH // 2) for p in (i, j))
+                ok = (_gap(x & 15, y & 15) + _gap(x >> 4, y >> 4)) * (den + num) <= (n[i] + n[j]) * (den - num)
                 i, j = i[ok], j[ok]
-            left, right, again = [i], [j], []
+            left, right, again, sigs = [i], [j], [], []
             for s, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
                 if m > hot:
                     yield _rows(_LARGE, h=h[s:s + 1])
@@ -280,6 +304,7 @@ def _lists(k: int, num: int, den: int, hot: int):
                 right.append(y + s)
                 if (count > k).any():
                     again.append(s + np.flatnonzero(count))
+                    sigs.append(np.full(len(again[-1]), int.from_bytes(hashlib.blake2b(np.sort(vid[again[-1]]).tobytes(), digest_size=8).digest(), "little", signed=True)))
             i, j = np.concatenate(left), np.concatenate(right)
             if len(i):
                 swap = vid[i] > vid[j]
@@ -288,16 +313,24 @@ def _lists(k: int, num: int, den: int, hot: int):
                 yield _rows(_PAIR, a=pair[:, 0], b=pair[:, 1], na=pair[:, 2], nb=pair[:, 3])
             if again:
                 i = np.concatenate(again)
-                yield _rows(_MEMBER, a=vid[i], na=n[i], h=h[i], sketch=sketch[i], blk=blk[i])
+                yield _rows(_MEMBER, a=vid[i], b=np.concatenate(sigs), na=n[i], h=h[i], sketch=sketch[i], blk=blk[i])
 
     return run
 
 
+def _short(sketch: bytes) -> bytes:
+    """The sketch in SKETCH fragments."""
+    if len(sketch) == SKETCH // 2:
+        return sketch
+    counts = _folded(_counts(sketch), SKETCH)
+    return (counts[0::2] | (counts[1::2] << 4)).astype(np.uint8).tobytes()
+
+
 def _rows(kind: int, sketch: np.ndarray | None = None, **cols: np.ndarray) -> pa.RecordBatch:
     n = len(next(iter(cols.values())))
     none = pa.nulls(n, pa.int64())
     long = {c: pa.array(cols[c].astype(np.int64)) if c in cols else none for c in ("a", "b", "na", "nb", "h", "blk")}
-    packed = pa.nulls(n, pa.binary()) if sketch is None else pa.array([x.tobytes() for x in sketch], pa.binary())
+    packed = pa.nulls(n, pa.binary()) if sketch is None else pa.array(list(sketch), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, dtype=np.int32)), long["a"], long["b"], long["na"], long["nb"], long["h"], packed, long["blk"]],
                                       names=["kind", "a", "b", "na", "nb", "h", "sketch", "blk"])
 
@@ -339,7 +372,11 @@ def _prune(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            far = np.array([_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)])
+            far = np.empty(len(na), dtype=np.int64)
+            for k, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                x, y = _counts(x), _counts(y)
+                f = min(len(x), len(y))
+                far[k] = _gap(_folded(x, f), _folded(y, f))
             return batch.select([0, 1, 2, 3]).filter(pa.array(far * (den + num) <= (na + nb) * (den - num)))
 
         return one
@@ -377,30 +414,40 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col:
     no n-grams and link with nothing. Repeated rows and repeated ids are vertices of their own; null ids link as
     others but are no component's name unless alone (null). An empty table gives an empty result.
     """
+    return _join(docs, width, num, den, id_col, text_col, hot)[0]
+
+
+def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str, hot: int) -> tuple[DataFrame, Tables]:
+    """The result of ``join``, and the written tables it reads."""
     given = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    sets = materialize(_sets(given, width, num, den))
+    tables = Tables()
+    sets = tables.write(_sets(given, width, num, den))
     one = F.first(F.struct("__row", "n", "sketch", "fine", "prefix")).alias("x")
     reps = sets.where("n > 0").groupBy("digest").agg(F.min("__id").alias("least"), one)
-    reps = materialize(reps.select(F.monotonically_increasing_id().alias("vid"), "digest", "least", "x.*"))
+    reps = tables.write(reps.select(F.monotonically_increasing_id().alias("vid"), "digest", "least", "x.*"))
     posted = reps.select(F.explode("prefix").alias("h"), "vid", "n", "sketch", F.col("vid").alias("comp"), F.lit(-1).cast("long").alias("blk"))
     links = None
     segments = None
     comps = None
-    rows, k, members = posted, 2, None
+    rows, k = posted, 2
     while True:
         ordered = rows.repartition("h").sortWithinPartitions("h")
-        out = materialize(ordered.mapInArrow(_lists(k, num, den, hot), _OUT))
-        pairs = materialize(_prune(out.where(f"kind = {_PAIR}").select("a", "b", "na", "nb").distinct(), reps, num, den))
+        out = tables.write(ordered.mapInArrow(_lists(k, num, den, hot), _OUT))
+        pairs = out.where(f"kind = {_PAIR}").select("a", "b", "na", "nb").distinct()
+        pairs = tables.write(_prune(pairs, reps, num, den) if segments is None else pairs)
         again = out.where(f"kind = {_MEMBER}").select("h", F.col("a").alias("vid"), F.col("na").alias("n"), "sketch", "blk")
-        large = out.where(f"kind = {_LARGE}").select("h").distinct()
-        if members is None:  # a large list is met in the first round only: blocks are smaller
+        if segments is None:
+            again = _distinct_lists(out, reps)
+            large = out.where(f"kind = {_LARGE}").select("h").distinct()  # met in the first round only: blocks are smaller
             if large.take(1):
-                again = again.unionByName(_blocks(posted, materialize(large), hot))
-            members = again = materialize(again)
-            touched = pairs.select(F.col("a").alias("vid")).unionByName(pairs.select(F.col("b").alias("vid"))).unionByName(members.select("vid")).distinct()
-            segments = materialize(_segments(given, materialize(reps.select("vid", "__row").join(touched, "vid")), width))
-        found = materialize(_verify(pairs, segments, num, den))
+                again = again.unionByName(_blocks(posted, reps, tables.write(large), hot))
+            again = tables.write(again)
+            touched = pairs.select(F.col("a").alias("vid")).unionByName(pairs.select(F.col("b").alias("vid"))).unionByName(again.select("vid")).distinct()
+            segments = tables.write(_segments(given, tables.write(reps.select("vid", "__row").join(touched, "vid")), width))
+        found = tables.write(_verify(pairs, segments, num, den))
         links = found if links is None else links.unionByName(found)
+        if comps is not None:
+            release(comps)
         comps = connected_components(links)
         if not again.take(1):
             break
@@ -408,17 +455,26 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col:
         rows = rows.select("h", "vid", "n", "sketch", F.coalesce("comp", "vid").alias("comp"), "blk")
         k *= 8
     named = reps.select("vid", "digest", "least").join(comps.withColumnRenamed("vertex", "vid"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
-    named = materialize(named)
-    label = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")))  # written, so that the join can split a large component
-    label = materialize(named.join(label, "component").select("digest", "component_id"))
+    named = tables.write(named)
+    label = tables.write(named.groupBy("component").agg(F.min("least").alias("component_id")))  # written, so that the join can split a large component
+    label = tables.write(named.join(label, "component").select("digest", "component_id"))
+    release(comps)
+    tables.drop(sets, label)
     out = sets.select("__row", "__id", "n", "digest").join(label, "digest", "left")
     return out.select("__row", F.col("__id").alias(id_col), F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("__id")).alias("component_id"))
+                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("__id")).alias("component_id")), tables
+
+
+def _distinct_lists(out: DataFrame, reps: DataFrame) -> DataFrame:
+    """The members of the lists that come again, with their fine sketches; of lists with the same members only one."""
+    again = out.where(f"kind = {_MEMBER}").select("h", F.col("a").alias("vid"), F.col("b").alias("sig"), F.col("na").alias("n"), "blk")
+    one = materialize(again.groupBy("sig").agg(F.min("h").alias("h")).select("h"))
+    return again.join(one, "h", "left_semi").join(reps.select("vid", F.col("fine").alias("sketch")), "vid").select("h", "vid", "n", "sketch", "blk")
 
 
-def _blocks(posted: DataFrame, large: DataFrame, hot: int) -> DataFrame:
+def _blocks(posted: DataFrame, reps: DataFrame, large: DataFrame, hot: int) -> DataFrame:
     """The members of large lists, dealt into blocks of about hot/4; every pair of blocks is a list of its own."""
-    rows = posted.join(large, "h")
+    rows = posted.drop("sketch").join(large, "h").join(reps.select("vid", F.col("fine").alias("sketch")), "vid")
     number = rows.groupBy("h").agg(F.ceil(F.count(F.lit(1)) * 4 / hot).alias("__n"))
     rows = rows.join(materialize(number), "h").withColumn("__b", F.pmod(F.xxhash64("vid", F.lit(13)), F.col("__n")))
     rows = rows.withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
@@ -428,8 +484,10 @@ def _blocks(posted: DataFrame, large: DataFrame, hot: int) -> DataFrame:
 
 def keep_first(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` less all but the first (least id, then first in the scan) of each component; columns unchanged."""
-    linked = join(docs, width, num, den, id_col, text_col)
+    linked, tables = _join(docs, width, num, den, id_col, text_col, HOT)
     alone = F.when((F.col("n_shingles") > 0) & F.col("component_id").isNotNull(), F.col("component_id").cast("string"))
     first = linked.where(alone.isNotNull()).groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("__row").alias("r"))).alias("f"))
-    keep = first.select(F.col("f.r").alias("__row")).unionByName(linked.where(alone.isNull()).select("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(materialize(keep), "__row", "left_semi").drop("__row")
+    others = linked.where(alone.isNotNull()).select("__row").join(first.select(F.col("f.r").alias("__row")), "__row", "left_anti")
+    others = materialize(others)
+    tables.drop()
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(broadcast_if_small(others), "__row", "left_anti").drop("__row")
