@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketry.llm.common import connected_components, map_batches
-from basketry.session import materialize
+from basketry.session import materialize, release
 
 TREES, LEAF, SPILL = 10, 512, 0.10
 #: Vectors that the top of the trees is fitted on, about.
@@ -219,6 +219,7 @@ def link(vectors: DataFrame, threshold: float = 0.9, trees: int = TREES, leaf: i
     wide = per_vector.join(reps, "key").select("key", "vec", "mult", "codes", F.explode("codes").alias("code"))
     found = materialize(wide.groupBy("code").applyInArrow(_compare(threshold), "key binary, root binary, n_links long"))
     counts = found.groupBy("key").agg(F.sum("n_links").alias("n"))
+    release(per_vector)
     parts = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     named = reps.select("key", "id", "mult").join(counts, "key", "left").join(parts.withColumnRenamed("vertex", "key"), "key", "left")
     named = materialize(named.withColumn("component", F.coalesce("component", "key")))

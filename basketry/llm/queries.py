@@ -7,16 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import decontaminate, embedding_forest, language, licenses, line_dedup, mixing, ngram_join, sharding, suffix_dedup, token_output
+from basketry.llm import decontaminate, embedding_forest, language, licenses, line_dedup, mixing, ngram_join, oracle, sharding, suffix_dedup, token_output
 from basketry.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def register(name: str):
+def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
         return fn
 
     return deco
@@ -42,9 +44,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
 
 
-@register("op2_license_scan")
+@register("op2_license_scan", oracle.license_scan())
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(documents(spark, sf_dir))
+    return licenses.scan(documents(spark, sf_dir)).drop("matches").withColumn("score", F.round("score", 9))
 
 
 @register("op3_line_dedup")
@@ -67,7 +69,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), levels(), WEIGHTS, share=0.5, max_epochs=4, seed=17)
 
 
-@register("op9_ngram_join")
+@register("op9_ngram_join", oracle.NGRAM_JOIN)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir), width=3, num=90, den=100).drop("__row")
 
@@ -78,7 +80,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.label(docs).select(F.col("row.doc_id").alias("doc_id"), language.held_out("row.doc_id").alias("held_out"), "lang_pred", "score", "languages")
 
 
-@register("op7_embedding_forest")
+@register("op7_embedding_forest", oracle.EMBEDDING_LINKS)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_forest.link(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"), threshold=0.9)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketry.llm.common import byte_buffer, dense_order, map_batches, mix64
-from basketry.session import materialize
+from basketry.session import materialize, release
 
 LENGTH, GRAM = 100, 24
 HOT = 20_000
@@ -399,6 +399,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     firsts = firsts.select("ord", F.lit(0).alias("kind"), "a", "b", F.lit(None).cast("long").alias("__row"), none.alias("runs"), none.alias("blob"))
     both = documents.unionByName(firsts).repartition("ord").sortWithinPartitions("ord", "kind")
     results = materialize(both.mapInArrow(_remove(length, with_kept), _RESULT))
+    release(found)
 
     out = rows.join(results, "__row", "left").join(copies.withColumn("copy", F.lit(True)), "__row", "left")
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))

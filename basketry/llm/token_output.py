@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketry.llm.common import map_batches
-from basketry.session import materialize
+from basketry.session import materialize, release
 
 #: Frequencies sum to 2 ** SCALE; states stay in [2**31, 2**63).
 SCALE = 20
@@ -319,7 +319,9 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc
 
         return one
 
-    return materialize(map_batches(tokens.select("part", "first", "ids_of", "lengths", "ids"), coder, schema)), freq
+    blocks = materialize(map_batches(tokens.select("part", "first", "ids_of", "lengths", "ids"), coder, schema))
+    release(tokens)
+    return blocks, freq
 
 
 def read_blocks(blocks: DataFrame, freq: np.ndarray, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
