@@ -38,15 +38,20 @@ HEALTH_LABELS = ("Healthy", "Average", "At Risk")
 # ---------------------------------------------------------------------------
 
 
-# Text timestamp layouts accepted by parse_timestamp, tried in this order after
-# Spark's ISO-8601 default (month before day, as pandas assumes without dayfirst).
-TIMESTAMP_FORMATS = ["M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy", "yyyy/M/d H:mm:ss", "yyyy/M/d"]
+# Text timestamp layouts with slashes, month before day (as pandas assumes without dayfirst),
+# each with an optional time of day behind it, and how they read in ISO order.
+SLASHED_DATES = [(r"^(\d{1,2})/(\d{1,2})/(\d{4})( .*)?$", "$3-$1-$2$4"), (r"^(\d{4})/(\d{1,2})/(\d{1,2})( .*)?$", "$1-$2-$3$4")]
 
 
 def parse_timestamp(text: Column) -> Column:
-    """Coercing timestamp parse (P1, E10): ISO first, then the fixed layouts; otherwise null."""
-    tries = [F.try_to_timestamp(text)] + [F.try_to_timestamp(text, F.lit(f)) for f in TIMESTAMP_FORMATS]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    """Coercing timestamp parse (P1, E10): ISO texts, and the slashed layouts put in ISO order; otherwise null.
+
+    The wall-clock time is taken as it is written: no session time zone is involved.
+    """
+    iso = F.trim(text)
+    for layout, order in SLASHED_DATES:
+        iso = F.regexp_replace(iso, layout, order)
+    return iso.try_cast("timestamp_ntz")
 
 
 def weekday_index(day_name: Column) -> Column:

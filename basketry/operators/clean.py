@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from basketry.functions.columns import parse_timestamp, weekday_index
 
 
-def parse_ts(df: DataFrame, col: str = "InvoiceDate") -> DataFrame:
-    """String timestamps become ``timestamp_ntz``; an unparseable value becomes null.
+def parse_ts(df: DataFrame, col: str = "InvoiceDate", strict: bool = False) -> DataFrame:
+    """String timestamps become ``timestamp_ntz``; a value that can't be parsed becomes null, or with
+    ``strict`` an error when the data are read.
 
     Timestamp columns are left alone (parquet already stores ``timestamp_ntz``).
     """
@@ -24,7 +25,12 @@ def parse_ts(df: DataFrame, col: str = "InvoiceDate") -> DataFrame:
         return df
     if isinstance(dtype, (T.TimestampType, T.DateType)):
         return df.withColumn(col, F.col(col).cast("timestamp_ntz"))
-    return df.withColumn(col, parse_timestamp(F.col(col).cast("string")))
+    text = F.col(col).cast("string")
+    parsed = parse_timestamp(text)
+    if strict:
+        bad = F.raise_error(F.concat(F.lit(f"not a date in {col}: "), text)).cast("timestamp_ntz")
+        parsed = F.when(text.isNotNull() & parsed.isNull(), bad).otherwise(parsed)
+    return df.withColumn(col, parsed)
 
 
 def drop_missing_customer(df: DataFrame) -> DataFrame:
@@ -80,7 +86,7 @@ def with_day_idx(df: DataFrame) -> DataFrame:
 
 def clean_sales(raw: DataFrame) -> DataFrame:
     """The full cleaning sequence P1..P10."""
-    df = parse_ts(raw)
+    df = parse_ts(raw, strict=True)
     df = drop_missing_customer(df)
     df = drop_dup_rows(df)
     df = valid_orders(df)

@@ -96,6 +96,7 @@ def filter_basket(
     return df.join(totals.where(cond).select("InvoiceNo"), "InvoiceNo", "left_semi")
 
 
+# The basket edges 50 / 200, and 20 / 100 of the overview panel.
 @dataclass(frozen=True)
 class FilterSpec:
     """Filter state of the dashboard; the defaults reproduce the later ('master') callback."""
@@ -152,5 +153,6 @@ def customers_in(rfm: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def customer_profile(rfm: DataFrame, customer_id) -> DataFrame:
-    """point lookup by customer id; no match gives an empty result."""
-    return rfm.where(F.col("CustomerID") == F.lit(int(float(customer_id))))
+    """point lookup by customer id, compared as a number; no match (also any fractional id) gives an empty result."""
+    value = float(customer_id)
+    return rfm.where(F.col("CustomerID") == F.lit(int(value)) if value.is_integer() else F.lit(False))

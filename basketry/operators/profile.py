@@ -80,7 +80,7 @@ def profile_geo(df: DataFrame, roles: dict | None = None, n: int = 10) -> DataFr
         df.where(F.col(f"`{geo}`").isNotNull())
         .groupBy(F.col(f"`{geo}`").alias(geo))
         .agg(F.coalesce(F.sum(_value(df, value_col)), F.lit(0.0)).alias(value_col))
-        .orderBy(F.desc(value_col), F.asc(geo))
+        .orderBy(F.desc(f"`{value_col}`"), F.asc(f"`{geo}`"))
         .limit(n)
     )
 

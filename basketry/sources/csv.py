@@ -12,7 +12,7 @@ SALES_SCHEMA = T.StructType(
         T.StructField("InvoiceNo", T.StringType(), True),
         T.StructField("StockCode", T.StringType(), True),
         T.StructField("Description", T.StringType(), True),
-        T.StructField("Quantity", T.IntegerType(), True),
+        T.StructField("Quantity", T.DoubleType(), True),
         T.StructField("InvoiceDate", T.StringType(), True),
         T.StructField("UnitPrice", T.DoubleType(), True),
         T.StructField("CustomerID", T.DoubleType(), True),
@@ -21,43 +21,97 @@ SALES_SCHEMA = T.StructType(
 )
 
 
-def read_sales_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+# Texts that the analysed application's reader takes as missing (the empty text too).
+NULL_TEXTS = ["#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+_MALFORMED = "_malformed_record"
+
+
+def _reader(spark: SparkSession, multi_line: bool):
+    """Header CSV with quotes doubled inside quoted fields; ``multi_line`` lets a quoted field hold line
+    breaks, for which each file is read by one task (split such inputs into many files)."""
+    return spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+
+
+def _nulls(df: DataFrame) -> DataFrame:
+    """Texts of NULL_TEXTS become null in every text column."""
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    out = []
+    for c in df.columns:
+        col = F.col(f"`{c}`")
+        out.append(F.when(~col.isin(NULL_TEXTS), col).alias(c) if c in text else col)
+    return df.select(*out)
+
+
+def _typed(df: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
+    """Casts of text columns that fail loudly on a text that isn't a value of the type (null stays null)."""
+    return df.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) if c in types and not isinstance(types[c], T.StringType) else F.col(f"`{c}`") for c in df.columns])
+
+
+def read_sales_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
     """Header CSV of order lines with an explicit schema (no inference pass over the data).
 
-    With ``schema=None`` the canonical :data:`SALES_SCHEMA` is used when the header matches it,
-    otherwise the header names are kept and every column is read as a string. Extra derived
-    columns (TotalPrice, Month, Hour, Day) may be present; cleaning only adds the missing ones.
+    With ``schema=None`` the types are those of :data:`SALES_SCHEMA` for the columns it names, and text for
+    others. Extra derived columns (TotalPrice, Month, Hour, Day) may be present; cleaning only adds the missing
+    ones. Missing values are the empty field and NULL_TEXTS. A record with more fields than the header, and
+    a text that isn't a number in a numeric column, are errors when the data are read: nothing is lost or
+    nulled silently. A record with fewer fields has nulls. InvoiceDate stays text here; dates are
+    parsed, with errors for bad ones, by ``clean.parse_ts(strict=True)``.
     """
+    header = _reader(spark, multi_line).csv(path).columns
+    known = {f.name: f.dataType for f in (schema or SALES_SCHEMA).fields}
     if schema is None:
-        header = spark.read.option("header", True).csv(path).columns
-        if header == [f.name for f in SALES_SCHEMA.fields]:
-            schema = SALES_SCHEMA
-        else:
-            known = {f.name: f.dataType for f in SALES_SCHEMA.fields}
-            known.update({"TotalPrice": T.DoubleType(), "Hour": T.IntegerType()})
-            schema = T.StructType([T.StructField(c, known.get(c, T.StringType()), True) for c in header])
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+        known.update({"TotalPrice": T.DoubleType(), "Hour": T.IntegerType()})
+    raw = _records(spark, path, header, multi_line)
+    surplus = F.raise_error(F.concat(F.lit("a record has more fields than the header: "), F.col(_MALFORMED)))
+    bad = F.col(_MALFORMED).isNotNull() & ~_short(header)
+    first = F.when(bad, surplus.cast("string")).otherwise(F.col(f"`{header[0]}`")).alias(header[0])
+    return _typed(_nulls(raw.select(first, *[F.col(f"`{c}`") for c in header[1:]])), known)
+
+
+def _records(spark: SparkSession, path: str, header: list[str], multi_line: bool) -> DataFrame:
+    """All fields as text, and the whole record in _MALFORMED where its number of fields differs from the header's."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, _MALFORMED]])
+    reader = _reader(spark, multi_line).schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _MALFORMED)
+    reader = reader.option("columnPruning", False)  # else only the fields of the columns in use are counted
+    return reader.csv(path)
+
+
+def _short(header: list[str]):
+    """Whether a malformed record has fewer fields than the header: commas are counted outside quotes."""
+    bare = F.regexp_replace(F.col(_MALFORMED), '"([^"]|"")*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1 < len(header)
+
+
+def _numeric_texts(df: DataFrame) -> DataFrame:
+    """Text columns whose values are all numbers become double (missing-value texts had made them text); one pass over the data."""
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not text:
+        return df
+    col = [F.col(f"`{c}`") for c in text]
+    seen = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(col)], *[F.count(c.try_cast("double")).alias(f"d{i}") for i, c in enumerate(col)]).first()
+    numbers = {c for i, c in enumerate(text) if seen[f"n{i}"] and seen[f"n{i}"] == seen[f"d{i}"]}
+    return _typed(df, {c: T.DoubleType() for c in numbers})
 
 
-def read_user_csv(spark: SparkSession, path: str, strict: bool = False) -> dict:
+def read_user_csv(spark: SparkSession, path: str, strict: bool = False, multi_line: bool = False) -> dict:
     """Arbitrary header CSV with inferred types.
 
-    Returns ``{"data": DataFrame}`` or ``{"error": message}`` when the file cannot be read,
-    mirroring an error result instead of an exception. By default rows with missing fields get
-    nulls and extra fields are dropped (Spark's permissive CSV mode). With ``strict=True`` a row
-    whose field count differs from the header makes the whole file an error result; the check
-    is one distributed parse of every column inside this call.
+    Returns ``{"data": DataFrame}`` or ``{"error": message}`` when the file cannot be read, mirroring an error
+    result instead of an exception. A record with more fields than the header is an error result, and one
+    with fewer has nulls for the missing ones; ``strict=True`` makes the latter an error result too. The check is one
+    distributed parse of the file inside this call. Missing values are the empty field and NULL_TEXTS.
     """
     try:
-        reader = spark.read.option("header", True).option("inferSchema", True)
-        if strict:
-            reader = reader.option("mode", "FAILFAST")
-        df = reader.csv(path)
-        df.schema  # forces the header/inference pass so a parse failure surfaces here
-        if strict:
-            # parse every column once (a count alone may skip tokenising rows)
-            df.write.format("noop").mode("overwrite").save()
-        return {"data": df}
+        reader = _reader(spark, multi_line)
+        header = reader.csv(path).columns
+        malformed = F.col(_MALFORMED).isNotNull()
+        worst = _records(spark, path, header, multi_line).agg(
+            F.count(F.col(f"`{header[0]}`")), F.count_if(malformed & ~_short(header)).alias("more"), F.count_if(malformed & _short(header)).alias("less")).first()
+        if worst["more"] or (strict and worst["less"]):
+            which = "more" if worst["more"] else "fewer"
+            return {"error": f"Error reading file: {worst['more'] or worst['less']} records have {which} fields than the header"}
+        return {"data": _numeric_texts(_nulls(reader.option("inferSchema", True).csv(path)))}
     except Exception as exc:  # noqa: BLE001 - any reader failure becomes an error result
         return {"error": f"Error reading file: {str(exc).splitlines()[0]}"}
 

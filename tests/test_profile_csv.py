@@ -95,9 +95,8 @@ def test_featured_sales_csv_keeps_supplied_columns(spark, tmp_path):
     assert str(rows["1"].InvoiceDate) == "2010-12-01 08:26:00" and rows["2"].CustomerID == 13047
 
 
-def test_strict_user_csv_reports_malformed_rows(spark, tmp_path):
+def test_user_csv_reports_malformed_rows(spark, tmp_path):
     path = _write(tmp_path, "bad.csv", "a,b\n1,2,3\n4,5\n")
-    assert "data" in read_user_csv(spark, path)          # permissive: extra field dropped
-    res = read_user_csv(spark, path, strict=True)
+    res = read_user_csv(spark, path)                     # surplus fields would be lost
     assert "error" in res and res["error"].startswith("Error reading file")
     assert "data" in read_user_csv(spark, _write(tmp_path, "good.csv", "a,b\n1,2\n"), strict=True)
