@@ -26,7 +26,11 @@ Z_COLS = tuple(f"z{c}" for c in RFM_COLS)
 # generalisation-gap threshold of its hold-out verdict.
 NAME_VIP, NAME_LOST, NAME_LOYAL, NAME_REGULAR = "VIP", "Lost", "Loyal", "Regular"
 GAP_THRESHOLD = 0.05
-ROWS_PER_PARTITION = 50_000
+#: Partitions of the feature table. The row layout seeds k-means||, so it is a parameter of the fit and
+#: not of the session or the row count: raise it with the data (about 1e6 rows per partition).
+FEATURE_PARTITIONS = 8
+#: The silhouette used unless another is asked for: linear in the rows, the same at every size.
+SILHOUETTE = "squared_euclidean"
 
 
 # --- C1 standardisation ------------------------------------------------------------------------
@@ -56,22 +60,52 @@ def standardize(df: DataFrame, cols: Sequence[str] = RFM_COLS, stats: DataFrame
 
 
 def with_features(df: DataFrame, cols: Sequence[str] = Z_COLS, out: str = "features", shift: float = 0.0,
-                  id_col: str = "CustomerID", partitions: int | None = None) -> DataFrame:
-    """Assemble the ML vector; fix the row layout (hash partitions sorted by id) so a seeded fit
-    repeats exactly. ``shift`` moves every coordinate (see :func:`fit_bisecting`)."""
+                  id_col: str = "CustomerID", partitions: int = FEATURE_PARTITIONS) -> DataFrame:
+    """Assemble the ML vector; fix the row layout (``partitions`` hash partitions sorted by id) so a
+    seeded fit repeats exactly under any session settings. ``shift`` moves every coordinate (see :func:`fit_bisecting`)."""
     src = df if shift == 0 else df.select("*", *[(F.col(c) + shift).alias(f"_sh_{c}") for c in cols])
     in_cols = list(cols) if shift == 0 else [f"_sh_{c}" for c in cols]
     vec = VectorAssembler(inputCols=in_cols, outputCol=out).transform(src)
     if shift:
         vec = vec.drop(*in_cols)
-    if partitions is None:
-        # ~ROWS_PER_PARTITION rows per task, never more tasks than the shuffle setting: every
-        # Lloyd iteration is one job over these partitions, so tiny tables should not be split
-        cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        partitions = max(1, min(cap, -(-df.count() // ROWS_PER_PARTITION)))
     return vec.repartition(partitions, id_col).sortWithinPartitions(id_col)
 
 
+# --- nearest centre -----------------------------------------------------------------------------
+
+def assign_nearest(df: DataFrame, centres: dict[int, Sequence[float]], cols: Sequence[str] = Z_COLS,
+                   out: str = "Cluster") -> DataFrame:
+    """Label of the nearest centre, the lower label on ties: one expression over the k centres (built-ins
+    only, no assembled vector), so any centres can be used, fitted or given."""
+    options = []
+    for label, centre in sorted(centres.items()):
+        d2 = sum((F.col(c) - F.lit(float(v))) ** 2 for c, v in zip(cols, centre, strict=True))
+        options.append(F.struct(d2.alias("d2"), F.lit(int(label)).alias("label")))
+    return df.withColumn(out, F.array_min(F.array(*options))["label"].cast("int"))
+
+
+@dataclass
+class CentreModel:
+    """Given centres with the interface of a fit."""
+
+    centres: dict[int, Sequence[float]]
+
+    def assign(self, df: DataFrame, out: str = "Cluster") -> DataFrame:
+        return assign_nearest(df, self.centres, out=out)
+
+
+def label_centres(labelled: DataFrame, label: str, cols: Sequence[str] = Z_COLS) -> CentreModel:
+    """The mean of each label as a centre; one row per label is collected, for a label of few values."""
+    rows = labelled.groupBy(label).agg(*[F.avg(c).alias(c) for c in cols]).collect()
+    return CentreModel({int(r[label]): tuple(r[c] for c in cols) for r in rows if r[label] is not None})
+
+
+def inertia(points: DataFrame, label: str = "Cluster", cols: Sequence[str] = Z_COLS) -> DataFrame:
+    """One row ``inertia``: the sum of squared distances to the mean of the own label (per label, population variance times size)."""
+    per = points.where(F.col(label).isNotNull()).groupBy(label).agg(sum(F.var_pop(c) * F.count(c) for c in cols).alias("ss"))
+    return per.agg(F.sum("ss").alias("inertia"))
+
+
 # --- C2 k-means with restarts ------------------------------------------------------------------
 
 @dataclass
@@ -82,6 +116,14 @@ class KMeansFit:
     k: int
     costs: list = field(default_factory=list)
 
+    @property
+    def centres(self) -> dict[int, Sequence[float]]:
+        return {i: tuple(float(x) for x in c) for i, c in enumerate(self.model.clusterCenters())}
+
+    def assign(self, df: DataFrame, out: str = "Cluster") -> DataFrame:
+        """Labels from the standardised columns, without a feature vector."""
+        return assign_nearest(df, self.centres, out=out)
+
     def predict(self, df: DataFrame, out: str = "Cluster") -> DataFrame:
         return self.model.setPredictionCol(out).transform(df).withColumn(out, F.col(out).cast("int"))
 
@@ -121,20 +163,12 @@ def fit_bisecting(feats_shifted: DataFrame, k: int = 4, seed: int = 42, features
 
 # --- C3-C7 model selection -------------------------------------------------------------------
 
-EXACT_SILHOUETTE_MAX_POINTS = 200_000
-
-
-def silhouette_method(df: DataFrame, method: str = "auto", exact_max_points: int = EXACT_SILHOUETTE_MAX_POINTS) -> str:
-    """'euclidean' (exact, quadratic) or 'squared_euclidean' (linear). 'auto' picks the exact
-    measure up to ``exact_max_points`` rows and the linear one beyond; results name the method."""
-    if method != "auto":
-        return method
-    return "euclidean" if df.count() <= exact_max_points else "squared_euclidean"
-
-
 def evaluate_labels(labelled: DataFrame, label: str = "Cluster", cols: Sequence[str] = Z_COLS,
-                    id_col: str = "CustomerID", method: str = "euclidean") -> tuple[float | None, float | None]:
-    """(silhouette, Davies-Bouldin) of one labelling, as driver scalars."""
+                    id_col: str = "CustomerID", method: str = SILHOUETTE) -> tuple[float | None, float | None]:
+    """(silhouette, Davies-Bouldin) of one labelling, as driver scalars. ``method`` is 'squared_euclidean'
+    (linear) or 'euclidean' (exact distances, quadratic work: only when asked for)."""
+    if method not in ("squared_euclidean", "euclidean"):
+        raise ValueError("method must be 'squared_euclidean' or 'euclidean'")
     if method == "euclidean":
         sil = silhouette_exact(labelled, cols, label, id_col)
     else:
@@ -145,7 +179,7 @@ def evaluate_labels(labelled: DataFrame, label: str = "Cluster", cols: Sequence[
 
 
 def sweep(feats: DataFrame, ks: Sequence[int] = range(2, 11), n_init: int = 10, seed: int = 42,
-          max_iter: int = 300, method: str = "auto", id_col: str = "CustomerID",
+          max_iter: int = 300, method: str = SILHOUETTE, id_col: str = "CustomerID",
           parallelism: int = 3) -> DataFrame:
     """C3 + C4 + C5: one fit per k (not three), with inertia, silhouette and Davies-Bouldin.
 
@@ -154,7 +188,6 @@ def sweep(feats: DataFrame, ks: Sequence[int] = range(2, 11), n_init: int = 10,
     from concurrent.futures import ThreadPoolExecutor
 
     feats = feats.cache()
-    method = silhouette_method(feats, method)
 
     def one(k):
         fit = fit_kmeans(feats, k, n_init, seed, max_iter)
@@ -251,15 +284,14 @@ def cluster_summary(labelled: DataFrame, names: dict[int, str] | None = None, la
     return g.select(label, name.alias("Name"), "Customers", share.alias("Share"), *RFM_COLS).orderBy(label)
 
 
-def score_customers(df: DataFrame, stats: DataFrame, fit: KMeansFit, names: dict[int, str]) -> DataFrame:
+def score_customers(df: DataFrame, stats: DataFrame, fit: KMeansFit | CentreModel, names: dict[int, str]) -> DataFrame:
     """M4: segment prediction for a batch of (Recency, Frequency, Monetary) rows.
 
     Scales with the training statistics, assigns the nearest centre, names it, and adds the
     health score, label and the prediction advice. One narrow projection: no shuffle.
     """
     z = standardize(df, RFM_COLS, stats)
-    vec = VectorAssembler(inputCols=list(Z_COLS), outputCol="features").transform(z)
-    pred = fit.predict(vec)
+    pred = fit.assign(z)
     score = health_score(F.col("Recency"), F.col("Frequency"), F.col("Monetary"))
     seg = F.coalesce(name_column(names), F.lit("Unknown"))
     return pred.select(
@@ -286,22 +318,22 @@ def split(df: DataFrame, test_pct: int = 20, id_col: str = "CustomerID") -> tupl
 
 
 def holdout(z: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, max_iter: int = 300,
-            test_pct: int = 20, id_col: str = "CustomerID", method: str = "auto") -> DataFrame:
-    """Fit on train, predict train and test, score both, and give a verdict.
+            test_pct: int = 20, id_col: str = "CustomerID", method: str = SILHOUETTE,
+            fit: CentreModel | None = None) -> DataFrame:
+    """Fit on train (or take ``fit``), predict train and test, score both, and give a verdict.
 
     ``z`` carries the standardised columns (by default scaled on all rows before the split, as
     in the analysed application; pass train-only statistics to :func:`standardize` to change it).
     """
     train, test = split(z, test_pct, id_col)
-    train_f = with_features(train, id_col=id_col).cache()
-    test_f = with_features(test, id_col=id_col)
-    method = silhouette_method(train_f, method)
-    try:
-        fit = fit_kmeans(train_f, k, n_init, seed, max_iter)
-        tr_sil, _ = evaluate_labels(fit.predict(train_f), id_col=id_col, method=method)
-        te_sil, te_db = evaluate_labels(fit.predict(test_f), id_col=id_col, method=method)
-    finally:
-        train_f.unpersist()
+    if fit is None:
+        train_f = with_features(train, id_col=id_col).cache()
+        try:
+            fit = fit_kmeans(train_f, k, n_init, seed, max_iter)
+        finally:
+            train_f.unpersist()
+    tr_sil, _ = evaluate_labels(fit.assign(train), id_col=id_col, method=method)
+    te_sil, te_db = evaluate_labels(fit.assign(test), id_col=id_col, method=method)
     spark = z.sparkSession
     row = spark.createDataFrame([(tr_sil, te_sil, te_db)],
                                 "train_silhouette double, test_silhouette double, test_davies_bouldin double")

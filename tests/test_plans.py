@@ -91,4 +91,4 @@ def test_holdout_scaler_choice(model):
     rfm = model.customers.select("CustomerID", "Recency", "Frequency", "Monetary")
     for scale_on in ("all", "train"):
         r = CL.holdout_rfm(rfm, scale_on=scale_on, n_init=2, max_iter=30).first()
-        assert 0 <= r.gap <= 2 and r.verdict in ("Good", "Check") and r.silhouette_method == "euclidean"
+        assert 0 <= r.gap <= 2 and r.verdict in ("Good", "Check") and r.silhouette_method == "squared_euclidean"
