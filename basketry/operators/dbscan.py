@@ -1,6 +1,6 @@
 """Density-based clustering (C8, J7, X1): DBSCAN with ``eps`` and ``min_pts`` (self included).
 
-Exact, and built so that no dense region turns into all-pairs work:
+Exact; dense regions are resolved on boxes, and point pairs remain where boxes straddle ``eps``:
 
 1. identical points collapse into one weighted point (a group of copies is one row);
 2. points fall into micro-cells of side ``eps / sqrt(d)``: any two points of a cell are within
@@ -12,8 +12,8 @@ Exact, and built so that no dense region turns into all-pairs work:
    reach;
 4. core points of one cell are one node; cells are linked when two of their core points are
    within ``eps``; connected components come from min-label propagation on that cell graph,
-   with a reliable ``checkpoint()`` per round to cut lineage (the weighted points and core flags
-   are written once as tables in the same shared folder);
+   with a written table per round in the shared checkpoint folder to cut lineage, like the weighted
+   points and core flags;
 5. a border point joins the lowest-labelled cluster with a core point within ``eps`` (scikit-learn
    picks by visiting order, so only border labels can differ; cluster count and noise do not).
 
@@ -85,34 +85,33 @@ def _rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(c).alias(mapping.get(c, c)) for c in df.columns])
 
 
-def connected_components(edges: DataFrame, labels: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def connected_components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Smallest node id per connected component, by min-label propagation with pointer jumping.
 
     ``edges`` (a, b) holds both directions; ``labels`` (node, label) starts with label = node.
     Each round takes the smallest label among a node's neighbours, then jumps to the label of
     that label (both are nodes of the same component), which shortens long chains geometrically.
-    Every round is a reliable checkpoint, so the lineage stays one round long.
+    Every round is a written table, so the lineage stays one round long.
     """
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so this ends
         best = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("nl"))
         step = labels.join(best.withColumnRenamed("a", "node"), "node", "left").select(
             "node", F.col("label").alias("old"), F.least("label", F.coalesce("nl", "label")).alias("l1"))
         hop = step.select(F.col("node").alias("l1"), F.col("l1").alias("l2"))
-        new = (
+        new = materialize(
             step.join(hop, "l1", "left")
             .select("node", "old", F.least("l1", F.coalesce("l2", "l1")).alias("label"))
-            .checkpoint()
         )
         changed = new.where(F.col("label") != F.col("old")).limit(1).count()
         labels = new.select("node", "label")
         if not changed:
             return labels
-    raise RuntimeError(f"labels still changing after {max_rounds} rounds")
 
 
-def dbscan(points: DataFrame, cols: Sequence[str], id_col: str, eps: float = 0.5, min_pts: int = 5,
-           max_rounds: int = 10_000) -> DataFrame:
-    """Per input row: ``id``, ``label`` (-1 = noise) and ``is_core``."""
+def dbscan(points: DataFrame, cols: Sequence[str], id_col: str, eps: float = 0.5, min_pts: int = 5) -> DataFrame:
+    """Per input row: ``id``, ``label`` (-1 = noise) and ``is_core``. One to three columns; more are an error."""
+    if not 1 <= len(cols) <= 64 // _BITS:
+        raise ValueError(f"dbscan takes 1 to {64 // _BITS} columns")
     spark = points.sparkSession
     ensure_checkpoint_dir(spark)
     d = len(cols)
@@ -215,6 +214,21 @@ def dbscan(points: DataFrame, cols: Sequence[str], id_col: str, eps: float = 0.5
     e_sub = sp.where(F.col("_max") <= eps2).select(*keyA, *keyB).distinct()
     sp_part = sp.where(F.col("_max") > eps2).join(e_sub, keyA + keyB, "left_anti").select(
         *keyA, *keyB, *[f"qa{i}" for i in range(d)], *[f"qb{i}" for i in range(d)])
+    # components by the edges that boxes alone prove; a straddling pair of sub-cells matters only if its cells still
+    # belong to different components, so dense regions, whose cells hang together by full boxes, need no point pairs
+    def pairs_of(df: DataFrame) -> DataFrame:
+        ab = df.select(_pack([F.col(c) for c in keyA]).alias("a"), _pack([F.col(c) for c in keyB]).alias("b")).distinct()
+        return materialize(ab.unionByName(ab.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+
+    nodes = materialize(ccells.select(_pack([F.col(c) for c in C]).alias("node")).withColumn("label", F.col("node")))
+    e_boxes = e_full.unionByName(e_sub)
+    proven = connected_components(pairs_of(e_boxes), nodes)
+    sp_part = (
+        sp_part.withColumn("a", _pack([F.col(c) for c in keyA])).withColumn("b", _pack([F.col(c) for c in keyB]))
+        .join(proven.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
+        .join(proven.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+        .where("la <> lb").drop("a", "b")
+    )
     ca = _rename(core.select(*C, *Q, *X), {q: f"qa{i}" for i, q in enumerate(Q)})
     cb = _rename(core.select(*C, *Q, *X), {c: f"n{i}" for i, c in enumerate(C)} | {q: f"qb{i}" for i, q in enumerate(Q)}
                  | {x: f"y{i}" for i, x in enumerate(X)})
@@ -222,17 +236,14 @@ def dbscan(points: DataFrame, cols: Sequence[str], id_col: str, eps: float = 0.5
         sp_part.join(ca, keyA + [f"qa{i}" for i in range(d)])
         .join(cb, keyB + [f"qb{i}" for i in range(d)])
         .where(_sq([F.col(f"x{i}") - F.col(f"y{i}") for i in range(d)]) <= eps2)
-        .select(*keyA, *keyB).distinct()
-    )
-    edges = (
-        e_full.unionByName(e_sub).unionByName(e_pts)
-        .select(_pack([F.col(c) for c in keyA]).alias("a"), _pack([F.col(c) for c in keyB]).alias("b"))
-        .distinct()
+        .select("la", "lb").distinct()
     )
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = ccells.select(_pack([F.col(c) for c in C]).alias("node")).withColumn("label", F.col("node")).checkpoint()
-
-    labels = connected_components(both, labels, max_rounds)
+    # the few edges left join the proven components
+    ab = e_pts.select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    ab = materialize(ab.unionByName(ab.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    tops = materialize(proven.select(F.col("label").alias("node")).distinct().withColumn("label", F.col("node")))
+    merged = connected_components(ab, tops)
+    labels = materialize(proven.withColumnRenamed("label", "top").join(merged.withColumnRenamed("node", "top"), "top").select("node", "label"))
 
     # 5. labels for core points, then border points
     core_lab = core.select("pid", _pack([F.col(c) for c in C]).alias("node")).join(labels, "node").select("pid", "label")
