@@ -1,23 +1,18 @@
 """Exact quantiles with linear interpolation, computed without one task seeing every value.
 
-Spark's exact ``percentile`` keeps a map of every distinct value of a group in one aggregation
-buffer; for a global quantile that is the whole column in one task. Here the work is split:
-
-1. one pass builds a Greenwald-Khanna sketch per column (``percentile_approx``) and reads a bracket
-   ``[q(p - d), q(p + d)]`` around each requested probability, ``d = 4 / accuracy``; the sketch's
-   rank error is at most ``n / accuracy``, so the bracket spans the target ranks and holds about
-   ``8·n / accuracy`` rows whatever the distribution (columns with fewer than ``2·accuracy``
-   values are ranked whole: a constant bound);
-2. one pass counts the rows below the bracket and groups the rows inside it by value (ties
-   collapse, so a value shared by a third of all rows is one row);
-3. a window partitioned by the requested quantile orders only those in-bracket distinct values
-   (at most ``max_bracket_rows``: the sketch accuracy is chosen from the row count),
-   turns counts into rank ranges and picks the values at ranks ``floor(h)`` and ``ceil(h)`` with
-   ``h = p·(n - 1)`` — the same definition as pandas ``quantile``, Spark ``percentile`` and
-   DuckDB ``quantile_cont``.
-
-If a bracket ever misses the target rank the query fails loudly (``raise_error``) instead of
-returning a wrong number. Everything stays lazy: the result is a one-row DataFrame.
+Spark's exact ``percentile`` keeps a map of every distinct value of a group in one aggregation buffer; for
+a global quantile that is the whole column in one task. Here each requested rank is narrowed down by counting:
+
+1. one pass takes the count, least and greatest value per column; a quantile ``p`` needs the values at ranks
+   ``floor(h)`` and ``ceil(h)`` with ``h = p·(n - 1)``, as in pandas ``quantile``, Spark ``percentile`` and
+   DuckDB ``quantile_cont``;
+2. ``LEVELS`` passes count the values between the current ends in ``BUCKETS`` buckets of equal width (partial
+   aggregation: at most ``BUCKETS`` rows per rank and task) and keep the bucket that holds the rank. The
+   bucket's own least and greatest value are the next ends, so an outlier costs one level;
+3. a last pass counts the distinct values that are left and picks the one at the rank. The first levels leave
+   a share of about ``BUCKETS ** -LEVELS`` of a spread-out column; ties count as one value.
+
+All passes are one lazy plan; no result depends on a sketch, a row count taken beforehand or a setting.
 """
 
 from __future__ import annotations
@@ -27,95 +22,41 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 10_000
-MAX_ACCURACY = 10_000_000
-
+BUCKETS, LEVELS = 4096, 3
 
-def accuracy_for(n_rows: int, max_bracket_rows: int = 100_000) -> int:
-    """Sketch accuracy that keeps every bracket under ``max_bracket_rows`` values (at least the
-    default): the window that ranks a bracket then holds a constant number of rows at any size."""
-    return int(min(MAX_ACCURACY, max(DEFAULT_ACCURACY, -(-8 * n_rows // max_bracket_rows))))
 
-
-def exact_quantiles(
-    df: DataFrame, specs: Sequence[tuple[str, str, float]], accuracy: int | None = None,
-    max_bracket_rows: int = 100_000,
-) -> DataFrame:
-    """One-row DataFrame with a double column per ``(name, column, p)`` spec; nulls are ignored.
-
-    ``accuracy=None`` sizes the sketch from ``df.count()`` (one cheap job on a written table) so
-    each bracket holds at most ``max_bracket_rows`` values.
-    """
+def exact_quantiles(df: DataFrame, specs: Sequence[tuple[str, str, float]], buckets: int = BUCKETS, levels: int = LEVELS) -> DataFrame:
+    """One-row DataFrame with a double column per ``(name, column, p)`` spec; nulls are ignored."""
     if not specs:
         raise ValueError("no quantiles requested")
-    if accuracy is None:
-        accuracy = accuracy_for(df.count(), max_bracket_rows)
-    cols = sorted({c for _, c, _ in specs})
-    margin = 4.0 / accuracy
-
-    # Probabilities to sketch: both bracket ends of every spec (shared by all columns).
-    probs: list[float] = []
     for _, _, p in specs:
         if not 0.0 <= p <= 1.0:
             raise ValueError(f"probability {p} outside [0, 1]")
-        probs += [max(0.0, p - margin), min(1.0, p + margin)]
-    probs = sorted(set(probs))
-
-    long = (
-        df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-        .unpivot([], cols, "k", "v")
-        .where(F.col("v").isNotNull())
-    )
-    sketch = long.groupBy("k").agg(
-        F.count("v").alias("n"), F.percentile_approx("v", probs, accuracy).alias("b")
-    )
-
-    # One bracket row per spec: bounded by len(specs), so broadcasting it is safe.
-    spec_rows = []
+    cols = sorted({c for _, c, _ in specs})
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "k", "v").where(F.col("v").isNotNull())
+    ends = long.groupBy("k").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    wanted = []
     for name, c, p in specs:
-        lo_p, hi_p = max(0.0, p - margin), min(1.0, p + margin)
-        # Below 2·accuracy values the sketch is exact but its rank convention may sit one rank
-        # off ours, so the bracket is left open: at most 2·accuracy distinct values are ranked.
-        small = F.col("n") < 2 * accuracy
-        unbounded = F.lit(None).cast("double")
-        lo = unbounded if lo_p <= 0.0 else F.when(small, unbounded).otherwise(F.col("b")[probs.index(lo_p)])
-        hi = unbounded if hi_p >= 1.0 else F.when(small, unbounded).otherwise(F.col("b")[probs.index(hi_p)])
-        spec_rows.append(
-            F.struct(F.lit(name).alias("name"), F.lit(c).alias("col"), F.lit(float(p)).alias("p"),
-                     lo.alias("lo"), hi.alias("hi"))
-        )
-    brackets = (
-        sketch.select("k", "n", F.inline(F.array(*spec_rows)))
-        .where(F.col("k") == F.col("col"))
-        .select("name", "k", "p", "n", "lo", "hi")
-    )
-
-    marked = long.join(F.broadcast(brackets), "k")
-    below_lo = F.col("lo").isNotNull() & (F.col("v") < F.col("lo"))
-    above_hi = F.col("hi").isNotNull() & (F.col("v") > F.col("hi"))
-    below = marked.where(below_lo).groupBy("name").agg(F.count(F.lit(1)).alias("below"))
-    # n and p depend on the spec name only: carried as grouping keys, so the sketch runs once
-    inside = marked.where(~below_lo & ~above_hi).groupBy("name", "n", "p", "v").agg(F.count(F.lit(1)).alias("c"))
-
-    w = Window.partitionBy("name").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        inside.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
-        .join(below, "name", "left")
-        .withColumn("start", F.coalesce(F.col("below"), F.lit(0)) + F.col("before"))
-        .withColumn("h", F.col("p") * (F.col("n") - 1))
-        .withColumn("r0", F.floor("h"))
-        .withColumn("r1", F.ceil("h"))
-    )
-    covers = lambda r: (F.col("start") <= F.col(r)) & (F.col(r) < F.col("start") + F.col("c"))
-    picked = ranked.groupBy("name").agg(
-        F.max(F.when(covers("r0"), F.col("v"))).alias("v0"),
-        F.max(F.when(covers("r1"), F.col("v"))).alias("v1"),
-        F.first("h").alias("h"),
-        F.first("r0").alias("r0"),
-    )
-    value = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("h") - F.col("r0"))
-    checked = F.when(
-        F.col("v0").isNull() | F.col("v1").isNull(), F.raise_error(F.lit("quantile bracket missed its rank"))
-    ).otherwise(value)
+        h = F.lit(float(p)) * (F.col("n") - 1)
+        for which, rank in ((0, F.floor(h)), (1, F.ceil(h))):
+            wanted.append(F.struct(F.lit(name).alias("name"), F.lit(c).alias("col"), F.lit(which).alias("which"), rank.cast("long").alias("rank"), (h - F.floor(h)).alias("part")))
+    # one row per wanted rank, bounded by the specs: a safe broadcast at every level
+    ranks = ends.select("k", "lo", "hi", F.lit(0).cast("long").alias("below"), F.inline(F.array(*wanted))).where(F.col("k") == F.col("col")).drop("col")
+    keys = ["name", "which", "rank", "part", "below", "k"]
+    order = Window.partitionBy("name", "which").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    holds = (F.col("start") <= F.col("rank")) & (F.col("rank") < F.col("start") + F.col("c"))
+    for _ in range(levels):
+        inside = long.join(F.broadcast(ranks), "k").where(F.col("v").between(F.col("lo"), F.col("hi")))
+        width = (F.col("hi") - F.col("lo")) / buckets
+        # the bucket grows with the value, so the values between a bucket's ends are its members
+        bucket = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(buckets - 1))).otherwise(F.lit(0))
+        counted = inside.groupBy(*keys, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        started = counted.withColumn("start", F.col("below") + F.coalesce(F.sum("c").over(order), F.lit(0)))
+        ranks = started.where(holds).select("k", "lo", "hi", F.col("start").alias("below"), "name", "which", "rank", "part")
+    left = long.join(F.broadcast(ranks), "k").where(F.col("v").between(F.col("lo"), F.col("hi")))
+    values = left.groupBy(*keys, F.col("v").alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
+    picked = values.withColumn("start", F.col("below") + F.coalesce(F.sum("c").over(order), F.lit(0))).where(holds)
+    both = picked.groupBy("name", "part").agg(F.max(F.when(F.col("which") == 0, F.col("bucket"))).alias("v0"), F.max(F.when(F.col("which") == 1, F.col("bucket"))).alias("v1"))
+    value = F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("part")
     names = [name for name, _, _ in specs]
-    return picked.select("name", checked.cast("double").alias("q")).groupBy().pivot("name", names).agg(F.first("q"))
+    return both.select("name", value.cast("double").alias("q")).groupBy().pivot("name", names).agg(F.first("q"))
