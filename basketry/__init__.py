@@ -6,7 +6,7 @@ sources    readers for sales CSV, user CSV and the driver's parquet tables; mont
 functions  column expressions (dates, formatting, health score, advice, exact quantiles)
 operators  cleaning, filters, metrics, RFM, clustering, evaluation, density clustering, profiling
 plans      compositions: dashboard metrics, segmentation model, query catalog
-streaming  intentionally empty: the analysed application has no streaming path
+llm        training-data operators; nothing else imports it
 
 The most used entry points are re-exported here.
 """

@@ -184,14 +184,14 @@ def sales_heatmap(df: DataFrame) -> DataFrame:
 
 
 def sales_heatmap_wide(df: DataFrame) -> DataFrame:
-    """Weekday rows Monday..Sunday × one column per observed hour (``h0`` .. ``h23``)."""
+    """Weekday rows Monday..Sunday × one column per hour (``h0`` .. ``h23``; 0 for an hour not observed)."""
     return heatmap_wide_from_long(sales_heatmap(df))
 
 
 def heatmap_wide_from_long(long: DataFrame) -> DataFrame:
     """A14 from an already computed long heatmap (at most 168 rows)."""
-    wide = long.groupBy("day_idx", "Day").pivot("Hour").agg(F.first("Orders"))
-    hours = [c for c in wide.columns if c not in ("day_idx", "Day")]
+    hours = list(range(24))  # given, so that no job is needed to find them
+    wide = long.groupBy("day_idx", "Day").pivot("Hour", hours).agg(F.first("Orders"))
     return wide.select(
         "Day", "day_idx", *[F.coalesce(F.col(f"`{h}`"), F.lit(0)).cast("long").alias(f"h{h}") for h in hours]
     ).orderBy("day_idx")

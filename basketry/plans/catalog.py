@@ -14,7 +14,9 @@ way. Leave ``sql`` out only when the result depends on a fitted model (rows-only
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,6 +117,45 @@ def q_shape(spark, sf):
     return shape(dirty_clean(spark, sf)).select("rows", F.col("columns").cast("int").alias("columns"))
 
 
+def _as_csv(spark, df) -> str:
+    """The table as CSV files in the checkpoint folder, quotes doubled."""
+    from basketry.session import table_path
+
+    path = table_path(spark, f"csv-{uuid.uuid4().hex}")
+    df.write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+@register("csv_sales", S.with_sales(
+    """SELECT CAST(InvoiceNo AS VARCHAR) AS InvoiceNo, '"' || Description || '", RED' AS Description, Quantity,
+       CustomerID, Country, round(TotalPrice, 2) AS TotalPrice, Month, strftime(InvoiceDate, '%Y-%m-%d') AS order_day FROM sales"""))
+def q_csv_sales(spark, sf):
+    """S1 + P1 + P11: the sales lines through CSV files, with quotes and commas in names and M/d/yyyy dates."""
+    from basketry.sources.csv import read_sales_csv
+
+    out = adapters.sales_lines(spark, sf).withColumns({
+        "Description": F.concat(F.lit('"'), "Description", F.lit('", RED')),
+        "InvoiceDate": F.date_format("InvoiceDate", "M/d/yyyy H:mm"),
+        "CustomerID": F.col("CustomerID").cast("double"),
+    })
+    lines = C.clean_sales(read_sales_csv(spark, _as_csv(spark, out)))
+    return lines.select("InvoiceNo", "Description", "Quantity", "CustomerID", "Country", r2("TotalPrice"), "Month",
+                        F.date_format("InvoiceDate", "yyyy-MM-dd").alias("order_day"))
+
+
+@register("csv_profile_trend", "SELECT CASE WHEN o_orderkey % 97 = 0 THEN 'NaT' ELSE strftime(o_orderdate, '%Y-%m') END AS upload_month, "
+                               "round(coalesce(sum(o_totalprice), 0), 2) AS amount FROM orders GROUP BY 1")
+def q_csv_profile_trend(spark, sf):
+    """S2 + E10 + U2: a user's CSV with some dates that are none."""
+    from basketry.operators import profile
+    from basketry.sources.csv import read_user_csv
+    from basketry.sources.tables import table
+
+    day = F.when(F.col("o_orderkey") % 97 == 0, "no date").otherwise(F.date_format("o_orderdate", "M/d/yyyy"))
+    orders = table(spark, sf, "orders").select(day.alias("order_date"), F.col("o_totalprice").alias("amount"))
+    return profile.profile_trend(read_user_csv(spark, _as_csv(spark, orders))["data"]).select("upload_month", r2("amount"))
+
+
 # --- 2.5 aggregations ---------------------------------------------------------------------
 
 KPI_SQL = """SELECT round(coalesce(sum(TotalPrice), 0), 2) AS total_revenue,
@@ -164,7 +205,9 @@ def q_kpi_text_overview(spark, sf):
 @register("kpis_empty", S.with_events(
     "SELECT '£' || printf('%.1f', coalesce(sum(TotalPrice), 0) / 1000) || 'K' AS revenue_text, "
     "printf('%,d', count(DISTINCT InvoiceNo)) AS orders_text, printf('%,d', count(DISTINCT CustomerID)) AS customers_text, "
-    "'£0' AS avg_text FROM sales WHERE Country = 'no such country'"))
+    "'£' || printf('%.0f', coalesce((SELECT round_even(avg(v), 0) FROM (SELECT sum(TotalPrice) AS v FROM sales "
+    "WHERE Country = 'no such country' GROUP BY InvoiceNo) b WHERE v < 1000), 0)) AS avg_text "
+    "FROM sales WHERE Country = 'no such country'"))
 def q_kpis_empty(spark, sf):
     return M.kpi_text(M.kpis(FL.filter_country(events(spark, sf), ["no such country"]), 1000.0))
 
@@ -341,11 +384,32 @@ def segments_from(lines):
     return R.rule_segments(R.rfm(lines))
 
 
-def sales_once(spark, sf):
-    """Cleaned sales lines written once, for queries that read them for lines and customers."""
-    from basketry.session import materialize
+_STORES: dict = {}
+
+
+def sales_store(spark, sf):
+    """The cleaned sales lines, written once per session and folder as a month-partitioned store that all
+    dashboard queries read. ``release_all`` drops it with everything else the session wrote."""
+    from basketry.session import table_path
+    from basketry.sources.store import read_clean_sales, write_clean_sales
 
-    return materialize(sales(spark, sf))
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES:
+        for old in [k for k in _STORES if k[0] != key[0]]:
+            del _STORES[old]
+        path = table_path(spark, f"sales-{uuid.uuid4().hex}")
+        write_clean_sales(sales(spark, sf), path)
+        _STORES[key] = path
+    return read_clean_sales(spark, _STORES[key])
+
+
+def release_all(spark) -> None:
+    """Drop all tables this session wrote, and forget the stores and fits that live in them."""
+    from basketry.session import drop_materialized
+
+    _STORES.clear()
+    _FITTED.clear()
+    drop_materialized(spark)
 
 
 @register("rfm", S.with_sales_rfm("SELECT CustomerID, Recency, Frequency, round(Monetary, 2) AS Monetary FROM rfm"))
@@ -483,7 +547,7 @@ def q_filter_dates_events(spark, sf):
 @register("filter_segment", S.with_sales_rfm(
     f"SELECT {_LINE_COLS} FROM sales WHERE CustomerID IN (SELECT CustomerID FROM seg WHERE Segment = 'Loyal')"))
 def q_filter_segment(spark, sf):
-    df = sales_once(spark, sf)
+    df = sales_store(spark, sf)
     return _lines(FL.filter_segment(df, segments_from(df), "Loyal", by="Segment"))
 
 
@@ -513,7 +577,7 @@ def q_basket_band_counts(spark, sf):
 
 _SPEC = FL.FilterSpec(countries=["NATION_2", "NATION_3", "NATION_5", "NATION_8", "NATION_21"], start="1996-01-01",
                       end="2000-12-31", segment="Low Value", segment_by="Segment", basket="Medium",
-                      basket_edges=LINES_EDGES)
+                      basket_edges=LINES_EDGES, month_pruning=True)
 _SPEC_SQL = f"""filtered0 AS (
   SELECT * FROM sales WHERE Country IN ('NATION_2', 'NATION_3', 'NATION_5', 'NATION_8', 'NATION_21')
     AND InvoiceDate >= TIMESTAMP '1996-01-01' AND InvoiceDate <= TIMESTAMP '2000-12-31'
@@ -524,7 +588,7 @@ filtered AS (
 
 
 def _filtered(spark, sf):
-    df = sales_once(spark, sf)
+    df = sales_store(spark, sf)
     return FL.apply_filters(df, segments_from(df), _SPEC)
 
 
@@ -544,7 +608,7 @@ def q_dashboard_kpis(spark, sf):
     "row_number() OVER (ORDER BY count(*) ASC, Segment ASC) = 1 AS Smallest "
     "FROM seg WHERE CustomerID IN (SELECT CustomerID FROM filtered) GROUP BY Segment"))
 def q_dashboard_segments(spark, sf):
-    df = sales_once(spark, sf)
+    df = sales_store(spark, sf)
     seg = segments_from(df)
     return R.segment_counts(FL.customers_in(seg, FL.apply_filters(df, seg, _SPEC)), "Segment")
 
@@ -553,7 +617,7 @@ def q_dashboard_segments(spark, sf):
     "SELECT CustomerID, Recency, Frequency, round(Monetary, 2) AS Monetary FROM rfm "
     "WHERE CustomerID IN (SELECT CustomerID FROM sales WHERE Country IN ('NATION_1', 'NATION_7', 'NATION_13'))"))
 def q_customers_in_filter(spark, sf):
-    df = sales_once(spark, sf)
+    df = sales_store(spark, sf)
     return FL.customers_in(R.rfm(df), FL.filter_country(df, _SOME_NATIONS)).select(
         "CustomerID", "Recency", "Frequency", r2("Monetary"))
 
@@ -611,8 +675,10 @@ _FITTED: dict = {}
 def _once(kind: str, spark, sf, build):
     """One fitted object per (session, folder, kind): several tables are read from one fit, as a
     user of the model would do; the fit itself is deterministic (fixed seeds and row layout)."""
-    key = (kind, id(spark), sf)
+    key = (kind, spark.sparkContext.applicationId, sf)
     if key not in _FITTED:
+        for old in [k for k in _FITTED if k[1] != key[1]]:  # fits of sessions that are over
+            del _FITTED[old]
         _FITTED[key] = build()
     return _FITTED[key]
 
@@ -656,7 +722,7 @@ def q_km_segment_counts(spark, sf):
 def q_filter_segment_km(spark, sf):
     from basketry.plans.segmentation import build_segment_model
 
-    df = sales_once(spark, sf)
+    df = sales_store(spark, sf)
     m = build_segment_model(df, k=K, n_init=N_INIT)
     return _lines(FL.filter_segment(df, m.customers, "VIP"))
 
@@ -712,6 +778,133 @@ def q_holdout(spark, sf):
     return CL.holdout(z, K, N_INIT)
 
 
+# --- the model path with given centres and labels, which SQL can follow ------------------------
+
+def _fixed(spark, sf):
+    """(labelled by rule segment, the segments' means as centres, names of the clusters nearest to them)."""
+    from basketry.session import materialize
+
+    z = materialize(z_rule(spark, sf))
+    model = CL.label_centres(z, "label")
+    labelled = model.assign(z)
+    names = CL.name_clusters(labelled)
+    return z, model, names, labelled.withColumn("KMSegment", F.coalesce(CL.name_column(names), F.lit("Unknown")))
+
+
+_FIXED_SQL = f", {S.Z},\n{S.nearest()},\n{S.NAMED}\n"
+
+
+def _score_sql() -> str:
+    from basketry.functions.columns import ADVICE_PREDICT, ADVICE_PREDICT_DEFAULT
+
+    return S.with_sales_rfm(
+        f"{_FIXED_SQL}SELECT CustomerID, Cluster, KMSegment, {S.HEALTH} AS HealthScore, {S.health_label(S.HEALTH)} AS HealthLabel, "
+        f"{S.advice_case('KMSegment', ADVICE_PREDICT, ADVICE_PREDICT_DEFAULT)} AS Advice FROM named JOIN rfm USING (CustomerID)")
+
+
+@register("score_customers_fixed", _score_sql())
+def q_score_customers_fixed(spark, sf):
+    """M4 over every customer, with the rule segments' means as centres."""
+    z, model, names, _ = _fixed(spark, sf)
+    base = z.select("CustomerID", *CL.RFM_COLS)
+    scored = CL.score_customers(base, CL.scaler_stats(base), model, names)
+    return scored.select("CustomerID", "Cluster", "KMSegment", "HealthScore", "HealthLabel", "Advice")
+
+
+@register("cluster_names_fixed", S.with_sales_rfm(f"{_FIXED_SQL}SELECT Cluster, KMSegment, count(*) AS Customers FROM named GROUP BY 1, 2"))
+def q_cluster_names_fixed(spark, sf):
+    return _fixed(spark, sf)[3].groupBy("Cluster", "KMSegment").agg(F.count(F.lit(1)).alias("Customers"))
+
+
+@register("km_segment_counts_fixed", S.with_sales_rfm(
+    _FIXED_SQL + SEGMENT_COUNTS_SQL.replace("SELECT Segment,", "SELECT KMSegment AS Segment,").replace("Segment ASC", "KMSegment ASC").replace("FROM seg GROUP BY Segment", "FROM named GROUP BY KMSegment")))
+def q_km_segment_counts_fixed(spark, sf):
+    return R.segment_counts(_fixed(spark, sf)[3], "KMSegment")
+
+
+@register("filter_segment_km_fixed", S.with_sales_rfm(
+    f"{_FIXED_SQL}SELECT {_LINE_COLS} FROM sales WHERE CustomerID IN (SELECT CustomerID FROM named WHERE KMSegment = 'VIP')"))
+def q_filter_segment_km_fixed(spark, sf):
+    return _lines(FL.filter_segment(sales_store(spark, sf), _fixed(spark, sf)[3], "VIP"))
+
+
+_IS_TEST = "('0x' || substr(md5(CAST(CustomerID AS VARCHAR)), 1, 8))::UBIGINT % 100 < 20"
+
+
+@register("holdout_fixed", S.with_sales_rfm(
+    f", {S.Z},\nzt AS (SELECT * FROM z WHERE NOT {_IS_TEST}),\n{S.nearest('zt')},\n"
+    f"parts AS (SELECT CASE WHEN {_IS_TEST} THEN 'test' ELSE 'train' END AS g, CustomerID, Cluster AS lab FROM lab),\n"
+    f"{S.label_scores('parts', 'sc')},\n"
+    """r AS (SELECT round_even((SELECT silhouette FROM sc WHERE g = 'train'), 3) AS train_silhouette,
+      round_even((SELECT silhouette FROM sc WHERE g = 'test'), 3) AS test_silhouette,
+      round_even((SELECT davies_bouldin FROM sc WHERE g = 'test'), 3) AS test_davies_bouldin)
+SELECT *, round_even(abs(train_silhouette - test_silhouette), 3) AS gap,
+  CASE WHEN round_even(abs(train_silhouette - test_silhouette), 3) < 0.05 THEN 'Good' ELSE 'Check' END AS verdict FROM r"""))
+def q_holdout_fixed(spark, sf):
+    """C11-C14 with the train customers' rule-segment means as centres."""
+    from basketry.session import materialize
+
+    z = materialize(z_rule(spark, sf))
+    return CL.holdout(z, fit=CL.label_centres(CL.split(z)[0], "label")).drop("silhouette_method")
+
+
+_TILES = f", {S.Z},\ntiles AS (SELECT k AS g, CustomerID, CustomerID % k AS lab FROM z, range(2, 11) t(k)),\n{S.label_scores('tiles', 'sc')}\n"
+_TILE_BEST = """(SELECT arg_max(g, (silhouette, -g)) FROM sc) AS best_k_silhouette, (SELECT arg_min(g, (davies_bouldin, g)) FROM sc) AS best_k_db"""
+
+
+def _tile_scores(spark, sf):
+    """C3-C5 of given labellings: customers by id modulo k, for k = 2..10 (nine rows)."""
+    from basketry.session import materialize
+
+    z = materialize(CL.standardize(rfm_of(spark, sf)))
+    rows = []
+    for k in range(2, 11):
+        labelled = z.withColumn("Cluster", F.pmod("CustomerID", F.lit(k)).cast("int"))
+        sil, db = CL.evaluate_labels(labelled)
+        rows.append((k, CL.inertia(labelled).first()["inertia"], sil, db))
+    return spark.createDataFrame(rows, "k int, inertia double, silhouette double, davies_bouldin double")
+
+
+@register("label_scores_tiles", S.with_sales_rfm(
+    f"{_TILES}SELECT CAST(g AS INTEGER) AS k, round(inertia, 4) AS inertia, round(silhouette, 6) AS silhouette, round(davies_bouldin, 4) AS davies_bouldin FROM sc"))
+def q_label_scores_tiles(spark, sf):
+    return _tile_scores(spark, sf).select("k", r2("inertia", d=4), r2("silhouette", d=6), r2("davies_bouldin", d=4))
+
+
+@register("best_k_tiles", S.with_sales_rfm(f"{_TILES}SELECT CAST(best_k_silhouette AS INTEGER) AS best_k_silhouette, CAST(best_k_db AS INTEGER) AS best_k_db FROM (SELECT {_TILE_BEST}) b"))
+def q_best_k_tiles(spark, sf):
+    return CL.best_k(_tile_scores(spark, sf)).select("best_k_silhouette", "best_k_db")
+
+
+@register("k_decision_tiles", S.with_sales_rfm(
+    f"{_TILES}, bend AS (SELECT g, lag(inertia) OVER (ORDER BY g) - 2 * inertia + lead(inertia) OVER (ORDER BY g) AS b FROM sc)\n"
+    f"SELECT CAST(elbow_k AS INTEGER) AS elbow_k, CAST(best_k_silhouette AS INTEGER) AS best_k_silhouette, CAST(best_k_db AS INTEGER) AS best_k_db, "
+    f"elbow_k = best_k_silhouette AND elbow_k = best_k_db AS all_agree FROM (SELECT (SELECT arg_max(g, (b, -g)) FROM bend WHERE b IS NOT NULL) AS elbow_k, {_TILE_BEST}) d"))
+def q_k_decision_tiles(spark, sf):
+    return CL.k_decision(_tile_scores(spark, sf)).select("elbow_k", "best_k_silhouette", "best_k_db", "all_agree")
+
+
+_INVARIANTS = "SELECT count(*) AS customers, CAST(0 AS BIGINT) AS off_nearest, count(*) AS in_clusters, true AS cheaper_than_one FROM rfm"
+
+
+@register("kmeans_invariants", S.with_sales_rfm(_INVARIANTS))
+def q_kmeans_invariants(spark, sf):
+    """What any seeded fit must hold: all customers labelled, by their nearest centre, at less cost than one cluster."""
+    m = _model(spark, sf)
+    again = CL.assign_nearest(m.customers, m.fit.centres, out="near")
+    one = CL.inertia(m.customers.withColumn("one", F.lit(0)), "one").first()["inertia"]
+    return again.agg(F.count(F.lit(1)).alias("customers"), F.count_if(F.col("near") != F.col("Cluster")).alias("off_nearest"),
+                     F.count("Cluster").alias("in_clusters")).withColumn("cheaper_than_one", F.lit(bool(m.fit.cost < one)))
+
+
+@register("bisecting_invariants", S.with_sales_rfm("SELECT count(*) AS customers, 4 AS clusters, true AS cheaper_than_one FROM rfm"))
+def q_bisecting_invariants(spark, sf):
+    z = CL.standardize(rfm_of(spark, sf))
+    sizes = q_bisecting(spark, sf)
+    one = CL.inertia(z.withColumn("one", F.lit(0)), "one").first()["inertia"]
+    return sizes.agg(F.sum("Customers").alias("customers"), F.count(F.lit(1)).cast("int").alias("clusters"), (F.max("cost") < one).alias("cheaper_than_one"))
+
+
 # --- C8 density clustering (SQL brute force as the oracle; numpy brute force in tests) ----------
 
 from basketry.operators import dbscan as DB  # noqa: E402
@@ -768,6 +961,50 @@ def q_profile_summary_orders(spark, sf):
 
 # --- A28 all metrics of one table --------------------------------------------------------------
 
+_CONTENTS_SQL = f"""
+SELECT 'monthly_revenue' AS tbl, Month AS item, round(sum(TotalPrice), 2) AS value FROM sales GROUP BY Month
+UNION ALL SELECT 'month_labels', Month || ' £' || printf('%.0f', round_even(sum(TotalPrice) / 1000, 0)) || 'K', 0 FROM sales GROUP BY Month
+UNION ALL SELECT * FROM (SELECT 'top_countries', Country, count(*)::DOUBLE FROM sales GROUP BY Country ORDER BY count(*) DESC, Country LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'top_products', Description, round(sum(Quantity), 2) FROM sales GROUP BY Description ORDER BY sum(Quantity) DESC, Description LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'top_customers', CustomerID::VARCHAR, round(sum(TotalPrice), 2) FROM sales GROUP BY CustomerID ORDER BY sum(TotalPrice) DESC, CustomerID LIMIT 10)
+UNION ALL SELECT 'heatmap', Day || ' ' || Hour, Orders::DOUBLE FROM ({HEATMAP_SQL}) h
+UNION ALL SELECT 'countries', Country, 0 FROM (SELECT DISTINCT Country FROM sales) c
+UNION ALL SELECT 'date_bounds', strftime(min(InvoiceDate), '%Y-%m-%d %H:%M:%S') || ' ' || strftime(max(InvoiceDate), '%Y-%m-%d %H:%M:%S'), 0 FROM sales
+UNION ALL SELECT 'purchase_freq', CustomerID::VARCHAR, count(DISTINCT InvoiceNo)::DOUBLE FROM sales GROUP BY CustomerID
+UNION ALL SELECT 'basket_data', InvoiceNo::VARCHAR, round(sum(TotalPrice), 2) FROM sales GROUP BY InvoiceNo HAVING sum(TotalPrice) < 1000
+UNION ALL SELECT 'purchase_histogram', printf('%.4f', bin_start), "Count"::DOUBLE FROM ({_hist_sql("SELECT CAST(count(DISTINCT InvoiceNo) AS DOUBLE) AS x FROM sales GROUP BY CustomerID")}) p
+UNION ALL SELECT 'basket_histogram', printf('%.4f', bin_start), "Count"::DOUBLE FROM ({_hist_sql("SELECT sum(TotalPrice) AS x FROM sales GROUP BY InvoiceNo HAVING sum(TotalPrice) < 1000")}) q"""
+
+
+@register("get_metrics_contents", S.with_events(_CONTENTS_SQL))
+def q_get_metrics_contents(spark, sf):
+    """The contents of every table of A28 over one written input, as rows (tbl, item, value)."""
+    from basketry.plans.dashboard import get_metrics
+
+    m = get_metrics(events(spark, sf), 1000.0, persist="write")
+    start = F.format_string("%.4f", F.col("bin_start").cast("double"))
+    when = [F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("min_date", "max_date")]
+    parts = {
+        "monthly_revenue": (F.col("Month"), F.round("Revenue", 2)),
+        "month_labels": (F.concat_ws(" ", "Month", "Label"), F.lit(0.0)),
+        "top_countries": (F.col("Country"), F.col("OrderCount")),
+        "top_products": (F.col("ProductName"), F.round("UnitsSold", 2)),
+        "top_customers": (F.col("CustomerID"), F.round("Revenue", 2)),
+        "heatmap": (F.concat_ws(" ", "Day", "Hour"), F.col("Orders")),
+        "countries": (F.col("Country"), F.lit(0.0)),
+        "date_bounds": (F.concat_ws(" ", *when), F.lit(0.0)),
+        "purchase_freq": (F.col("CustomerID").cast("string"), F.col("PurchaseCount")),
+        "basket_data": (F.col("InvoiceNo").cast("string"), F.round("BasketValue", 2)),
+        "purchase_histogram": (start, F.col("Count")),
+        "basket_histogram": (start, F.col("Count")),
+    }
+    out = None
+    for name, (item, value) in parts.items():
+        rows = m[name].select(F.lit(name).alias("tbl"), item.alias("item"), value.cast("double").alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @register("get_metrics_summary", S.with_events(
     """SELECT (SELECT count(*) FROM (SELECT InvoiceNo FROM sales GROUP BY InvoiceNo HAVING sum(TotalPrice) < 1000) b) AS basket_rows,
        (SELECT count(DISTINCT CustomerID) FROM sales) AS purchase_freq_rows,
@@ -798,7 +1035,7 @@ def q_get_metrics_summary(spark, sf):
 def q_dashboard_top_products(spark, sf):
     from basketry.plans.dashboard import dashboard
 
-    df = sales_once(spark, sf)
+    df = sales_store(spark, sf)
     out = dashboard(df, segments_from(df), _SPEC, LINES_CAP)
     return out["top_products"].select("ProductName", r2("UnitsSold"), "Rank")
 
@@ -820,16 +1057,19 @@ def q_cluster_summary_rule(spark, sf):
     return CL.cluster_summary(seg_of(spark, sf), None, "Segment")
 
 
-_OVERVIEW = FL.FilterSpec.overview(countries=["purchase"], start="2024-01-05", end="2024-01-25", basket="Medium")
+_OVERVIEW = replace(FL.FilterSpec.overview(countries=["purchase", "click"], start="2024-01-05", end="2024-01-25", segment="Loyal", basket="Medium"),
+                    segment_by="Segment")
 
 
-@register("apply_filters_overview", S.with_events(
-    f"SELECT {_LINE_COLS} FROM sales WHERE Country IN ('purchase') "
+@register("apply_filters_overview", S.with_events_rfm(
+    f"SELECT {_LINE_COLS} FROM sales WHERE Country IN ('purchase', 'click') "
     "AND InvoiceDate >= TIMESTAMP '2024-01-05' AND InvoiceDate <= TIMESTAMP '2024-01-25' "
+    "AND CustomerID IN (SELECT CustomerID FROM seg WHERE Segment = 'Loyal') "
     "AND InvoiceNo IN (SELECT InvoiceNo FROM sales GROUP BY InvoiceNo HAVING sum(TotalPrice) >= 20 AND sum(TotalPrice) <= 100)"))
 def q_apply_filters_overview(spark, sf):
     """Overview-panel variant: basket bands 20 / 100 over the unfiltered table's totals."""
-    return _lines(FL.apply_filters(events(spark, sf), None, _OVERVIEW))
+    lines = events(spark, sf)
+    return _lines(FL.apply_filters(lines, R.rule_segments(R.rfm(lines)), _OVERVIEW))
 
 
 @register("profile_summary_events", "SELECT count(*) AS \"rows\", 6 AS \"columns\", CAST(NULL AS VARCHAR) AS date_col, "

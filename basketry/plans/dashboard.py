@@ -37,6 +37,7 @@ def get_metrics(df: DataFrame, cap: float = M.DEFAULT_CAP, top_n: int = 10, pers
     """Every metric table of one line table, as a dict of lazy DataFrames (plus ``lines``)."""
     src = _keep(df, persist)
     k = M.kpis(src, cap)
+    baskets, frequency, months = M.basket_values(src, cap), M.purchase_frequency(src), M.monthly_revenue(src)
     heat = M.sales_heatmap(src)
     if persist == "cache":
         heat = heat.persist(StorageLevel.MEMORY_AND_DISK)  # ≤168 rows, read by three tables
@@ -44,9 +45,12 @@ def get_metrics(df: DataFrame, cap: float = M.DEFAULT_CAP, top_n: int = 10, pers
         "lines": src,
         "kpis": k,
         "kpi_text": M.kpi_text(k),
-        "basket_data": M.basket_values(src, cap),
-        "purchase_freq": M.purchase_frequency(src),
-        "monthly_revenue": M.monthly_revenue(src),
+        "basket_data": baskets,
+        "basket_histogram": M.histogram(baskets, "BasketValue"),
+        "purchase_freq": frequency,
+        "purchase_histogram": M.histogram(frequency, "PurchaseCount"),
+        "monthly_revenue": months,
+        "month_labels": M.month_labels(months),
         "peak_month": M.peak_month(src),
         "top_countries": M.top_countries(src, top_n),
         "top_products": M.top_products(src, top_n),
@@ -55,6 +59,8 @@ def get_metrics(df: DataFrame, cap: float = M.DEFAULT_CAP, top_n: int = 10, pers
         "heatmap_wide": M.heatmap_wide_from_long(heat),
         "heatmap_ceiling": M.ceiling_from_long(heat),
         "basket_shape": M.basket_shape(src, cap),
+        "date_bounds": M.date_bounds(src),
+        "countries": M.countries(src),
     }
 
 

@@ -21,7 +21,7 @@ SALES_LINES = """sales_lines AS (
 EVENT_SALES = """event_sales AS (
   SELECT event_id AS InvoiceNo, event_type AS Description, 1.0::DOUBLE AS Quantity, ts AS InvoiceDate,
          value AS UnitPrice, user_id AS CustomerID, event_type AS Country, value AS TotalPrice
-  FROM events WHERE event_type = 'purchase')"""
+  FROM events)"""
 
 DIRTY_LINES = """dirty_base AS (
   SELECT InvoiceNo,
@@ -167,3 +167,52 @@ SELECT count(DISTINCT CASE WHEN lab <> -1 THEN lab END) AS clusters,
        round(avg(CASE WHEN lab = -1 THEN 1.0 ELSE 0.0 END) * 100, 1) AS noise_pct,
        CAST(sum(CAST(is_core AS BIGINT)) AS BIGINT) AS core_points, count(*) AS points
 FROM labels"""
+
+
+_COLS3 = ("zRecency", "zFrequency", "zMonetary")
+LABEL_OF_SEGMENT = "CASE Segment WHEN 'Low Value' THEN 0 WHEN 'High Value' THEN 1 WHEN 'Loyal' THEN 2 ELSE 3 END"
+
+
+def _d2(a: str, b: str) -> str:
+    return " + ".join(f"power({a}.{c} - {b}.{c}, 2)" for c in _COLS3)
+
+
+def nearest(centres_from: str = "z", name: str = "lab") -> str:
+    """CTE ``lab`` (CustomerID, Cluster): the nearest of the rule-segment means of ``centres_from``."""
+    means = ", ".join(f"avg({c}) AS {c}" for c in _COLS3)
+    return f"""cent_{name} AS (SELECT {LABEL_OF_SEGMENT} AS label, {means} FROM {centres_from} GROUP BY Segment),
+{name} AS (SELECT CustomerID, CAST(label AS INTEGER) AS Cluster FROM (
+  SELECT z.CustomerID, c.label, row_number() OVER (PARTITION BY z.CustomerID ORDER BY {_d2('z', 'c')}, c.label) AS r
+  FROM z, cent_{name} c) n WHERE r = 1)"""
+
+
+#: CTEs m (means per cluster) and named (CustomerID, Cluster, KMSegment) from ``lab``.
+NAMED = """m AS (SELECT Cluster, avg(Recency) AS r, avg(Frequency) AS f, avg(Monetary) AS mo FROM lab JOIN rfm USING (CustomerID) GROUP BY Cluster),
+vip AS (SELECT Cluster FROM m ORDER BY mo DESC, Cluster LIMIT 1),
+lost AS (SELECT Cluster FROM m WHERE Cluster NOT IN (SELECT * FROM vip) ORDER BY r DESC, Cluster LIMIT 1),
+loyal AS (SELECT Cluster FROM m WHERE Cluster NOT IN (SELECT * FROM vip UNION ALL SELECT * FROM lost) ORDER BY f DESC, Cluster LIMIT 1),
+named AS (SELECT CustomerID, Cluster, CASE WHEN (SELECT count(*) FROM m) <> 4 THEN 'Cluster ' || Cluster
+    WHEN Cluster IN (SELECT * FROM vip) THEN 'VIP' WHEN Cluster IN (SELECT * FROM lost) THEN 'Lost'
+    WHEN Cluster IN (SELECT * FROM loyal) THEN 'Loyal' ELSE 'Regular' END AS KMSegment FROM lab)"""
+
+
+def label_scores(labels: str, out: str) -> str:
+    """CTE ``out`` (g, inertia, silhouette, davies_bouldin) for labellings ``labels`` (g, CustomerID, lab) of ``z``;
+    the silhouette is the squared-Euclidean one."""
+    sq = " + ".join(f"z.{c} * z.{c}" for c in _COLS3)
+    means = ", ".join(f"avg(z.{c}) AS {c}" for c in _COLS3)
+    dot = " + ".join(f"z.{c} * s.{c}" for c in _COLS3)
+    return f"""{out}_p AS (SELECT l.g, l.lab, z.*, {sq} AS sq FROM {labels} l JOIN z USING (CustomerID)),
+{out}_s AS (SELECT g, lab, count(*) AS n, {means}, avg(sq) AS q FROM {out}_p z GROUP BY g, lab),
+{out}_d AS (SELECT z.g, z.CustomerID, z.lab, s.lab AS other, s.n, z.sq - 2 * ({dot}) + s.q AS d, {_d2('z', 's')} AS d2
+  FROM {out}_p z JOIN {out}_s s ON z.g = s.g),
+{out}_i AS (SELECT g, CustomerID, max(CASE WHEN lab = other THEN n END) AS n,
+  max(CASE WHEN lab = other AND n > 1 THEN d * n / (n - 1) END) AS a, min(CASE WHEN lab <> other THEN d END) AS b FROM {out}_d GROUP BY g, CustomerID),
+{out}_sil AS (SELECT g, CASE WHEN count(b) > 0 THEN avg(CASE WHEN n <= 1 THEN 0 WHEN greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) END AS silhouette
+  FROM {out}_i GROUP BY g),
+{out}_w AS (SELECT g, lab, sum(d2) AS ss, avg(sqrt(d2)) AS s FROM {out}_d WHERE lab = other GROUP BY g, lab),
+{out}_r AS (SELECT a.g, a.lab, max(CASE WHEN {_d2('a', 'b')} = 0 THEN 0 ELSE (wa.s + wb.s) / sqrt({_d2('a', 'b')}) END) AS r
+  FROM {out}_s a JOIN {out}_s b ON a.g = b.g AND a.lab <> b.lab JOIN {out}_w wa ON wa.g = a.g AND wa.lab = a.lab JOIN {out}_w wb ON wb.g = b.g AND wb.lab = b.lab
+  GROUP BY a.g, a.lab),
+{out} AS (SELECT g, (SELECT sum(ss) FROM {out}_w w WHERE w.g = t.g) AS inertia, silhouette,
+  (SELECT avg(r) FROM {out}_r r WHERE r.g = t.g) AS davies_bouldin FROM {out}_sil t)"""

@@ -71,6 +71,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)  # known schema: no footer-reading job
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    """A path for a table of this application, beside those of ``materialize`` and dropped with them."""
+    return f"{_tables_root(spark)}/{name}"
+
+
 def _tables_root(spark: SparkSession) -> str:
     root = ensure_checkpoint_dir(spark)
     return f"{root.rstrip('/')}/tables/{spark.sparkContext.applicationId}"

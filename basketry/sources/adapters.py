@@ -57,9 +57,9 @@ def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchase events as one-line orders; they carry a time of day, unlike ``sales_lines``."""
-    ev = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
-    return ev.select(
+    """All events as one-line orders, by event type as Country and Description; unlike ``sales_lines`` they
+    carry a time of day."""
+    return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("InvoiceNo"),
         F.col("event_type").alias("Description"),
         F.lit(1.0).alias("Quantity"),

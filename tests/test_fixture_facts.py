@@ -51,9 +51,9 @@ def test_dirty_lines_facts(spark):
 
 def test_event_sales_facts(spark):
     ev = C.clean_sales(adapters.event_sales(spark, SF))
-    assert ev.count() == 1_981 and ev.select("CustomerID").distinct().count() == 150
+    assert ev.count() == 10_000 and ev.select("CustomerID").distinct().count() == 150
     totals = M.basket_values(ev, None)
-    for edges, inclusive, want in (((20, 100), True, [671, 1_074, 236]), ((50, 200), False, [1_267, 682, 32])):
+    for edges, inclusive, want in (((20, 100), True, [3_261, 5_423, 1_316]), ((50, 200), False, [6_335, 3_493, 172])):
         got = [FL.filter_basket(ev, band, edges, inclusive).select("InvoiceNo").distinct().count() for band in FL.BANDS]
         assert got == want, (edges, got)
-    assert totals.count() == 1_981
+    assert totals.count() == 10_000
