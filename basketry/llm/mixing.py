@@ -18,8 +18,6 @@ from pyspark.sql.window import Window
 
 from basketry.session import materialize
 
-#: Ranges of the seeded order that are summed before rows are looked at: only one of them per leaf is sorted.
-RANGES = 1 << 16
 UNKNOWN = "unknown"
 
 
@@ -42,13 +40,14 @@ def _weight(path: Sequence[Column], weights: Mapping[tuple[str, ...], float]) ->
 def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[tuple[str, ...], float], total: float, max_epochs: int) -> DataFrame:
     """``leaves`` (levels..., tokens) with column ``quota``: the tokens that each leaf has to deliver."""
     level = leaves.withColumn("__capacity", F.col("tokens") * F.lit(max_epochs).cast("double"))
-    root = level.agg(F.least(F.lit(float(total)), F.sum("__capacity")).alias("quota"))
-    given = root.select(F.lit(0).alias("__root"), "quota")
+    room = leaves.agg(F.sum("tokens")).first()[0] or 0
+    given = None
     for depth in range(1, len(levels) + 1):
         above = ["__root", *levels[: depth - 1]]
         node = level.withColumn("__root", F.lit(0)).groupBy(*above, levels[depth - 1]).agg(F.sum("__capacity").alias("__capacity"))
         node = node.withColumn("__w", F.greatest(_weight([F.col(c) for c in levels[:depth]], weights), F.lit(0.0)))
-        node = node.join(given, above).withColumn("__ratio", F.when(F.col("__w") > 0, F.col("__capacity") / F.col("__w")).otherwise(F.lit(float("inf"))))
+        node = node.withColumn("quota", F.lit(min(float(total), float(room * max_epochs)))) if given is None else node.join(given, above)
+        node = node.withColumn("__ratio", F.when(F.col("__w") > 0, F.col("__capacity") / F.col("__w")).otherwise(F.lit(float("inf"))))
         order = Window.partitionBy(*above).orderBy("__ratio", levels[depth - 1])
         prior = order.rowsBetween(Window.unboundedPreceding, -1)
         rest = order.rowsBetween(0, Window.unboundedFollowing)
