@@ -230,14 +230,15 @@ class Coder:
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """Blocks in ascending id order: (part, block, first, ids_of, lengths, ids as uint16); equal ids keep the order of their texts' hashes."""
+    """Blocks in ascending id order: (part, block, first, ids_of, lengths, ids as uint16), and one row per task that has
+    the frequencies of its ids in ``counts`` only; equal document ids keep the order of their texts' hashes."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     given = docs.select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
     given = given.repartitionByRange(parts, "__id").sortWithinPartitions("__id", F.xxhash64("__text"), "__text")
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("first", T.LongType()),
-                           T.StructField("ids_of", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("ids", T.BinaryType())])
+                           T.StructField("ids_of", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("ids", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
     def run(batches):
         part, block, first = TaskContext.get().partitionId(), 0, 0
@@ -246,20 +247,22 @@ def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str
         lengths: list[int] = []
         held: list[np.ndarray] = []
         size = 0
+        counts = np.zeros(1 << 16, dtype=np.int64)
 
         def close():
             ids = np.concatenate(held)
-            return pa.RecordBatch.from_pylist([{"part": part, "block": block, "first": first, "ids_of": owners, "lengths": lengths, "ids": ids.astype("<u2").tobytes()}], schema=arrow)
+            np.add(counts, np.bincount(ids, minlength=1 << 16), out=counts)
+            return pa.RecordBatch.from_pylist([{"part": part, "block": block, "first": first, "ids_of": owners, "lengths": lengths, "ids": ids.astype("<u2").tobytes(), "counts": None}], schema=arrow)
 
         arrow = None
         for batch in batches:
             if arrow is None:
-                arrow = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("ids_of", pa.list_(batch.schema.field(0).type)), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())])
+                arrow = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("ids_of", pa.list_(batch.schema.field(0).type)), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("counts", pa.binary())])
             for a in range(0, batch.num_rows, 256):
                 some = batch.slice(a, 256)
-                ids, counts = tokenizer.encode(some.column(1).to_pylist())
+                ids, sizes = tokenizer.encode(some.column(1).to_pylist())
                 at = 0
-                for owner, n in zip(some.column(0).to_pylist(), counts.tolist(), strict=True):
+                for owner, n in zip(some.column(0).to_pylist(), sizes.tolist(), strict=True):
                     owners.append(owner)
                     lengths.append(n)
                     held.append(ids[at:at + n])
@@ -271,6 +274,8 @@ def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str
                         owners, lengths, held, size = [], [], [], 0
         if owners:
             yield close()
+        if arrow is not None:
+            yield pa.RecordBatch.from_pylist([{"part": part, "counts": counts.tobytes()}], schema=arrow)
 
     return given.mapInArrow(run, schema)
 
@@ -286,17 +291,18 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            counts = sum(np.bincount(np.frombuffer(x.as_py(), "<u2"), minlength=1 << 16) for x in batch.column(0))
+            counts = sum(np.frombuffer(x.as_py(), np.int64) for x in batch.column(0))
             seen = np.flatnonzero(counts)
             return pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen].astype(np.int64))], names=["id", "n"])
 
         return one
 
     counts = np.zeros(1 << 16, dtype=np.int64)
-    for r in map_batches(tokens.select("ids"), make, "id int, n long").groupBy("id").agg(F.sum("n")).collect():  # at most one row per id of the vocabulary
+    for r in map_batches(tokens.where("counts IS NOT NULL").select("counts"), make, "id int, n long").groupBy("id").agg(F.sum("n")).collect():  # at most one row per id of the vocabulary
         counts[r[0]] = r[1]
     freq = frequencies(counts)
-    sizes = tokens.select("part", (F.octet_length("ids") / 2).cast("long").alias("n")).groupBy("part").agg(F.sum("n")).collect()  # one row per task
+    coded = tokens.where("ids IS NOT NULL")
+    sizes = coded.select("part", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n).alias("n")).groupBy("part").agg(F.sum("n")).collect()  # one row per task
     before, total = {}, 0
     for part, n in sorted(sizes):
         before[part], total = total, total + n
@@ -319,7 +325,7 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc
 
         return one
 
-    blocks = materialize(map_batches(tokens.select("part", "first", "ids_of", "lengths", "ids"), coder, schema))
+    blocks = materialize(map_batches(coded.select("part", "first", "ids_of", "lengths", "ids"), coder, schema))
     release(tokens)
     return blocks, freq
 
