@@ -2,8 +2,8 @@
 
 Equal n-gram sets are one vertex. n-grams are ordered globally by estimated rarity (two tables of
 2^16 counts over the whole corpus: of words, whose product tells chance n-grams, and of n-grams, which tell copied
-ones), then hash. Sets of similarity t share one of their first ``n - ceil(t n) + 1`` n-grams in that
-order, so documents that meet there are candidates. The hash order is cut into fragments at fixed pivots:
+ones), then hash. Sets of similarity t share COMMON of their first ``n - ceil(t n) + COMMON`` n-grams in that
+order, so documents that meet there so often are candidates. The hash order is cut into fragments at fixed pivots:
 the number of a set's n-grams in each of 32 fragments bounds the distance of two sets from below and prunes
 candidates exactly; finer fragments, for sets of similar size down to two n-grams each, do so again. The rest is decided by
 joining both documents' n-grams fragment by fragment, counting each fragment's overlap on its own and summing per pair.
@@ -33,6 +33,9 @@ TABLE_BITS = 16
 #: Fragments of the hash order whose counts a sketch holds (4 bits each), and those that overlaps are counted in.
 SKETCH, FRAGMENTS = 32, 8
 HOT = 4096
+#: Sets that match share so many of their first n-grams (or all they have to share, if fewer): in lists of at most SHORT
+#: members pairs are counted, in longer ones a single meeting suffices.
+COMMON, SHORT = 3, 8
 SLICE_BYTES = 2 << 20
 
 _rng = np.random.default_rng(20240229)
@@ -183,7 +186,7 @@ def _sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                     sketches.append(_pack(own).tobytes())
                     fines.append(_fine(own))
-                    keep = len(own) - -(-num * len(own) // den) + 1 if len(own) else 0
+                    keep = min(len(own), len(own) - -(-num * len(own) // den) + COMMON)
                     own_keys = keys[offsets[k]:offsets[k + 1]][where]
                     prefixes.append(np.sort(np.partition(own_keys, keep - 1)[:keep]) if 0 < keep < len(own) else np.sort(own_keys))
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
@@ -248,7 +251,7 @@ def _propose(vid, n, sketch, comp, blk, k: int, num: int, den: int) -> tuple[np.
     return np.concatenate(left), np.concatenate(right), count
 
 
-def _lists(k: int, num: int, den: int, hot: int):
+def _lists(k: int, num: int, den: int, hot: int, first: bool):
     """Over rows (h, vid, n, sketch, comp, blk) sorted by h: pairs, the lists that have more of them, and lists too large to hold."""
 
     def runs(batches) -> Iterator[tuple]:
@@ -285,16 +288,22 @@ def _lists(k: int, num: int, den: int, hot: int):
             h, vid, n, comp, blk, sketch = got
             starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             sizes = np.diff(np.append(starts, len(h)))
-            two = starts[sizes == 2]
-            i, j = two, two + 1
+            i, j = [], []
+            short = SHORT if first else 2
+            for m in range(2, short + 1):
+                upper = np.triu_indices(m, 1)
+                i += [(starts[sizes == m][:, None] + upper[0]).ravel()]
+                j += [(starts[sizes == m][:, None] + upper[1]).ravel()]
+            i, j = np.concatenate(i), np.concatenate(j)
             ok = (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num) & (comp[i] != comp[j]) & ((blk[i] < 0) | (blk[i] != blk[j]))
             i, j = i[ok], j[ok]
             if len(i):
                 x, y = (np.frombuffer(b"".join(_short(v) for v in sketch[p]), np.uint8).reshape(-1, SKETCH // 2) for p in (i, j))
                 ok = (_gap(x & 15, y & 15) + _gap(x >> 4, y >> 4)) * (den + num) <= (n[i] + n[j]) * (den - num)
                 i, j = i[ok], j[ok]
+            meetings = [np.full(len(i), 1 if first else COMMON)]
             left, right, again, sigs = [i], [j], [], []
-            for s, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            for s, m in zip(starts[sizes > short].tolist(), sizes[sizes > short].tolist(), strict=True):
                 if m > hot:
                     yield _rows(_LARGE, h=h[s:s + 1])
                     continue
@@ -302,6 +311,7 @@ def _lists(k: int, num: int, den: int, hot: int):
                 x, y, count = _propose(vid[own], n[own], sketch[own], comp[own], blk[own], k, num, den)
                 left.append(x + s)
                 right.append(y + s)
+                meetings.append(np.full(len(x), COMMON))
                 if (count > k).any():
                     again.append(s + np.flatnonzero(count))
                     sigs.append(np.full(len(again[-1]), int.from_bytes(hashlib.blake2b(np.sort(vid[again[-1]]).tobytes(), digest_size=8).digest(), "little", signed=True)))
@@ -309,8 +319,9 @@ def _lists(k: int, num: int, den: int, hot: int):
             if len(i):
                 swap = vid[i] > vid[j]
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
-                pair = np.unique(np.stack([vid[i], vid[j], n[i], n[j]], axis=1), axis=0)
-                yield _rows(_PAIR, a=pair[:, 0], b=pair[:, 1], na=pair[:, 2], nb=pair[:, 3])
+                pair, which = np.unique(np.stack([vid[i], vid[j], n[i], n[j]], axis=1), axis=0, return_inverse=True)
+                met = np.bincount(which.ravel(), weights=np.concatenate(meetings)).astype(np.int64)
+                yield _rows(_PAIR, a=pair[:, 0], b=pair[:, 1], na=pair[:, 2], nb=pair[:, 3], h=met)
             if again:
                 i = np.concatenate(again)
                 yield _rows(_MEMBER, a=vid[i], b=np.concatenate(sigs), na=n[i], h=h[i], sketch=sketch[i], blk=blk[i])
@@ -432,8 +443,10 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
     rows, k = posted, 2
     while True:
         ordered = rows.repartition("h").sortWithinPartitions("h")
-        out = tables.write(ordered.mapInArrow(_lists(k, num, den, hot), _OUT))
-        pairs = out.where(f"kind = {_PAIR}").select("a", "b", "na", "nb").distinct()
+        out = tables.write(ordered.mapInArrow(_lists(k, num, den, hot, segments is None), _OUT))
+        pairs = out.where(f"kind = {_PAIR}").groupBy("a", "b", "na", "nb").agg(F.sum("h").alias("met"))
+        shared = F.least(F.lit(COMMON), F.ceil(F.greatest("na", "nb") * F.lit(num) / F.lit(den)))
+        pairs = pairs.where(F.col("met") >= shared).select("a", "b", "na", "nb")
         pairs = tables.write(_prune(pairs, reps, num, den) if segments is None else pairs)
         again = out.where(f"kind = {_MEMBER}").select("h", F.col("a").alias("vid"), F.col("na").alias("n"), "sketch", "blk")
         if segments is None:
