@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def get_spark(cores: int | str = "*", app: str = "basketry", shuffle_partitions: int | None = None) -> SparkSession:
-    """Local session used by tests and the bench (a cluster passes its own session)."""
+def get_spark(cores: int | str = "*", app: str = "basketry", shuffle_partitions: int | None = None,
+              checkpoint_dir: str | None = None) -> SparkSession:
+    """Local session used by the bench and by hand (a cluster passes its own session). Written tables go to
+    ``checkpoint_dir``, or to a new temporary folder, which a local master shares with nobody."""
     parts = shuffle_partitions or (os.cpu_count() if cores == "*" else int(cores)) or 8
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -31,6 +33,7 @@ def get_spark(cores: int | str = "*", app: str = "basketry", shuffle_partitions:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config(CHECKPOINT_CONF, checkpoint_dir or tempfile.mkdtemp(prefix="basketry-ckpt-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
