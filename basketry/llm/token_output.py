@@ -35,7 +35,7 @@ CHECKPOINT_STEPS = 256
 #: A block is closed at the end of the document that brings it to so many ids.
 BLOCK_IDS = 1 << 20
 #: Pieces of text whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 MAGIC = b"RA64"
 
 _ODD_SPACE = re.compile(r" \s| $")
