@@ -355,6 +355,26 @@ def test_ngram_join_matches_brute_force(spark, width, num, den, hot):
     assert ngram_join.join(docs.limit(0), width, num, den).count() == 0
 
 
+@pytest.mark.parametrize(("num", "edits", "hot"), [(80, 6, 4096), (90, 5, 4096), (80, 9, 20)])
+def test_large_near_groups_match_brute_force(spark, num, edits, hot):
+    """Two groups of many near copies around the threshold: several rounds, and lists in blocks."""
+    rng = random.Random(21)
+    texts = []
+    for g in range(2):
+        base = [f"{rng.choice('abcdef')}{rng.randrange(10_000)}" for _ in range(150)]
+        for _ in range(60):
+            w = list(base)
+            for _ in range(rng.randint(0, edits)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10_000)}"
+            texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = ngram_join.join(table(spark, rows), 3, num, 100, hot=hot)
+    want = brute_components(rows, 3, num, 100)
+    assert len({c for _, _, c in want}) > 2
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == sorted(want)
+
+
 def test_keep_first_keeps_one_of_each(spark):
     texts = near_copies(seed=12, n=30)
     rows = [(i, t) for i, t in enumerate(texts)] + [(500, None), (501, ""), (502, texts[0])]
