@@ -396,7 +396,9 @@ def _prune(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold."""
+    """The pairs (a, b) whose similarity reaches the threshold; only the segments of their documents are dealt out."""
+    own = materialize(pairs.select(F.col("a").alias("vid")).unionByName(pairs.select(F.col("b").alias("vid"))).distinct())
+    segments = segments.join(broadcast_if_small(own), "vid", "left_semi")
     left = pairs.join(segments.select(F.col("vid").alias("b"), "fragment", F.col("grams").alias("of_b")), "b")
     both = left.join(segments.select(F.col("vid").alias("a"), "fragment", F.col("grams").alias("of_a")), ["a", "fragment"])
 
