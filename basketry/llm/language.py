@@ -167,13 +167,14 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, text_col:
     """
     shared = docs.sparkSession.sparkContext.broadcast((languages, table))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    given = docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    given = docs.select(row.alias("row"))
+    text_at = docs.columns.index(text_col)
 
     def make():
         names, logp = shared.value
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            flat, at = byte_buffer(batch.column(1))
+            flat, at = byte_buffer(batch.column(0).field(text_at))
             share = np.zeros((len(at) - 1, len(names)))
             a = 0
             while a < len(at) - 1:  # slices of bounded size; a longer document is a slice of its own
