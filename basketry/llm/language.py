@@ -151,9 +151,11 @@ def infer(flat: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def _has_letter(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether a document has a letter; the characters are looked at only where no ASCII letter is."""
-    low = flat | 32
-    seen = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122))])
-    out = seen[at[1:]] > seen[at[:-1]]
+    out = np.zeros(len(at) - 1, dtype=bool)
+    full = np.flatnonzero(at[1:] > at[:-1])
+    if len(full):
+        low = flat | 32
+        out[full] = np.logical_or.reduceat((low >= 97) & (low <= 122), at[full])
     for i in np.flatnonzero(~out & (at[1:] > at[:-1])):
         out[i] = any(c.isalpha() for c in flat[at[i]:at[i + 1]].tobytes().decode("utf-8", "replace"))
     return out
@@ -175,13 +177,13 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, text_col:
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             flat, at = byte_buffer(batch.column(0).field(text_at))
-            share = np.zeros((len(at) - 1, len(names)))
+            share, letters = np.zeros((len(at) - 1, len(names))), np.zeros(len(at) - 1, dtype=bool)
             a = 0
             while a < len(at) - 1:  # slices of bounded size; a longer document is a slice of its own
                 b = max(a + 1, int(np.searchsorted(at, at[a] + SLICE_BYTES, side="right")) - 1)
-                share[a:b] = infer(flat[at[a]:at[b]], at[a:b + 1] - at[a], logp)
+                part, edges = flat[at[a]:at[b]], at[a:b + 1] - at[a]
+                share[a:b], letters[a:b] = infer(part, edges, logp), _has_letter(part, edges)
                 a = b
-            letters = _has_letter(flat, at)
             pred, score, sets = [], [], []
             for i in range(len(letters)):
                 if not letters[i] or not names:
