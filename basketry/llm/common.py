@@ -13,18 +13,23 @@ from pyspark.sql.types import StructField, StructType
 from basketry.session import materialize, release
 
 
+#: Rows of a batch that are worked on together: bounds what a worker holds besides the batch itself.
+ROWS = 1024
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType) -> DataFrame:
-    """``make()`` runs once per task and returns the function applied to each Arrow batch."""
+    """``make()`` runs once per task and returns the function applied to at most ROWS rows of an Arrow batch at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for batch in batches:
-            if batch.num_rows and (out := one(batch)) is not None and out.num_rows:
-                yield out
+            for at in range(0, batch.num_rows, ROWS):
+                if (out := one(batch.slice(at, ROWS))) is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

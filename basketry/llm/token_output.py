@@ -78,6 +78,10 @@ class Tokenizer:
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.ids[0], self.length[0], self.used = self.end_id, 1, 1
 
+    def forget(self) -> None:
+        """Drops the pieces at the end of a task, as idle workers stay alive."""
+        self._reset()
+
     def _plain(self, word: str) -> list[int]:
         mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.characters)
         return [t.id for t in self.model.tokenize(self.space + mapped)]
@@ -145,7 +149,7 @@ _TOKENIZERS: dict[tuple[str, int], Tokenizer] = {}
 
 
 def _tokenizer(path: str, end_id: int) -> Tokenizer:
-    """One per Python worker, so that tasks share what was learned."""
+    """One per Python worker: loading the vocabulary takes a while."""
     if (path, end_id) not in _TOKENIZERS:
         _TOKENIZERS[path, end_id] = Tokenizer(path, end_id)
     return _TOKENIZERS[path, end_id]
@@ -274,6 +278,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str
                         owners, lengths, held, size = [], [], [], 0
         if owners:
             yield close()
+        tokenizer.forget()
         if arrow is not None:
             yield pa.RecordBatch.from_pylist([{"part": part, "counts": counts.tobytes()}], schema=arrow)
 
