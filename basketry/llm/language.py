@@ -27,7 +27,7 @@ PENALTY = 4.0
 ROUNDS = 15
 #: Likelihoods of a word differ by at most this many nats, so that one odd word can't decide.
 CLIP = 12.0
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 UNDETERMINED = "und"
 
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)], dtype=np.uint8)

@@ -36,7 +36,7 @@ HOT = 4096
 #: Sets that match share so many of their first n-grams (or all they have to share, if fewer): in lists of at most SHORT
 #: members pairs are counted, in longer ones a single meeting suffices.
 COMMON, SHORT = 3, 8
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
