@@ -2,7 +2,7 @@
 
 A line is removed if the Jaccard similarity of its words to those of an earlier line (smaller id, or
 same document and earlier line) reaches NUM / DEN; lines are judged on the input. The words of a line
-are 64-bit numbers that sort by rarity (counts over the whole corpus, hashed to 2^14 cells) and then hash.
+are 64-bit numbers that sort by rarity (counts over the whole corpus, hashed to 2^16 cells) and then hash.
 
 1. Lines with equal word sets are one class, named by its first line; all others of it go.
 2. Similar sets share one of their rarest ``n - ceil(t n) + 1`` words. Classes are dealt by these words, and
@@ -28,7 +28,7 @@ from basketry.llm.common import broadcast_if_small, dense_order
 from basketry.session import materialize
 
 NUM, DEN = 80, 100
-CELLS = 1 << 14
+CELLS = 1 << 16
 LONG = 64
 #: Lists that are estimated to have more members than this are split.
 HOT, SAMPLE_RATE = 200_000, 0.01
