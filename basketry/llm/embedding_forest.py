@@ -1,13 +1,14 @@
 """Near-duplicate embeddings with a forest of random-projection trees.
 
-Equal vectors are one vertex. Every tree splits its nodes by the projection on a random direction, near the
-median; the SPILL share of a node's vectors around the median goes to both sides. The top of the
+Vectors of equal direction are one vertex. Every tree splits its nodes by the projection on a random direction,
+near the median; the SPILL share of a node's vectors around the median goes to both sides. The top of the
 trees is fitted on a bounded sample of the vectors, and every vector is routed; a leaf that still has more
 than LEAF vectors is split further, level by level, with quantiles over all its vectors, until no
-leaf is larger. Vectors are compared within leaves only. A pair that shares several leaves is counted
-in the one of smallest number, so that nothing has to be kept per pair, and each leaf gives one row per
-vector: its number of links and the root of its component in the leaf. Leaves with
-their roots as edges then make the components.
+leaf is larger. Leaves only tell what hangs together: each gives one row per vector that has a
+link in it, with the root of its component in the leaf, and leaves with their roots as edges make the
+components. Links are then counted over all pairs of a component, however many leaves a dense group was
+split over: small components several to a task, those of more than BLOCK vectors in blocks, every pair of
+blocks in a task of its own. So a link is missed only where the forest leaves its ends in different components.
 
 With TREES = 10, LEAF = 512 and SPILL = 0.1 the recall of links is measured in tests/llm.
 """
@@ -30,6 +31,8 @@ TREES, LEAF, SPILL = 10, 512, 0.10
 SAMPLE = 16_384
 #: A node with fewer vectors of the sample isn't split by it.
 LEAST = 64
+#: Vectors of a component whose pairs are counted in one task; a larger component is dealt into blocks.
+BLOCK = 1024
 
 
 def _normal(raw: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
@@ -158,21 +161,9 @@ def _split_large(reps: DataFrame, placed: DataFrame, leaf: int, spill: float) ->
 def _compare(threshold: float):
     def one(group: pa.Table) -> pa.Table:
         key = group.column("key").combine_chunks()
-        mult = group.column("mult").to_numpy()
-        this = group.column("code")[0].as_py()
         (_, x), *_ = _normal(group.column("vec").combine_chunks())[0]
         near = (x @ x.T) >= threshold
         np.fill_diagonal(near, False)
-        codes = group.column("codes").combine_chunks()
-        owner = np.repeat(np.arange(len(x)), np.diff(codes.offsets.to_numpy()))
-        value = codes.values.to_numpy()[codes.offsets[0].as_py():codes.offsets[-1].as_py()]
-        lower = value < this
-        # pairs that share a leaf of smaller number are counted there
-        names, column = np.unique(value[lower], return_inverse=True)
-        member = np.zeros((len(x), len(names)), dtype=np.float32)
-        member[owner[lower], column] = 1
-        counted = near & ~((member @ member.T) > 0)
-        n_links = counted @ mult
         root = np.arange(len(x))
         while True:  # least label of a component
             low = np.minimum(root, np.where(near, root[None, :], len(x)).min(axis=1))
@@ -181,17 +172,58 @@ def _compare(threshold: float):
                 break
             root = low
         some = np.flatnonzero(near.any(axis=1))
-        return pa.table({"key": key.take(pa.array(some)), "root": key.take(pa.array(root[some])), "n_links": pa.array(n_links[some].astype(np.int64))})
+        return pa.table({"key": key.take(pa.array(some)), "root": key.take(pa.array(root[some]))})
+
+    return one
+
+
+def _tasks(members: DataFrame, block: int) -> DataFrame:
+    """``members`` (key, component, ..) with the ``task`` that counts them: small components share one, and in a
+    large one every pair of blocks has its own; ``blk`` is the row's block there, or -1 where all pairs are to be counted."""
+    sizes = materialize(members.groupBy("component").agg(F.count(F.lit(1)).alias("__n")))
+    shared = max(1, -(-(sizes.where(F.col("__n") <= block).agg(F.sum("__n")).first()[0] or 0) // block))
+    rows = members.join(sizes, "component")
+    few = rows.where(F.col("__n") <= block).withColumn("task", F.pmod(F.xxhash64("component", F.lit(17)), F.lit(shared))).withColumn("blk", F.lit(-1).cast("long"))
+    many = rows.where(F.col("__n") > block).withColumn("__k", F.ceil(F.col("__n") / block)).withColumn("__b", F.pmod(F.xxhash64("key", F.lit(13)), F.col("__k")))
+    many = many.withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__k") - 1)))
+    many = many.withColumn("task", F.xxhash64("component", F.least("__b", "__o"), F.greatest("__b", "__o")))
+    many = many.withColumn("blk", F.when(F.col("__b") == F.col("__o"), F.lit(-1)).otherwise(F.col("__b")).cast("long"))
+    names = [*members.columns, "task", "blk"]
+    return few.select(names).unionByName(many.select(names))
+
+
+def _count(threshold: float):
+    """(key, n_links) over the pairs of a component: all, or those between its two blocks."""
+
+    def one(group: pa.Table) -> pa.Table:
+        names, number = np.unique(np.array([c.as_py() for c in group.column("component")], dtype=object), return_inverse=True)
+        blk, mult = group.column("blk").to_numpy(), group.column("mult").to_numpy()
+        vec = group.column("vec").combine_chunks()
+        n_links = np.zeros(len(blk), dtype=np.int64)
+        # tasks of different components may share a number
+        unit = number * 2 + (blk >= 0)
+        order = np.argsort(unit, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1):
+            (_, x), *_ = _normal(vec.take(pa.array(own)))[0]
+            for a in range(0, len(own), 1024):  # bounded: so many rows of the matrix at once
+                near = (x[a:a + 1024] @ x.T) >= threshold
+                if blk[own[0]] >= 0:
+                    near &= blk[own[a:a + 1024], None] != blk[own][None, :]
+                else:
+                    near[np.arange(len(near)), np.arange(a, a + len(near))] = False
+                n_links[own[a:a + 1024]] = near @ mult[own]
+        some = np.flatnonzero(n_links)
+        return pa.table({"key": group.column("key").combine_chunks().take(pa.array(some)), "n_links": pa.array(n_links[some])})
 
     return one
 
 
 def link(vectors: DataFrame, threshold: float = 0.9, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, sample: int = SAMPLE,
-         id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+         block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per input row: id, n_links (other rows linked directly), component_id (least id reachable), kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; nor do
-    vectors of different dimension. Equal vectors always link; repeated rows count as others. A row with a null
+    vectors of different dimension. Vectors of equal direction always link; repeated rows count as others. A row with a null
     id links as any other, but names its component only if no id is there (component_id null, kept true).
     An empty table gives an empty result; other columns are ignored.
     """
@@ -201,8 +233,9 @@ def link(vectors: DataFrame, threshold: float = 0.9, trees: int = TREES, leaf: i
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             raw: list[bytes | None] = []
             for v in batch.column(1).to_pylist():
-                a = np.array(v, dtype=np.float64) + 0.0 if v and None not in v else None  # + 0.0: no negative zeros
-                raw.append(a.tobytes() if a is not None and np.isfinite(a).all() and a.any() else None)
+                a = np.array(v, dtype=np.float64) if v and None not in v else None
+                # as _normal begins, so that vectors of one key have the same links; + 0.0: no negative zeros
+                raw.append((a / np.abs(a).max() + 0.0).tobytes() if a is not None and np.isfinite(a).all() and a.any() else None)
             key = [None if x is None else hashlib.blake2b(x, digest_size=16).digest() for x in raw]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.binary()), pa.array(raw, pa.binary())], names=["id", "key", "vec"])
 
@@ -215,12 +248,14 @@ def link(vectors: DataFrame, threshold: float = 0.9, trees: int = TREES, leaf: i
     routed = _route_all(reps, reps.count(), trees, leaf, spill, sample)
     placed = materialize(routed.select("key", F.explode("codes").alias("code")))
     final = _split_large(reps, placed, leaf, spill).distinct()
-    per_vector = materialize(final.groupBy("key").agg(F.array_sort(F.collect_list("code")).alias("codes")))  # bounded by trees and depth
-    wide = per_vector.join(reps, "key").select("key", "vec", "mult", "codes", F.explode("codes").alias("code"))
-    found = materialize(wide.groupBy("code").applyInArrow(_compare(threshold), "key binary, root binary, n_links long"))
-    counts = found.groupBy("key").agg(F.sum("n_links").alias("n"))
-    release(per_vector)
+    final = materialize(final)
+    wide = final.join(reps, "key").select("key", "vec", "code")
+    found = materialize(wide.groupBy("code").applyInArrow(_compare(threshold), "key binary, root binary"))
+    release(final)
     parts = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
+    members = materialize(parts.withColumnRenamed("vertex", "key").join(reps.select("key", "vec", "mult"), "key"))
+    counted = _tasks(members, block).groupBy("task").applyInArrow(_count(threshold), "key binary, n_links long")
+    counts = counted.groupBy("key").agg(F.sum("n_links").alias("n"))
     named = reps.select("key", "id", "mult").join(counts, "key", "left").join(parts.withColumnRenamed("vertex", "key"), "key", "left")
     named = materialize(named.withColumn("component", F.coalesce("component", "key")))
     least = materialize(named.groupBy("component").agg(F.min("id").alias("component_id")))  # written, so that the join can split a large component

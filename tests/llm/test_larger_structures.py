@@ -166,3 +166,17 @@ def test_recall_of_the_forest(spark, sample, leaf):
     print("recall", found / there)
     assert 0.9 * there <= found <= there
     assert all(got[i].n_links <= n and got[i].component_id >= c for i, n, c in want)
+
+
+def test_links_of_a_dense_group_are_whole(spark):
+    """Several thousand distinct near copies, some of them rescaled, at the production leaf size: every link is counted."""
+    rng = np.random.default_rng(4)
+    group = rng.standard_normal(64) + 0.2 * rng.standard_normal((3000, 64))
+    group[2500:] = group[:500] * np.array([2.0, 3.0, 0.7, 10.0, 1e-3])[np.arange(500) % 5, None]
+    x = np.concatenate([group, rng.standard_normal((2000, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_forest.link(df).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    print("recall", sum(n for n, _ in got.values()) / want.sum())
+    assert got == {i: (n, 0 if i < 3000 else i) for i, n in enumerate(want.tolist())}
