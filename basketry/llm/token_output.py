@@ -55,7 +55,8 @@ class Tokenizer:
     A text is cut before each space that precedes another character than white space. The tokenizer's own
     splitting never joins what such a cut separates, so the ids of a text are those of its pieces. A piece of
     letters is one word to the tokenizer and goes to the library's model directly; stops and commas behind
-    letters are a word of their own.
+    letters are a word of their own. A text that holds one of the tokenizer's added tokens isn't cut: the
+    library takes such a token out before it splits, so it is asked for the whole text, which isn't remembered.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -63,7 +64,7 @@ class Tokenizer:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
         self.characters = str.maketrans(_byte_characters())
         self.space = _byte_characters()[32]
@@ -126,7 +127,13 @@ class Tokenizer:
             self._reset()
         pieces: list[str | tuple[str] | None] = []
         counts = np.empty(len(texts), np.int64)
+        whole: list[int] = []
         for k, t in enumerate(texts):
+            if any(a in t for a in self.added):
+                whole.append(k)
+                pieces.append(None)
+                counts[k] = 1
+                continue
             own = t.split(" ") if _ODD_SPACE.search(t) is None else _CUT.split(t)
             own[0] = (own[0],)
             own.append(None)
@@ -142,7 +149,13 @@ class Tokenizer:
         ends = np.cumsum(length)
         place = np.repeat(self.start[index] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
         per_text = np.add.reduceat(length, np.cumsum(counts) - counts) if len(counts) else counts
-        return self.ids[place], per_text
+        ids = self.ids[place]
+        if whole:
+            coded = [e.ids for e in self.library.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)]
+            lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+            ids = np.insert(ids, np.repeat((np.cumsum(per_text) - per_text)[whole], lengths), np.fromiter(chain.from_iterable(coded), np.uint16, int(lengths.sum())))
+            per_text[whole] += lengths
+        return ids, per_text
 
 
 _TOKENIZERS: dict[tuple[str, int], Tokenizer] = {}

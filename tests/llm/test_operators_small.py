@@ -218,6 +218,20 @@ def test_a_forgetful_tokenizer_agrees(monkeypatch):
         assert ids.tolist() == tok.library.encode(t, add_special_tokens=False).ids + [2] and n.tolist() == [len(ids)]
 
 
+def test_added_tokens_are_those_of_the_library_as_loaded():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    mark = "<|endoftext|>"
+    texts = [f"{mark} end", "plain text", f"a {mark}", f" x  {mark}{mark} y \n{mark}.", mark, "", f"<|endof {mark[:-1]} text|>", f"it's,{mark}it's, {mark} ", *TOKEN_TEXTS]
+    want = [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert want[0] == [50256, 886, 2]
+    tok = token_output.Tokenizer(tokenizer_path(), 2)
+    for _ in range(2):
+        ids, n = tok.encode(texts)
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
 # --- mixing ----------------------------------------------------------------------------------------------
 
 
