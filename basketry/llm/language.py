@@ -98,10 +98,13 @@ def _em(like: np.ndarray, words: np.ndarray, first: np.ndarray, count: np.ndarra
 
 
 def infer(flat: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Proportions (documents x languages) over the selected set; a row of zeros for a document without words."""
+    """Proportions (documents x languages) over the selected set; a row of zeros for a document without a trigram.
+
+    Only trigrams from the first word of a document to its end count, wherever it lies among the others.
+    """
     n_docs, n_langs = len(at) - 1, len(table)
     result = np.zeros((n_docs, n_langs))
-    folded = _FOLD[flat]
+    folded = np.append(_FOLD[flat], np.full(2, 32, dtype=np.uint8))  # so that words of the last two bytes start like others
     if len(folded) < 3 or not n_langs:
         starts = np.empty(0, np.int64)
     else:
@@ -114,8 +117,12 @@ def infer(flat: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
     if not len(starts):
         return result
     doc_of = np.searchsorted(at, starts, side="right") - 1
-    code, inside = grams(folded), _inside(at, len(folded))
-    inside[: starts[0]] = False
+    code, inside = grams(folded), _inside(np.append(at, len(folded)), len(folded))
+    # what precedes a document's first word would count for the document before
+    first_word = np.append(starts, len(flat))[np.searchsorted(starts, at[:-1])]
+    lead = np.minimum(first_word, at[1:])
+    for k in np.flatnonzero(lead > at[:-1]):
+        inside[at[k]:lead[k]] = False
     logs = np.empty((len(starts), n_langs), dtype=np.float64)
     for k in range(n_langs):
         logs[:, k] = np.add.reduceat(np.where(inside, table[k][code], np.float32(0)), starts)
@@ -145,6 +152,7 @@ def infer(flat: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
             better = gain > value[open_docs]
             value[open_docs[better]] = gain[better]
             chosen[open_docs[better]] = p[better]
+    chosen[np.add.reduceat(np.add.reduceat(inside.astype(np.int64), starts), first) == 0] = 0.0
     result[docs] = chosen
     return result
 
@@ -164,7 +172,7 @@ def _has_letter(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
 def identify(docs: DataFrame, languages: list[str], table: np.ndarray, text_col: str = "text") -> DataFrame:
     """``docs`` as struct ``row`` with lang_pred, score (its proportion) and languages ("de:0.25,en:0.75").
 
-    "und" with score 0 and no languages for a text that is null or has no letter, or if nothing was learned.
+    "und" with score 0 and no languages for a text that is null or has no letter or no trigram (one or two letters), or if nothing was learned.
     Every row is judged by its text alone, so repeated rows get equal results.
     """
     shared = docs.sparkSession.sparkContext.broadcast((languages, table))
@@ -186,12 +194,12 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, text_col:
                 a = b
             pred, score, sets = [], [], []
             for i in range(len(letters)):
-                if not letters[i] or not names:
+                if not letters[i] or not share[i].any():
                     pred.append(UNDETERMINED)
                     score.append(0.0)
                     sets.append("")
                     continue
-                p = share[i] if share[i].any() else np.full(len(names), 1 / len(names))
+                p = share[i]
                 k = int(p.argmax())
                 pred.append(names[k])
                 score.append(min(1.0, float(p[k])))

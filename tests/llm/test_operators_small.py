@@ -232,6 +232,25 @@ def test_added_tokens_are_those_of_the_library_as_loaded():
         assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
+def test_a_text_is_judged_alone_wherever_it_lies():
+    rng = np.random.default_rng(2)
+    counts = rng.integers(1, 50, (3, language.GRAMS)).astype(float)
+    logs = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    texts = ["ab", "some words of it", "", "a", "2024 was a year", "12 34", "ends in to a", " it is no", "xy ", "more words, at last b", "  "]
+
+    def judged(some):
+        at = np.cumsum([0, *[len(t) for t in some]])
+        return language.infer(np.frombuffer("".join(some).encode(), np.uint8), at, logs)
+
+    want = {t: judged([t])[0] for t in texts}
+    assert not want["ab"].any() and not want["a"].any() and not want["12 34"].any() and want["ends in to a"].any()
+    for turn in range(len(texts)):
+        some = texts[turn:] + texts[:turn]
+        for order in (some, some[::-1]):
+            for t, row in zip(order, judged(order), strict=True):
+                assert np.allclose(row, want[t], atol=1e-6), (t, order)
+
+
 # --- mixing ----------------------------------------------------------------------------------------------
 
 
