@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -130,3 +130,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
         kind = edges.schema["a"].dataType
         return spark.createDataFrame([], StructType([StructField("vertex", kind), StructField("component", kind)]))
     return labels
+
+
+def in_order(df: DataFrame, *key: Column) -> DataFrame:
+    """``df`` written once, with ``ord``: the rank of each row from 0 in the order of ``key``.
+
+    A range sort numbers the rows of each partition; the driver adds up one count per partition.
+    """
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranked = df.repartitionByRange(parts, *key).sortWithinPartitions(*key)
+    ranked = materialize(ranked.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")))
+    before, total = [], 0
+    for part, n in sorted((r[0], r[1]) for r in ranked.groupBy("__part").count().collect()):
+        before.append((part, total))
+        total += n
+    start = F.broadcast(spark.createDataFrame(before, "__part int, __before long"))  # one row per partition
+    return ranked.join(start, "__part").withColumn("ord", F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")

@@ -53,3 +53,46 @@ both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.id, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a),
 least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN least ON id = doc_id"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII or UTF-8 string expression, bit by bit."""
+    octets = f"list_transform(range(0, CAST(octet_length(encode({text})) AS BIGINT)), lambda i: CAST(('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS INT), 2)) AS BIGINT))"
+    step = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda a, b: {step}), 4294967295)"
+
+
+PREFIX_TRIE = f"""WITH own AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) - 1 AS p,
+  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, {_crc32('CAST(c AS VARCHAR)')} % 9 AS h FROM (SELECT DISTINCT c FROM own) x),
+turns AS (SELECT convs.c, 0 AS late, p, role, text FROM convs JOIN own ON own.c = convs.c - convs.c % 5 AND p < h
+  UNION ALL SELECT convs.c, 1, p, role, text FROM convs JOIN own ON own.c = convs.c AND p >= h),
+ranked AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY late, p) AS d FROM turns),
+steps AS (SELECT c, d, strlen(text) AS bytes, md5(concat(strlen(role), ':', role, text)) AS t FROM ranked),
+paths AS (SELECT c, d, bytes, string_agg(t, '') OVER (PARTITION BY c ORDER BY d) AS path FROM steps
+  UNION ALL SELECT c, 0, 0, '' FROM convs),
+lengths AS (SELECT c, max(d) AS n FROM paths GROUP BY c),
+nodes AS (SELECT path, d AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+  sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256 FROM paths JOIN lengths USING (c) GROUP BY path, d),
+family AS (SELECT node.path, parent.conv_id AS parent_conv_id, parent.path AS above FROM nodes node LEFT JOIN nodes parent ON node.depth > 0 AND parent.path = substr(node.path, 1, CAST(32 * (node.depth - 1) AS INT))),
+children AS (SELECT above AS path, count(*) AS n_children FROM family WHERE above IS NOT NULL GROUP BY above),
+whole AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (path)),
+sums AS (SELECT a.path, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.bytes) AS saved_tokens FROM whole a JOIN (SELECT *, unnest(range(0, depth + 1)) AS k FROM whole) b
+  ON a.depth = b.k AND a.path = substr(b.path, 1, CAST(32 * b.k AS INT)) GROUP BY a.path)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256 FROM whole JOIN family USING (path) JOIN sums USING (path)"""
+
+SPELLING = f"""WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({_LOWER.format(c='text')}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+hashed AS (SELECT run, {_crc32("concat(id, ':', run)")} AS h FROM runs WHERE length(run) >= 7),
+damaged AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) + 2 AS INT)) ELSE run END AS word FROM hashed),
+words AS (SELECT word, count(*) AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+without AS (SELECT word, n, i, substr(word, 1, CAST(i - 1 AS INT)) || substr(word, CAST(i + 1 AS INT)) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words) s),
+pairs AS (SELECT a.word AS word, b.word AS other, b.n AS m FROM without a JOIN without b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM without a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM without a JOIN words b ON a.rest = b.word),
+near AS (SELECT word, count(*) AS n_near, max(m) AS m FROM pairs GROUP BY word),
+best AS (SELECT near.word, n_near, m, min(other) AS other FROM near JOIN pairs USING (word, m) GROUP BY ALL),
+told AS (SELECT words.word, CASE WHEN m >= 10 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+follow(word, root) AS (SELECT word, word FROM told UNION SELECT follow.word, told.form FROM follow JOIN told ON told.word = follow.root AND told.form IS NOT NULL),
+last AS (SELECT follow.word, root FROM follow JOIN told ON told.word = root AND told.form IS NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM told JOIN last USING (word)"""

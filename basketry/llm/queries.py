@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import decontaminate, embedding_forest, language, licenses, line_dedup, mixing, ngram_join, oracle, sharding, suffix_dedup, token_output
+from basketry.llm import decontaminate, embedding_forest, language, licenses, line_dedup, mixing, multiset_hash, ngram_join, oracle, prefix_trie, sharding, spelling, suffix_dedup, token_output
 from basketry.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_vector_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), n_shards=24)
+
+
+@register("op11_prefix_trie", oracle.PREFIX_TRIE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")))
+
+
+@register("op12_spelling_variants", oracle.SPELLING)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+@register("op13_multiset_hash")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.edited(documents(spark, sf_dir)).drop("state")
