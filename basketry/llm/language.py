@@ -1,7 +1,7 @@
 """Language identification as multilingual mixture inference.
 
-A language is a distribution over byte trigrams (lower case, hashed to 2^16 values), counted on a
-bounded, seeded sample of labelled documents. A document is a mixture of languages: every word
+A language is a distribution over byte trigrams (lower case, hashed to 2^16 values, a separator before and after
+every text, so that the shortest word has one), counted on a bounded, seeded sample of labelled documents. A document is a mixture of languages: every word
 has a likelihood under each language from its trigrams, and expectation-maximisation estimates the
 proportions of words. The language set is the one with the best likelihood less a penalty
 per language (half the logarithm of the number of words, times PENALTY).
@@ -9,14 +9,15 @@ per language (half the logarithm of the number of words, times PENALTY).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketry.llm.common import byte_buffer, map_batches
+from basketry.llm.common import byte_buffer, give_back, map_batches
 
 #: Labelled documents that the counts of a language are taken from, about.
 SAMPLE = 3000
@@ -40,6 +41,14 @@ def grams(folded: np.ndarray) -> np.ndarray:
     return ((code * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
+def _padded(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The folded bytes with a separator before and after each text, and the new offsets of the texts."""
+    n = len(at) - 1
+    out = np.full(len(flat) + 2 * n, 32, dtype=np.uint8)
+    out[np.arange(len(flat)) + np.repeat(2 * np.arange(n) + 1, np.diff(at))] = _FOLD[flat]
+    return out, at + 2 * np.arange(n + 1)
+
+
 def _inside(at: np.ndarray, n: int) -> np.ndarray:
     """Whether the trigram that starts at a byte lies within one document."""
     ok = np.ones(max(0, n - 2), dtype=bool)
@@ -64,26 +73,27 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: in
         rate = F.when(F.col("__lang") == name, F.lit(min(1.0, sample / sizes[name]))).otherwise(rate)
     chosen = kept.where(F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(1 << 20)) < rate * (1 << 20)).select("__lang", "__text")
 
-    def make():
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(language, gram, n) of the task's documents."""
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
             lang = np.array(batch.column(0).to_pylist(), dtype=object)
-            out = []
             for name in sorted(set(lang)):
-                flat, at = byte_buffer(batch.column(1).filter(pa.array(lang == name)))
-                g = grams(_FOLD[flat]) if len(flat) > 2 else np.empty(0, np.uint16)
-                counts = np.bincount(g[_inside(at, len(flat))], minlength=GRAMS)
-                out.append((name, counts.astype(np.int64).tobytes()))
-            return pa.RecordBatch.from_pylist([{"lang": a, "counts": b} for a, b in out], schema=pa.schema([("lang", pa.string()), ("counts", pa.binary())]))
-
-        return one
-
-    def total(group: pd.DataFrame) -> pd.DataFrame:
-        summed = np.sum([np.frombuffer(x, dtype=np.int64) for x in group["counts"]], axis=0)
-        return pd.DataFrame({"lang": group["lang"].iloc[:1], "counts": [summed.tobytes()]})
-
-    counted = map_batches(chosen, make, "lang string, counts binary").groupBy("lang").applyInPandas(total, "lang string, counts binary").collect()
-    found = {r[0]: np.frombuffer(bytes(r[1]), dtype=np.int64) for r in counted}
-    table = np.array([found.get(name, np.zeros(GRAMS)) for name in names], dtype=np.float64) + 0.1
+                own = batch.column(1).filter(pa.array(lang == name))
+                counts = held.setdefault(name, np.zeros(GRAMS, dtype=np.int64))
+                for k in range(0, len(own), 64):  # a bounded number of sampled texts at once
+                    flat, at = _padded(*byte_buffer(own.slice(k, 64)))
+                    if len(flat) > 2:
+                        counts += np.bincount(grams(flat)[_inside(at, len(flat))], minlength=GRAMS)
+        for name, counts in held.items():
+            cell = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(cell), pa.string()), pa.array(cell.astype(np.int32)), pa.array(counts[cell])], names=["lang", "cell", "n"])
+        give_back()
+
+    counted = chosen.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()  # at most GRAMS rows a language
+    table = np.full((len(names), GRAMS), 0.1)
+    at = np.searchsorted(np.array(names), np.array(counted.column("lang").to_pylist(), dtype=str)) if counted.num_rows else np.empty(0, np.int64)
+    table[at, counted.column("cell").to_numpy()] += counted.column("n").to_numpy()
     return names, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -98,28 +108,25 @@ def _em(like: np.ndarray, words: np.ndarray, first: np.ndarray, count: np.ndarra
 
 
 def infer(flat: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Proportions (documents x languages) over the selected set; a row of zeros for a document without a trigram.
+    """Proportions (documents x languages) over the selected set; a row of zeros for a document without a word.
 
-    Only trigrams from the first word of a document to its end count, wherever it lies among the others.
+    The trigrams of a word are those from the separator before it to that before the next one. Only trigrams from the first
+    word of a document to its end count, wherever it lies among the others. Equal proportions: the first language by name.
     """
     n_docs, n_langs = len(at) - 1, len(table)
     result = np.zeros((n_docs, n_langs))
-    folded = np.append(_FOLD[flat], np.full(2, 32, dtype=np.uint8))  # so that words of the last two bytes start like others
+    folded, at = _padded(flat, at)
     if len(folded) < 3 or not n_langs:
         starts = np.empty(0, np.int64)
     else:
         solid = folded != 32
-        head = solid.copy()
-        head[1:] &= ~solid[:-1]
-        begin = at[:-1][at[:-1] < at[1:]]
-        head[begin] = solid[begin]
-        starts = np.flatnonzero(head[:-2])
+        starts = np.flatnonzero(solid[1:] & ~solid[:-1])  # the separator before each word
     if not len(starts):
         return result
     doc_of = np.searchsorted(at, starts, side="right") - 1
-    code, inside = grams(folded), _inside(np.append(at, len(folded)), len(folded))
+    code, inside = grams(folded), _inside(at, len(folded))
     # what precedes a document's first word would count for the document before
-    first_word = np.append(starts, len(flat))[np.searchsorted(starts, at[:-1])]
+    first_word = np.append(starts, len(folded))[np.searchsorted(starts, at[:-1])]
     lead = np.minimum(first_word, at[1:])
     for k in np.flatnonzero(lead > at[:-1]):
         inside[at[k]:lead[k]] = False
@@ -152,7 +159,6 @@ def infer(flat: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
             better = gain > value[open_docs]
             value[open_docs[better]] = gain[better]
             chosen[open_docs[better]] = p[better]
-    chosen[np.add.reduceat(np.add.reduceat(inside.astype(np.int64), starts), first) == 0] = 0.0
     result[docs] = chosen
     return result
 
@@ -172,8 +178,8 @@ def _has_letter(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
 def identify(docs: DataFrame, languages: list[str], table: np.ndarray, text_col: str = "text") -> DataFrame:
     """``docs`` as struct ``row`` with lang_pred, score (its proportion) and languages ("de:0.25,en:0.75").
 
-    "und" with score 0 and no languages for a text that is null or has no letter or no trigram (one or two letters), or if nothing was learned.
-    Every row is judged by its text alone, so repeated rows get equal results.
+    "und" with score 0 and no languages for a text that is null or has no letter, or if nothing was learned. Every row is
+    judged by its whole text alone, so repeated rows get equal results. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast((languages, table))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
