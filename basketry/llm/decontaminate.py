@@ -5,9 +5,11 @@ edits. Cut into one piece more than that, at least one piece occurs unchanged in
 All pieces of a block of items form one Aho-Corasick automaton that runs over every whole
 document; around each hit Myers' bit-parallel search finds the least distance.
 
+Items too short for an edit (under MIN_BYTES) match exactly, between word boundaries.
+
 Documents never move: each is tested where it was read. The items are broadcast in blocks of at
 most about ``block_bytes``; a larger benchmark takes several passes over the documents, each with
-one block, so no task ever holds more than one block.
+one block, so no task ever holds more than one block. Documents are never rewritten for it.
 """
 
 from __future__ import annotations
@@ -21,14 +23,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketry.llm.common import broadcast_if_small
 from basketry.session import materialize
 
 ERROR_RATE = 0.05
-#: Items with fewer normalised bytes can't be told from chance inside a text; they match only whole documents.
+#: Items with fewer normalised bytes may differ by no edit, and match as whole words only.
 MIN_BYTES = 20
 BLOCK_BYTES = 8 << 20
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-_MATCHES = "array<struct<item:int, distance:int, budget:int, first_word:int, last_word:int>>"
+_MATCHES = "array<struct<item:int, n_bytes:int, distance:int, budget:int, first_word:int, last_word:int>>"
 
 
 def normalise(text: str | None) -> str:
@@ -36,6 +39,17 @@ def normalise(text: str | None) -> str:
     return b" ".join((text or "").lower().encode("utf-8", "replace").translate(_SPACED).split()).decode("latin-1")
 
 
+def _between_words(text: str, i: int) -> bool:
+    """Whether a word may end before place i of a normalised text, and one begin there: at spaces, and beside characters
+    of scripts that are written without them (U+3000 and above)."""
+    if i in (0, len(text)) or text[i - 1] == " " or text[i] == " ":
+        return True
+    before = i - 1
+    while before > 0 and "\x80" <= text[before] < "\xc0":
+        before -= 1
+    return text[before] >= "\xe3" or text[i] >= "\xe3"
+
+
 def pieces(text: str, budget: int) -> Iterator[tuple[str, int]]:
     """``budget + 1`` consecutive pieces and where they start."""
     cuts = [len(text) * i // (budget + 1) for i in range(budget + 2)]
@@ -95,8 +109,9 @@ class Matcher:
         for i, found in starts.items():
             pattern, budget, masks = self.items[i]
             if len(pattern) < MIN_BYTES:
-                if t == pattern:
-                    out.append(self._row(t, i, 0, budget, 0, len(t)))
+                whole = next((s for s in sorted(found) if _between_words(t, s) and _between_words(t, s + len(pattern))), None)
+                if whole is not None:
+                    out.append(self._row(t, i, 0, budget, whole, whole + len(pattern)))
                 continue
             best = None
             low = high = None
@@ -114,10 +129,9 @@ class Matcher:
                 out.append(self._row(t, i, best[0], budget, best[1], best[2]))
         return sorted(out, key=lambda r: r["item"])
 
-    @staticmethod
-    def _row(t: str, item: int, distance: int, budget: int, start: int, end: int) -> dict:
+    def _row(self, t: str, item: int, distance: int, budget: int, start: int, end: int) -> dict:
         first = t.count(" ", 0, start)
-        return {"item": item, "distance": distance, "budget": budget, "first_word": first, "last_word": max(first, t.count(" ", 0, end - 1))}
+        return {"item": item, "n_bytes": len(self.items[item][0]), "distance": distance, "budget": budget, "first_word": first, "last_word": max(first, t.count(" ", 0, end - 1))}
 
 
 _BUILT: dict[str, Matcher] = {}
@@ -148,12 +162,13 @@ def blocks(bench: DataFrame, id_col: str, text_col: str, block_bytes: int) -> It
 
 def find_leaks(docs: DataFrame, bench: DataFrame, error_rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text",
                item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, item_id, distance, budget, first_word, last_word) for every document and item within its budget.
+    """(id, item_id, n_bytes, distance, budget, first_word, last_word) for every document and item within its budget.
 
-    distance is the least over the whole document, the words are counted in the normalised text (for an
+    n_bytes is the length of the normalised item, so that a caller can leave out very short ones; distance is the least over the whole document, the words are counted in the normalised text (for an
     inexact match the first is that of the first unchanged piece's alignment). Null and empty texts and items
     match nothing; repeated documents or items each get their rows, null ids included; other columns are
-    ignored. An empty table on either side gives an empty result.
+    ignored. Very long texts are searched whole, in the one task that holds their row. An empty table on either
+    side gives an empty result.
     """
     spark = docs.sparkSession
     doc, item = docs.schema[id_col].dataType, bench.schema[item_id_col].dataType
@@ -163,18 +178,30 @@ def find_leaks(docs: DataFrame, bench: DataFrame, error_rate: float = ERROR_RATE
         hits = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).where("__text IS NOT NULL")
         hits = hits.select("__id", F.explode(_matches([(i, x[1]) for i, x in enumerate(part)], error_rate, spark, F.col("__text"))).alias("m"))
         hits = hits.select("__id", "m.*").join(F.broadcast(ids), "item")  # one block's ids
-        hits = hits.select(F.col("__id").alias(id_col), F.col("item_id").alias("item_id"), "distance", "budget", "first_word", "last_word")
-        out = hits if out is None else materialize(out).unionByName(materialize(hits))
+        hits = hits.select(F.col("__id").alias(id_col), F.col("item_id").alias("item_id"), "n_bytes", "distance", "budget", "first_word", "last_word")
+        out = hits if out is None else out.unionByName(hits)
     if out is None:
-        out = spark.createDataFrame([], f"{id_col} {doc.simpleString()}, item_id {item.simpleString()}, distance int, budget int, first_word int, last_word int")
+        out = spark.createDataFrame([], f"{id_col} {doc.simpleString()}, item_id {item.simpleString()}, n_bytes int, distance int, budget int, first_word int, last_word int")
     return out
 
 
 def remove_leaks(docs: DataFrame, bench: DataFrame, error_rate: float = ERROR_RATE, text_col: str = "text",
                  item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that hold no item within its budget, all columns unchanged; rows without text stay."""
+    """The rows of ``docs`` that hold no item within its budget, all columns unchanged; rows without text stay.
+
+    A single block of items filters the rows where they are read. With more, each block gives the hashes of the texts it is
+    found in, few rows, and the rows with none of them stay: whether a row goes depends on its text alone.
+    """
     spark = docs.sparkSession
-    for k, part in enumerate(blocks(bench.withColumn("__item", F.lit(0)), "__item", item_text_col, block_bytes)):
-        leaked = F.size(_matches([(i, x[1]) for i, x in enumerate(part)], error_rate, spark, F.coalesce(F.col(f"`{text_col}`"), F.lit("")))) > 0
-        docs = (materialize(docs) if k else docs).where(~leaked)
-    return docs
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    leaks = [F.size(_matches([(i, x[1]) for i, x in enumerate(part)], error_rate, spark, text)) > 0
+             for part in blocks(bench.withColumn("__item", F.lit(0)), "__item", item_text_col, block_bytes)]
+    if len(leaks) < 2:
+        return docs.where(~leaks[0]) if leaks else docs
+    keys = [F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2")]
+    gone = None
+    for leaked in leaks:
+        hit = docs.where(leaked).select(*keys)
+        gone = hit if gone is None else gone.unionByName(hit)
+    gone = materialize(gone.distinct())
+    return docs.withColumns({"__k1": keys[0], "__k2": keys[1]}).join(broadcast_if_small(gone), ["__k1", "__k2"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
