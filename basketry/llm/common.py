@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +23,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` itself if every evaluation is sure to give the same rows in the same places: files read with projections and
+    filters only. Anything else, such as rows behind a shuffle whose partitions are chosen as it runs, is written once.
+
+    Operators that number rows by their place and read them more than once start with this.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    fixed = plan.deterministic()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return df if fixed and plan.nodeName() == "LogicalRelation" and df.inputFiles() else materialize(df)
+
+
+def give_back() -> None:
+    """Hands memory that is free in a Python worker back to the system: workers are used again and else keep their peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType) -> DataFrame:
     """``make()`` runs once per task and returns the function applied to at most ROWS rows of an Arrow batch at once."""
 
@@ -30,6 +52,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             for at in range(0, batch.num_rows, ROWS):
                 if (out := one(batch.slice(at, ROWS))) is not None and out.num_rows:
                     yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -44,6 +67,11 @@ class Tables:
         self.held.append(materialize(df))
         return self.held[-1]
 
+    def free(self, *spent: DataFrame) -> None:
+        for table in spent:
+            release(table)
+        self.held = [t for t in self.held if not any(t is s for s in spent)]
+
     def drop(self, *keep: DataFrame) -> None:
         for table in self.held:
             if not any(table is k for k in keep):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketry.llm.common import Tables, broadcast_if_small, byte_buffer, connected_components, map_batches, mix64
+from basketry.llm.common import Tables, broadcast_if_small, byte_buffer, connected_components, give_back, map_batches, mix64, stable
 from basketry.session import materialize, release
 
 TABLE_BITS = 16
@@ -152,8 +152,8 @@ def _gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(gap, 16 - gap).sum(axis=-1, dtype=np.int64)
 
 
-def _sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(__row, __id, n, digest, sketch, fine, prefix): the n-gram set of each row, and its rarest n-grams as keys of the global order."""
+def _sets(docs: DataFrame, width: int, num: int, den: int, tables: Tables) -> DataFrame:
+    """The written table (__row, __id, n, digest, sketch, fine, prefix): the n-gram set of each row, and its rarest n-grams as keys of the global order."""
     by_word, by_gram = _tables(docs, width)
     n_words, n_grams = max(1.0, by_word.sum()), max(1.0, by_gram.sum())
     log_word = np.log2(np.maximum(by_word, 1.0) / n_words)
@@ -196,7 +196,9 @@ def _sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
         return one
 
-    return map_batches(docs.select("__row", "__id", "__text"), make, schema)
+    sets = tables.write(map_batches(docs.select("__row", "__id", "__text"), make, schema))
+    shared.destroy()
+    return sets
 
 
 _OUT = "kind int, a long, b long, na long, nb long, h long, sketch binary, blk long"
@@ -325,6 +327,7 @@ def _lists(k: int, num: int, den: int, hot: int, first: bool):
             if again:
                 i = np.concatenate(again)
                 yield _rows(_MEMBER, a=vid[i], b=np.concatenate(sigs), na=n[i], h=h[i], sketch=sketch[i], blk=blk[i])
+        give_back()
 
     return run
 
@@ -395,9 +398,9 @@ def _prune(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     return map_batches(both.select("a", "b", "na", "nb", "fine_a", "fine_b"), make, "a long, b long, na long, nb long")
 
 
-def _verify(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold; only the segments of their documents are dealt out."""
-    own = materialize(pairs.select(F.col("a").alias("vid")).unionByName(pairs.select(F.col("b").alias("vid"))).distinct())
+def _verify(pairs: DataFrame, segments: DataFrame, num: int, den: int, tables: Tables) -> DataFrame:
+    """The written table of the pairs (a, b) whose similarity reaches the threshold; only the segments of their documents are dealt out."""
+    own = tables.write(pairs.select(F.col("a").alias("vid")).unionByName(pairs.select(F.col("b").alias("vid"))).distinct())
     segments = segments.join(broadcast_if_small(own), "vid", "left_semi")
     left = pairs.join(segments.select(F.col("vid").alias("b"), "fragment", F.col("grams").alias("of_b")), "b")
     both = left.join(segments.select(F.col("vid").alias("a"), "fragment", F.col("grams").alias("of_a")), ["a", "fragment"])
@@ -416,7 +419,9 @@ def _verify(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFr
 
     partial = map_batches(both.select("a", "b", "na", "nb", "of_a", "of_b"), make, "a long, b long, na long, nb long, common long")
     overlap = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("both"))
-    return overlap.where(F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num).select("a", "b")
+    found = tables.write(overlap.where(F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num).select("a", "b"))
+    tables.free(own)
+    return found
 
 
 def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -425,16 +430,18 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col:
     Two rows link if ``den * intersection >= num * union`` of their distinct ``width``-word n-grams (a text with fewer
     words is one n-gram); component_id is the least id reachable. Null and empty texts and texts without words have
     no n-grams and link with nothing. Repeated rows and repeated ids are vertices of their own; null ids link as
-    others but are no component's name unless alone (null). An empty table gives an empty result.
+    others but are no component's name unless alone (null). An empty table gives an empty result. Whole texts count,
+    however long; one is cut into segments of its n-grams by FRAGMENTS. An input that is not a plain scan of files is
+    written once, so that its rows keep their numbers.
     """
-    return _join(docs, width, num, den, id_col, text_col, hot)[0]
+    return _join(stable(docs), width, num, den, id_col, text_col, hot)[0]
 
 
 def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str, hot: int) -> tuple[DataFrame, Tables]:
-    """The result of ``join``, and the written tables it reads."""
+    """The result of ``join`` for stable rows, and the written tables it reads."""
     given = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
     tables = Tables()
-    sets = tables.write(_sets(given, width, num, den))
+    sets = _sets(given, width, num, den, tables)
     one = F.first(F.struct("__row", "n", "sketch", "fine", "prefix")).alias("x")
     reps = sets.where("n > 0").groupBy("digest").agg(F.min("__id").alias("least"), one)
     reps = tables.write(reps.select(F.monotonically_increasing_id().alias("vid"), "digest", "least", "x.*"))
@@ -443,23 +450,36 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
     segments = None
     comps = None
     rows, k = posted, 2
+    spent: list[DataFrame] = []  # what the round before left for this one
     while True:
         ordered = rows.repartition("h").sortWithinPartitions("h")
         out = tables.write(ordered.mapInArrow(_lists(k, num, den, hot, segments is None), _OUT))
+        tables.free(*spent)
+        spent = [out]
         pairs = out.where(f"kind = {_PAIR}").groupBy("a", "b", "na", "nb").agg(F.sum("h").alias("met"))
         shared = F.least(F.lit(COMMON), F.ceil(F.greatest("na", "nb") * F.lit(num) / F.lit(den)))
         pairs = pairs.where(F.col("met") >= shared).select("a", "b", "na", "nb")
         pairs = tables.write(_prune(pairs, reps, num, den) if segments is None else pairs)
         again = out.where(f"kind = {_MEMBER}").select("h", F.col("a").alias("vid"), F.col("na").alias("n"), "sketch", "blk")
         if segments is None:
-            again = _distinct_lists(out, reps)
+            one = tables.write(_one_of_each(out))
+            again = _distinct_lists(out, one, reps)
             large = out.where(f"kind = {_LARGE}").select("h").distinct()  # met in the first round only: blocks are smaller
+            spent = [out, one]
             if large.take(1):
-                again = again.unionByName(_blocks(posted, reps, tables.write(large), hot))
+                large = tables.write(large)
+                number = tables.write(_numbers_of_blocks(posted, large, hot))
+                spent += [large, number]
+                again = again.unionByName(_blocks(posted, reps, large, number))
             again = tables.write(again)
+            tables.free(*spent)
+            spent = [again]
             touched = pairs.select(F.col("a").alias("vid")).unionByName(pairs.select(F.col("b").alias("vid"))).unionByName(again.select("vid")).distinct()
-            segments = tables.write(_segments(given, tables.write(reps.select("vid", "__row").join(touched, "vid")), width))
-        found = tables.write(_verify(pairs, segments, num, den))
+            touched = tables.write(reps.select("vid", "__row").join(touched, "vid"))
+            segments = tables.write(_segments(given, touched, width))
+            tables.free(touched)
+        found = _verify(pairs, segments, num, den, tables)
+        tables.free(pairs)
         links = found if links is None else links.unionByName(found)
         if comps is not None:
             release(comps)
@@ -480,25 +500,36 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("__id")).alias("component_id")), tables
 
 
-def _distinct_lists(out: DataFrame, reps: DataFrame) -> DataFrame:
-    """The members of the lists that come again, with their fine sketches; of lists with the same members only one."""
-    again = out.where(f"kind = {_MEMBER}").select("h", F.col("a").alias("vid"), F.col("b").alias("sig"), F.col("na").alias("n"), "blk")
-    one = materialize(again.groupBy("sig").agg(F.min("h").alias("h")).select("h"))
+def _one_of_each(out: DataFrame) -> DataFrame:
+    """(h): one of the lists that come again with the same members."""
+    return out.where(f"kind = {_MEMBER}").groupBy(F.col("b").alias("sig")).agg(F.min("h").alias("h")).select("h")
+
+
+def _distinct_lists(out: DataFrame, one: DataFrame, reps: DataFrame) -> DataFrame:
+    """The members of the lists ``one``, with their fine sketches."""
+    again = out.where(f"kind = {_MEMBER}").select("h", F.col("a").alias("vid"), F.col("na").alias("n"), "blk")
     return again.join(one, "h", "left_semi").join(reps.select("vid", F.col("fine").alias("sketch")), "vid").select("h", "vid", "n", "sketch", "blk")
 
 
-def _blocks(posted: DataFrame, reps: DataFrame, large: DataFrame, hot: int) -> DataFrame:
+def _numbers_of_blocks(posted: DataFrame, large: DataFrame, hot: int) -> DataFrame:
+    return posted.select("h").join(large, "h").groupBy("h").agg(F.ceil(F.count(F.lit(1)) * 4 / hot).alias("__n"))
+
+
+def _blocks(posted: DataFrame, reps: DataFrame, large: DataFrame, number: DataFrame) -> DataFrame:
     """The members of large lists, dealt into blocks of about hot/4; every pair of blocks is a list of its own."""
     rows = posted.drop("sketch").join(large, "h").join(reps.select("vid", F.col("fine").alias("sketch")), "vid")
-    number = rows.groupBy("h").agg(F.ceil(F.count(F.lit(1)) * 4 / hot).alias("__n"))
-    rows = rows.join(materialize(number), "h").withColumn("__b", F.pmod(F.xxhash64("vid", F.lit(13)), F.col("__n")))
+    rows = rows.join(number, "h").withColumn("__b", F.pmod(F.xxhash64("vid", F.lit(13)), F.col("__n")))
     rows = rows.withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
     return rows.select(F.xxhash64("h", F.least("__b", "__o"), F.greatest("__b", "__o")).alias("h"), "vid", "n", "sketch",
                        F.when(F.col("__b") == F.col("__o"), F.lit(-1)).otherwise(F.col("__b")).cast("long").alias("blk"))
 
 
 def keep_first(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` less all but the first (least id, then first in the scan) of each component; columns unchanged."""
+    """The rows of ``docs`` less all but the first (least id, then first in the scan) of each component; columns unchanged.
+
+    Rows without n-grams (null, empty or blank texts) all stay. An input that is not a plain scan of files is written once.
+    """
+    docs = stable(docs)
     linked, tables = _join(docs, width, num, den, id_col, text_col, HOT)
     alone = F.when((F.col("n_shingles") > 0) & F.col("component_id").isNotNull(), F.col("component_id").cast("string"))
     first = linked.where(alone.isNotNull()).groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("__row").alias("r"))).alias("f"))
