@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basketry.llm.common import broadcast_if_small, dense_order
+from basketry.llm.common import broadcast_if_small, dense_order, stable
 from basketry.session import materialize
 
 NUM, DEN = 80, 100
@@ -79,8 +79,10 @@ def find_repeats(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str =
 
     Lines end at "\\n"; their words are separated by spaces and compared in lower case. Lines without words are never
     removed. Null texts count as empty (one line without words). Rows with equal ids are ordered as in the scan, and
-    rows with null ids come first. An empty table gives an empty result; other columns are ignored.
+    rows with null ids come first. An empty table gives an empty result; other columns are ignored. Very long texts
+    are split in the one task that holds their row. An input that is not a plain scan of files is written once.
     """
+    docs = stable(docs)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     given = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(f"`{id_col}`").alias("__id"), text.alias("__text"))
     split = F.split("__text", "\n")
@@ -151,7 +153,11 @@ def find_repeats(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str =
 
 
 def remove_repeats(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the removed lines taken out of the text; a text that loses no line stays as it is."""
+    """``docs`` with the removed lines taken out of the text; a text that loses no line stays as it is, a null text too.
+
+    An input that is not a plain scan of files is written once; an empty table gives an empty result.
+    """
+    docs = stable(docs)
     found = find_repeats(docs, num, den, id_col, text_col).where("n_removed > 0").select("__row", F.col("removed").alias("__removed"))
     joined = docs.withColumn("__row", F.monotonically_increasing_id()).join(materialize(found), "__row", "left")
     left = F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda x, i: ~F.array_contains("__removed", i))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketry.llm.common import byte_buffer, dense_order, map_batches, mix64
+from basketry.llm.common import byte_buffer, dense_order, map_batches, mix64, stable
 from basketry.session import materialize, release
 
 LENGTH, GRAM = 100, 24
@@ -350,9 +350,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
     Null texts count as empty; texts shorter than ``length`` lose nothing. Rows with equal ids are ordered as in the
     scan, rows with null ids come first. An empty table gives an empty result; other columns are ignored. Texts of
-    2^28 bytes or more are an error.
+    2^28 bytes or more are an error. An input that is not a plain scan of files is written once.
     """
     spark = docs.sparkSession
+    docs = stable(docs)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     given = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(f"`{id_col}`").alias("__id"), text.alias("__text"))
     rows = materialize(given.select("__row", "__id", F.octet_length("__text").cast("long").alias("n"), F.sha2(F.encode("__text", "UTF-8"), 256).alias("sha")))

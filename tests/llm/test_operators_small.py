@@ -243,7 +243,7 @@ def test_a_text_is_judged_alone_wherever_it_lies():
         return language.infer(np.frombuffer("".join(some).encode(), np.uint8), at, logs)
 
     want = {t: judged([t])[0] for t in texts}
-    assert not want["ab"].any() and not want["a"].any() and not want["12 34"].any() and want["ends in to a"].any()
+    assert want["ab"].any() and want["a"].any() and not want["12 34"].any() and want["ends in to a"].any()
     for turn in range(len(texts)):
         some = texts[turn:] + texts[:turn]
         for order in (some, some[::-1]):
