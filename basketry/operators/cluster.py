@@ -1,9 +1,10 @@
 """Standardisation, k-means with restarts, model selection and hold-out validation (C1-C3, C6-C7,
 C9-C14, A18-A19, M4).
 
-Features are the standardised Recency / Frequency / Monetary columns. Fitting uses Spark ML
-(k-means|| initialisation, distributed Lloyd iterations); all other steps are DataFrame plans.
-Only k-row summaries (centroids, per-k scores) are ever collected to the driver.
+Features are the standardised Recency / Frequency / Monetary columns. k-means fits run in
+:mod:`basketry.operators.lloyd`, all restarts and all k in one scan per iteration; hierarchical fits use
+Spark ML; all other steps are DataFrame plans. Only k-row summaries (centroids, per-k scores) are ever
+collected to the driver.
 """
 
 from __future__ import annotations
@@ -11,13 +12,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.columns import advice, health_label, health_score
+from basketry.functions.quantiles import value_at
 from basketry.operators.evaluate import davies_bouldin, silhouette_exact, silhouette_linear
+from basketry.operators.lloyd import fit_all
 
 RFM_COLS = ("Recency", "Frequency", "Monetary")
 Z_COLS = tuple(f"z{c}" for c in RFM_COLS)
@@ -26,9 +30,6 @@ Z_COLS = tuple(f"z{c}" for c in RFM_COLS)
 # generalisation-gap threshold of its hold-out verdict.
 NAME_VIP, NAME_LOST, NAME_LOYAL, NAME_REGULAR = "VIP", "Lost", "Loyal", "Regular"
 GAP_THRESHOLD = 0.05
-#: Partitions of the feature table. The row layout seeds k-means||, so it is a parameter of the fit and
-#: not of the session or the row count: raise it with the data (about 1e6 rows per partition).
-FEATURE_PARTITIONS = 8
 #: The silhouette used unless another is asked for: linear in the rows, the same at every size.
 SILHOUETTE = "squared_euclidean"
 
@@ -60,15 +61,16 @@ def standardize(df: DataFrame, cols: Sequence[str] = RFM_COLS, stats: DataFrame
 
 
 def with_features(df: DataFrame, cols: Sequence[str] = Z_COLS, out: str = "features", shift: float = 0.0,
-                  id_col: str = "CustomerID", partitions: int = FEATURE_PARTITIONS) -> DataFrame:
-    """Assemble the ML vector; fix the row layout (``partitions`` hash partitions sorted by id) so a
-    seeded fit repeats exactly under any session settings. ``shift`` moves every coordinate (see :func:`fit_bisecting`)."""
+                  id_col: str = "CustomerID", partitions: int | None = None) -> DataFrame:
+    """Assemble the ML vector. ``shift`` moves every coordinate (see :func:`fit_bisecting`). With ``partitions`` the row
+    layout is fixed (so many hash partitions sorted by id): a bisecting fit, whose draws follow the layout, then
+    repeats exactly under any session settings; k-means fits don't need it. Raise it with the data."""
     src = df if shift == 0 else df.select("*", *[(F.col(c) + shift).alias(f"_sh_{c}") for c in cols])
     in_cols = list(cols) if shift == 0 else [f"_sh_{c}" for c in cols]
     vec = VectorAssembler(inputCols=in_cols, outputCol=out).transform(src)
     if shift:
         vec = vec.drop(*in_cols)
-    return vec.repartition(partitions, id_col).sortWithinPartitions(id_col)
+    return vec.repartition(partitions, id_col).sortWithinPartitions(id_col) if partitions else vec
 
 
 # --- nearest centre -----------------------------------------------------------------------------
@@ -93,6 +95,9 @@ class CentreModel:
     def assign(self, df: DataFrame, out: str = "Cluster") -> DataFrame:
         return assign_nearest(df, self.centres, out=out)
 
+    def clusterCenters(self) -> list[Sequence[float]]:  # noqa: N802 - the name that Spark ML's models use
+        return [self.centres[i] for i in sorted(self.centres)]
+
 
 def label_centres(labelled: DataFrame, label: str, cols: Sequence[str] = Z_COLS) -> CentreModel:
     """The mean of each label as a centre; one row per label is collected, for a label of few values."""
@@ -110,44 +115,49 @@ def inertia(points: DataFrame, label: str = "Cluster", cols: Sequence[str] = Z_C
 
 @dataclass
 class KMeansFit:
-    model: KMeansModel
+    model: CentreModel
     cost: float
     seed: int
     k: int
     costs: list = field(default_factory=list)
+    features: str = "features"
 
     @property
     def centres(self) -> dict[int, Sequence[float]]:
-        return {i: tuple(float(x) for x in c) for i, c in enumerate(self.model.clusterCenters())}
+        return self.model.centres
 
     def assign(self, df: DataFrame, out: str = "Cluster") -> DataFrame:
         """Labels from the standardised columns, without a feature vector."""
         return assign_nearest(df, self.centres, out=out)
 
     def predict(self, df: DataFrame, out: str = "Cluster") -> DataFrame:
-        return self.model.setPredictionCol(out).transform(df).withColumn(out, F.col(out).cast("int"))
+        """Labels from the feature vector, whatever columns it was made of."""
+        own = [f"__x{i}" for i in range(len(self.centres[0]))]
+        split = df.withColumn("__x", vector_to_array(self.features))
+        split = split.select(*df.columns, *[F.col("__x")[i].alias(c) for i, c in enumerate(own)])
+        return assign_nearest(split, self.centres, own, out).drop(*own)
 
 
 def fit_kmeans(feats: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, max_iter: int = 300,
-               tol: float = 1e-4, features: str = "features", parallelism: int | None = None) -> KMeansFit:
-    """Best of ``n_init`` seeded fits (seeds seed..seed+n_init-1) by training cost.
+               tol: float = 1e-4, features: str = "features") -> KMeansFit:
+    """Best of ``n_init`` seeded fits (seeds seed..seed+n_init-1) by cost; ties go to the lower seed.
 
-    The restarts are independent Spark jobs submitted from a small thread pool, so they share
-    the executors instead of queueing. ``feats`` should be cached by the caller: every restart
-    and every Lloyd iteration scans it. Ties in cost go to the lower seed.
+    The restarts advance together, one scan of the points per iteration. The same seed gives the same fit
+    however the rows lie in partitions (up to the order in which floating-point sums are added).
     """
-    from concurrent.futures import ThreadPoolExecutor
+    return fit_each(feats, [k], n_init, seed, max_iter, tol, features)[k]
 
-    def one(i):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol=features,
-                       initMode="k-means||").fit(feats)
-        return i, model, float(model.summary.trainingCost)
 
-    workers = max(1, min(n_init, parallelism or 16))
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        results = sorted(pool.map(one, range(n_init)), key=lambda r: r[0])
-    i, model, cost = min(results, key=lambda r: (r[2], r[0]))
-    return KMeansFit(model, cost, seed + i, k, [r[2] for r in results])
+def fit_each(feats: DataFrame, ks: Sequence[int], n_init: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
+             features: str = "features") -> dict[int, KMeansFit]:
+    """The best fit of every k, all of them in the same scans."""
+    out = {}
+    for k, runs in fit_all(feats, ks, n_init, seed, max_iter, tol, features).items():
+        costs = [cost for _, cost in runs]
+        best = min(range(len(runs)), key=lambda i: (costs[i], i))
+        centres = {j: tuple(float(v) for v in c) for j, c in enumerate(runs[best][0])}
+        out[k] = KMeansFit(CentreModel(centres), costs[best], seed + best, k, costs, features)
+    return out
 
 
 def fit_bisecting(feats_shifted: DataFrame, k: int = 4, seed: int = 42, features: str = "features",
@@ -183,19 +193,20 @@ def sweep(feats: DataFrame, ks: Sequence[int] = range(2, 11), n_init: int = 10,
           parallelism: int = 3) -> DataFrame:
     """C3 + C4 + C5: one fit per k (not three), with inertia, silhouette and Davies-Bouldin.
 
-    Returns ``(k, inertia, silhouette, davies_bouldin, silhouette_method)``, len(ks) rows.
+    All k and restarts are fitted together. Returns ``(k, inertia, silhouette, davies_bouldin, silhouette_method)``,
+    len(ks) rows.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     feats = feats.cache()
 
     def one(k):
-        fit = fit_kmeans(feats, k, n_init, seed, max_iter)
-        sil, db = evaluate_labels(fit.predict(feats), "Cluster", id_col=id_col, method=method)
-        return int(k), fit.cost, sil, db, method
+        sil, db = evaluate_labels(fits[k].predict(feats), "Cluster", id_col=id_col, method=method)
+        return int(k), fits[k].cost, sil, db, method
 
     try:
-        # each k is independent: its fits and scores run as concurrent Spark jobs
+        fits = fit_each(feats, ks, n_init, seed, max_iter)
+        # the scores of each k run as concurrent Spark jobs
         with ThreadPoolExecutor(max_workers=max(1, min(len(ks), parallelism))) as pool:
             rows = list(pool.map(one, ks))
     finally:
@@ -306,15 +317,22 @@ def score_customers(df: DataFrame, stats: DataFrame, fit: KMeansFit | CentreMode
 
 # --- C11-C14 hold-out --------------------------------------------------------------------------
 
-def hash_bucket(id_col: str = "CustomerID"):
-    """0..99 from the first 8 hex digits of md5(id): the same rows in any SQL engine."""
-    return F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long") % 100
+def split_key(id_col: str = "CustomerID", seed: int = 42):
+    """The first 13 hex digits of md5("seed:id") as a number below 2^52, exact as a double: the same in any SQL engine."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double")
 
 
-def split(df: DataFrame, test_pct: int = 20, id_col: str = "CustomerID") -> tuple[DataFrame, DataFrame]:
-    """C11: deterministic ~80/20 split by id hash (the test share is near, not exactly, 20%)."""
-    b = hash_bucket(id_col)
-    return df.where(b >= test_pct), df.where(b < test_pct)
+def split(df: DataFrame, test_pct: int = 20, id_col: str = "CustomerID", seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """C11: (train, test) with exactly ``ceil(test_pct / 100 * n)`` test rows, those of the smallest hashes of the id.
+
+    The hash at that rank is found by counting (:func:`basketry.functions.quantiles.value_at`), so the rows aren't
+    sorted. Rows of one id stay together, so repeated ids may make the test part larger.
+    """
+    key = split_key(id_col, seed)
+    top = value_at(df.select(key.alias("key")), "key", lambda n: -(-test_pct * n // 100) - 1)
+    chosen = key <= F.lit(top) if top is not None else F.lit(False)
+    return df.where(~chosen), df.where(chosen)
 
 
 def holdout(z: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, max_iter: int = 300,
@@ -327,11 +345,7 @@ def holdout(z: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, max_iter
     """
     train, test = split(z, test_pct, id_col)
     if fit is None:
-        train_f = with_features(train, id_col=id_col).cache()
-        try:
-            fit = fit_kmeans(train_f, k, n_init, seed, max_iter)
-        finally:
-            train_f.unpersist()
+        fit = fit_kmeans(with_features(train, id_col=id_col), k, n_init, seed, max_iter)
     tr_sil, _ = evaluate_labels(fit.assign(train), id_col=id_col, method=method)
     te_sil, te_db = evaluate_labels(fit.assign(test), id_col=id_col, method=method)
     spark = z.sparkSession

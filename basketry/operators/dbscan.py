@@ -1,28 +1,29 @@
-"""Density-based clustering (C8, J7, X1): DBSCAN with ``eps`` and ``min_pts`` (self included).
+"""Density-based clustering (C8, J7, X1): DBSCAN with ``eps`` and ``min_pts`` (self included), any number of columns.
 
-Exact; dense regions are resolved on boxes, and point pairs remain where boxes straddle ``eps``:
+Exact. Neighbourhoods are resolved on bounding boxes, halved level by level, and only boxes that are neither
+wholly inside nor wholly outside ``eps`` of each other go one level down:
 
 1. identical points collapse into one weighted point (a group of copies is one row);
-2. points fall into micro-cells of side ``eps / sqrt(d)``: any two points of a cell are within
-   ``eps``, so a cell of weight >= ``min_pts`` is all core without looking at a single pair;
-3. neighbourhoods are resolved top-down on bounding boxes — cell, then half-side sub-cell, then
-   point — and only boxes that are neither wholly inside nor wholly outside ``eps`` of each other
-   go one level down; point pairs appear only for such boundary boxes. Neighbour offsets are
-   expanded per cell, never per point, so a point is replicated only to non-empty cells within
-   reach;
-4. core points of one cell are one node; cells are linked when two of their core points are
-   within ``eps``; connected components come from min-label propagation on that cell graph,
-   with a written table per round in the shared checkpoint folder to cut lineage, like the weighted
-   points and core flags;
-5. a border point joins the lowest-labelled cluster with a core point within ``eps`` (scikit-learn
-   picks by visiting order, so only border labels can differ; cluster count and noise do not).
-
-Labels are component ids (the smallest packed cell id of the cluster), -1 for noise.
+2. points fall into micro-cells of side ``eps / sqrt(d)``: any two points of a cell are within ``eps``, so a cell
+   of weight >= ``min_pts`` is all core without looking at a single pair;
+3. near cells are found by a dual descent of one box tree: from a single root, pairs of boxes are replaced by pairs of their
+   children, SPLITS halvings at a time, and dropped where they are more than ``eps`` apart. No offset is
+   enumerated, so the work follows the boxes that hold points, whatever the number of columns;
+4. the degree of points in sparse cells: weights of boxes wholly within ``eps`` add up, straddling boxes are halved. A
+   point stops as soon as it has ``min_pts``, or can't reach it with all that still straddles;
+5. core points of one cell are one node. Cells are linked where boxes prove it; pairs of cells of one component are
+   dropped, and what still straddles between different components is halved, LEVELS times at most, then compared
+   point by point;
+6. a border point joins the lowest-labelled cluster with a core point within ``eps`` (scikit-learn picks by visiting
+   order, so only border labels can differ; cluster count and noise do not). Boxes of higher labels than the
+   best one found are dropped.
+
+Each level is a written table in the shared checkpoint folder, so the lineage stays one level long. Labels are component
+ids (the smallest cell number of the cluster), -1 for noise.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 
@@ -31,58 +32,77 @@ from pyspark.sql import functions as F
 
 from basketry.session import ensure_checkpoint_dir, materialize
 
-_BITS = 21  # per-dimension cell coordinate bits in a packed cell id (3 × 21 = 63)
+#: Halvings between two levels of the tree over the cells, and levels of halved boxes within cells.
+SPLITS, LEVELS = 6, 4
 
 
-def _offsets(reach: int, dims: int, half: bool) -> Column:
-    offs = [o for o in itertools.product(range(-reach, reach + 1), repeat=dims) if any(o)]
-    if half:
-        offs = [o for o in offs if o > tuple([0] * dims)]
-    return F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(o)]) for o in offs])
+def _sq(terms) -> Column:
+    return sum((t * t for t in terms), F.lit(0.0))
 
 
-def _pack(cols: Sequence[Column]) -> Column:
-    """Packed cell id; fails loudly if a cell coordinate needs more than 21 bits."""
-    lim = 1 << (_BITS - 1)
-    packed = F.lit(0).cast("long")
-    ok = F.lit(True)
-    for c in cols:
-        packed = F.shiftleft(packed, _BITS) + (c + lim)
-        ok = ok & (c >= -lim) & (c < lim)
-    return F.when(ok, packed).otherwise(F.raise_error(F.lit("dbscan: coordinates too far from 0 for the grid")))
+def _point_box(d: int):
+    """Squared least and greatest distance from the point ``x{i}`` to the box ``lo{i}``/``hi{i}``."""
+    gaps = [F.greatest(F.col(f"lo{i}") - F.col(f"x{i}"), F.col(f"x{i}") - F.col(f"hi{i}"), F.lit(0.0)) for i in range(d)]
+    fars = [F.greatest(F.abs(F.col(f"x{i}") - F.col(f"lo{i}")), F.abs(F.col(f"x{i}") - F.col(f"hi{i}"))) for i in range(d)]
+    return _sq(gaps), _sq(fars)
 
 
-def _sq(terms) -> Column:
-    return sum(t * t for t in terms)
+def _box_box(d: int):
+    """The same between the boxes ``alo{i}``/``ahi{i}`` and ``blo{i}``/``bhi{i}``."""
+    gaps = [F.greatest(F.col(f"blo{i}") - F.col(f"ahi{i}"), F.col(f"alo{i}") - F.col(f"bhi{i}"), F.lit(0.0)) for i in range(d)]
+    spans = [F.greatest(F.col(f"bhi{i}") - F.col(f"alo{i}"), F.col(f"ahi{i}") - F.col(f"blo{i}")) for i in range(d)]
+    return _sq(gaps), _sq(spans)
 
 
-def _point_box(d: int, p: str, b: str):
-    """Squared min and max distance from point columns ``{p}x{i}`` to box ``{b}lo{i}``/``{b}hi{i}``."""
-    gaps = [F.greatest(F.col(f"{b}lo{i}") - F.col(f"{p}x{i}"), F.col(f"{p}x{i}") - F.col(f"{b}hi{i}"), F.lit(0.0))
-            for i in range(d)]
-    fars = [F.greatest(F.abs(F.col(f"{p}x{i}") - F.col(f"{b}lo{i}")), F.abs(F.col(f"{p}x{i}") - F.col(f"{b}hi{i}")))
-            for i in range(d)]
-    return _sq(gaps), _sq(fars)
+def _sided(boxes: DataFrame, side: str, d: int) -> DataFrame:
+    """(``side``, c``side``, bounds): the boxes as children of one side of a pair."""
+    bounds = [F.col(f"{e}{i}").alias(f"{side}{e}{i}") for e in ("lo", "hi") for i in range(d)]
+    return boxes.select(F.col("parent").alias(side), F.col("box").alias(f"c{side}"), *bounds)
 
 
-def _box_box(d: int, a: str, b: str):
-    gaps = [F.greatest(F.col(f"{b}lo{i}") - F.col(f"{a}hi{i}"), F.col(f"{a}lo{i}") - F.col(f"{b}hi{i}"), F.lit(0.0))
-            for i in range(d)]
-    spans = [F.greatest(F.col(f"{b}hi{i}") - F.col(f"{a}lo{i}"), F.col(f"{a}hi{i}") - F.col(f"{b}lo{i}"))
-             for i in range(d)]
-    return _sq(gaps), _sq(spans)
+class _Boxes:
+    """The boxes of halved cells of a table of points (cell, w, x0 ..): level 0 are the cells themselves."""
+
+    def __init__(self, points: DataFrame, d: int, origin: Sequence[float], side: float) -> None:
+        self.points, self.d, self.origin, self.side = points, d, origin, side
 
+    def ident(self, level: int) -> Column:
+        if level == 0:
+            return F.col("cell")
+        halves = [F.floor((F.col(f"x{i}") - F.lit(o)) * (2**level / self.side)) for i, o in enumerate(self.origin)]
+        return F.xxhash64("cell", F.lit(level), *halves)
 
-def _boxes(df: DataFrame, keys: list[str], d: int, prefix: str, weight: bool = True) -> DataFrame:
-    aggs = [F.min(f"x{i}").alias(f"{prefix}lo{i}") for i in range(d)] + [
-        F.max(f"x{i}").alias(f"{prefix}hi{i}") for i in range(d)]
-    if weight:
-        aggs.append(F.sum("w").alias(f"{prefix}w"))
-    return df.groupBy(*keys).agg(*aggs)
+    def at(self, level: int) -> DataFrame:
+        """(parent, box, w, bounds); the parent of a cell is itself. Two boxes that share a hash would be one larger box, which is as right."""
+        ends = [f(f"x{i}").alias(f"{e}{i}") for e, f in (("lo", F.min), ("hi", F.max)) for i in range(self.d)]
+        return self.points.groupBy(self.ident(max(0, level - 1)).alias("parent"), self.ident(level).alias("box")).agg(F.sum("w").alias("w"), *ends)
 
+    def members(self, level: int) -> DataFrame:
+        """(box, w, y0 ..): the points of the boxes of a level."""
+        return self.points.select(self.ident(level).alias("box"), "w", *[F.col(f"x{i}").alias(f"y{i}") for i in range(self.d)])
 
-def _rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    return df.select(*[F.col(c).alias(mapping.get(c, c)) for c in df.columns])
+
+def _near_cells(cells: DataFrame, d: int, eps2: float) -> DataFrame:
+    """(a, b): the pairs a < b of cells (cell, c0 .., lo0 .., hi0 ..) whose boxes are within eps, by a dual descent of the tree."""
+    top = max((int(v) for v in cells.agg(*[F.max(f"c{i}") for i in range(d)]).first() if v is not None), default=0)
+    bits = max(1, top.bit_length())
+
+    def ident(taken: int) -> Column:
+        """The box of a cell after ``taken`` halvings of the root, one column after the other."""
+        if taken >= bits * d:
+            return F.col("cell")
+        own = [taken // d + (i < taken % d) for i in range(d)]
+        return F.xxhash64(F.lit(taken), *[F.shiftright(f"c{i}", bits - n) for i, n in enumerate(own)])
+
+    pairs = cells.select(ident(0).alias("a")).distinct().withColumn("b", F.col("a"))
+    for taken in range(0, bits * d, SPLITS):
+        ends = [f(f"{e}{i}").alias(f"{e}{i}") for e, f in (("lo", F.min), ("hi", F.max)) for i in range(d)]
+        children = cells.groupBy(ident(taken).alias("parent"), ident(taken + SPLITS).alias("box")).agg(*ends)
+        both = pairs.join(_sided(children, "a", d), "a").join(_sided(children, "b", d), "b")
+        least, _ = _box_box(d)
+        both = both.where(((F.col("a") != F.col("b")) | (F.col("ca") <= F.col("cb"))) & (least <= eps2))
+        pairs = materialize(both.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    return pairs.where("a <> b")
 
 
 def connected_components(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -108,173 +128,129 @@ def connected_components(edges: DataFrame, labels: DataFrame) -> DataFrame:
             return labels
 
 
+def _cores(points: DataFrame, around: DataFrame, boxes: _Boxes, eps2: float, min_pts: int) -> DataFrame:
+    """(pid): the points of sparse cells that have min_pts within eps. ``around`` (cell, other) has both directions."""
+    d = boxes.d
+    X = [f"x{i}" for i in range(d)]
+    sparse = points.where(F.col("cw") < min_pts)
+    known = sparse.select("pid", F.col("cw").alias("sure"))
+    least, most = _point_box(d)
+    open_ = sparse.select("pid", *X, "cell").join(around, "cell").select("pid", *X, F.col("other").alias("parent"))
+    found = None
+    for level in range(LEVELS + 2):
+        if level <= LEVELS:
+            met = open_.join(boxes.at(level), "parent").select("pid", *X, "box", "w", least.alias("least"), most.alias("most"))
+        else:
+            met = open_.withColumnRenamed("parent", "box").join(boxes.members(LEVELS), "box")
+            met = met.withColumn("least", _sq([F.col(x) - F.col(f"y{i}") for i, x in enumerate(X)])).select("pid", *X, "box", "w", "least", F.col("least").alias("most"))
+        met = materialize(met.where(F.col("least") <= eps2).select("pid", *X, "box", "w", (F.col("most") <= eps2).alias("full")))
+        sums = met.groupBy("pid").agg(F.sum(F.when(F.col("full"), F.col("w"))).alias("s"), F.sum(F.when(~F.col("full"), F.col("w"))).alias("m"))
+        known = known.join(sums, "pid", "left").select("pid", (F.col("sure") + F.coalesce("s", F.lit(0))).alias("sure"), F.coalesce("m", F.lit(0)).alias("maybe"))
+        known = materialize(known.where(F.col("sure") + F.col("maybe") >= min_pts))
+        core = known.where(F.col("sure") >= min_pts).select("pid")
+        found = core if found is None else found.unionByName(core)
+        known = known.where(F.col("sure") < min_pts).select("pid", "sure")
+        if not known.take(1):
+            break
+        open_ = met.where(~F.col("full")).join(known.select("pid"), "pid", "left_semi").select("pid", *X, F.col("box").alias("parent"))
+    return found
+
+
+def _both_ways(edges: DataFrame, a: str, b: str) -> DataFrame:
+    return edges.select(F.col(a).alias("a"), F.col(b).alias("b")).unionByName(edges.select(F.col(b).alias("a"), F.col(a).alias("b"))).distinct()
+
+
+def _linked(near: DataFrame, boxes: _Boxes, eps2: float) -> DataFrame:
+    """(node, label): the component of each cell with core points, whose boxes are ``boxes``."""
+    d = boxes.d
+    least, most = _box_box(d)
+    cells = boxes.at(0)
+    met = near.join(_sided(cells, "a", d), "a").join(_sided(cells, "b", d), "b").where(least <= eps2)
+    met = materialize(met.select("a", "b", (most <= eps2).alias("full")))
+    nodes = cells.select(F.col("box").alias("node")).withColumn("label", F.col("node"))
+    labels = connected_components(materialize(_both_ways(met.where("full"), "a", "b")), materialize(nodes))
+    open_ = met.where("NOT full").join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
+    open_ = materialize(open_.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb").select("a", "b", "la", "lb"))
+    for level in range(1, LEVELS + 2):
+        if not open_.take(1):
+            break
+        if level <= LEVELS:
+            half = boxes.at(level)
+            met = open_.join(_sided(half, "a", d), "a").join(_sided(half, "b", d), "b").where(least <= eps2)
+            met = met.select("la", "lb", F.col("ca").alias("a"), F.col("cb").alias("b"), (most <= eps2).alias("full"))
+        else:
+            own = boxes.members(LEVELS).drop("w")
+            left = own.select(F.col("box").alias("a"), *[F.col(f"y{i}").alias(f"x{i}") for i in range(d)])
+            met = open_.join(left, "a").join(own.withColumnRenamed("box", "b"), "b")
+            met = met.where(_sq([F.col(f"x{i}") - F.col(f"y{i}") for i in range(d)]) <= eps2).select("la", "lb", "a", "b", F.lit(True).alias("full"))
+        met = materialize(met)
+        edges = materialize(_both_ways(met.where("full"), "la", "lb"))
+        if edges.take(1):
+            ends = materialize(edges.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
+            merged = connected_components(edges, ends)
+            renamed = lambda df, c: df.join(merged.select(F.col("node").alias(c), F.col("label").alias("__to")), c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")  # noqa: B023, E731
+            labels = materialize(renamed(labels, "label"))
+            met = renamed(renamed(met, "la"), "lb")
+        open_ = materialize(met.where("NOT full AND la <> lb").select("a", "b", "la", "lb"))
+    return labels
+
+
+def _border(points: DataFrame, around: DataFrame, boxes: _Boxes, labels: DataFrame, eps2: float) -> DataFrame:
+    """(pid, label): the least label with a core point within eps, for points that are none."""
+    d = boxes.d
+    X = [f"x{i}" for i in range(d)]
+    named = labels.select(F.col("node").alias("parent"), "label")
+    least, most = _point_box(d)
+    best = materialize(points.select("pid", F.col("cell").alias("parent")).join(named, "parent").select("pid", "label"))
+    open_ = points.select("pid", *X, "cell").join(around, "cell").select("pid", *X, F.col("other").alias("parent")).join(named, "parent")
+    for level in range(LEVELS + 2):
+        worth = open_.join(best.withColumnRenamed("label", "best"), "pid", "left").where("best IS NULL OR label < best").drop("best")
+        if level <= LEVELS:
+            met = worth.join(boxes.at(level), "parent").select("pid", *X, "label", "box", least.alias("least"), most.alias("most"))
+        else:
+            met = worth.withColumnRenamed("parent", "box").join(boxes.members(LEVELS), "box")
+            met = met.withColumn("least", _sq([F.col(x) - F.col(f"y{i}") for i, x in enumerate(X)])).select("pid", *X, "label", "box", "least", F.col("least").alias("most"))
+        met = materialize(met.where(F.col("least") <= eps2).select("pid", *X, "label", "box", (F.col("most") <= eps2).alias("full")))
+        best = materialize(best.unionByName(met.where("full").select("pid", "label")).groupBy("pid").agg(F.min("label").alias("label")))
+        open_ = met.where("NOT full").select("pid", *X, "label", F.col("box").alias("parent"))
+        if not open_.take(1):
+            break
+    return best
+
+
 def dbscan(points: DataFrame, cols: Sequence[str], id_col: str, eps: float = 0.5, min_pts: int = 5) -> DataFrame:
-    """Per input row: ``id``, ``label`` (-1 = noise) and ``is_core``. One to three columns; more are an error."""
-    if not 1 <= len(cols) <= 64 // _BITS:
-        raise ValueError(f"dbscan takes 1 to {64 // _BITS} columns")
+    """Per input row with a value in every column: ``id``, ``label`` (-1 = noise) and ``is_core``."""
+    if not cols:
+        raise ValueError("dbscan needs a column at least")
     spark = points.sparkSession
     ensure_checkpoint_dir(spark)
     d = len(cols)
     eps2 = eps * eps
-    side = eps / math.sqrt(d) * (1 - 1e-9)
-    sub = side / 2
-    reach = math.ceil(eps / side)
-    C = [f"c{i}" for i in range(d)]
-    Q = [f"q{i}" for i in range(d)]
+    side = eps / math.sqrt(d) * (1 - 1e-6)
     X = [f"x{i}" for i in range(d)]
-
-    raw = points.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(x) for c, x in zip(cols, X)]).na.drop(
-        subset=X)
-    # 1. weighted distinct points
-    # the point id is assigned before the single write, so it is fixed and unique even when the
-    # input ids are not
-    pts = materialize(
-        raw.groupBy(*X).agg(F.count(F.lit(1)).alias("w"))
-        .select(F.monotonically_increasing_id().alias("pid"), "w", *X,
-                *[F.floor(F.col(x) / side).alias(c) for x, c in zip(X, C)],
-                *[F.floor(F.col(x) / sub).alias(q) for x, q in zip(X, Q)])
-    )
+    C = [f"c{i}" for i in range(d)]
+    raw = points.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(x) for c, x in zip(cols, X, strict=True)]).na.drop(subset=X)
+    # the point id is assigned before the single write, so it is fixed and unique even when the input ids are not
+    pts = materialize(raw.groupBy(*X).agg(F.count(F.lit(1)).alias("w")).select(F.monotonically_increasing_id().alias("pid"), "w", *X))
     members = raw.join(pts.select("pid", *X), X).select("id", "pid")
-
-    # 2. cells and dense cells
-    cells = _boxes(pts, C, d, "b")
-    pts_c = pts.join(cells.select(*C, F.col("bw").alias("cw")), C)
-
-    def neighbour_cells(df: DataFrame, half: bool = False) -> DataFrame:
-        return df.withColumn("_o", F.explode(_offsets(reach, d, half))).select(
-            "*", *[(F.col(c) + F.col(f"_o.o{i}")).alias(f"n{i}") for i, c in enumerate(C)]).drop("_o")
-
-    def near_cells(a_cells: DataFrame, b_cells: DataFrame) -> DataFrame:
-        """(A, B) cell pairs with B non-empty and B's box within eps of A's box.
-
-        Cells, not points, are exploded over the neighbour offsets, and empty neighbours vanish
-        in the join: a point later meets only the non-empty cells that can hold a neighbour."""
-        a = _rename(a_cells.select(*C, *[f"blo{i}" for i in range(d)], *[f"bhi{i}" for i in range(d)]),
-                    {f"blo{i}": f"alo{i}" for i in range(d)} | {f"bhi{i}": f"ahi{i}" for i in range(d)})
-        b = _rename(b_cells, {c: f"n{i}" for i, c in enumerate(C)})
-        lo2, _ = _box_box(d, "a", "b")
-        return neighbour_cells(a).join(b, [f"n{i}" for i in range(d)]).where(lo2 <= eps2).drop(
-            *[f"alo{i}" for i in range(d)], *[f"ahi{i}" for i in range(d)])
-
-    # 3. degree of points in sparse cells: cell boxes, then sub-cell boxes, then points
-    subcells = _boxes(pts, C + Q, d, "s")
-    sparse = pts_c.where(F.col("cw") < min_pts).select("pid", *X, *C, "cw")
-    sparse_cells = cells.join(sparse.select(*C).distinct(), C, "left_semi")
-    near = sparse.join(near_cells(sparse_cells, cells), C)
-    pmin, pmax = _point_box(d, "", "b")
-    near = near.withColumn("_min", pmin).withColumn("_max", pmax).where(F.col("_min") <= eps2)
-    full_cells = near.where(F.col("_max") <= eps2).groupBy("pid").agg(F.sum("bw").alias("wt"))
-    part = near.where(F.col("_max") > eps2).select("pid", *X, *[f"n{i}" for i in range(d)])
-    part_sub = part.join(_rename(subcells, {c: f"n{i}" for i, c in enumerate(C)}), [f"n{i}" for i in range(d)])
-    smin, smax = _point_box(d, "", "s")
-    part_sub = part_sub.withColumn("_min", smin).withColumn("_max", smax).where(F.col("_min") <= eps2)
-    full_subs = part_sub.where(F.col("_max") <= eps2).groupBy("pid").agg(F.sum("sw").alias("wt"))
-    edge_subs = part_sub.where(F.col("_max") > eps2).select("pid", *X, *[f"n{i}" for i in range(d)], *Q)
-    coarse = (
-        sparse.select("pid", F.col("cw").alias("wt"))
-        .unionByName(full_cells).unionByName(full_subs)
-        .groupBy("pid").agg(F.sum("wt").alias("wt"))
-    )
-    # only the degree up to min_pts matters: points already at min_pts from whole boxes are core
-    # and skip point pairs (exact, and it keeps pair work to points near the threshold)
-    undecided = coarse.where(F.col("wt") < min_pts).select("pid")
-    other = _rename(pts.select(*C, *Q, *X, "w"), {**{c: f"n{i}" for i, c in enumerate(C)},
-                                                   **{x: f"y{i}" for i, x in enumerate(X)}})
-    pair_w = (
-        edge_subs.join(undecided, "pid", "left_semi")
-        .join(other, [f"n{i}" for i in range(d)] + Q)
-        .where(_sq([F.col(f"x{i}") - F.col(f"y{i}") for i in range(d)]) <= eps2)
-        .groupBy("pid").agg(F.sum("w").alias("wt"))
-    )
-    deg = coarse.unionByName(pair_w).groupBy("pid").agg(F.sum("wt").alias("degree"))
-    core_flag = materialize(
-        pts_c.join(deg, "pid", "left")
-        .select("pid", *X, *C, *Q, ((F.col("cw") >= min_pts) | (F.coalesce("degree", F.lit(0)) >= min_pts)).alias("core"))
-    )
-    core = core_flag.where("core")
-
-    # 4. cell graph of core points
-    ccells = _boxes(core.withColumn("w", F.lit(1)), C, d, "b", weight=False)
-    csubs = _boxes(core.withColumn("w", F.lit(1)), C + Q, d, "s", weight=False)
-    a_cells = _rename(ccells, {f"blo{i}": f"alo{i}" for i in range(d)} | {f"bhi{i}": f"ahi{i}" for i in range(d)})
-    pairs = neighbour_cells(a_cells, half=True).join(
-        _rename(ccells, {c: f"n{i}" for i, c in enumerate(C)}), [f"n{i}" for i in range(d)])
-    bmin, bmax = _box_box(d, "a", "b")
-    pairs = pairs.withColumn("_min", bmin).withColumn("_max", bmax).where(F.col("_min") <= eps2)
-    keyA, keyB = C, [f"n{i}" for i in range(d)]
-    e_full = pairs.where(F.col("_max") <= eps2).select(*keyA, *keyB)
-    p_cells = pairs.where(F.col("_max") > eps2).select(*keyA, *keyB)
-    sa = _rename(csubs, {q: f"qa{i}" for i, q in enumerate(Q)} | {f"slo{i}": f"alo{i}" for i in range(d)}
-                 | {f"shi{i}": f"ahi{i}" for i in range(d)})
-    sb = _rename(csubs, {c: f"n{i}" for i, c in enumerate(C)} | {q: f"qb{i}" for i, q in enumerate(Q)}
-                 | {f"slo{i}": f"blo{i}" for i in range(d)} | {f"shi{i}": f"bhi{i}" for i in range(d)})
-    sp = p_cells.join(sa, keyA).join(sb, keyB)
-    smin2, smax2 = _box_box(d, "a", "b")
-    sp = sp.withColumn("_min", smin2).withColumn("_max", smax2).where(F.col("_min") <= eps2)
-    e_sub = sp.where(F.col("_max") <= eps2).select(*keyA, *keyB).distinct()
-    sp_part = sp.where(F.col("_max") > eps2).join(e_sub, keyA + keyB, "left_anti").select(
-        *keyA, *keyB, *[f"qa{i}" for i in range(d)], *[f"qb{i}" for i in range(d)])
-    # components by the edges that boxes alone prove; a straddling pair of sub-cells matters only if its cells still
-    # belong to different components, so dense regions, whose cells hang together by full boxes, need no point pairs
-    def pairs_of(df: DataFrame) -> DataFrame:
-        ab = df.select(_pack([F.col(c) for c in keyA]).alias("a"), _pack([F.col(c) for c in keyB]).alias("b")).distinct()
-        return materialize(ab.unionByName(ab.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-
-    nodes = materialize(ccells.select(_pack([F.col(c) for c in C]).alias("node")).withColumn("label", F.col("node")))
-    e_boxes = e_full.unionByName(e_sub)
-    proven = connected_components(pairs_of(e_boxes), nodes)
-    sp_part = (
-        sp_part.withColumn("a", _pack([F.col(c) for c in keyA])).withColumn("b", _pack([F.col(c) for c in keyB]))
-        .join(proven.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
-        .join(proven.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-        .where("la <> lb").drop("a", "b")
-    )
-    ca = _rename(core.select(*C, *Q, *X), {q: f"qa{i}" for i, q in enumerate(Q)})
-    cb = _rename(core.select(*C, *Q, *X), {c: f"n{i}" for i, c in enumerate(C)} | {q: f"qb{i}" for i, q in enumerate(Q)}
-                 | {x: f"y{i}" for i, x in enumerate(X)})
-    e_pts = (
-        sp_part.join(ca, keyA + [f"qa{i}" for i in range(d)])
-        .join(cb, keyB + [f"qb{i}" for i in range(d)])
-        .where(_sq([F.col(f"x{i}") - F.col(f"y{i}") for i in range(d)]) <= eps2)
-        .select("la", "lb").distinct()
-    )
-    # the few edges left join the proven components
-    ab = e_pts.select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    ab = materialize(ab.unionByName(ab.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    tops = materialize(proven.select(F.col("label").alias("node")).distinct().withColumn("label", F.col("node")))
-    merged = connected_components(ab, tops)
-    labels = materialize(proven.withColumnRenamed("label", "top").join(merged.withColumnRenamed("node", "top"), "top").select("node", "label"))
-
-    # 5. labels for core points, then border points
-    core_lab = core.select("pid", _pack([F.col(c) for c in C]).alias("node")).join(labels, "node").select("pid", "label")
-    border = core_flag.where(~F.col("core")).select("pid", *X, *C)
-    own = border.select("pid", _pack([F.col(c) for c in C]).alias("node")).join(labels, "node").select("pid", "label")
-    border_cells = cells.join(border.select(*C).distinct(), C, "left_semi")
-    bnear = border.join(near_cells(border_cells, ccells), C)
-    bnear = bnear.withColumn("_min", pmin).withColumn("_max", pmax).where(F.col("_min") <= eps2)
-    b_full = bnear.where(F.col("_max") <= eps2).select("pid", *keyB)
-    b_sub = (
-        bnear.where(F.col("_max") > eps2).select("pid", *X, *keyB)
-        .join(_rename(csubs, {c: f"n{i}" for i, c in enumerate(C)}), keyB)
-        .withColumn("_min", smin).withColumn("_max", smax).where(F.col("_min") <= eps2)
-    )
-    b_sub_full = b_sub.where(F.col("_max") <= eps2).select("pid", *keyB)
-    b_pts = (
-        b_sub.where(F.col("_max") > eps2).select("pid", *X, *keyB, *Q)
-        .join(_rename(core.select(*C, *Q, *X), {c: f"n{i}" for i, c in enumerate(C)} | {x: f"y{i}" for i, x in enumerate(X)}),
-              keyB + Q)
-        .where(_sq([F.col(f"x{i}") - F.col(f"y{i}") for i in range(d)]) <= eps2)
-        .select("pid", *keyB)
-    )
-    reach_cells = b_full.unionByName(b_sub_full).unionByName(b_pts).select(
-        "pid", _pack([F.col(c) for c in keyB]).alias("node")).join(labels, "node").select("pid", "label")
-    border_lab = own.unionByName(reach_cells).groupBy("pid").agg(F.min("label").alias("label"))
-    point_lab = (
-        core_flag.select("pid", "core")
-        .join(core_lab.unionByName(border_lab.join(core_lab.select("pid"), "pid", "left_anti")), "pid", "left")
-        .select("pid", F.coalesce("label", F.lit(-1).cast("long")).alias("label"), F.col("core").alias("is_core"))
-    )
-    return members.join(point_lab, "pid").select("id", "label", "is_core")
+    origin = [float(v or 0.0) for v in pts.agg(*[F.min(x) for x in X]).first()]
+    celled = pts.select("*", *[F.floor((F.col(x) - F.lit(o)) / side).alias(c) for x, c, o in zip(X, C, origin, strict=True)])
+    ends = [f(x).alias(f"{e}{i}") for e, f in (("lo", F.min), ("hi", F.max)) for i, x in enumerate(X)]
+    cells = materialize(celled.groupBy(*C).agg(F.sum("w").alias("cw"), *ends).withColumn("cell", F.monotonically_increasing_id()))
+    placed = materialize(celled.join(cells.select("cell", "cw", *C), C).select("pid", "w", *X, "cell", "cw"))
+    near = _near_cells(cells, d, eps2)
+    around = near.select(F.col("a").alias("cell"), F.col("b").alias("other")).unionByName(near.select(F.col("b").alias("cell"), F.col("a").alias("other")))
+
+    cores = _cores(placed, around, _Boxes(placed, d, origin, side), eps2, min_pts)
+    flagged = placed.join(cores.withColumn("few", F.lit(True)), "pid", "left")
+    flagged = materialize(flagged.select("pid", "w", *X, "cell", ((F.col("cw") >= min_pts) | F.col("few").isNotNull()).alias("core")))
+    boxes = _Boxes(flagged.where("core"), d, origin, side)
+    labels = _linked(near, boxes, eps2)
+    inside = flagged.where("core").select("pid", F.col("cell").alias("node")).join(labels, "node").select("pid", "label")
+    border = _border(flagged.where("NOT core"), around, boxes, labels, eps2)
+    named = flagged.select("pid", "core").join(inside.unionByName(border), "pid", "left")
+    named = named.select("pid", F.coalesce("label", F.lit(-1).cast("long")).alias("label"), F.col("core").alias("is_core"))
+    return members.join(named, "pid").select("id", "label", "is_core")
 
 
 def dbscan_summary(labels: DataFrame) -> DataFrame:

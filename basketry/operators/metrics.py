@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 
 from basketry.functions.columns import WEEKDAYS, money_k, money_units, thousands
 
+# The basket cap and the share of the largest cell that the heatmap's colours end at.
 DEFAULT_CAP = 1000.0
+CEILING = 0.85
+
+
+def _line_count(weight: str | None):
+    """Lines of a group: its rows, or the sum of a column that says how many lines a row stands for."""
+    return F.count(F.lit(1)) if weight is None else F.sum(weight).cast("long")
 
 
 def _rank(df: DataFrame, *order) -> DataFrame:
@@ -119,12 +126,12 @@ def month_labels(monthly: DataFrame) -> DataFrame:
     return monthly.withColumn("Label", money_k(F.col("Revenue"), 0))
 
 
-def top_countries(df: DataFrame, n: int = 10) -> DataFrame:
+def top_countries(df: DataFrame, n: int = 10, weight: str | None = None) -> DataFrame:
     """A10 + E1: lines per country (named OrderCount, as in the source: it counts lines)."""
     top = (
         df.where(F.col("Country").isNotNull())
         .groupBy("Country")
-        .agg(F.count(F.lit(1)).alias("OrderCount"))
+        .agg(_line_count(weight).alias("OrderCount"))
         .orderBy(F.desc("OrderCount"), F.asc("Country"))
         .limit(n)
     )
@@ -156,7 +163,7 @@ def top_customers(df: DataFrame, n: int = 10) -> DataFrame:
     return ranked.select(F.col("CustomerID").cast("string").alias("CustomerID"), "Revenue", "Rank")
 
 
-def sales_heatmap(df: DataFrame) -> DataFrame:
+def sales_heatmap(df: DataFrame, weight: str | None = None) -> DataFrame:
     """A13 + J6: lines per weekday × hour, every weekday × every observed hour, missing = 0.
 
     One pass over the lines: they are counted per (weekday, hour), the unknown weekday included,
@@ -166,7 +173,7 @@ def sales_heatmap(df: DataFrame) -> DataFrame:
     cells = (
         df.where(F.col("Hour").isNotNull())
         .groupBy("Hour", "day_idx")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(_line_count(weight).alias("n"))
     )
     known = F.when(F.col("day_idx").isNotNull(), F.struct(F.col("day_idx"), F.col("n")))
     per_hour = cells.groupBy("Hour").agg(F.map_from_entries(F.collect_list(known)).alias("m"))
@@ -197,12 +204,12 @@ def heatmap_wide_from_long(long: DataFrame) -> DataFrame:
     ).orderBy("day_idx")
 
 
-def heatmap_ceiling(df: DataFrame, factor: float = 0.85) -> DataFrame:
+def heatmap_ceiling(df: DataFrame, factor: float = CEILING) -> DataFrame:
     """Colour ceiling = factor × largest cell."""
     return ceiling_from_long(sales_heatmap(df), factor)
 
 
-def ceiling_from_long(long: DataFrame, factor: float = 0.85) -> DataFrame:
+def ceiling_from_long(long: DataFrame, factor: float = CEILING) -> DataFrame:
     """A15 from an already computed long heatmap."""
     return long.agg((F.max("Orders") * factor).alias("zmax"))
 

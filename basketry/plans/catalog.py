@@ -663,10 +663,14 @@ def q_davies_bouldin_rule(spark, sf):
     return EV.davies_bouldin(z_rule(spark, sf), CL.Z_COLS, "label").select(r2("davies_bouldin", d=6))
 
 
+_SPLIT_KEY = "substr(md5('42:' || CAST(CustomerID AS VARCHAR)), 1, 13)"
+
+
 @register("holdout_split", S.with_sales_rfm(
-    "SELECT CustomerID, ('0x' || substr(md5(CAST(CustomerID AS VARCHAR)), 1, 8))::UBIGINT % 100 < 20 AS is_test FROM rfm"))
+    f"SELECT CustomerID, row_number() OVER (ORDER BY {_SPLIT_KEY}) <= ceil(0.2 * count(*) OVER ()) AS is_test FROM rfm"))
 def q_holdout_split(spark, sf):
-    return R.rfm(sales(spark, sf)).select("CustomerID", (CL.hash_bucket() < 20).alias("is_test"))
+    train, test = CL.split(R.rfm(sales(spark, sf)))
+    return train.select("CustomerID", F.lit(False).alias("is_test")).unionByName(test.select("CustomerID", F.lit(True).alias("is_test")))
 
 
 _FITTED: dict = {}
@@ -760,7 +764,7 @@ def q_k_decision(spark, sf):
 @register("bisecting")
 def q_bisecting(spark, sf):
     z = CL.standardize(rfm_of(spark, sf))
-    feats = CL.with_features(z, shift=10.0).cache()
+    feats = CL.with_features(z, shift=10.0, partitions=8).cache()
     try:
         model = CL.fit_bisecting(feats, K)
         sizes = model.setPredictionCol("Cluster").transform(feats).groupBy("Cluster").agg(
@@ -828,7 +832,7 @@ def q_filter_segment_km_fixed(spark, sf):
     return _lines(FL.filter_segment(sales_store(spark, sf), _fixed(spark, sf)[3], "VIP"))
 
 
-_IS_TEST = "('0x' || substr(md5(CAST(CustomerID AS VARCHAR)), 1, 8))::UBIGINT % 100 < 20"
+_IS_TEST = f"{_SPLIT_KEY} <= (SELECT k FROM (SELECT {_SPLIT_KEY} AS k, row_number() OVER (ORDER BY {_SPLIT_KEY}) AS r, count(*) OVER () AS n FROM rfm) s WHERE r = ceil(0.2 * n))"
 
 
 @register("holdout_fixed", S.with_sales_rfm(
@@ -981,7 +985,11 @@ def q_get_metrics_contents(spark, sf):
     """The contents of every table of A28 over one written input, as rows (tbl, item, value)."""
     from basketry.plans.dashboard import get_metrics
 
-    m = get_metrics(events(spark, sf), 1000.0, persist="write")
+    return _contents(get_metrics(events(spark, sf), 1000.0, persist="write"))
+
+
+def _contents(m: dict) -> DataFrame:
+    """Twelve tables of A28 as rows (tbl, item, value)."""
     start = F.format_string("%.4f", F.col("bin_start").cast("double"))
     when = [F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("min_date", "max_date")]
     parts = {
@@ -1040,6 +1048,58 @@ def q_dashboard_top_products(spark, sf):
     return out["top_products"].select("ProductName", r2("UnitsSold"), "Rank")
 
 
+# --- A28 from the summary store ----------------------------------------------------------------
+
+def _summary(spark, sf, kind, lines):
+    """The summary store of ``lines``, written once per session and folder."""
+    from basketry.plans.summary import read_summary, write_summary
+    from basketry.session import table_path
+
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _STORES:
+        path = table_path(spark, f"summary-{uuid.uuid4().hex}")
+        write_summary(lines(spark, sf), path)
+        _STORES[key] = path
+    return read_summary(spark, _STORES[key])
+
+
+_PLAIN_SPEC = FL.FilterSpec(countries=["NATION_2", "NATION_3", "NATION_5", "NATION_8", "NATION_21"], start="1996-01-01", end="2000-12-31", month_pruning=True)
+_PLAIN_SQL = """filtered AS (SELECT * FROM sales WHERE Country IN ('NATION_2', 'NATION_3', 'NATION_5', 'NATION_8', 'NATION_21')
+  AND InvoiceDate >= TIMESTAMP '1996-01-01' AND InvoiceDate <= TIMESTAMP '2000-12-31')"""
+
+
+@register("summary_kpis", S.with_sales_rfm(f", {_SPEC_SQL}\n" + KPI_SQL.replace("{src}", "filtered").replace("{cap}", str(LINES_CAP))))
+def q_summary_kpis(spark, sf):
+    """The KPI row of all four filters together, without a scan of the lines."""
+    orders = _summary(spark, sf, "sales", sales_store).orders
+    return _kpis_rounded(FL.apply_filters(orders, segments_from(orders), _SPEC), LINES_CAP)
+
+
+@register("summary_kpis_dates", S.with_sales_rfm(
+    f", {_PLAIN_SQL}\n" + KPI_SQL.replace("{src}", "filtered").replace("{cap}", str(LINES_CAP))))
+def q_summary_kpis_dates(spark, sf):
+    from basketry.plans.summary import refresh
+
+    k = refresh(_summary(spark, sf, "sales", sales_store), None, _PLAIN_SPEC, LINES_CAP)["kpis"]
+    return k.select(r2("total_revenue"), "total_orders", "customer_count", "avg_order_value")
+
+
+@register("summary_top_products", S.with_sales_rfm(f", {_PLAIN_SQL}\n" + TOP_PRODUCTS_SQL.replace("FROM sales WHERE", "FROM filtered WHERE")))
+def q_summary_top_products(spark, sf):
+    from basketry.plans.summary import refresh
+
+    out = refresh(_summary(spark, sf, "sales", sales_store), None, _PLAIN_SPEC, LINES_CAP)["top_products"]
+    return out.select("ProductName", r2("UnitsSold"), "Rank")
+
+
+@register("summary_contents", S.with_events(_CONTENTS_SQL))
+def q_summary_contents(spark, sf):
+    """The contents of every table of A28 from the summary store, as rows (tbl, item, value)."""
+    from basketry.plans.summary import refresh
+
+    return _contents(refresh(_summary(spark, sf, "events", events), None, FL.FilterSpec(), 1000.0))
+
+
 # --- A18 / A19 on rule segments used as cluster labels (oracle-checkable) ----------------------
 
 @register("cluster_means_rule", S.with_sales_rfm(
@@ -1057,14 +1117,14 @@ def q_cluster_summary_rule(spark, sf):
     return CL.cluster_summary(seg_of(spark, sf), None, "Segment")
 
 
-_OVERVIEW = replace(FL.FilterSpec.overview(countries=["purchase", "click"], start="2024-01-05", end="2024-01-25", segment="Loyal", basket="Medium"),
-                    segment_by="Segment")
+_OVERVIEW = replace(FL.FilterSpec.overview(countries=["purchase", "click"], start="2024-01-05", end="2024-01-25", segment="Recent", basket="Medium"),
+                    segment_by="Segment")  # every customer of the events is Recent
 
 
 @register("apply_filters_overview", S.with_events_rfm(
     f"SELECT {_LINE_COLS} FROM sales WHERE Country IN ('purchase', 'click') "
     "AND InvoiceDate >= TIMESTAMP '2024-01-05' AND InvoiceDate <= TIMESTAMP '2024-01-25' "
-    "AND CustomerID IN (SELECT CustomerID FROM seg WHERE Segment = 'Loyal') "
+    "AND CustomerID IN (SELECT CustomerID FROM seg WHERE Segment = 'Recent') "
     "AND InvoiceNo IN (SELECT InvoiceNo FROM sales GROUP BY InvoiceNo HAVING sum(TotalPrice) >= 20 AND sum(TotalPrice) <= 100)"))
 def q_apply_filters_overview(spark, sf):
     """Overview-panel variant: basket bands 20 / 100 over the unfiltered table's totals."""

@@ -33,12 +33,17 @@ def _keep(df: DataFrame, persist) -> DataFrame:
     raise ValueError("persist must be 'cache', 'write' or None")
 
 
-def get_metrics(df: DataFrame, cap: float = M.DEFAULT_CAP, top_n: int = 10, persist=None) -> dict:
-    """Every metric table of one line table, as a dict of lazy DataFrames (plus ``lines``)."""
+def get_metrics(df: DataFrame, cap: float = M.DEFAULT_CAP, top_n: int = 10, persist=None, weight: str | None = None,
+                products: DataFrame | None = None) -> dict:
+    """Every metric table of one line table, as a dict of lazy DataFrames (plus ``lines``).
+
+    ``df`` may hold pre-aggregated lines: ``weight`` names the column with the number of lines a row stands for,
+    and ``products`` has the units by product, which such a table lacks (see :mod:`basketry.plans.summary`).
+    """
     src = _keep(df, persist)
     k = M.kpis(src, cap)
     baskets, frequency, months = M.basket_values(src, cap), M.purchase_frequency(src), M.monthly_revenue(src)
-    heat = M.sales_heatmap(src)
+    heat = M.sales_heatmap(src, weight)
     if persist == "cache":
         heat = heat.persist(StorageLevel.MEMORY_AND_DISK)  # ≤168 rows, read by three tables
     return {
@@ -52,8 +57,8 @@ def get_metrics(df: DataFrame, cap: float = M.DEFAULT_CAP, top_n: int = 10, pers
         "monthly_revenue": months,
         "month_labels": M.month_labels(months),
         "peak_month": M.peak_month(src),
-        "top_countries": M.top_countries(src, top_n),
-        "top_products": M.top_products(src, top_n),
+        "top_countries": M.top_countries(src, top_n, weight),
+        "top_products": M.top_products(src if products is None else products, top_n),
         "top_customers": M.top_customers(src, top_n),
         "heatmap": heat,
         "heatmap_wide": M.heatmap_wide_from_long(heat),

@@ -3,8 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+#: Per path, the state of the files when the schema was read, and the schema.
+_SCHEMAS: dict[str, tuple[tuple, StructType]] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of change of the files of a table: tells whether its schema may have changed."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """``{sf_dir}/{name}.parquet`` as a DataFrame; projections and filters push into the scan."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """``{sf_dir}/{name}.parquet`` as a DataFrame; projections and filters push into the scan.
+
+    The schema is read from the footers, in a job of its own, the first time and whenever the files have changed.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    state = _state(spark, path)
+    known = _SCHEMAS.get(path)
+    if known and known[0] == state:
+        return spark.read.schema(known[1]).parquet(path)
+    df = spark.read.parquet(path)
+    _SCHEMAS[path] = (state, df.schema)
+    return df

@@ -98,6 +98,78 @@ def test_kmeans_invariants(spark, labelled):
     assert all(v == pytest.approx(1.0) for v in st[:3]) and all(abs(v) < 1e-9 for v in st[3:])
 
 
+def _spread(seed=5, n=3000):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 3, (7, 3))
+    x = centres[rng.integers(0, 7, n)] + rng.normal(0, 0.7, (n, 3))
+    return np.concatenate([x, np.repeat(x[:5], 80, axis=0)])  # some points many times
+
+
+def _vectors(spark, x, partitions):
+    pdf = pd.DataFrame(x, columns=COLS).assign(id=np.arange(len(x)))
+    return CL.with_features(spark.createDataFrame(pdf).repartition(partitions, "id"), COLS, id_col="id")
+
+
+def _np_kmeans(x, k, restarts):
+    """Least cost of plain k-means++ and Lloyd, one restart after the other."""
+    best = np.inf
+    for r in range(restarts):
+        rng = np.random.default_rng(r)
+        c = x[[rng.integers(len(x))]]
+        while len(c) < k:
+            d = ((x[:, None] - c[None]) ** 2).sum(-1).min(1)
+            c = np.concatenate([c, x[[rng.choice(len(x), p=d / d.sum())]]])
+        for _ in range(100):
+            own = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+            new = np.array([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(k)])
+            if np.allclose(new, c):
+                break
+            c = new
+        best = min(best, ((x[:, None] - c[None]) ** 2).sum(-1).min(1).sum())
+    return best
+
+
+def test_batched_fits_cost_no_more_than_single_ones(spark):
+    """Every k and restart in the same scans, against as many restarts one by one."""
+    x = _spread()
+    ks = (2, 4, 6)
+    for k, fit in CL.fit_each(_vectors(spark, x, 3), ks, n_init=10, max_iter=100).items():
+        assert fit.cost <= _np_kmeans(x, k, 10) * 1.001, k
+        centres = np.array(fit.model.clusterCenters())
+        d2 = ((x[:, None] - centres[None]) ** 2).sum(-1)
+        assert fit.cost == pytest.approx(d2.min(1).sum(), rel=1e-9) and fit.cost == min(fit.costs) and len(fit.costs) == 10
+        mean = np.array([x[d2.argmin(1) == j].mean(0) for j in range(k)])
+        assert np.abs(mean - centres).max() < 1e-3  # a fixed point of Lloyd's step
+
+
+def test_a_fit_does_not_depend_on_the_layout(spark):
+    x = _spread(seed=8, n=900)
+    one = CL.fit_kmeans(_vectors(spark, x, 1), k=4, n_init=2)
+    for partitions in (3, 11):
+        again = CL.fit_kmeans(_vectors(spark, x, partitions), k=4, n_init=2)
+        assert again.seed == one.seed and np.allclose(np.array(again.model.clusterCenters()), np.array(one.model.clusterCenters()), atol=1e-9)
+
+
+def test_fewer_points_than_centres(spark):
+    fit = CL.fit_kmeans(_vectors(spark, np.array([[0.0, 0, 0], [1, 1, 1], [1, 1, 1]]), 2), k=4, n_init=2)
+    assert sorted(fit.centres.values()) == [(0.0, 0.0, 0.0), (1.0, 1.0, 1.0)] and fit.cost == 0.0
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_a_step_on_blocks_is_lloyds_step(spark, monkeypatch, block):
+    from basketry.operators import lloyd
+
+    x = _spread(seed=3, n=700)
+    rng = np.random.default_rng(0)
+    runs = [x[rng.choice(len(x), k, replace=False)] for k in (2, 5, 9)]
+    blocks = lloyd.block_table(_vectors(spark, x, 2), size=block)
+    for centres, (mass, sums, cost) in zip(runs, lloyd.step(blocks, runs), strict=True):
+        d2 = ((x[:, None] - centres[None]) ** 2).sum(-1)
+        own = d2.argmin(1)
+        assert np.allclose(mass, np.bincount(own, minlength=len(centres)))
+        assert np.allclose(sums, [x[own == j].sum(0) for j in range(len(centres))]) and cost == pytest.approx(d2.min(1).sum(), rel=1e-9)
+
+
 def test_bisecting_needs_shift(spark, labelled):
     x, lab, df = labelled
     z = CL.standardize(df, COLS)
@@ -159,6 +231,44 @@ def test_dbscan_matches_brute_force(spark, eps, min_pts):
     assert s.clusters == k and s.points == len(x)
 
 
+@pytest.mark.parametrize("d", [1, 2, 4, 7])
+def test_dbscan_of_any_number_of_columns(spark, d):
+    rng = np.random.default_rng(d)
+    x = np.concatenate([rng.normal(0, 0.35 / np.sqrt(d), (150, d)), rng.normal(2, 0.5 / np.sqrt(d), (120, d)), rng.uniform(-3, 6, (60, d)), np.full((9, d), 5e6)])
+    cols = [f"v{i}" for i in range(d)]
+    pdf = pd.DataFrame(x, columns=cols).assign(id=np.arange(len(x)))
+    out = DB.dbscan(spark.createDataFrame(pdf), cols, "id", 0.5, 6).toPandas().sort_values("id")
+    k, noise, core, lab = _brute_dbscan(x, 0.5, 6)
+    assert k >= 2 and out.label[out.label != -1].nunique() == k and int((out.label == -1).sum()) == noise
+    assert (out.is_core.to_numpy() == core).all()
+    pairs = set(zip(lab[core], out.label.to_numpy()[core]))
+    assert len(pairs) == len(set(lab[core])) == len(set(out.label.to_numpy()[core]))
+
+
+def test_dbscan_pairs_grow_with_the_points(spark, monkeypatch):
+    """Pairs of boxes and points that are formed, over Gaussian points: four times the points, at most five times the pairs."""
+    formed = []
+    write = DB.materialize
+
+    def counted(df):
+        table = write(df)
+        if "full" in table.columns:
+            formed[-1] += table.count()
+        return table
+
+    monkeypatch.setattr(DB, "materialize", counted)
+    for n in (5_000, 20_000):
+        formed.append(0)
+        x = np.random.default_rng(3).normal(0, 1, (n, 3))
+        df = spark.createDataFrame(pd.DataFrame(x, columns=COLS).assign(id=np.arange(n)))
+        assert DB.dbscan(df, COLS, "id").count() == n
+    assert formed[1] <= 5 * formed[0]
+
+
+def test_dbscan_of_an_empty_table(spark):
+    assert DB.dbscan(spark.createDataFrame([], "a double, b double, id long"), ["a", "b"], "id").count() == 0
+
+
 def test_exact_silhouette_ignores_duplicate_ids(labelled):
     x, lab, df = labelled
     same_id = df.withColumn("id", F.lit(1))
