@@ -11,8 +11,8 @@ wholly inside nor wholly outside ``eps`` of each other go one level down:
    enumerated, so the work follows the boxes that hold points, whatever the number of columns;
 4. the degree of points in sparse cells: weights of boxes wholly within ``eps`` add up, straddling boxes are halved. A
    point stops as soon as it has ``min_pts``, or can't reach it with all that still straddles;
-5. core points of one cell are one node. Cells are linked where boxes prove it; pairs of cells of one component are
-   dropped, and what still straddles between different components is halved, LEVELS times at most, then compared
+5. core points of one cell are one node. Cells are linked where boxes or two points of each prove it; pairs of cells of one
+   component are dropped, and what still straddles between different components is halved, LEVELS times at most, then compared
    point by point;
 6. a border point joins the lowest-labelled cluster with a core point within ``eps`` (scikit-learn picks by visiting
    order, so only border labels can differ; cluster count and noise do not). Boxes of higher labels than the
@@ -165,8 +165,14 @@ def _linked(near: DataFrame, boxes: _Boxes, eps2: float) -> DataFrame:
     d = boxes.d
     least, most = _box_box(d)
     cells = boxes.at(0)
+    X = F.struct(*[f"x{i}" for i in range(d)])
+    # two points of each cell, its first and last by value: where a pair of them is within eps, the cells are linked
+    ends = boxes.points.groupBy("cell").agg(F.min(X).alias("p"), F.max(X).alias("q"))
     met = near.join(_sided(cells, "a", d), "a").join(_sided(cells, "b", d), "b").where(least <= eps2)
-    met = materialize(met.select("a", "b", (most <= eps2).alias("full")))
+    for side in "ab":
+        met = met.join(ends.select(F.col("cell").alias(side), F.col("p").alias(f"{side}p"), F.col("q").alias(f"{side}q")), side)
+    apart = [_sq([F.col(f"a{u}.x{i}") - F.col(f"b{v}.x{i}") for i in range(d)]) for u in "pq" for v in "pq"]
+    met = materialize(met.select("a", "b", ((most <= eps2) | (F.least(*apart) <= eps2)).alias("full")))
     nodes = cells.select(F.col("box").alias("node")).withColumn("label", F.col("node"))
     labels = connected_components(materialize(_both_ways(met.where("full"), "a", "b")), materialize(nodes))
     open_ = met.where("NOT full").join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")

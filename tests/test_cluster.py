@@ -274,3 +274,19 @@ def test_exact_silhouette_ignores_duplicate_ids(labelled):
     same_id = df.withColumn("id", F.lit(1))
     got = EV.silhouette_exact(same_id, COLS, "label", "id", block_size=97).first()[0]
     assert got == pytest.approx(_np_silhouette(x, lab), rel=1e-9)
+
+
+@pytest.mark.parametrize("n, pct", [(5000, 20), (7, 20), (1, 20), (301, 33)])
+def test_split_has_its_exact_size(spark, n, pct):
+    df = spark.range(n).withColumnRenamed("id", "CustomerID")
+    train, test = CL.split(df, pct)
+    want = -(-pct * n // 100)
+    assert (train.count(), test.count()) == (n - want, want)
+    other = CL.split(df.repartition(7), pct)[1]
+    assert sorted(r[0] for r in other.collect()) == sorted(r[0] for r in test.collect())
+    assert n < 100 or sorted(r[0] for r in CL.split(df, pct, seed=7)[1].collect()) != sorted(r[0] for r in test.collect())
+
+
+def test_split_of_no_rows(spark):
+    train, test = CL.split(spark.range(0).withColumnRenamed("id", "CustomerID"))
+    assert train.count() == test.count() == 0
