@@ -566,6 +566,32 @@ def q_filter_basket_b(spark, sf):
     return _lines(FL.filter_basket(events(spark, sf), "Large"))
 
 
+ORDER_BUCKETS = 8
+
+
+def _order_store(spark, sf):
+    """All events as a table bucketed by order, written once per session and folder."""
+    from basketry.session import table_path
+    from basketry.sources.store import read_order_store, write_order_store
+
+    key = (spark.sparkContext.applicationId, sf, "orders")
+    if key not in _STORES:
+        path = table_path(spark, f"orders-{uuid.uuid4().hex}")
+        write_order_store(events(spark, sf), path, ORDER_BUCKETS)
+        _STORES[key] = path
+    return read_order_store(spark, _STORES[key], ORDER_BUCKETS)
+
+
+@register("filter_basket_bucketed", S.with_events(
+    f"SELECT {_LINE_COLS} FROM sales WHERE Country IN ('purchase', 'view') AND InvoiceNo IN "
+    f"(SELECT InvoiceNo FROM sales GROUP BY InvoiceNo HAVING sum(TotalPrice) >= 20 AND sum(TotalPrice) <= 100)"))
+def q_filter_basket_bucketed(spark, sf):
+    """F4 + J2 on the bucketed store: neither the totals nor the semi join move a line."""
+    lines = _order_store(spark, sf)
+    some = FL.filter_country(lines, ["purchase", "view"])
+    return _lines(FL.filter_basket(some, "Medium", (20.0, 100.0), True, lines))
+
+
 @register("basket_band_counts", S.with_events(
     "SELECT CASE WHEN v < 20 THEN 'Small' WHEN v >= 20 AND v <= 100 THEN 'Medium' ELSE 'Large' END AS band, "
     "count(*) AS orders FROM (SELECT InvoiceNo, sum(TotalPrice) AS v FROM sales GROUP BY InvoiceNo) b GROUP BY band"))

@@ -34,3 +34,26 @@ def test_materialize_and_release(spark):
     assert not os.path.exists(table_dir)
     with __import__("pytest").raises(ValueError):
         release(spark.read.parquet("/root/testdata/sf0.001/nation.parquet"))
+
+
+def test_a_basket_filter_moves_no_line_of_the_order_store(spark, tmp_path):
+    from basketry.sources import read_order_store, write_order_store
+
+    lines = C.clean_sales(event_sales(spark, "/root/testdata/sf0.01"))
+    path = str(tmp_path / "orders")
+    write_order_store(lines, path, 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert "Exchange" not in plan(FL.filter_basket(read_order_store(spark, path, 4), "Large"))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for known in (True, False):
+        if not known:  # as in a later session
+            for t in spark.catalog.listTables():
+                if t.name.startswith("orders_"):
+                    spark.sql(f"DROP TABLE {t.name}")
+        stored = read_order_store(spark, path, 4)
+        assert stored.schema.simpleString() == lines.schema.simpleString()
+        some = FL.filter_dates(stored, "2024-01-05", "2024-01-20")
+        for own, plain in ((FL.filter_basket(some, "Large"), FL.filter_basket(FL.filter_dates(lines, "2024-01-05", "2024-01-20"), "Large")),
+                           (FL.filter_basket(some, "Medium", (20.0, 100.0), True, stored), FL.filter_basket(FL.filter_dates(lines, "2024-01-05", "2024-01-20"), "Medium", (20.0, 100.0), True, lines))):
+            assert "hashpartitioning" not in plan(own)  # at most the few orders of the band are broadcast
+            assert sorted(r.InvoiceNo for r in own.collect()) == sorted(r.InvoiceNo for r in plain.collect()) != []
