@@ -42,7 +42,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draws documents to the target weights, one row per epoch drawn.
 
-    Null languages and sources are leaves of their own; texts without words take no budget; an empty table gives an empty result.
+    Null languages and sources count as "unknown"; an empty table gives an empty result.
     """
     return mixing.mix(docs, levels(), WEIGHTS, share=0.5, max_epochs=4, seed=17, with_row=True).select("row.*")
 
@@ -50,7 +50,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the drawn documents as coded ids and returns what reading them back tells of each.
 
-    Null texts count as empty (the end id alone); ties of doc_id follow the scan; an empty table gives an empty result.
+    Null texts count as empty (the end id alone); rows of one doc_id keep the order of their texts' hashes; an empty table gives
+    an empty result.
     """
     return token_output.read_blocks(*token_output.write_blocks(docs, tokenizer_path()))
 
