@@ -84,8 +84,8 @@ def test_pipeline_stages_follow_their_operators(spark, tmp_path):
         outs.append(previous)
         assert k == 4 or previous.columns == columns
     one, two, three, four, five = (x.toPandas() for x in outs)
-    told = {r["row"]["doc_id"]: (r.lang_pred, r.score) for r in language.label(docs).collect()}
-    assert set(one.doc_id) == {i for i, (lang, score) in told.items() if lang != language.UNDETERMINED and score >= corpus_pipeline.LEAST_SHARE}
+    told = {r["row"]["doc_id"]: r.lang_pred for r in language.label(docs).collect()}
+    assert set(one.doc_id) == {i for i, lang in told.items() if lang != language.UNDETERMINED}
     sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for i, t in zip(one.doc_id, one.text, strict=True)}
     root = {i: i for i in sets}
 
