@@ -254,13 +254,14 @@ def _propose(vid, n, sketch, comp, blk, k: int, num: int, den: int) -> tuple[np.
 
 
 def _lists(k: int, num: int, den: int, hot: int, first: bool):
-    """Over rows (h, vid, n, sketch, comp, blk) sorted by h: pairs, the lists that have more of them, and lists too large to hold."""
+    """Over rows (h, vid, n, sketch), after the first round with (comp, blk), sorted by h: pairs, the lists that have more of them, and lists too large to hold."""
 
     def runs(batches) -> Iterator[tuple]:
         """Whole lists, several at once; of a list of more than ``hot`` members only its h."""
         held, skipping = None, None
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)]
+            cols += [cols[1], np.full(len(cols[1]), -1)] if first else [batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5)]
             cols.append(np.array([*batch.column(3).to_pylist(), None], dtype=object)[:-1])
             if skipping is not None:
                 rest = cols[0] != skipping
@@ -445,7 +446,7 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
     one = F.first(F.struct("__row", "n", "sketch", "fine", "prefix")).alias("x")
     reps = sets.where("n > 0").groupBy("digest").agg(F.min("__id").alias("least"), one)
     reps = tables.write(reps.select(F.monotonically_increasing_id().alias("vid"), "digest", "least", "x.*"))
-    posted = reps.select(F.explode("prefix").alias("h"), "vid", "n", "sketch", F.col("vid").alias("comp"), F.lit(-1).cast("long").alias("blk"))
+    posted = reps.select(F.explode("prefix").alias("h"), "vid", "n", "sketch")  # each its own component, in no block
     links = None
     segments = None
     comps = None
