@@ -124,11 +124,13 @@ def list_keys(word: str, spans: list[tuple[int, int]], n: int) -> set[str]:
     return keys
 
 
-def near_pairs(words: DataFrame, places: int = DICTIONARY) -> DataFrame:
+def near_pairs(words: DataFrame, places: int = DICTIONARY, tables: Tables | None = None) -> DataFrame:
     """(a, na, b, nb): each pair of distinct words of (word, n) that differ by one inserted, deleted or replaced character, once.
 
-    Words have at least Q_MAX characters, so that an edit never affects all grams of one.
+    Words have at least Q_MAX characters, so that an edit never affects all grams of one. The result reads a written
+    table of the lists of each word, which is held in ``tables``.
     """
+    tables = tables or Tables()
     counts, _ = gram_dictionary(words, places)
     inner = {g[:-1] for g in counts if len(g) > Q_MIN}
 
@@ -144,16 +146,17 @@ def near_pairs(words: DataFrame, places: int = DICTIONARY) -> DataFrame:
                     guest.append(list(list_keys(word, spans, len(word) + 1)))
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(own, pa.list_(pa.string())), pa.array(guest, pa.list_(pa.string()))], names=["w", "n", "own", "guest"])
 
-    lists = words.select("word", "n").mapInArrow(run, "w string, n long, own array<string>, guest array<string>")
+    lists = tables.write(words.select("word", "n").mapInArrow(run, "w string, n long, own array<string>, guest array<string>"))
     entries = lambda c, role: F.transform(c, lambda k: F.struct(F.xxhash64(k).alias("key"), F.lit(role).alias("guest")))
     member = F.concat(entries("own", 0), entries("guest", 1))
     members = lists.select("w", "n", F.explode(member).alias("m")).select(F.col("m.key").alias("key"), F.col("m.guest").alias("guest"), "w", "n")
-    # both sides are the same rows, so that they are shuffled once: conditions that name both sides aren't moved below the exchange
-    other = members.select("key", F.col("guest").alias("guest2"), F.col("w").alias("w2"), F.col("n").alias("n2"))
-    role = (F.col("guest") < F.col("guest2")) | ((F.col("guest") + F.col("guest2") == 0) & (F.col("w") < F.col("w2")))
-    length = F.length("w2") - F.length("w") == F.col("guest2") - F.col("guest")
-    pairs = members.join(other, "key").where(role & length & (F.levenshtein("w", "w2", 1) == 1))
-    return pairs.select(F.col("w").alias("a"), F.col("n").alias("na"), F.col("w2").alias("b"), F.col("n2").alias("nb")).distinct()
+    # both sides are the same rows with the same columns, so that they are shuffled once: conditions that name both sides
+    # aren't moved below the exchange
+    x, y = members.alias("x"), members.alias("y")
+    role = (F.col("x.guest") < F.col("y.guest")) | ((F.col("x.guest") + F.col("y.guest") == 0) & (F.col("x.w") < F.col("y.w")))
+    length = F.length("y.w") - F.length("x.w") == F.col("y.guest") - F.col("x.guest")
+    pairs = x.join(y, F.col("x.key") == F.col("y.key")).where(role & length & (F.levenshtein("x.w", "y.w", 1) == 1))
+    return pairs.select(F.col("x.w").alias("a"), F.col("x.n").alias("na"), F.col("y.w").alias("b"), F.col("y.n").alias("nb")).distinct()
 
 
 def variants(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT, factor: int = FACTOR, damage: int = 31,
@@ -172,7 +175,7 @@ def variants(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = MIN
         raise ValueError(f"words of fewer than {Q_MAX} letters may share no gram")
     tables = Tables()
     words = tables.write(count_words(docs, min_length, min_count, damage, id_col, text_col))
-    pairs = tables.write(near_pairs(words, places))
+    pairs = tables.write(near_pairs(words, places, tables))
     both = pairs.select(F.col("a").alias("word"), F.struct((-F.col("nb")).alias("neg"), F.col("b").alias("form")).alias("o")).unionByName(
         pairs.select(F.col("b").alias("word"), F.struct((-F.col("na")).alias("neg"), F.col("a").alias("form")).alias("o")))
     near = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min("o").alias("o"))
