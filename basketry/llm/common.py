@@ -33,7 +33,8 @@ def stable(df: DataFrame) -> DataFrame:
     fixed = plan.deterministic()
     while plan.nodeName() in ("Project", "Filter"):
         plan = plan.children().head()
-    return df if fixed and plan.nodeName() == "LogicalRelation" and df.inputFiles() else materialize(df)
+    files = plan.nodeName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
+    return df if fixed and files else materialize(df)
 
 
 def give_back() -> None:

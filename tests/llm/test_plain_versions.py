@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.llm import decontaminate, language, line_dedup, ngram_join, suffix_dedup
+from basketry.llm import decontaminate, language, line_dedup, ngram_join, sharding, suffix_dedup
 from basketry.llm.common import stable
 
 # --- language --------------------------------------------------------------------------------------------
@@ -157,3 +157,31 @@ def test_only_scans_of_files_are_stable(spark, shuffled):
     loose, written = shuffled
     assert stable(written) is written and stable(written.where("doc_id > 3").select("text")).inputFiles() == written.inputFiles()
     assert stable(loose) is not loose and stable(written.withColumn("r", F.rand())).inputFiles() != written.inputFiles()
+
+
+# --- vector bin packing -----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n_shards, seed", [(1, 1), (5, 2), (24, 3)])
+def test_places_follow_the_dot_product(n_shards, seed):
+    """Each item, the largest of the earliest phase first, goes where the weighted dot product with what is left is highest; ties: the first shard."""
+    rng = np.random.default_rng(seed)
+    items = np.concatenate([rng.integers(1, 1000, (200, 3)).astype(float), np.full((10, 3), 50.0), np.zeros((3, 3))])
+    phase = np.concatenate([rng.integers(0, 4, 200), np.full(13, 1)])
+    total = [max(1.0, sum(x)) for x in items.T]
+    left = [[1.0, 1.0, 1.0] for _ in range(n_shards)]
+    want = [0] * len(items)
+    shares = [[x / t * n_shards for x, t in zip(row, total, strict=True)] for row in items]
+    for i in sorted(range(len(items)), key=lambda i: (phase[i], -max(shares[i]), i)):
+        weights = sharding.CRUMBS if phase[i] >= 2 else sharding.COARSE
+        value = [sum(a * (w * b) for a, w, b in zip(room, weights, shares[i], strict=True)) for room in left]
+        want[i] = max(range(n_shards), key=lambda s: (value[s], -s))
+        left[want[i]] = [a - b for a, b in zip(left[want[i]], shares[i], strict=True)]
+    got = sharding.place(items, phase, n_shards)
+    assert (got == np.array(want)).mean() > 0.97  # sums in another order may break a near tie otherwise
+    load = np.stack([items[got == s].sum(axis=0) for s in range(n_shards)])
+    assert n_shards == 1 or (np.abs(load / load.mean(axis=0) - 1) < 0.6).all()
+
+
+def test_places_of_no_items():
+    assert len(sharding.place(np.empty((0, 3)), np.empty(0, dtype=np.int64), 4)) == 0
