@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,6 +76,29 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)  # known schema: no footer-reading job
 
 
+#: Sizes of shuffled and of scanned data per task while wide rows are written, where the session has larger ones.
+_SMALL = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": 16 << 20, "spark.sql.files.maxPartitionBytes": 32 << 20}
+
+
+@contextlib.contextmanager
+def small_tasks(spark: SparkSession) -> Iterator[None]:
+    """Tasks of a write inside hold less data each; the session's own settings come back afterwards.
+
+    Both sizes are of compressed data, and cleaned lines take some twenty times as much in memory, where a write sorts
+    them by folder and a summary hashes them.
+    """
+    before = {key: spark.conf.get(key) for key in _SMALL}
+    bytes_of = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    try:
+        for key, most in _SMALL.items():
+            if bytes_of(before[key]) > most:
+                spark.conf.set(key, str(most))
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     """A path for a table of this application, beside those of ``materialize`` and dropped with them."""
     return f"{_tables_root(spark)}/{name}"

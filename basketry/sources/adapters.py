@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.sources.tables import table
+from basketry.sources.tables import table, tasks_for
 
 CANONICAL = ["InvoiceNo", "Description", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID", "Country"]
 
@@ -25,17 +25,21 @@ def _order_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem ⋈ order header ⋈ part, with the columns the adapters need.
+    """lineitem ⋈ part ⋈ order header, with the columns the adapters need.
 
-    The two large equi-joins shuffle lineitem on l_orderkey and l_partkey; nation is tiny and the
+    The two large equi-joins shuffle lineitem on l_partkey and l_orderkey; nation is tiny and the
     planner broadcasts it on its measured size. No explicit broadcast hint: customer and part grow
-    with the data, so their join strategy is left to the size check in AQE.
+    with the data, so their join strategy is left to the size check in AQE. The join by order comes last, as
+    cleaning and the sums per order then need no further shuffle; where that is more than a few tasks, their number
+    follows the size of lineitem, so a task's memory doesn't grow with the table.
     """
     lineitem = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return lineitem.join(_order_header(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")).join(
-        part, F.col("l_partkey") == F.col("p_partkey")
-    )
+    lines = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    tasks = tasks_for(spark, sf_dir, "lineitem")
+    if tasks > spark.sparkContext.defaultParallelism:
+        lines = lines.repartition(tasks, "l_orderkey")
+    return lines.join(_order_header(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def _unit_price() -> Column:

@@ -12,6 +12,8 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basketry.session import small_tasks
+
 
 def write_clean_sales(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write cleaned lines as parquet partitioned by Month (one folder per month).
@@ -19,7 +21,8 @@ def write_clean_sales(df: DataFrame, path: str, mode: str = "overwrite") -> None
     The rebalance hint brings the lines of a month together, so a month has few files, and lets the
     planner split a month that is too large for one task.
     """
-    df.hint("rebalance", "Month").write.mode(mode).partitionBy("Month").parquet(path)
+    with small_tasks(df.sparkSession):
+        df.hint("rebalance", "Month").write.mode(mode).partitionBy("Month").parquet(path)
 
 
 def read_clean_sales(spark: SparkSession, path: str) -> DataFrame:

@@ -29,3 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(path)
     _SCHEMAS[path] = (state, df.schema)
     return df
+
+
+#: Bytes of a table's files per task where its rows are sorted and hashed whole: some hundred thousand rows.
+TASK_BYTES = 8 << 20
+
+
+def tasks_for(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """The number of tasks over which to deal the rows of a table, in proportion to the size of its files.
+
+    Spark puts shuffled rows together by their compressed size, and rows that compress well fill a task's memory long
+    before that; a count that follows the table keeps the rows of a task about the same at every size.
+    """
+    return max(1, -(-sum(size for _, size, _ in _state(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")) // TASK_BYTES))
