@@ -34,8 +34,9 @@ LANES = 2048
 CHECKPOINT_STEPS = 256
 #: A block is closed at the end of the document that brings it to so many ids.
 BLOCK_IDS = 1 << 20
-#: Pieces of text whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 300_000
+#: Pieces of text whose ids a worker remembers, some 200 bytes each; beyond, it starts anew. Rare pieces keep coming, and
+#: learning one takes far longer than finding it, so this holds those of several tasks.
+REMEMBERED = 1_000_000
 MAGIC = b"RA64"
 
 _ODD_SPACE = re.compile(r" \s| $")
@@ -79,10 +80,6 @@ class Tokenizer:
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.ids[0], self.length[0], self.used = self.end_id, 1, 1
 
-    def forget(self) -> None:
-        """Drops the pieces at the end of a task, as idle workers stay alive."""
-        self._reset()
-
     def _plain(self, word: str) -> list[int]:
         mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.characters)
         return [t.id for t in self.model.tokenize(self.space + mapped)]
@@ -162,7 +159,8 @@ _TOKENIZERS: dict[tuple[str, int], Tokenizer] = {}
 
 
 def _tokenizer(path: str, end_id: int) -> Tokenizer:
-    """One per Python worker: loading the vocabulary takes a while."""
+    """One per Python worker: loading the vocabulary takes a while, and the pieces of a worker's earlier tasks, REMEMBERED at most
+    and a batch, needn't be learnt again."""
     if (path, end_id) not in _TOKENIZERS:
         _TOKENIZERS[path, end_id] = Tokenizer(path, end_id)
     return _TOKENIZERS[path, end_id]
@@ -291,7 +289,6 @@ def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str
                         owners, lengths, held, size = [], [], [], 0
         if owners:
             yield close()
-        tokenizer.forget()
         if arrow is not None:
             yield pa.RecordBatch.from_pylist([{"part": part, "counts": counts.tobytes()}], schema=arrow)
 

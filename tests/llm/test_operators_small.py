@@ -218,6 +218,19 @@ def test_a_forgetful_tokenizer_agrees(monkeypatch):
         assert ids.tolist() == tok.library.encode(t, add_special_tokens=False).ids + [2] and n.tolist() == [len(ids)]
 
 
+def test_workers_remember_pieces_beyond_a_task(spark):
+    docs = table(spark, [(i, t) for i, t in enumerate(random_texts(40)[0])])
+    token_output.tokenise(docs, tokenizer_path(), 2, "doc_id", "text").collect()
+
+    def held(batches):
+        from basketry.llm import token_output as own
+
+        for batch in batches:
+            yield batch.assign(id=max((len(t.number) for t in own._TOKENIZERS.values()), default=0))
+
+    assert spark.range(64).repartition(16).mapInPandas(held, "id long").agg(F.max("id")).first()[0] > 100
+
+
 def test_added_tokens_are_those_of_the_library_as_loaded():
     from tokenizers import Tokenizer
 
