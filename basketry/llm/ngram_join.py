@@ -6,7 +6,8 @@ ones), then hash. Sets of similarity t share COMMON of their first ``n - ceil(t
 order, so documents that meet there so often are candidates. The hash order is cut into fragments at fixed pivots:
 the number of a set's n-grams in each of 32 fragments bounds the distance of two sets from below and prunes
 candidates exactly; finer fragments, for sets of similar size down to two n-grams each, do so again. The rest is decided by
-joining both documents' n-grams fragment by fragment, counting each fragment's overlap on its own and summing per pair.
+joining both documents' n-grams fragment by fragment, counting each fragment's overlap on its own and summing per pair:
+where there are many, first one pair of each document, then those that the links found leave in different components.
 
 Only components are wanted, so no list emits all its pairs. In a round every member of a list proposes
 its nearest ``k`` remaining partners of other components; a list with members that have more comes
@@ -351,7 +352,7 @@ def _rows(kind: int, sketch: np.ndarray | None = None, **cols: np.ndarray) -> pa
 
 
 def _segments(docs: DataFrame, active: DataFrame, width: int) -> DataFrame:
-    """(vid, fragment, grams): the sorted n-gram hashes of the active documents, cut at the pivots."""
+    """(vid, fragment, grams): the sorted n-gram hashes of the active documents (vid, __row), cut at the pivots."""
 
     def make():
         pivots = np.arange(FRAGMENTS, dtype=np.uint64) << np.uint64(64 - 3)
@@ -399,10 +400,11 @@ def _prune(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     return map_batches(both.select("a", "b", "na", "nb", "fine_a", "fine_b"), make, "a long, b long, na long, nb long")
 
 
-def _verify(pairs: DataFrame, segments: DataFrame, num: int, den: int, tables: Tables) -> DataFrame:
-    """The written table of the pairs (a, b) whose similarity reaches the threshold; only the segments of their documents are dealt out."""
-    own = tables.write(pairs.select(F.col("a").alias("vid")).unionByName(pairs.select(F.col("b").alias("vid"))).distinct())
-    segments = segments.join(broadcast_if_small(own), "vid", "left_semi")
+def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, num: int, den: int, tables: Tables) -> DataFrame:
+    """The written table of the pairs (a, b) whose similarity reaches the threshold; only the segments of their documents are written and dealt out."""
+    own = pairs.select(F.col("a").alias("vid")).unionByName(pairs.select(F.col("b").alias("vid"))).distinct()
+    own = tables.write(reps.select("vid", "__row").join(own, "vid"))
+    segments = tables.write(_segments(docs, own, width))
     left = pairs.join(segments.select(F.col("vid").alias("b"), "fragment", F.col("grams").alias("of_b")), "b")
     both = left.join(segments.select(F.col("vid").alias("a"), "fragment", F.col("grams").alias("of_a")), ["a", "fragment"])
 
@@ -421,10 +423,23 @@ def _verify(pairs: DataFrame, segments: DataFrame, num: int, den: int, tables: T
     partial = map_batches(both.select("a", "b", "na", "nb", "of_a", "of_b"), make, "a long, b long, na long, nb long, common long")
     overlap = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("both"))
     found = tables.write(overlap.where(F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num).select("a", "b"))
-    tables.free(own)
+    tables.free(own, segments)
     return found
 
 
+def _one_per_member(pairs: DataFrame) -> DataFrame:
+    """For each b the pair with its least a."""
+    return pairs.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("p")).select("p.a", "b", "p.na", "p.nb")
+
+
+def _still_apart(pairs: DataFrame, tried: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs not tried yet whose members the links found so far leave in different components."""
+    left = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    left = left.join(comps.select(F.col("vertex").alias("a"), F.col("component").alias("__a")), "a", "left")
+    both = left.join(comps.select(F.col("vertex").alias("b"), F.col("component").alias("__b")), "b", "left")
+    return both.where(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b", "na", "nb")
+
+
 def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per input row: __row (its number in the scan), id, n_shingles, component_id.
 
@@ -446,23 +461,24 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
     one = F.first(F.struct("__row", "n", "sketch", "fine", "prefix")).alias("x")
     reps = sets.where("n > 0").groupBy("digest").agg(F.min("__id").alias("least"), one)
     reps = tables.write(reps.select(F.monotonically_increasing_id().alias("vid"), "digest", "least", "x.*"))
+    wide, sets = sets, tables.write(sets.select("__row", "__id", "n", "digest"))  # sketches and prefixes are in reps
+    tables.free(wide)
     posted = reps.select(F.explode("prefix").alias("h"), "vid", "n", "sketch")  # each its own component, in no block
     links = None
-    segments = None
     comps = None
     rows, k = posted, 2
     spent: list[DataFrame] = []  # what the round before left for this one
     while True:
         ordered = rows.repartition("h").sortWithinPartitions("h")
-        out = tables.write(ordered.mapInArrow(_lists(k, num, den, hot, segments is None), _OUT))
+        out = tables.write(ordered.mapInArrow(_lists(k, num, den, hot, links is None), _OUT))
         tables.free(*spent)
         spent = [out]
         pairs = out.where(f"kind = {_PAIR}").groupBy("a", "b", "na", "nb").agg(F.sum("h").alias("met"))
         shared = F.least(F.lit(COMMON), F.ceil(F.greatest("na", "nb") * F.lit(num) / F.lit(den)))
         pairs = pairs.where(F.col("met") >= shared).select("a", "b", "na", "nb")
-        pairs = tables.write(_prune(pairs, reps, num, den) if segments is None else pairs)
+        pairs = tables.write(_prune(pairs, reps, num, den) if links is None else pairs)
         again = out.where(f"kind = {_MEMBER}").select("h", F.col("a").alias("vid"), F.col("na").alias("n"), "sketch", "blk")
-        if segments is None:
+        if links is None:
             one = tables.write(_one_of_each(out))
             again = _distinct_lists(out, one, reps)
             large = out.where(f"kind = {_LARGE}").select("h").distinct()  # met in the first round only: blocks are smaller
@@ -475,16 +491,21 @@ def _join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col
             again = tables.write(again)
             tables.free(*spent)
             spent = [again]
-            touched = pairs.select(F.col("a").alias("vid")).unionByName(pairs.select(F.col("b").alias("vid"))).unionByName(again.select("vid")).distinct()
-            touched = tables.write(reps.select("vid", "__row").join(touched, "vid"))
-            segments = tables.write(_segments(given, touched, width))
-            tables.free(touched)
-        found = _verify(pairs, segments, num, den, tables)
-        tables.free(pairs)
+        first = tables.write(_one_per_member(pairs))
+        dense = pairs.count() > 2 * first.count()  # a group of near copies, which one pair of each member links nearly whole
+        found = _verify(first if dense else pairs, given, reps, width, num, den, tables)
         links = found if links is None else links.unionByName(found)
         if comps is not None:
             release(comps)
         comps = connected_components(links)
+        if dense:
+            rest = tables.write(_still_apart(pairs, first, comps))
+            if rest.take(1):
+                links = links.unionByName(_verify(rest, given, reps, width, num, den, tables))
+                release(comps)
+                comps = connected_components(links)
+            tables.free(rest)
+        tables.free(pairs, first)
         if not again.take(1):
             break
         rows = again.join(comps.select(F.col("vertex").alias("vid"), F.col("component").alias("comp")), "vid", "left")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.llm import embedding_forest, suffix_dedup
+from basketry.llm import embedding_forest, ngram_join, suffix_dedup
 from basketry.llm.common import connected_components
 
 DOCS = "doc_id long, text string, row string, n string, kind string, `total.x` string"
@@ -180,3 +180,13 @@ def test_links_of_a_dense_group_are_whole(spark):
     want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
     print("recall", sum(n for n, _ in got.values()) / want.sum())
     assert got == {i: (n, 0 if i < 3000 else i) for i, n in enumerate(want.tolist())}
+
+
+def test_a_group_of_near_copies_is_verified_by_few_pairs(spark):
+    group = [(a, b, 9, 9) for b in range(30) for a in range(b)]
+    pairs = spark.createDataFrame([*group, (29, 40, 9, 9), (40, 41, 9, 9)], "a long, b long, na long, nb long")
+    first = ngram_join._one_per_member(pairs)
+    assert sorted(map(tuple, first.collect())) == [(0, b, 9, 9) for b in range(1, 30)] + [(29, 40, 9, 9), (40, 41, 9, 9)]
+    found = spark.createDataFrame([(v, 0) for v in range(29)], "vertex long, component long")  # 29 is not like 0, nor 40 like any other
+    rest = sorted(map(tuple, ngram_join._still_apart(pairs, first, found).collect()))
+    assert rest == [(a, 29, 9, 9) for a in range(1, 29)]
