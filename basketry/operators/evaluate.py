@@ -14,9 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.operators.distance_tree import mean_silhouette
 from basketry.session import materialize
 
-_TILE_SCHEMA = "id long, own int, cluster int, s double, c long"
+_TILE_SCHEMA = "id long, own int, w long, cluster int, s double, c long"
+
+#: Points of more blocks than this go through a tree.
+BLOCKS = 16
 
 
 def _tile_sums(cols: Sequence[str]):
@@ -29,11 +33,12 @@ def _tile_sums(cols: Sequence[str]):
         lab = pdf["_lab"].to_numpy()
         ids = pdf["_id"].to_numpy()
         blk = pdf["_blk"].to_numpy()
+        weight = pdf["_w"].to_numpy(dtype=np.float64)
         clusters = np.unique(lab)
         out = []
 
         def onehot(idx):
-            return (lab[idx][:, None] == clusters[None, :]).astype(np.float64)
+            return np.where(lab[idx][:, None] == clusters[None, :], weight[idx][:, None], 0.0)
 
         def emit(src_idx, sums, counts):
             keep = counts > 0
@@ -41,6 +46,7 @@ def _tile_sums(cols: Sequence[str]):
             out.append(pd.DataFrame({
                 "id": np.repeat(ids[src_idx], n_cl),
                 "own": np.repeat(lab[src_idx], n_cl).astype(np.int32),
+                "w": np.repeat(weight[src_idx], n_cl).astype(np.int64),
                 "cluster": np.tile(clusters[keep], n_src).astype(np.int32),
                 "s": sums[:, keep].reshape(-1),
                 "c": np.tile(counts[keep], n_src).astype(np.int64),
@@ -76,21 +82,34 @@ def silhouette_exact(points: DataFrame, cols: Sequence[str], label: str, id_col:
                      block_size: int = 2048) -> DataFrame:
     """Exact mean silhouette with Euclidean distance; one-row DataFrame ``silhouette``.
 
-    Points get a row id and are hashed into ``nb = ceil(n / block_size)`` blocks; every unordered
+    Points with equal coordinates and label are one weighted point. More than ``BLOCKS`` blocks of them, in at most three columns,
+    go through a tree (:mod:`basketry.operators.distance_tree`), whose work grows in proportion to the points and whose sums
+    of distances are met within 1e-8 of their size, most within 1e-10. Otherwise points get a row id and are hashed into
+    ``nb = ceil(n / block_size)`` blocks; every unordered
     block pair is a tile processed by one ``applyInPandas`` group holding at most two blocks (row
     ids are unique, so hash blocks cannot be skewed; ``id_col`` is accepted but not needed). Each point is shipped to ``nb`` tiles and only per-cluster
-    distance sums leave a tile — no pair is ever a row. Work is quadratic by definition of the
-    measure; :func:`silhouette_linear` is the linear alternative for very large inputs.
+    distance sums leave a tile — no pair is ever a row. So in more than three columns, or with a coordinate that is null, NaN or
+    infinite, work is quadratic; :func:`silhouette_linear` is a linear measure.
     Singleton clusters score 0, and fewer than two clusters give null, as in scikit-learn.
     """
     pts = points.select(
         F.col(label).cast("int").alias("_lab"),
         *[F.col(c).cast("double").alias(c) for c in cols],
     ).where(F.col("_lab").isNotNull())
-    # a row id fixed by writing the points once (they are read three times below: count, tiles,
-    # cluster count), so duplicate or missing ids in the input cannot merge points
+    # a row id fixed by writing the points once (they are read several times below), so duplicate or missing ids in the
+    # input cannot merge points
+    pts = pts.groupBy("_lab", *cols).agg(F.count(F.lit(1)).alias("_w"))
     pts = materialize(pts.withColumn("_id", F.monotonically_increasing_id()))
     n = pts.count()
+    if n > BLOCKS * block_size and len(cols) <= 3:
+        finite = [F.max(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) for c in cols]
+        ends = pts.agg(*finite, *[F.min(c) for c in cols], *[F.max(c) for c in cols]).first()
+        totals = {r[0]: r[1] for r in pts.groupBy("_lab").agg(F.sum("_w")).collect()}
+        if not any(ends[:len(cols)]):
+            if len(totals) < 2:
+                return points.sparkSession.createDataFrame([(None,)], "silhouette double")
+            parts = mean_silhouette(pts, cols, totals, ends[len(cols):2 * len(cols)], ends[2 * len(cols):], n, block_size)
+            return parts.agg((F.sum("s") / F.sum("w")).alias("silhouette"))
     nb = max(1, math.ceil(n / block_size))
     blk = F.pmod(F.xxhash64("_id"), F.lit(nb)).cast("int")
     tiles = (
@@ -101,8 +120,8 @@ def silhouette_exact(points: DataFrame, cols: Sequence[str], label: str, id_col:
         .drop("_j")
     )
     sums = tiles.groupBy("_lo", "_hi").applyInPandas(_tile_sums(list(cols)), _TILE_SCHEMA)
-    per = sums.groupBy("id", "own", "cluster").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
-    per_point = per.groupBy("id", "own").agg(
+    per = sums.groupBy("id", "own", "w", "cluster").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    per_point = per.groupBy("id", "own", "w").agg(
         F.max(F.when(F.col("cluster") == F.col("own"), F.col("s"))).alias("s_own"),
         F.max(F.when(F.col("cluster") == F.col("own"), F.col("c"))).alias("c_own"),
         F.min(F.when(F.col("cluster") != F.col("own"), F.col("s") / F.col("c"))).alias("b"),
@@ -113,7 +132,7 @@ def silhouette_exact(points: DataFrame, cols: Sequence[str], label: str, id_col:
     )
     n_clusters = pts.agg(F.count_distinct("_lab").alias("k")).scalar()
     return per_point.agg(
-        F.when(n_clusters >= 2, F.avg(sil)).alias("silhouette")
+        F.when(n_clusters >= 2, F.sum(sil * F.col("w")) / F.sum("w")).alias("silhouette")
     )
 
 
