@@ -5,8 +5,9 @@ same document and earlier line) reaches NUM / DEN; lines are judged on the input
 are 64-bit numbers that sort by rarity (counts over the whole corpus, hashed to 2^17 cells) and then hash.
 
 1. Lines with equal word sets are one class, named by its first line; all others of it go.
-2. Most near copies share two of their three rarest words. Classes that share such a pair of words meet the first
-   of its list and their neighbour in it; those that match are gone.
+2. Most near copies share two of the three words with the least hashes among their rarest. Classes that share such a
+   pair of words meet the first of its list and their neighbour in it; those that match are gone. Classes that share a rare
+   word with a line matched by LEADS others meet that line too, so that large groups of near copies don't meet in full.
 3. Similar sets share one of their rarest words: of the larger set one of the ``n - ceil(t n) + 1`` rarest, of the
    smaller one of the ``n - ceil(2 t / (1 + t) n) + 1`` rarest. Classes are dealt by these words and meet within a word
    those of their own bucket of sizes (steps of 1 / t) and of the next lower one. Pairs whose later line is not yet
@@ -37,6 +38,7 @@ LONG = 8
 HOT, SAMPLE_RATE = 200_000, 0.01
 SALTS = 16
 WIDE = 80
+LEADS = 16
 
 
 def _words(line: Column) -> Column:
@@ -78,7 +80,8 @@ def _close(a: str, b: str, num: int, den: int) -> Column:
 
 
 def _copies(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of each class with the first and the last earlier one that share two of its three rarest words."""
+    """Pairs (a, b) of each class with the first and the last earlier one that share two of three of its rarest words."""
+    classes = classes.withColumn("prefix", F.sort_array("prefix"))  # by hash: a copy's own rare words may be among them or not
     two = [F.when(F.size("prefix") > j, F.xxhash64(F.get("prefix", F.lit(i)), F.get("prefix", F.lit(j)))) for i, j in ((0, 1), (0, 2), (1, 2))]
     lists = classes.where("size(prefix) > 1").select(F.explode(F.array_compact(F.array(*two))).alias("key"), "line_id", "n", "sketch", "more")
     within = Window.partitionBy("key").orderBy("line_id")
@@ -89,6 +92,15 @@ def _copies(classes: DataFrame, num: int, den: int) -> DataFrame:
     return met.select("a", F.col("b.line_id").alias("b")).distinct()
 
 
+def _led(posted: DataFrame, leads: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of an open line and a line of ``leads`` that share a rare word and pass the filters."""
+    posted = posted.withColumn("n", F.shiftright("np", 32))
+    heads = posted.join(F.broadcast(leads), "line_id", "left_semi")
+    heads = materialize(heads.select("word", F.struct("line_id", "n", "sketch", "more").alias("e")))
+    met = posted.where("(np & 1) = 1").join(F.broadcast(heads), "word")
+    return met.where((F.col("e.line_id") < F.col("line_id")) & _close("", "e.", num, den)).select(F.col("line_id").alias("a"), F.col("e.line_id").alias("b")).distinct()
+
+
 def _candidates(posted: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b), a the later line and open, of members of one list that pass the filters.
 
@@ -125,11 +137,11 @@ def _candidates(posted: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, words: DataFrame, num: int, den: int) -> DataFrame:
-    """The lines ``a`` that match an earlier line ``b``."""
+    """The pairs whose line ``a`` matches the earlier line ``b``."""
     left = pairs.join(words.select(F.col("line_id").alias("a"), F.col("numbers").alias("of_a")), "a")
     both = left.join(words.select(F.col("line_id").alias("b"), F.col("numbers").alias("of_b")), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(common * den >= (F.size("of_a") + F.size("of_b") - common) * num).select(F.col("a").alias("line_id")).distinct()
+    return both.where(common * den >= (F.size("of_a") + F.size("of_b") - common) * num).select("a", "b")
 
 
 def find_repeats(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, hot: int = HOT) -> DataFrame:
@@ -182,12 +194,25 @@ def find_repeats(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str =
         release(words)
         return out
 
-    gone = verified(materialize(_copies(classes, num, den)))
+    def earliest(pairs: DataFrame) -> DataFrame:
+        """``first`` tells the pairs that a line tries first."""
+        return materialize(pairs.withColumn("first", F.row_number().over(Window.partitionBy("a").orderBy("b")) <= long))
+
     often = classes.sample(SAMPLE_RATE, seed=1).select(F.explode("prefix").alias("word")).groupBy("word").count()
     very_long = materialize(often.where(F.col("count") > hot * SAMPLE_RATE).select("word"))
-    marked = classes.join(broadcast_if_small(gone).withColumn("gone", F.lit(1)), "line_id", "left")
-    np = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.when(F.col("gone").isNull(), F.lit(1)).otherwise(F.lit(0)).cast("long"))
-    posted = marked.select(F.posexplode("prefix").alias("pos", "word"), "line_id", "n", "sketch", "more", "gone").select("word", "line_id", np.alias("np"), "sketch", "more")
+
+    def postings() -> DataFrame:
+        marked = classes.join(broadcast_if_small(gone).withColumn("gone", F.lit(1)), "line_id", "left")
+        np = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.when(F.col("gone").isNull(), F.lit(1)).otherwise(F.lit(0)).cast("long"))
+        return marked.select(F.posexplode("prefix").alias("pos", "word"), "line_id", "n", "sketch", "more", "gone").select("word", "line_id", np.alias("np"), "sketch", "more")
+
+    matched = verified(materialize(_copies(classes, num, den)))
+    gone = materialize(matched.select(F.col("a").alias("line_id")).distinct())
+    leads = materialize(matched.groupBy(F.col("b").alias("line_id")).count().where(F.col("count") >= LEADS).orderBy(F.desc("count")).limit(1000).select("line_id"))
+    if leads.take(1):
+        matched = verified(earliest(_led(postings(), leads, num, den)).where("first").drop("first"))
+        gone = materialize(gone.unionByName(matched.select(F.col("a").alias("line_id"))).distinct())
+    posted = postings()
     if very_long.take(1):
         hot_word = F.broadcast(very_long.withColumn("hot", F.lit(True)))
         own = F.pmod(F.xxhash64("line_id"), F.lit(SALTS)).cast("int")
@@ -196,12 +221,11 @@ def find_repeats(docs: DataFrame, num: int = NUM, den: int = DEN, id_col: str =
         posted = posted.withColumn("home", F.col("hot").isNull() | (F.col("salt") == own)).drop("hot")
     with subset_keys(docs.sparkSession):
         pairs = materialize(_candidates(posted, num, den).distinct())
-    first = F.row_number().over(Window.partitionBy("a").orderBy("b")) <= long
-    pairs = materialize(pairs.withColumn("first", first))
-    gone = gone.unionByName(verified(pairs.where("first").drop("first")))
+    pairs = earliest(pairs)
+    gone = gone.unionByName(verified(pairs.where("first").drop("first")).select(F.col("a").alias("line_id")))
     rest = materialize(pairs.where("NOT first").drop("first").join(gone.select(F.col("line_id").alias("a")), "a", "left_anti"))
     if rest.take(1):
-        gone = gone.unionByName(verified(rest))
+        gone = gone.unionByName(verified(rest).select(F.col("a").alias("line_id")))
     kept = classes.select("line_id").join(gone, "line_id", "left_anti")
     number = F.col("line_id").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
     kept = kept.groupBy(F.shiftright("line_id", bits).alias("ord")).agg(F.collect_list(number).alias("kept"))
